@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one numbering bucket holds on average.
-BUCKET_ROWS = 512
+BUCKET_ROWS = 256
 #: Buckets whose prefix sums one task computes.
 SUPER = 4096
 #: White space of the corpus contracts: [\x20\x09-\x0D].

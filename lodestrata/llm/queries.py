@@ -5,8 +5,13 @@ from __future__ import annotations
 from importlib import import_module
 
 NAMES = {
+    "op1_minhash_near_dedup": "op1_minhash",
     "op2_sharding": "op2_sharding",
+    "op4_pii": "op4_pii",
+    "op6_language_id": "op6_language",
+    "op7_best_fit_packing": "op7_packing",
     "op9_exact_dedup": "op9_exact",
+    "op10_substring_dedup": "op10_substring",
 }
 _MODULES = {name: import_module(f".{module}", __package__) for name, module in NAMES.items()}
 QUERIES = {name: module.query for name, module in _MODULES.items()}
