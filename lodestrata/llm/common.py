@@ -21,15 +21,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the reliable checkpoint folder and read back from there, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a session without that setting (tests, one machine) gets a folder of its own."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestrata-{os.getpid()}"
 
-    The folder is the one that spark.checkpoint.dir names. Only a session without that setting gets a folder of its own.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the reliable checkpoint folder and read back from there, so that a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"lodestrata-{os.getpid()}")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -7,9 +7,12 @@ from importlib import import_module
 NAMES = {
     "op1_minhash_near_dedup": "op1_minhash",
     "op2_sharding": "op2_sharding",
+    "op3_exact_topk": "op3_topk",
     "op4_pii": "op4_pii",
+    "op5_sentencepiece": "op5_sentencepiece",
     "op6_language_id": "op6_language",
     "op7_best_fit_packing": "op7_packing",
+    "op8_url_filters": "op8_urls",
     "op9_exact_dedup": "op9_exact",
     "op10_substring_dedup": "op10_substring",
 }
