@@ -94,10 +94,10 @@ def gathered(x: pa.Table, q: pa.Table, most: int, width: int) -> pa.Table:
     """The best entries of a node's score list for each query."""
     if not x.num_rows or not q.num_rows:
         return pa.table({"q": pa.array([], pa.int64()), "x": pa.array([], pa.int64()), "slice": pa.array([], pa.int32()), "part": pa.array([], pa.int64())})
-    s = products(matrix(q.column("vec"), width), matrix(x.column("vec"), width))
+    s = products(matrix(q.column("qvec"), width), matrix(x.column("vec"), width))
     k = min(most, s.shape[1])
     best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    xs, qs = x.column("id").to_numpy(), q.column("id").to_numpy()
+    xs, qs = x.column("id").to_numpy(), q.column("qid").to_numpy()
     return pa.table({"q": np.repeat(qs, k), "x": xs[best.ravel()], "slice": np.full(len(qs) * k, x.column("slice")[0].as_py(), np.int32), "part": np.take_along_axis(s, best, axis=1).ravel()})
 
 
@@ -105,10 +105,10 @@ def collected(x: pa.Table, q: pa.Table, slices: int, width: int) -> pa.Table:
     """The entries of a node whose local score reaches a query's threshold. Without a cutoff, all of them."""
     if not x.num_rows or not q.num_rows:
         return gathered(x, q, 1, width)
-    s = products(matrix(q.column("vec"), width), matrix(x.column("vec"), width))
+    s = products(matrix(q.column("qvec"), width), matrix(x.column("vec"), width))
     cutoff = np.array([-math.inf if c is None else c / slices for c in q.column("cutoff").to_pylist()])
     at_q, at_x = np.nonzero(s >= np.ceil(cutoff)[:, None])
-    xs, qs = x.column("id").to_numpy(), q.column("id").to_numpy()
+    xs, qs = x.column("id").to_numpy(), q.column("qid").to_numpy()
     return pa.table({"q": qs[at_q], "x": xs[at_x], "slice": np.full(len(at_q), x.column("slice")[0].as_py(), np.int32), "part": s[at_q, at_x]})
 
 
@@ -152,9 +152,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     cell = ["block", "q_block", "slice"]
     block = lambda many: F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")
     spread = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    sliced = lambda df, *more: df.withColumn("slice", spread(slices)).select("block", "q_block", "slice", "id", F.substring("vec", F.col("slice") * (8 * part) + 1, F.lit(8 * part)).alias("vec"), *more)
-    nodes = sliced(entries.select("id", "vec", block(blocks).alias("block")).withColumn("q_block", spread(q_blocks)))
-    against = lambda df, *more: sliced(df.withColumn("q_block", block(q_blocks)).withColumn("block", spread(blocks)), *more)
+    cells = lambda df, i, v, *more: df.withColumn("slice", spread(slices)).select("block", "q_block", "slice", F.col("id").alias(i), F.substring("vec", F.col("slice") * (8 * part) + 1, F.lit(8 * part)).alias(v), *more)
+    nodes = cells(entries.select("id", "vec", block(blocks).alias("block")).withColumn("q_block", spread(q_blocks)), "id", "vec")
+    against = lambda df, *more: cells(df.withColumn("q_block", block(q_blocks)).withColumn("block", spread(blocks)), "qid", "qvec", *more)
 
     lists = nodes.groupBy(*cell).cogroup(against(queries).groupBy(*cell)).applyInArrow(lambda x, q: gathered(x, q, k + 1, part), NODE)
     heads = lists.withColumn("_k", F.row_number().over(Window.partitionBy("q", "slice").orderBy(F.desc("part"), "x"))).where(F.col("_k") <= k + 1)
