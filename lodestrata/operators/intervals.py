@@ -86,6 +86,8 @@ def mark_carved_copies(carved: DataFrame, keys: list[str]) -> DataFrame:
     reached = F.max("end_sector").over(order.rowsBetween(Window.unboundedPreceding, -1))
     parts = carved.withColumn("_part", F.sum(F.when(F.col("start_sector") <= reached, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
+    columns = carved.columns
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
         kept: list[tuple[int, int]] = []
@@ -98,7 +100,7 @@ def mark_carved_copies(carved: DataFrame, keys: list[str]) -> DataFrame:
         rows.loc[copies, "source"] = DUPLICATE
         rows.loc[copies, "path"] = "/dup_of/carve"
         rows.loc[copies, "confidence"] = rows.loc[copies, "confidence"].clip(upper=CARVE_COPY_CONFIDENCE)
-        return rows[carved.columns]
+        return rows[columns]
 
     return parts.groupBy(*keys, "_part").applyInPandas(fold, carved.schema)
 

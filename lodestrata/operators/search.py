@@ -26,6 +26,10 @@ def tokens(*columns: Column | str) -> Column:
     return F.split(joined, r"[^\p{L}\p{N}]+")
 
 
+def _starts_with(term: str):
+    return lambda t: t.startswith(term)
+
+
 def match_tokens(query: str, *columns: Column | str) -> Column:
     """Each term of the query is the start of some token; a query without a term matches nothing."""
     terms = query_tokens(query)
@@ -33,7 +37,7 @@ def match_tokens(query: str, *columns: Column | str) -> Column:
         return F.lit(False)
     found, out = tokens(*columns), F.lit(True)
     for term in terms:
-        out &= F.exists(found, lambda t, term=term: t.startswith(term))
+        out &= F.exists(found, _starts_with(term))
     return out
 
 

@@ -113,12 +113,12 @@ def file_by_id(spark, sf_dir):
 
 
 @query(f"""WITH {FILES_SQL}, {TIMELINE_SQL},
-a AS (SELECT count(*) AS total_files, count_if(status = 0 AND NOT source ILIKE 'carver%') AS deleted_files, count_if(category = 'Image') AS image_files,
-  count_if(category = 'Document') AS document_files, count_if(category = 'Video') AS video_files, count_if(category = 'Audio') AS audio_files,
-  count_if(category = 'Archive') AS archive_files, count_if(source IN ('carver', 'carver_bgc')) AS carved_files
+a AS (SELECT count(*) AS total_files, count(*) FILTER (WHERE status = 0 AND NOT source ILIKE 'carver%') AS deleted_files, count(*) FILTER (WHERE category = 'Image') AS image_files,
+  count(*) FILTER (WHERE category = 'Document') AS document_files, count(*) FILTER (WHERE category = 'Video') AS video_files, count(*) FILTER (WHERE category = 'Audio') AS audio_files,
+  count(*) FILTER (WHERE category = 'Archive') AS archive_files, count(*) FILTER (WHERE source IN ('carver', 'carver_bgc')) AS carved_files
   FROM files WHERE scan_id = 2 AND source NOT IN ({DISCOVERY_SQL})),
-b AS (SELECT count(*) AS timeline_events, count_if(event_type = 'create') AS usn_creates, count_if(event_type = 'delete') AS usn_deletes,
-  count_if(event_type IN ('rename_old', 'rename_new')) AS usn_renames FROM timeline WHERE scan_id = 2)
+b AS (SELECT count(*) AS timeline_events, count(*) FILTER (WHERE event_type = 'create') AS usn_creates, count(*) FILTER (WHERE event_type = 'delete') AS usn_deletes,
+  count(*) FILTER (WHERE event_type IN ('rename_old', 'rename_new')) AS usn_renames FROM timeline WHERE scan_id = 2)
 SELECT *, total_files - image_files - document_files - video_files - audio_files - archive_files AS other_files, total_files - deleted_files AS allocated_files FROM a, b""")
 def scan_summary(spark, sf_dir):
     return listing.report_remainders(listing.scan_summary(files(spark, sf_dir), timeline(spark, sf_dir), 2))
@@ -129,7 +129,7 @@ def timeline_page(spark, sf_dir):
     return listing.timeline_page(timeline(spark, sf_dir), 100, 200, None, "delete").select("id", "timestamp", "event_type")
 
 
-@query(f"WITH {TIMELINE_SQL} SELECT count(*) AS timeline_events, count_if(event_type = 'create') AS usn_creates, count_if(event_type = 'delete') AS usn_deletes, count_if(event_type IN ('rename_old', 'rename_new')) AS usn_renames FROM timeline")
+@query(f"WITH {TIMELINE_SQL} SELECT count(*) AS timeline_events, count(*) FILTER (WHERE event_type = 'create') AS usn_creates, count(*) FILTER (WHERE event_type = 'delete') AS usn_deletes, count(*) FILTER (WHERE event_type IN ('rename_old', 'rename_new')) AS usn_renames FROM timeline")
 def timeline_counts(spark, sf_dir):
     return listing.timeline_counts(timeline(spark, sf_dir))
 
@@ -154,7 +154,7 @@ def log_tail(spark, sf_dir):
 
 _TOKENS = r"regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+')"
 _NAMES = _TOKENS.format("concat_ws(' ', name, path, extension)")
-_PREFIX = "len(list_filter({}, t -> starts_with(t, '{}'))) > 0"
+_PREFIX = "len(list_filter({}, lambda t: starts_with(t, '{}'))) > 0"
 
 
 @query(f"SELECT doc_id AS id FROM documents WHERE {_PREFIX.format(_TOKENS.format('text'), 'ment')} AND {_PREFIX.format(_TOKENS.format('text'), 'ou')}")
@@ -275,10 +275,10 @@ def health_triage(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", classify.ata_health(one(5), one(3)).alias("ata"))
 
 
-@query(r"""SELECT page_id, CASE WHEN substr(html, 1, 3) = '<!D' THEN 'text' ELSE 'text' END AS kind, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'text/plain' END AS mime FROM pages""")
+@query(r"""SELECT page_id, 'text' AS kind, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'text/plain' END AS mime FROM pages""")
 def preview_kind(spark, sf_dir):
     name = F.concat(F.lit("p"), F.when(F.col("page_id") % 2 == 0, ".html").otherwise(""))
-    return read(spark, sf_dir, "pages").select("page_id", classify.preview_kind(name, F.encode("html", "US-ASCII")).alias("x")).select("page_id", "x.kind", "x.mime")
+    return read(spark, sf_dir, "pages").select("page_id", classify.preview_kind(name, F.col("html").cast("binary")).alias("x")).select("page_id", "x.kind", "x.mime")
 
 
 @query("""SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
@@ -422,8 +422,8 @@ def confirm_by_journal(spark, sf_dir):
     return enrich.confirm_by_journal(rows, deleted).select("doc_id", "confidence", "source")
 
 
-@query("""SELECT o.o_orderkey AS inode, CASE WHEN c.c_custkey IS NULL THEN 50 WHEN c.c_acctbal < 0 THEN 60 ELSE 95 END AS confidence,
-CASE WHEN c.c_acctbal < 0 THEN 0 ELSE 1 END AS status FROM orders o LEFT JOIN customer c ON o.o_orderkey = c.c_custkey""")
+@query("""SELECT o.o_orderkey AS inode, CASE WHEN o.o_orderkey = 0 THEN 45 WHEN c.c_custkey IS NULL THEN 50 WHEN c.c_acctbal < 0 THEN 60 ELSE 95 END AS confidence,
+CASE WHEN o.o_orderkey = 0 OR c.c_acctbal < 0 THEN 0 ELSE 1 END AS status FROM orders o LEFT JOIN customer c ON o.o_orderkey = c.c_custkey""")
 def entries_with_inodes(spark, sf_dir):
     entries = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("inode"), F.lit(1).alias("file_type"))
     inodes = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("inode"), (F.col("c_acctbal") < 0).alias("deleted"))
