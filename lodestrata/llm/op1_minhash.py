@@ -13,9 +13,10 @@ are exact, by the element regions themselves:
 1. Documents of equal word sequences are one text, with one representative.
 2. In each band's bucket, all texts are compared with the smallest one. So a group of near copies of any size becomes one
    component by as many comparisons as it has texts.
-3. In buckets that still hold texts of different components, texts of different components are compared with each other by
-   signature, in blocks of bounded size, and those that agree in at least `least_agreement` of the coordinates exactly.
-   A pair of similarity 0.8 falls under that with a probability below 1e-6. So no link between texts is lost to step 2.
+3. In buckets that still hold texts of different components, texts of different components are compared with each other
+   inside tasks, block by block: one pass over a block's regions gives a text's overlaps with all others. A block emits
+   no pairs but the links that join components, one less than its texts at most. Texts of the bucket's largest component
+   meet only the others. So no link between texts is lost to step 2, and no group makes pairs of its size squared.
 
 Components follow from the links in Spark. Result: one row per document with the smallest doc_id of its class.
 
@@ -40,7 +41,6 @@ from .words import GOLDEN, hashed, mix, split_words, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-LEAST_AGREEMENT = 0.58
 #: Words that are sketched at once.
 CHUNK_WORDS = 200_000
 #: Texts of a bucket that meet as one block.
@@ -115,12 +115,12 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return windows(hashes, min(size, len(hashes)), 11 + min(size, len(hashes)))
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
-SKETCH_DDL = "doc_id long, text_key binary, bands array<long>, signature binary"
+SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SKETCH_DDL = "doc_id long, text_key binary, bands array<long>"
 
 
 def sketches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Of each document with words: the key of its word sequence, band hashes, signature (32 bits a coordinate)."""
+    """Of each document with words: the key of its word sequence and its band hashes."""
 
     def flush(ids: list, words: list) -> pa.RecordBatch:
         keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
@@ -131,7 +131,7 @@ def sketches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows:
             band = mix(band * GOLDEN + sig[:, k::rows])
         band = mix(band + np.arange(bands, dtype=np.uint64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array([x.tobytes() for x in sig.astype(np.uint32)], pa.binary())], schema=SKETCH)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), lists], schema=SKETCH)
 
     ids, words, held = [], [], 0
     for batch in batches:
@@ -147,9 +147,10 @@ def sketches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows:
         yield flush(ids, words)
 
 
-def region_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def region_rows(batches: Iterator[pa.RecordBatch], shingle: int, kind: type) -> Iterator[pa.RecordBatch]:
+    """(id, regions): kind np.uint64 for exact comparison, np.uint32 for blocks."""
     for batch in batches:
-        rows = [regions(shingle_hashes(hashed(split_words(x)), shingle))[0].tobytes() for x in batch.column(1).to_pylist()]
+        rows = [regions(shingle_hashes(hashed(split_words(x)), shingle))[0].astype(kind).tobytes() for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "regions"])
 
 
@@ -171,54 +172,83 @@ def linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, broadcast_ids: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are similar; a < b."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def regions_of(docs: DataFrame, ids: DataFrame, shingle: int, broadcast_ids: int, kind: type) -> DataFrame:
+    """(id, regions) of the documents that ids (doc_id) names."""
+    ids = cut(ids.distinct())
     if not no_broadcast_bound(ids, broadcast_ids):
         ids = F.broadcast(ids)
-    texts = docs.join(ids, "doc_id", "left_semi")
-    found = cut(texts.select("doc_id", "text").mapInArrow(lambda it: region_rows(it, shingle), "id long, regions binary"))
+    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    return cut(texts.mapInArrow(lambda it: region_rows(it, shingle, kind), "id long, regions binary"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, broadcast_ids: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts are similar; a < b."""
+    found = regions_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), shingle, broadcast_ids, np.uint64)
     rows = pairs.join(found.select(F.col("id").alias("a"), F.col("regions").alias("ra")), "a").join(found.select(F.col("id").alias("b"), F.col("regions").alias("rb")), "b")
     return cut(rows.select("a", "b", "ra", "rb").mapInArrow(lambda it: linked(it, least), "a long, b long"))
 
 
 def across(table: pa.Table, least: float) -> pa.Table:
-    """Pairs of texts in one cell of a bucket that have different labels, from different sides, and similar signatures."""
-    ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-    side = table.column("side").to_numpy()
-    sig = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("signature")])
-    rows, cols = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    a, b = [], []
-    for k in rows:
-        other = cols[(labels[cols] != labels[k]) & ((ids[cols] > ids[k]) | (side[k] == 0))]
-        near = other[(sig[other] == sig[k]).mean(axis=1) >= least]
-        a.append(np.full(len(near), ids[k]))
-        b.append(ids[near])
-    a, b = np.concatenate(a) if a else np.empty(0, np.int64), np.concatenate(b) if b else np.empty(0, np.int64)
-    return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
-
+    """Links between texts of different labels in one cell of a bucket that join all components which the cell can join.
 
-def cross_pairs(buckets: DataFrame, labels: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs (a, b) of different components that share a bucket. buckets: band, id; signed: id, signature."""
+    Texts of side 0 meet those of side 1; side 2 stands for both.
+    """
+    ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+    parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("regions")]
+    sizes = np.array([len(x) for x in parts])
+    names, flat = np.unique(np.concatenate(parts), return_inverse=True)
+    starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(names), bool)
+    group = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+    left, right = side != 1, side != 0
+    if left.sum() > right.sum():
+        left, right = right, left
+    a, b = [], []
+    for k in np.flatnonzero(left):
+        if not (right & (group != group[k])).any():
+            continue
+        own = flat[starts[k] : starts[k] + sizes[k]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[flat], starts)
+        mark[own] = False
+        for j in np.flatnonzero((shared >= least * (sizes + sizes[k] - shared)) & right & (group != group[k])):
+            if group[j] != group[k]:
+                a.append(min(ids[k], ids[j]))
+                b.append(max(ids[k], ids[j]))
+                group[group == group[j]] = group[k]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def cross_links(docs: DataFrame, buckets: DataFrame, labels: DataFrame, shingle: int, least: float, broadcast_ids: int) -> DataFrame:
+    """Candidate links (a, b) between components that share a bucket. buckets: band, id."""
     rows = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = rows.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi")
-    parts = F.ceil(F.col("_n") / F.lit(BLOCK_TEXTS)).cast("int")
-    rows = rows.join(mixed.select("band", parts.alias("_parts")), "band").withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
-    # a part meets itself and every other part once; side 0 meets side 1, and 2 stands for both
-    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    rows = rows.select("band", F.least("_part", "_with").alias("_i"), F.greatest("_part", "_with").alias("_j"), "id", "label", F.when(F.col("_part") == F.col("_with"), 2).when(F.col("_part") < F.col("_with"), 0).otherwise(1).alias("side"))
-    rows = rows.join(signed, "id")
-    return rows.groupBy("band", "_i", "_j").applyInArrow(lambda t: across(t.select(["id", "label", "side", "signature"]), least), "a long, b long").distinct()
-
-
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, least_agreement: float = LEAST_AGREEMENT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    each = rows.groupBy("band", "label").agg(F.count("*").alias("_n"))
+    mixed = each.groupBy("band").agg(F.max_by("label", "_n").alias("_major"), F.max("_n").alias("_m"), F.sum("_n").alias("_n"), F.count("*").alias("_labels")).where("_labels > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK_TEXTS)).cast("int")
+    rows = cut(rows.join(mixed.select("band", "_major", blocks(F.col("_m")).alias("_of_major"), blocks(F.col("_n") - F.col("_m")).alias("_of_minor")), "band"))
+
+    # cells of kind 1: a block of the largest component against a block of the others; of kind 0: two blocks of the others
+    major = F.col("label") == F.col("_major")
+    own = F.pmod(F.xxhash64("id"), F.when(major, F.col("_of_major")).otherwise(F.col("_of_minor"))).cast("int")
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = rows.withColumn("_own", own)
+    with_minor = F.transform(to("_of_minor"), lambda w: cell(1, F.col("_own"), w, F.lit(0)))
+    with_major = F.transform(to("_of_major"), lambda w: cell(1, w, F.col("_own"), F.lit(1)))
+    among = F.transform(to("_of_minor"), lambda w: cell(0, F.least("_own", w), F.greatest(F.col("_own"), w), F.when(F.col("_own") == w, 2).when(F.col("_own") < w, 0).otherwise(1)))
+    cells = rows.select("band", "id", "label", F.explode(F.when(major, with_minor).otherwise(F.concat(with_major, among))).alias("x")).select("band", "id", "label", "x.*")
+    regions_by_id = regions_of(docs, rows.select(F.col("id").alias("doc_id")), shingle, broadcast_ids, np.uint32)
+    columns = ["id", "label", "side", "regions"]
+    found = cells.join(regions_by_id, "id").groupBy("band", "kind", "i", "j").applyInArrow(lambda t: across(t.select(columns), least), "a long, b long")
+    return cut(found.distinct())
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, kept."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = source.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sketched = cut(known.mapInArrow(lambda it: sketches(it, shingle, bands, rows), SKETCH_DDL))
-    texts = sketched.groupBy("text_key").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("x"))
-    texts = texts.select("text_key", F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands"), F.col("x.signature").alias("signature"))
-    texts = cut(texts)
+    texts = sketched.groupBy("text_key").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
+    texts = cut(texts.select("text_key", F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")))
 
     banded = texts.select(F.explode("bands").alias("band"), "id")
     shared = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("_last")).where("first < _last").drop("_last")
@@ -227,11 +257,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     links = verified(known, pairs, shingle, similarity, broadcast_ids)
     labels = components(links)
 
-    more = cut(cross_pairs(buckets.select("band", "id"), labels, texts.select("id", "signature"), least_agreement).join(pairs, ["a", "b"], "left_anti"))
+    more = cross_links(known, buckets.select("band", "id"), labels, shingle, similarity, broadcast_ids)
     if more.limit(1).count():
-        extra = verified(known, more, shingle, similarity, broadcast_ids)
-        if extra.limit(1).count():
-            labels = components(links.union(extra))
+        labels = components(links.union(verified(known, more, shingle, similarity, broadcast_ids)))
 
     of_text = texts.select("text_key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("text_key", F.coalesce("label", "id").alias("class_id"))
     members = sketched.select("doc_id", "text_key").distinct().join(of_text, "text_key").select("doc_id", "class_id")

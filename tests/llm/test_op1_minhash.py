@@ -31,7 +31,7 @@ def brute(rows, least=0.8):
 
     for k, (i, a) in enumerate(known):
         for j, b in known[:k]:
-            if a and b and jaccard(a, b) >= least:
+            if not a.keys().isdisjoint(b.keys()) and jaccard(a, b) >= least:
                 x, y = sorted((top(i), top(j)))
                 up[y] = x
     return {i: top(i) for i, _ in known}
@@ -42,7 +42,7 @@ def corpus():
     rng = random.Random(9)
     word = lambda: f"w{rng.randrange(3000)}"
     rows = []
-    for k in range(60):
+    for k in range(40):
         words = [word() for _ in range(rng.choice([1, 3, 6, 30, 120]))]
         rows.append((k * 100, " ".join(words)))
         for c in range(rng.randrange(4)):  # near copies at all distances, also chains
@@ -51,12 +51,12 @@ def corpus():
                 words[rng.randrange(len(words))] = word()
             rows.append((k * 100 + c + 1, "  ".join(words)))
     seed = [word() for _ in range(80)]
-    for k in range(250):  # a large group of near copies
+    for k in range(80):  # a large group of near copies
         words = list(seed)
         words[rng.randrange(80)] = word()
         rows.append((20_000 + k, " ".join(words)))
     rows += [(30_000 + k, "line of repeated words here now " * 20) for k in range(40)] + [(30_100, "line of repeated words here now " * 19)]
-    return rows + [(40_000, None), (40_001, ""), (40_002, "  "), (None, "null id one"), (None, None), (40_003, "x " * 20_000), (100, rows[1][1])]
+    return rows + [(40_000, None), (40_001, ""), (40_002, "  "), (None, "null id one"), (None, None), (40_003, "x " * 5_000), (100, rows[1][1])]
 
 
 def test_classes_equal_brute_force(docs_of, corpus):
@@ -70,7 +70,7 @@ def test_classes_equal_brute_force(docs_of, corpus):
 
 def test_blocks_and_joins_instead_of_broadcasts_change_nothing(docs_of, corpus, monkeypatch):
     monkeypatch.setattr(m, "BLOCK_TEXTS", 3)
-    got = m.near_classes(docs_of(corpus, 3), broadcast_ids=0, similarity=0.9, least_agreement=0.7).collect()
+    got = m.near_classes(docs_of(corpus, 3), broadcast_ids=0, similarity=0.9).collect()
     assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == brute(corpus, 0.9)
 
 
