@@ -6,6 +6,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,8 +221,6 @@ RECYCLE = "struct<original_path:string,file_size:bigint,deleted_unix:bigint>"
 
 def with_recycle_info(files: DataFrame) -> DataFrame:
     """files with info of those whose name starts with $I and whose bytes are resident."""
-    import pandas as pd
-
     @F.pandas_udf(RECYCLE)
     def parse(data: pd.Series) -> pd.DataFrame:
         none = {"original_path": None, "file_size": None, "deleted_unix": None}
