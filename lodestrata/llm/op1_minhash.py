@@ -42,9 +42,9 @@ from .words import GOLDEN, hashed, mix, split_words, windows
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Words that are sketched at once.
-CHUNK_WORDS = 200_000
+CHUNK_WORDS = 50_000
 #: Texts of a bucket that meet as one block.
-BLOCK_TEXTS = 2048
+BLOCK_TEXTS = 1024
 #: Ids that are broadcast to pick out the documents that need an exact comparison.
 BROADCAST_IDS = 1_000_000
 
@@ -115,6 +115,12 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return windows(hashes, min(size, len(hashes)), 11 + min(size, len(hashes)))
 
 
+def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """The rows of a batch; no more than step of them are Python objects at once."""
+    for at in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns))
+
+
 SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SKETCH_DDL = "doc_id long, text_key binary, bands array<long>"
 
@@ -135,7 +141,7 @@ def sketches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows:
 
     ids, words, held = [], [], 0
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for i, text in rows_of(batch):
             if w := split_words(text):
                 ids.append(i)
                 words.append(w)
@@ -150,7 +156,7 @@ def sketches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows:
 def region_rows(batches: Iterator[pa.RecordBatch], shingle: int, kind: type) -> Iterator[pa.RecordBatch]:
     """(id, regions): kind np.uint64 for exact comparison, np.uint32 for blocks."""
     for batch in batches:
-        rows = [regions(shingle_hashes(hashed(split_words(x)), shingle))[0].astype(kind).tobytes() for x in batch.column(1).to_pylist()]
+        rows = [regions(shingle_hashes(hashed(split_words(x)), shingle))[0].astype(kind).tobytes() for _, x in rows_of(batch)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "regions"])
 
 

@@ -8,7 +8,7 @@ import xxhash
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
