@@ -156,8 +156,10 @@ def sketches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows:
 def region_rows(batches: Iterator[pa.RecordBatch], shingle: int, kind: type) -> Iterator[pa.RecordBatch]:
     """(id, regions): kind np.uint64 for exact comparison, np.uint32 for blocks."""
     for batch in batches:
-        rows = [regions(shingle_hashes(hashed(split_words(x)), shingle))[0].astype(kind).tobytes() for _, x in rows_of(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "regions"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            rows = [regions(shingle_hashes(hashed(split_words(x)), shingle))[0].astype(kind).tobytes() for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["id", "regions"])
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
