@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of a loop, each round's written to the shared folder and read back; the round before goes.
+
+    Unlike a checkpoint, a table that is read has a size of its own, so size estimates don't multiply from round to round.
+    The last round's table stays until the folder is cleaned.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path = spark, None
+
+    def next(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/rounds-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if self.path:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def no_broadcast_bound(df: DataFrame, most_rows: int) -> bool:
     """Whether df has more than most_rows rows; it counts no further than that."""
     return df.limit(most_rows + 1).count() > most_rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Rounds, cut
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,12 +15,13 @@ def components(links: DataFrame) -> DataFrame:
     halves the chains, so the rounds grow with the logarithm of a component's diameter. Each round is cut off.
     """
     both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    rounds = Rounds(links.sparkSession)
+    labels = rounds.next(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
         up = lower.select(F.col("node").alias("label"), F.col("label").alias("_up"))
-        new = cut(lower.join(up, "label", "left").select("node", "_old", F.least("label", F.coalesce("_up", "label")).alias("label")))
+        new = rounds.next(lower.join(up, "label", "left").select("node", "_old", F.least("label", F.coalesce("_up", "label")).alias("label")))
         labels = new.select("node", "label")
         if not new.where("label <> _old").limit(1).count():
             return labels

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import Rounds, cut, read
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,10 +62,11 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tole
     hosts = cut(hosts.join(F.broadcast(total), "kind").select("kind", "host", F.when(F.col("_all") > 0, F.col("seed") / F.col("_all")).otherwise(0.0).alias("seed")))
     ranks = hosts.select("kind", "host", F.col("seed").alias("score"))
     if links.limit(1).count():
+        rounds = Rounds(seeds.sparkSession)
         for _ in range(most_rounds):
             flow = ranks.withColumnRenamed("host", "src").join(links, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("_in"))
             new = hosts.join(flow, ["kind", "host"], "left").select("kind", "host", ((1 - damping) * F.col("seed") + damping * F.coalesce("_in", F.lit(0.0))).alias("score"))
-            new = cut(new.join(ranks.withColumnRenamed("score", "_old"), ["kind", "host"]))
+            new = rounds.next(new.join(ranks.withColumnRenamed("score", "_old"), ["kind", "host"]))
             change = new.agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("_old"))), F.lit(0.0))).first()[0]
             ranks = new.drop("_old")
             if change < tolerance:

