@@ -7,8 +7,10 @@ of c (`reach` words to either side) that hold t, n_c the distinct contexts of c
     IC(c) = -log2(n_c / M)    PMI(c, t) = IC(c) + log2(n_ct / n_t)    disclosure(c, t) = PMI(c, t) / IC(c)
 
 A disclosure of 1 means that the term gives the entity away completely. Terms from `remove_from` on are removed, terms from
-`generalise_from` on are replaced by a placeholder, wherever they occur. Contexts count once however often they are copied,
-and an entity or a pair needs `least_contexts` of them, so copies of one document are no evidence.
+`generalise_from` on are replaced by a placeholder, wherever they occur.
+
+Copies are no evidence. Equal contexts count once. Contexts of near copies differ by a word or two, so n_c and n_ct are also
+scaled down to the number of contexts that the entity's distinct terms can fill; an entity needs `least_contexts` of these.
 
 Statistics cover all documents. Entities and pairs are counted with map-side partial sums; what reaches a worker whole is
 the set of candidate terms and the set of disclosing terms, up to `broadcast_terms` each. Beyond that the terms of
@@ -46,7 +48,7 @@ NO_DIGIT = re.compile(r"[^0-9]")
 TERM = re.compile(r"[^\W_]{3,}")
 
 REACH, LEAST_CONTEXTS = 8, 4
-GENERALISE_FROM, REMOVE_FROM = 0.9, 0.97
+GENERALISE_FROM, REMOVE_FROM = 0.9, 0.95
 BROADCAST_TERMS = 100_000
 
 Span = tuple[str, int, int]
@@ -135,9 +137,14 @@ def disclosing_terms(docs: DataFrame, reach: int = REACH, least_contexts: int =
     """term and action (generalise or remove) of the terms that reveal an entity; None if no entity has enough contexts."""
     texts = docs.select("text")
     seen = texts.where(F.col("text").rlike("[0-9@]")).mapInArrow(lambda it: mentions(it, reach), "entity string, context long, terms array<string>")
-    entities = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= least_contexts)
-    pairs = seen.join(entities, "entity").select("entity", "n_c", "context", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "n_c", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= least_contexts)
+    entities = seen.select("entity", "context", F.size("terms").alias("_size")).distinct().groupBy("entity").agg(F.count("*").alias("_contexts"), F.avg("_size").alias("_size"))
+    entities = entities.where((F.col("_contexts") >= least_contexts) & (F.col("_size") > 0))
+    pairs = cut(seen.join(entities, "entity").select("entity", "_contexts", "_size", "context", F.explode("terms").alias("term")).distinct().groupBy("entity", "_contexts", "_size", "term").agg(F.count("*").alias("n_ct")))
+    # the contexts that the distinct terms of an entity can fill
+    filled = pairs.groupBy("entity").agg(F.count("*").alias("_terms"))
+    pairs = pairs.join(filled, "entity").withColumn("n_c", F.least(F.col("_contexts").cast("double"), F.col("_terms") / F.col("_size")))
+    pairs = pairs.where((F.col("n_c") >= least_contexts) & (F.col("n_ct") >= least_contexts))
+    pairs = pairs.select("entity", "term", "n_c", (F.col("n_ct") * F.col("n_c") / F.col("_contexts")).alias("n_ct"))
     pairs = cut(pairs)
     candidates = pairs.select("term").distinct()
     wanted = None

@@ -52,8 +52,8 @@ def test_base_spans_on_any_text(text):
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(8)
-    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(5))
-    vocabulary = [word() for _ in range(300)]
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(6))
+    vocabulary = [word() for _ in range(4000)]
     rows = []
     for k in range(200):
         words = [rng.choice(vocabulary) for _ in range(60)]
@@ -63,6 +63,11 @@ def corpus():
             words.insert(5, f"u{k}@x.example.org")
         rows.append((k, " ".join(words)))
     rows += [(500 + k, rows[1][1].replace(rows[1][1].split()[3], "copy@ed.example.com " + "qqrare")) for k in range(50)]  # copies are no evidence
+    near = rows[2][1].split()
+    for k in range(60):  # near copies neither: each context has another edit
+        words = [*near[:30], "qqneighbour", "near@ed.example.com", *near[30:]]
+        words[24 + k % 15 if k % 15 not in (6, 7) else 20] = f"edit{k}"
+        rows.append((700 + k, " ".join(words)))
     return [*rows, (900, None), (901, ""), (None, "null a@b.cd"), (902, "plain ZZKovacs here"), (902, "plain ZZKovacs here")]
 
 
