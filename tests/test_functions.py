@@ -91,3 +91,11 @@ def test_raid6_layout_is_a_permutation(spark):
     assert raid.capacity(5, 4, 10) == 30 and raid.capacity(6, 5, 10) == 30 and raid.capacity(10, 4, 10) == 20
     with pytest.raises(ValueError):
         raid.check(10, 5)
+
+
+def test_sql_functions(spark):
+    from lodestrata.functions.binary import register
+
+    register(spark)
+    got = spark.sql("SELECT byte_entropy(X'61626162') AS e, crc32c(CAST('123456789' AS BINARY)) AS c, score_pdf(CAST('%PDF-1.4 1 0 obj %%EOF' AS BINARY)) AS s, utf16_text(X'41004200') AS u").first()
+    assert tuple(got) == (1.0, 0xE3069283, 90, "AB")
