@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 256
 #: Buckets whose prefix sums one task computes.
 SUPER = 4096
+#: Rows of an Arrow batch; of texts of a few KB, a few MB.
+BATCH_ROWS = 1000
 #: White space of the corpus contracts: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -22,6 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session hands no more than BATCH_ROWS rows to Python at once from now on, as rows hold whole texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Only a session without that setting (tests, one machine) gets a folder of its own."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestrata-{os.getpid()}"

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 from .words import constants, hashed, members, mix, split_words, windows
 
 #: Bytes of text in a group and fingerprints in a bucket, on average.
@@ -245,7 +245,7 @@ def deduplicate(docs: DataFrame, window: int = 20, block: int = 10, output=diges
     """One row per document; output chooses digests (doc_id, n_words, n_removed, kept_sha256) or texts (text instead)."""
     if window < 2 * block - 1:
         raise ValueError("a window has to hold a whole block")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(least, math.ceil(size / GROUP_BYTES))

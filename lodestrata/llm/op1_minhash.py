@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, no_broadcast_bound, read
+from .common import cut, no_broadcast_bound, read, small_batches
 from .components import components
 from .words import GOLDEN, hashed, mix, split_words, windows
 
@@ -252,7 +252,7 @@ def cross_links(docs: DataFrame, buckets: DataFrame, labels: DataFrame, shingle:
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, kept."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = source.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sketched = cut(known.mapInArrow(lambda it: sketches(it, shingle, bands, rows), SKETCH_DDL))
     texts = sketched.groupBy("text_key").agg(F.min(F.struct("doc_id", "bands")).alias("x"))

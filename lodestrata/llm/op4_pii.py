@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, no_broadcast_bound, read
+from .common import cut, no_broadcast_bound, read, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
 PLACE = {kind: k for k, kind in enumerate(KINDS)}
@@ -135,7 +135,7 @@ def term_counts(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None
 
 def disclosing_terms(docs: DataFrame, reach: int = REACH, least_contexts: int = LEAST_CONTEXTS, generalise_from: float = GENERALISE_FROM, remove_from: float = REMOVE_FROM, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame | None:
     """term and action (generalise or remove) of the terms that reveal an entity; None if no entity has enough contexts."""
-    texts = docs.select("text")
+    texts = small_batches(docs).select("text")
     seen = texts.where(F.col("text").rlike("[0-9@]")).mapInArrow(lambda it: mentions(it, reach), "entity string, context long, terms array<string>")
     entities = seen.select("entity", "context", F.size("terms").alias("_size")).distinct().groupBy("entity").agg(F.count("*").alias("_contexts"), F.avg("_size").alias("_size"))
     entities = entities.where((F.col("_contexts") >= least_contexts) & (F.col("_size") > 0))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -171,13 +171,13 @@ def decoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit), round_trip (decoding gives the text again), ids."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(lambda it: encoded(it, path), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text of (doc_id, ids)."""
-    return rows.select("doc_id", "ids").mapInArrow(lambda it: decoded(it, path), "doc_id long, text string")
+    return small_batches(rows).select("doc_id", "ids").mapInArrow(lambda it: decoded(it, path), "doc_id long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, unit31
+from .common import read, small_batches, unit31
 
 MAX_LANGUAGES = 2000
 UNDETERMINED = "und"
@@ -118,7 +118,7 @@ def held_out(doc_id) -> "F.Column":
 
 
 def learn(docs: DataFrame, profile: int = 400, sample_per_language: int = 1500) -> Profiles:
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    labelled = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} label values")
@@ -145,7 +145,7 @@ def identified(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterato
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(lambda it: identified(it, profiles), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -158,7 +158,7 @@ def kept(batches: Iterator[pa.RecordBatch], profiles: Profiles, text_at: int, le
 def drop_unidentified(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
     """docs without the rows whose text has no language or whose best score is under least."""
     at = docs.columns.index("text")
-    return docs.mapInArrow(lambda it: kept(it, profiles, at, least), docs.schema)
+    return small_batches(docs).mapInArrow(lambda it: kept(it, profiles, at, least), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, cut, read, unit31, with_offsets
+from .common import BUCKET_ROWS, cut, read, small_batches, unit31, with_offsets
 
 VOCABULARY = "byte_bpe_50k"
 #: Chunks that a worker remembers, and the longest that it remembers.
@@ -236,7 +236,7 @@ def assigned(batches: Iterator[pa.RecordBatch], plan: tuple[np.ndarray, ...]) ->
 
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. vocabulary: path without suffix."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = cut(source.mapInArrow(lambda it: pieces_of(it, capacity, vocabulary), "doc_id long, piece int, start long, length int, ids_crc32 long"))
     histogram = dict(pieces.groupBy("length").count().collect())  # capacity rows at most
     plan = Plan(histogram, capacity).arrays()

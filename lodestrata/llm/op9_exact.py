@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, read
+from .common import BLANKS, read, small_batches
 
 #: Bytes of text that a task's trie may hold before the shuffle.
-TRIE_BYTES = 24 << 20
+TRIE_BYTES = 16 << 20
 #: Bytes of text in one Arrow batch on the way out.
 BATCH_BYTES = 4 << 20
 LAST = (1 << 63) - 1
@@ -216,7 +216,7 @@ def _identity(docs: DataFrame, *more) -> DataFrame:
 
 def owners(docs: DataFrame) -> DataFrame:
     """digest, size, keep_id, group_size and same (rows that repeat the owner) for each distinct text."""
-    keys = _identity(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"))
+    keys = _identity(small_batches(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"))
     partial = keys.select("_bytes", "_digest", F.char_length("_text").cast("long").alias("_points"), "_id").mapInArrow(local_owners, PARTIAL_DDL)
     return partial.repartition("size", "digest").sortWithinPartitions("bytes").mapInArrow(final_owners, OWNER_DDL)
 
