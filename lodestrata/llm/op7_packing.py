@@ -29,6 +29,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from .common import BUCKET_ROWS, cut, read, small_batches, unit31, with_offsets
 
 VOCABULARY = "byte_bpe_50k"
 #: Chunks that a worker remembers, and the longest that it remembers.
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 40
+CACHE_CHUNKS, CACHE_CHARS = 150_000, 40
 SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
 #: Up to here both libraries classify characters alike in every version.
 LATIN_END = "ɐ"
@@ -57,15 +58,21 @@ class Encoder(dict):
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        stem = vocabulary or public_tokenizers.path(f"{VOCABULARY}.json").removesuffix(".json")
-        self.full = Tokenizer.from_file(f"{stem}.json")
-        self.full.encode_special_tokens = True
-        with open(f"{stem}.tiktoken", "rb") as lines:
+        self.stem = vocabulary or public_tokenizers.path(f"{VOCABULARY}.json").removesuffix(".json")
+        with open(f"{self.stem}.tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def full(self):
+        """The tokenizer itself; loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(f"{self.stem}.json")
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     def direct(self, text: str) -> bytes:
         if text.isascii() or max(text) < LATIN_END:
             ids = self.quick.encode_ordinary(text)
