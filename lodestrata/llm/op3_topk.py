@@ -166,10 +166,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     queries = cut(queries.join(cutoffs, "id", "left"))
 
     sent = nodes.groupBy(*cell).cogroup(against(queries, "cutoff").groupBy(*cell)).applyInArrow(lambda x, q: collected(x, q, slices, part), NODE)
-    sums = sent.groupBy("q", "x").agg(F.sum("part").alias("total"), F.count("*").alias("_n")).join(queries.select(F.col("id").alias("q"), "cutoff"), "q")
-    sums = cut(sums.where(F.col("cutoff").isNull() | (F.col("total") + (slices - F.col("_n")) * F.col("cutoff") / slices >= F.col("cutoff"))))
-    whole = sums.where(F.col("_n") == slices).select("q", "x", "total")
-    rest = exact(sums.where(F.col("_n") < slices).select("q", "x"), entries, queries, width)
+    # a sum that leaves the range of a long, or holds a part that does, is resolved like an unknown one
+    part_out = F.max(F.abs("part")) == LONG
+    sums = sent.groupBy("q", "x").agg(F.try_sum("part").alias("total"), F.count("*").alias("_n"), part_out.alias("_out")).join(queries.select(F.col("id").alias("q"), "cutoff"), "q")
+    open_ = F.col("total").isNull() | F.col("_out")
+    reaches = F.col("total").cast("double") + (slices - F.col("_n")) * F.col("cutoff").cast("double") / slices >= F.col("cutoff").cast("double") * F.when(F.col("cutoff") > 0, 1 - 1e-12).otherwise(1 + 1e-12)
+    sums = cut(sums.where(F.col("cutoff").isNull() | open_ | reaches).withColumn("_known", (F.col("_n") == slices) & ~open_))
+    whole = sums.where("_known").select("q", "x", "total")
+    rest = exact(sums.where("not _known").select("q", "x"), entries, queries, width)
     best = best_of(whole.unionByName(rest), k + 1)
 
     best = best.join(entries.select(F.col("id").alias("x"), "ids"), "x")

@@ -13,6 +13,7 @@ SCHEMA = StructType([StructField("vec_id", LongType()), StructField("embedding",
 
 
 def brute(rows, k=5, every=50):
+    most = 2**63 - 1
     good = {}
     for i, v, _ in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
@@ -22,7 +23,7 @@ def brute(rows, k=5, every=50):
     out = []
     for q, a in flat:
         if q % every == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in flat if i != q)
+            scores = sorted((-max(-most, min(most, sum(x * y for x, y in zip(a, b)))), i) for i, b in flat if i != q)
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
