@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import validators
-from ..functions.binary import entropy
+from ..functions.binary import entropy, exif_time
+from ..functions.times import exif_to_unix
 from ..sources.volumes import CHUNK, SECTOR, file_bytes
 
 # Distances (bytes) under which a header opens no carve: of the same signature, and of any.
@@ -180,7 +181,7 @@ def trifragment_gap(data: bytes, check: Callable[[bytes], int], step: int = SECT
     return None
 
 
-SCORED = "volume_id string, id long, name string, extension string, size_bytes long, start_sector long, end_sector long, confidence int, category string, source string, gap_start long, gap_length long"
+SCORED = "volume_id string, id long, name string, extension string, size_bytes long, start_sector long, end_sector long, confidence int, category string, source string, gap_start long, gap_length long, modified_text string"
 
 
 def scored(found: DataFrame, chunks: DataFrame, signatures=SIGNATURES, chunk: int = CHUNK, sector: int = SECTOR, gap_limit: int = 64 * 1024) -> DataFrame:
@@ -217,12 +218,14 @@ def scored(found: DataFrame, chunks: DataFrame, signatures=SIGNATURES, chunk: in
                         continue
                     ext = "bin" if score < 70 else ext
                 category = s.category if s.category not in ("", "Unknown", "Other") else "Encrypted" if entropy(body[:4096]) >= 7.6 else s.category
-                out.append((v, i, f"carved_{start}.{ext}", ext, size, start // sector, (start + size - 1) // sector, conf, category, "carver_bgc" if gap else "carver", *(gap or (None, None))))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+                out.append((v, i, f"carved_{start}.{ext}", ext, size, start // sector, (start + size - 1) // sector, conf, category, "carver_bgc" if gap else "carver", *(gap or (None, None)), exif_time(body[: 1 << 16]) if ext == "jpg" else ""))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             names = [x.split()[0] for x in SCORED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=names)
 
-    return rows.mapInArrow(run, SCORED)
+    out = rows.mapInArrow(run, SCORED)
+    # a carved file's only time is the one that its own metadata holds
+    return out.withColumn("modified_at", exif_to_unix("modified_text")).drop("modified_text")
 
 
 def first_per_start(found: DataFrame) -> DataFrame:

@@ -129,3 +129,51 @@ def html_report(summary: DataFrame, case: dict[str, str]) -> tuple[str, str]:
 def listed(files: DataFrame) -> DataFrame:
     """files as lists show them."""
     return files.withColumns({"shown_at": format_time("modified_at", "source"), "is_carved": is_carved("source")})
+
+
+def write_image(chunks: DataFrame, path: str, size: int, chunk: int = CHUNK, container: str = "raw", allowed: tuple[str, ...] = ()) -> tuple[str, int]:
+    """Writes one volume as a raw image or one container segment; (MD5, chunks that were missing and are zeros).
+
+    An image has one order and one digest, so it streams through one writer, chunk by chunk. allowed: folders that may be
+    written to, if there is such a list.
+    """
+    import hashlib
+
+    from ..sources.evidence import SECTORS, write_ewf
+
+    if allowed and not any(os.path.realpath(path).startswith(os.path.realpath(a) + os.sep) for a in allowed):
+        raise ValueError("the destination is not on the list")
+    missing = 0
+
+    def stream() -> Iterator[bytes]:
+        nonlocal missing
+        at = 0
+        for row in chunks.select("chunk_no", "data").orderBy("chunk_no").toLocalIterator(prefetchPartitions=True):
+            while at < row["chunk_no"]:
+                missing, at = missing + 1, at + 1
+                yield bytes(min(chunk, size - (at - 1) * chunk))
+            data = bytes(row["data"] or b"")[: size - at * chunk]
+            yield data.ljust(min(chunk, size - at * chunk), b"\0")
+            at += 1
+        while at * chunk < size:
+            missing, at = missing + 1, at + 1
+            yield bytes(min(chunk, size - (at - 1) * chunk))
+
+    if container == "ewf":
+        def cut() -> Iterator[bytes]:
+            unit, held = SECTORS * SECTOR, b""
+            for data in stream():
+                held += data
+                while len(held) >= unit:
+                    yield held[:unit]
+                    held = held[unit:]
+            if held:
+                yield held
+
+        return write_ewf(path, cut(), size)[0], missing
+    digest = hashlib.md5()
+    with open(path, "wb") as f:
+        for data in stream():
+            f.write(data)
+            digest.update(data)
+    return digest.hexdigest(), missing

@@ -296,3 +296,16 @@ def test_csv_and_report(spark, tmp_path, files):
     assert (tmp_path / "x.csv").read_bytes().startswith(b"\xef\xbb\xbfid;name") and b"\r\n1;photo.jpg;" in (tmp_path / "x.csv").read_bytes()
     html, digest = recover.html_report(files.agg(F.count("*").alias("n")), {"case": "<x>"})
     assert "&lt;x&gt;" in html and digest in html
+
+
+def test_images(spark, tmp_path):
+    data = random.Random(7).randbytes(10_000)
+    chunks = volumes.from_bytes(spark, {"v": data}, 1024)
+    digest, missing = recover.write_image(chunks, str(tmp_path / "a.dd"), len(data), 1024)
+    assert (digest, missing) == (hashlib.md5(data).hexdigest(), 0) and (tmp_path / "a.dd").read_bytes() == data
+    _, missing = recover.write_image(chunks.where("chunk_no not in (2, 9)"), str(tmp_path / "b.dd"), len(data), 1024)
+    assert missing == 2 and (tmp_path / "b.dd").read_bytes() == data[:2048] + bytes(1024) + data[3072:9216] + bytes(784)
+    recover.write_image(chunks, str(tmp_path / "c.E01"), len(data), 1024, "ewf")
+    assert b"".join(evidence.ewf_chunks(str(tmp_path / "c.E01"))) == data
+    with pytest.raises(ValueError):
+        recover.write_image(chunks, str(tmp_path / "d.dd"), len(data), 1024, allowed=("/nowhere",))
