@@ -9,8 +9,9 @@ of c (`reach` words to either side) that hold t, n_c the distinct contexts of c
 A disclosure of 1 means that the term gives the entity away completely. Terms from `remove_from` on are removed, terms from
 `generalise_from` on are replaced by a placeholder, wherever they occur.
 
-Copies are no evidence. Equal contexts count once. Contexts of near copies differ by a word or two, so n_c and n_ct are also
-scaled down to the number of contexts that the entity's distinct terms can fill; an entity needs `least_contexts` of these.
+Copies are no evidence. Equal contexts count once, and so do contexts of an entity that share `COPY_FROM` of their terms,
+directly or by way of others: n_c and n_ct count groups of such contexts. They are linked within buckets of equal minimum
+hashes, each to the bucket's first context. An entity needs `least_contexts` groups, and a term as many that hold it.
 
 Statistics cover all documents. Entities and pairs are counted with map-side partial sums; what reaches a worker whole is
 the set of candidate terms and the set of disclosing terms, up to `broadcast_terms` each. Beyond that the terms of
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, no_broadcast_bound, read, small_batches
+from .components import components
 
 KINDS = ("email", "ip", "card", "phone", "term")
 PLACE = {kind: k for k, kind in enumerate(KINDS)}
@@ -50,6 +52,8 @@ TERM = re.compile(r"[^\W_]{3,}")
 REACH, LEAST_CONTEXTS = 8, 4
 GENERALISE_FROM, REMOVE_FROM = 0.9, 0.95
 BROADCAST_TERMS = 100_000
+#: Jaccard similarity from which two contexts are copies, and the minimum hashes by which they are found.
+COPY_FROM, HASHES = 0.5, 16
 
 Span = tuple[str, int, int]
 
@@ -133,19 +137,33 @@ def term_counts(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None
     yield flush()
 
 
+def grouped(seen: DataFrame) -> DataFrame:
+    """seen (key, context, terms; distinct) with the group of copies that a context belongs to."""
+    seen = cut(seen.withColumn("_node", F.xxhash64("key", "context")))
+    least = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.array_min(F.transform("terms", lambda t, k=k: F.xxhash64(t, F.lit(k)))).alias("least")) for k in range(HASHES))))
+    rows = seen.where(F.size("terms") > 0).select("key", "_node", "terms", least.alias("_x")).select("key", "_node", "terms", "_x.k", "_x.least")
+    first = rows.groupBy("key", "k", "least").agg(F.min(F.struct("_node", "terms")).alias("_first"))
+    shared = F.size(F.array_intersect("terms", "_first.terms"))
+    links = rows.join(first, ["key", "k", "least"]).where("_node <> _first._node").where(shared >= COPY_FROM * (F.size("terms") + F.size("_first.terms") - shared))
+    links = cut(links.select(F.col("_node").alias("a"), F.col("_first._node").alias("b")).distinct())
+    if not links.limit(1).count():
+        return seen.withColumnRenamed("_node", "group")
+    labels = components(links).select(F.col("node").alias("_node"), "label")
+    return seen.join(labels, "_node", "left").withColumn("group", F.coalesce("label", "_node")).drop("_node", "label")
+
+
 def disclosing_terms(docs: DataFrame, reach: int = REACH, least_contexts: int = LEAST_CONTEXTS, generalise_from: float = GENERALISE_FROM, remove_from: float = REMOVE_FROM, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame | None:
     """term and action (generalise or remove) of the terms that reveal an entity; None if no entity has enough contexts."""
     texts = small_batches(docs).select("text")
     seen = texts.where(F.col("text").rlike("[0-9@]")).mapInArrow(lambda it: mentions(it, reach), "entity string, context long, terms array<string>")
-    entities = seen.select("entity", "context", F.size("terms").alias("_size")).distinct().groupBy("entity").agg(F.count("*").alias("_contexts"), F.avg("_size").alias("_size"))
-    entities = entities.where((F.col("_contexts") >= least_contexts) & (F.col("_size") > 0))
-    pairs = cut(seen.join(entities, "entity").select("entity", "_contexts", "_size", "context", F.explode("terms").alias("term")).distinct().groupBy("entity", "_contexts", "_size", "term").agg(F.count("*").alias("n_ct")))
-    # the contexts that the distinct terms of an entity can fill
-    filled = pairs.groupBy("entity").agg(F.count("*").alias("_terms"))
-    pairs = pairs.join(filled, "entity").withColumn("n_c", F.least(F.col("_contexts").cast("double"), F.col("_terms") / F.col("_size")))
-    pairs = pairs.where((F.col("n_c") >= least_contexts) & (F.col("n_ct") >= least_contexts))
-    pairs = pairs.select("entity", "term", "n_c", (F.col("n_ct") * F.col("n_c") / F.col("_contexts")).alias("n_ct"))
-    pairs = cut(pairs)
+    seen = cut(seen.groupBy("entity", "context").agg(F.first("terms").alias("terms")))
+    entities = seen.groupBy("entity").agg(F.count("*").alias("_contexts")).where(F.col("_contexts") >= least_contexts)
+    if not entities.limit(1).count():
+        return None
+    contexts = cut(grouped(seen.join(entities, "entity").select(F.col("entity").alias("key"), "context", "terms")).withColumnRenamed("key", "entity"))
+    entities = contexts.groupBy("entity").agg(F.count_distinct("group").alias("n_c")).where(F.col("n_c") >= least_contexts)
+    pairs = contexts.select("entity", "group", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    pairs = cut(pairs.where(F.col("n_ct") >= least_contexts).join(entities, "entity"))
     candidates = pairs.select("term").distinct()
     wanted = None
     if not no_broadcast_bound(candidates, broadcast_terms):

@@ -107,3 +107,14 @@ def test_sanitised_texts(docs_of, corpus):
 
 def test_empty_table(docs_of):
     assert m.find(docs_of([])).count() == 0 and m.sanitise(docs_of([])).count() == 0
+
+
+def test_the_least_number_of_contexts_is_enough(docs_of):
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("bcdfgaeiou") for _ in range(7)) for _ in range(n)]
+    rows = [(k, " ".join([*words(20), "zzkovacs", "four@ed.example.com", *words(20)])) for k in range(m.LEAST_CONTEXTS)]
+    rows += [(10 + k, " ".join([*words(20), "qqthree", "three@ed.example.com", *words(20)])) for k in range(m.LEAST_CONTEXTS - 1)]
+    near = rows[-1][1].split()
+    rows += [(20 + k, " ".join([*near[:16], f"edit{k}", *near[17:]])) for k in range(30)]  # near copies add no context
+    rows += [(100 + k, " ".join(words(60))) for k in range(50)]
+    assert dict(m.disclosing_terms(docs_of(rows)).collect()) == {"zzkovacs": "remove"}
