@@ -1,7 +1,7 @@
 r"""Information-theoretic sanitisation of personal data.
 
 Base spans are found by form: email, ip, card (Luhn), phone. Each value found is a protected entity. The corpus then says
-how strongly other terms reveal an entity c: with n_t the occurrences of a term in the corpus, n_ct the distinct contexts
+how strongly other terms reveal an entity c: with n_t the distinct sightings of a term in the corpus, n_ct the distinct contexts
 of c (`reach` words to either side) that hold t, n_c the distinct contexts of c and M the words of the corpus,
 
     IC(c) = -log2(n_c / M)    PMI(c, t) = IC(c) + log2(n_ct / n_t)    disclosure(c, t) = PMI(c, t) / IC(c)
@@ -12,6 +12,9 @@ A disclosure of 1 means that the term gives the entity away completely. Terms fr
 Copies are no evidence. Equal contexts count once, and so do contexts of an entity that share `COPY_FROM` of their terms,
 directly or by way of others: n_c and n_ct count groups of such contexts. They are linked within buckets of equal minimum
 hashes, each to the bucket's first context. An entity needs `least_contexts` groups, and a term as many that hold it.
+n_t is n_ct plus the sightings of t that are not in a context of c. Sightings (`reach` terms to either side) are grouped the
+same way, so a term that stands beside c only has a disclosure of 1, however often it is copied. A term with more sightings
+away from all entities than any disclosure of `generalise_from` allows is given up by the task that finds them.
 
 Statistics cover all documents. Entities and pairs are counted with map-side partial sums; what reaches a worker whole is
 the set of candidate terms and the set of disclosing terms, up to `broadcast_terms` each. Beyond that the terms of
@@ -24,6 +27,7 @@ rows that repeat give repeated rows; an empty table gives no rows; columns other
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections import Counter
@@ -48,6 +52,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NO_DIGIT = re.compile(r"[^0-9]")
 TERM = re.compile(r"[^\W_]{3,}")
+WORD = re.compile(r"\S+")
 
 REACH, LEAST_CONTEXTS = 8, 4
 GENERALISE_FROM, REMOVE_FROM = 0.9, 0.95
@@ -96,12 +101,13 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{NO_DIGIT.sub('', value)}"
 
 
-def context(text: str, spans: list[Span], start: int, end: int, reach: int) -> list[str]:
-    """The terms within reach words of a span, in order, without those of base spans."""
-    near = lambda words, part: [w.lower() for w in TERM.findall(" ".join(words[part]))]
-    before = "".join(" " if any(s <= k < e for _, s, e in spans) else text[k] for k in range(max(0, start - 16 * reach), start)) if spans else ""
-    after = "".join(" " if any(s <= k < e for _, s, e in spans) else text[k] for k in range(end, min(len(text), end + 16 * reach)))
-    return near(before.split(), slice(-reach, None)) + near(after.split(), slice(0, reach))
+def around(text: str, spans: list[Span], start: int, end: int, reach: int) -> list[tuple[int, str]]:
+    """(position, term) within reach words of a span, in order, without those of base spans."""
+    blank = lambda low, high: "".join(" " if any(s <= k < e for _, s, e in spans) else text[k] for k in range(low, high))
+    low = max(0, start - 16 * reach)
+    words = [(low + m.start(), m[0]) for m in WORD.finditer(blank(low, start))][-reach:] if reach else []
+    words += [(end + m.start(), m[0]) for m in WORD.finditer(blank(end, min(len(text), end + 16 * reach)))][:reach]
+    return [(at + m.start(), m[0].lower()) for at, word in words for m in TERM.finditer(word)]
 
 
 MENTIONS = pa.schema([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))])
@@ -114,33 +120,103 @@ def mentions(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.Recor
         for text in batch.column(0).to_pylist():
             spans = base_spans(text or "")
             for k, (kind, s, e) in enumerate(spans):
-                terms = context(text, spans[max(0, k - 8) : k + 9], s, e, reach)
+                terms = [x for _, x in around(text, spans[max(0, k - 8) : k + 9], s, e, reach)]
                 found[entity(kind, text[s:e]), xxhash.xxh3_64_intdigest(" ".join(terms)) - 2**63] = sorted(set(terms))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array(list(found.values()), pa.list_(pa.string()))], schema=MENTIONS)
 
 
-def term_counts(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    """(term, n) of a task, for the wanted terms or all, and the number of all terms under the empty term."""
-    held: Counter = Counter()
+def similar(a: frozenset[str], b: frozenset[str]) -> bool:
+    shared = len(a & b)
+    return shared >= COPY_FROM * (len(a) + len(b) - shared)
+
+
+SIGHTINGS = pa.schema([("term", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string())), ("near", pa.list_(pa.string())), ("n", pa.int64())])
+
+
+class Sightings:
+    """The sightings of one term in a task, copies once; full if more than `most` of them are away from all entities."""
+
+    __slots__ = ("buckets", "found", "away")
+
+    def __init__(self) -> None:
+        self.buckets, self.found, self.away = {}, [], 0
+
+    def add(self, terms: frozenset[str], near: set[str], most: float) -> bool:
+        """Whether the term is full now."""
+        least = [(k, min(row)) for k, row in enumerate(zip(*map(hashes, terms)))]
+        known = next((x for x in map(self.buckets.get, least) if x and similar(x[0], terms)), None)
+        if known is None:
+            self.found.append(known := (terms, set(near)))
+            self.away += not near
+        elif near:
+            self.away -= not known[1]
+            known[1].update(near)
+        for x in least:
+            self.buckets.setdefault(x, known)
+        return self.away > most
+
+
+@functools.lru_cache(50_000)
+def hashes(term: str) -> tuple[int, ...]:
+    return tuple(xxhash.xxh3_64_intdigest(term, k) for k in range(HASHES))
+
+
+def sightings(batches: Iterator[pa.RecordBatch], most: dict[str, float] | float, reach: int) -> Iterator[pa.RecordBatch]:
+    """(term, hash of a sighting, its terms, the entities near it) for the terms of most, or all with one bound; n of the empty term counts all words.
+
+    A term that is full has one row without terms.
+    """
+    held: dict[str, Sightings | bool | None] = {}  # None if full, False if that has been told
+    words = size = 0
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+        rows = [("", None, None, None, words)]
+        for term, x in held.items():
+            rows += [(term, None, None, None, None)] if x is None else [] if x is False else [(term, xxhash.xxh3_64_intdigest(" ".join(sorted(terms))) - 2**63, sorted(terms), sorted(near), None) for terms, near in x.found]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), SIGHTINGS)], schema=SIGHTINGS)
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            terms = [x.lower() for x in TERM.findall(text or "")]
-            held[""] += len(terms)
-            held.update(terms if wanted is None else [x for x in terms if x in wanted])
-        if len(held) > 200_000:
+            if not text:
+                continue
+            terms = TERM.findall(text.lower() if text.isascii() else text)
+            words += len(terms)
+            if isinstance(most, dict) and not any(x.lower() in most and held.get(x.lower(), True) for x in terms):
+                continue
+            spans, by_place = base_spans(text), {}
+            for k, (kind, s, e) in enumerate(spans):
+                for at, _ in around(text, spans[max(0, k - 8) : k + 9], s, e, reach):
+                    by_place.setdefault(at, set()).add(entity(kind, text[s:e]))
+            out = text
+            for _, s, e in spans:
+                out = out[:s] + " " * (e - s) + out[e:]
+            found = [(m.start(), m[0].lower()) for m in TERM.finditer(out)]
+            for i, (at, term) in enumerate(found):
+                bound = most.get(term) if isinstance(most, dict) else most
+                if bound is None:
+                    continue
+                x = held[term] if term in held else held.setdefault(term, Sightings())
+                if not x:
+                    continue
+                before = len(x.found)
+                window = frozenset(t for _, t in found[max(0, i - reach) : i + reach + 1] if t != term) or frozenset([term])
+                full = x.add(window, by_place.get(at, set()), bound)
+                size += len(x.found) - before
+                if full:
+                    size -= len(x.found)
+                    held[term] = None
+        if size > 20_000:
             yield flush()
-            held = Counter()
+            # terms that are full stay so
+            held, words, size = {k: False for k, x in held.items() if not x} if isinstance(most, dict) else {}, 0, 0
     yield flush()
 
 
 def grouped(seen: DataFrame) -> DataFrame:
     """seen (key, context, terms; distinct) with the group of copies that a context belongs to."""
     seen = cut(seen.withColumn("_node", F.xxhash64("key", "context")))
-    least = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.array_min(F.transform("terms", lambda t, k=k: F.xxhash64(t, F.lit(k)))).alias("least")) for k in range(HASHES))))
+    least_of = lambda k: F.array_min(F.transform("terms", lambda t: F.xxhash64(t, F.lit(k))))
+    least = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), least_of(k).alias("least")) for k in range(HASHES))))
     rows = seen.where(F.size("terms") > 0).select("key", "_node", "terms", least.alias("_x")).select("key", "_node", "terms", "_x.k", "_x.least")
     first = rows.groupBy("key", "k", "least").agg(F.min(F.struct("_node", "terms")).alias("_first"))
     shared = F.size(F.array_intersect("terms", "_first.terms"))
@@ -164,17 +240,30 @@ def disclosing_terms(docs: DataFrame, reach: int = REACH, least_contexts: int =
     entities = contexts.groupBy("entity").agg(F.count_distinct("group").alias("n_c")).where(F.col("n_c") >= least_contexts)
     pairs = contexts.select("entity", "group", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     pairs = cut(pairs.where(F.col("n_ct") >= least_contexts).join(entities, "entity"))
-    candidates = pairs.select("term").distinct()
-    wanted = None
-    if not no_broadcast_bound(candidates, broadcast_terms):
-        wanted = frozenset(x[0] for x in candidates.collect())
-        if not wanted:
+    # words are three letters or more and a gap, so this is no less than M
+    most_words = texts.agg(F.sum(F.length("text") + 1)).first()[0] / 4
+    bound = F.col("n_ct") * (F.pow(F.greatest(F.lit(1.0), F.lit(most_words) / F.col("n_c")), F.lit(1 - generalise_from)) - 1) * (1 + 1e-9)
+    candidates = cut(pairs.groupBy("term").agg(F.max(bound).alias("most")))
+    if no_broadcast_bound(candidates, broadcast_terms):
+        most = candidates.agg(F.max("most")).first()[0]
+    else:
+        most = dict(candidates.collect())
+        if not most:
             return None
-    counts = cut(texts.mapInArrow(lambda it: term_counts(it, wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")))
-    words = counts.where("term = ''").first()["n_t"]
+    found = cut(texts.mapInArrow(lambda it: sightings(it, most, reach), "term string, context long, terms array<string>, near array<string>, n long"))
+    words = found.where("term = ''").agg(F.sum("n")).first()[0]
+    full = found.where("term <> '' AND terms IS NULL").select("term").distinct()
+    kept = found.where("terms IS NOT NULL").join(candidates.select("term"), "term", "left_semi").join(full, "term", "left_anti")
+    kept = cut(kept.groupBy("term", "context").agg(F.first("terms").alias("terms"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    seen_at = grouped(kept.select(F.col("term").alias("key"), "context", "terms")).select(F.col("key").alias("term"), "context", "group")
+    placed = cut(seen_at.join(kept.select("term", "context", "near"), ["term", "context"]))
+    counts = placed.groupBy("term").agg(F.count_distinct("group").alias("_all"))
+    beside = placed.select("term", "group", F.explode("near").alias("entity")).distinct().groupBy("term", "entity").agg(F.count("*").alias("_beside"))
+    scored = pairs.join(counts, "term").join(beside, ["term", "entity"], "left")
+    scored = scored.withColumn("n_t", F.col("n_ct") + F.col("_all") - F.coalesce("_beside", F.lit(0)))
     ic = -F.log2(F.col("n_c") / F.lit(float(words)))
-    degree = 1 + F.log2(F.least(F.lit(1.0), F.col("n_ct") / F.col("n_t"))) / ic
-    scored = pairs.join(counts.where("term <> ''"), "term").where(ic > 0).groupBy("term").agg(F.max(degree).alias("degree")).where(F.col("degree") >= generalise_from)
+    degree = 1 + F.log2(F.col("n_ct") / F.col("n_t")) / ic
+    scored = scored.where(ic > 0).groupBy("term").agg(F.max(degree).alias("degree")).where(F.col("degree") >= generalise_from)
     return cut(scored.select("term", F.when(F.col("degree") >= remove_from, "remove").otherwise("generalise").alias("action")))
 
 

@@ -118,3 +118,18 @@ def test_the_least_number_of_contexts_is_enough(docs_of):
     rows += [(20 + k, " ".join([*near[:16], f"edit{k}", *near[17:]])) for k in range(30)]  # near copies add no context
     rows += [(100 + k, " ".join(words(60))) for k in range(50)]
     assert dict(m.disclosing_terms(docs_of(rows)).collect()) == {"zzkovacs": "remove"}
+
+
+def test_a_term_of_one_entity_stays_at_every_size(docs_of):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(400)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = [(k, " ".join([*words(20), "zzmany", "many@ed.example.com", *words(20)])) for k in range(400)]
+    rows += [(1000 + k, " ".join([*words(20), "qqcopied", "few@ed.example.com", *words(20)])) for k in range(5)]
+    copied = rows[-1][1].split()
+    rows += [(2000 + k, " ".join(copied)) for k in range(300)]  # exact copies
+    rows += [(3000 + k, " ".join([*copied[:17], f"edit{k}", *copied[18:]])) for k in range(300)]  # near copies
+    rows += [(4000 + k, " ".join([*words(20), "loose", *(["loose@ed.example.com"] if k % 10 == 0 else []), *words(20)])) for k in range(100)]
+    docs = docs_of(rows)
+    for broadcast_terms in (m.BROADCAST_TERMS, 0):
+        assert dict(m.disclosing_terms(docs, broadcast_terms=broadcast_terms).collect()) == {"zzmany": "remove", "qqcopied": "remove"}
