@@ -1,8 +1,9 @@
 """URL filters: rules, and for urls without one, trust and distrust that spread over the links between hosts.
 
 Trust is a personalised PageRank from the hosts of allowed urls along links; distrust is one from the hosts of blocked urls
-against links (who links to a bad host is suspect). Both run in one DataFrame loop, cut off each round, until they change
-by less than `tolerance`. Mass that hosts without links lose would go back to the seeds; that only scales the ranks, so
+against links (who links to a bad host is suspect). Both run in one DataFrame loop, cut off each round, until no host gets
+its first score and no score changes by `tolerance` of itself, so hosts without links change no verdict however many they
+are; `most_rounds` counts only rounds that reach no new host. Mass that hosts without links lose would go back to the seeds; that only scales the ranks, so
 they are normalised in the end instead. A host is blocked if its share of distrust in both exceeds `block_from`.
 
 Links are absolute or protocol-relative urls in href and src attributes; links inside a host are left out. They are counted
@@ -63,13 +64,17 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tole
     ranks = hosts.select("kind", "host", F.col("seed").alias("score"))
     if links.limit(1).count():
         rounds = Rounds(seeds.sparkSession)
-        for _ in range(most_rounds):
+        settling = 0
+        while settling < most_rounds:
             flow = ranks.withColumnRenamed("host", "src").join(links, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("_in"))
             new = hosts.join(flow, ["kind", "host"], "left").select("kind", "host", ((1 - damping) * F.col("seed") + damping * F.coalesce("_in", F.lit(0.0))).alias("score"))
             new = rounds.next(new.join(ranks.withColumnRenamed("score", "_old"), ["kind", "host"]))
-            change = new.agg(F.coalesce(F.sum(F.abs(F.col("score") - F.col("_old"))), F.lit(0.0))).first()[0]
+            reached = F.max(((F.col("score") > 0) & (F.col("_old") == 0)).cast("int"))
+            change = F.max(F.when(F.col("score") > 0, F.abs(F.col("score") - F.col("_old")) / F.col("score")))
+            reached, change = new.agg(F.coalesce(reached, F.lit(0)), F.coalesce(change, F.lit(0.0))).first()
             ranks = new.drop("_old")
-            if change < tolerance:
+            settling += not reached
+            if not reached and change < tolerance:
                 break
     total = ranks.groupBy("kind").agg(F.sum("score").alias("_all"))
     return ranks.join(F.broadcast(total), "kind").select("kind", "host", F.when(F.col("_all") > 0, F.col("score") / F.col("_all")).otherwise(0.0).alias("score"))

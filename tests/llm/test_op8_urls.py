@@ -89,3 +89,15 @@ def test_links_are_counted_once_a_pair(spark):
 def test_empty_and_repeated(spark):
     assert m.judge(pages(spark, [])).count() == 0
     assert m.judge(pages(spark, [(1, "http://a.com/", None)] * 3)).agg(F.count("*")).first()[0] == 3
+
+
+def test_hosts_without_links_change_no_verdict(spark):
+    """A blocked seed heads a chain of hosts; the other seeds are linked to nothing."""
+    chain = [(f"h{k + 1}.org", f"h{k}.org") for k in range(8)]
+    links = spark.createDataFrame([("distrust", b, a, 1) for a, b in chain], "kind string, src string, dst string, n long")
+    for others in (0, 20_000):
+        alone = spark.range(others).selectExpr("'distrust' AS kind", "concat('s', id, '.net') AS host", "1.0D AS seed")
+        seeds = spark.createDataFrame([("distrust", "h0.org", 1.0)], "kind string, host string, seed double").union(alone)
+        got = {r.host: r.score for r in m.propagate(seeds, links).where("host LIKE 'h%'").collect()}
+        assert len(got) == 9 and all(x > 0 for x in got.values())
+        assert [got[f"h{k + 1}.org"] / got[f"h{k}.org"] for k in range(8)] == pytest.approx([0.85] * 8, rel=1e-3)
