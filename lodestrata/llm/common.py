@@ -65,6 +65,17 @@ class Rounds:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of the columns has, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def no_broadcast_bound(df: DataFrame, most_rows: int) -> bool:
     """Whether df has more than most_rows rows; it counts no further than that."""
     return df.limit(most_rows + 1).count() > most_rows

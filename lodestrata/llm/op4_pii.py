@@ -1,18 +1,25 @@
 r"""Information-theoretic sanitisation of personal data.
 
 Base spans are found by form: email, ip, card (Luhn), phone. Each value found is a protected entity. The corpus then says
-how strongly other terms reveal an entity c: with n_t the distinct sightings of a term in the corpus, n_ct the distinct contexts
-of c (`reach` words to either side) that hold t, n_c the distinct contexts of c and M the words of the corpus,
+how strongly other terms (runs of three or more letters and digits, without regard to case) reveal an entity c: with n_t the
+distinct sightings of a term in the corpus, n_ct the distinct contexts of c (`reach` terms to either side) that hold t, n_c
+the distinct contexts of c and M the terms of the corpus,
 
     IC(c) = -log2(n_c / M)    PMI(c, t) = IC(c) + log2(n_ct / n_t)    disclosure(c, t) = PMI(c, t) / IC(c)
 
 A disclosure of 1 means that the term gives the entity away completely. Terms from `remove_from` on are removed, terms from
 `generalise_from` on are replaced by a placeholder, wherever they occur.
 
-Copies are no evidence. Equal contexts count once, and so do contexts of an entity that share `COPY_FROM` of their terms,
-directly or by way of others: n_c and n_ct count groups of such contexts. They are linked within buckets of equal minimum
-hashes, each to the bucket's first context. An entity needs `least_contexts` groups, and a term as many that hold it.
-n_t is n_ct plus the sightings of t that are not in a context of c. Sightings (`reach` terms to either side) are grouped the
+Chance is no evidence. Every term beside a value that occurs once would reveal it fully by this formula, so a disclosure
+counts only if it is significant: were t independent of c, each of its n_t sightings would fall into a context of c with
+q = 2 reach n_c / M, and n_ct or more of them with p <= exp(-n_t KL(n_ct / n_t || q)). This bound times the number of
+hypotheses (entities times distinct terms of the corpus) has to stay within `significance`. There is no least number of
+contexts: a rare term needs few, a common one many, and one context is enough where that cannot be chance.
+
+Copies are no evidence either. Equal contexts count once, and so do contexts of an entity that share `COPY_FROM` of the smaller
+one's terms (so a context that a text's start or end cuts short is a copy of the whole one), directly or by way of others:
+n_c and n_ct count groups of such contexts. They are linked within buckets of equal minimum hashes, each to the bucket's
+first context. n_t is n_ct plus the sightings of t that are not in a context of c. Sightings (`reach` terms to either side) are grouped the
 same way, so a term that stands beside c only has a disclosure of 1, however often it is copied. A term with more sightings
 away from all entities than any disclosure of `generalise_from` allows is given up by the task that finds them.
 
@@ -29,16 +36,18 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, no_broadcast_bound, read, small_batches
+from .common import cut, free_names, no_broadcast_bound, read, small_batches
 from .components import components
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -52,12 +61,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NO_DIGIT = re.compile(r"[^0-9]")
 TERM = re.compile(r"[^\W_]{3,}")
-WORD = re.compile(r"\S+")
 
-REACH, LEAST_CONTEXTS = 8, 4
+REACH, SIGNIFICANCE = 8, 0.01
 GENERALISE_FROM, REMOVE_FROM = 0.9, 0.95
 BROADCAST_TERMS = 100_000
-#: Jaccard similarity from which two contexts are copies, and the minimum hashes by which they are found.
+#: Share of the smaller context's terms from which two contexts are copies, and the minimum hashes by which they are found.
 COPY_FROM, HASHES = 0.5, 16
 
 Span = tuple[str, int, int]
@@ -101,13 +109,21 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{NO_DIGIT.sub('', value)}"
 
 
-def around(text: str, spans: list[Span], start: int, end: int, reach: int) -> list[tuple[int, str]]:
-    """(position, term) within reach words of a span, in order, without those of base spans."""
-    blank = lambda low, high: "".join(" " if any(s <= k < e for _, s, e in spans) else text[k] for k in range(low, high))
-    low = max(0, start - 16 * reach)
-    words = [(low + m.start(), m[0]) for m in WORD.finditer(blank(low, start))][-reach:] if reach else []
-    words += [(end + m.start(), m[0]) for m in WORD.finditer(blank(end, min(len(text), end + 16 * reach)))][:reach]
-    return [(at + m.start(), m[0].lower()) for at, word in words for m in TERM.finditer(word)]
+def terms_of(text: str, spans: list[Span]) -> tuple[list[int], list[str]]:
+    """Places and terms of a text in order; all base spans are blank."""
+    out, at = [], 0
+    for _, s, e in spans:
+        if e > at:
+            out += [text[at : max(at, s)], " " * (e - max(at, s))]
+            at = e
+    found = list(TERM.finditer("".join(out) + text[at:]))
+    return [m.start() for m in found], [m[0].lower() for m in found]
+
+
+def around(places: list[int], start: int, end: int, reach: int) -> list[int]:
+    """The numbers of the terms within reach terms of a span, in order."""
+    low, high = bisect_left(places, start), bisect_left(places, end)
+    return [*range(max(0, low - reach), low), *range(high, min(len(places), high + reach))]
 
 
 MENTIONS = pa.schema([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))])
@@ -119,18 +135,18 @@ def mentions(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.Recor
         found: dict[tuple[str, int], list[str]] = {}
         for text in batch.column(0).to_pylist():
             spans = base_spans(text or "")
-            for k, (kind, s, e) in enumerate(spans):
-                terms = [x for _, x in around(text, spans[max(0, k - 8) : k + 9], s, e, reach)]
+            places, every = terms_of(text, spans) if spans else ([], [])
+            for kind, s, e in spans:
+                terms = [every[k] for k in around(places, s, e, reach)]
                 found[entity(kind, text[s:e]), xxhash.xxh3_64_intdigest(" ".join(terms)) - 2**63] = sorted(set(terms))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array(list(found.values()), pa.list_(pa.string()))], schema=MENTIONS)
 
 
 def similar(a: frozenset[str], b: frozenset[str]) -> bool:
-    shared = len(a & b)
-    return shared >= COPY_FROM * (len(a) + len(b) - shared)
+    return len(a & b) >= COPY_FROM * min(len(a), len(b))
 
 
-SIGHTINGS = pa.schema([("term", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string())), ("near", pa.list_(pa.string())), ("n", pa.int64())])
+SIGHTINGS = pa.schema([("term", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
 
 
 class Sightings:
@@ -162,36 +178,31 @@ def hashes(term: str) -> tuple[int, ...]:
 
 
 def sightings(batches: Iterator[pa.RecordBatch], most: dict[str, float] | float, reach: int) -> Iterator[pa.RecordBatch]:
-    """(term, hash of a sighting, its terms, the entities near it) for the terms of most, or all with one bound; n of the empty term counts all words.
+    """(term, hash of a sighting, its terms, the entities near it) for the terms of most, or all with one bound.
 
     A term that is full has one row without terms.
     """
     held: dict[str, Sightings | bool | None] = {}  # None if full, False if that has been told
-    words = size = 0
+    size = 0
 
     def flush() -> pa.RecordBatch:
-        rows = [("", None, None, None, words)]
+        rows = []
         for term, x in held.items():
-            rows += [(term, None, None, None, None)] if x is None else [] if x is False else [(term, xxhash.xxh3_64_intdigest(" ".join(sorted(terms))) - 2**63, sorted(terms), sorted(near), None) for terms, near in x.found]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), SIGHTINGS)], schema=SIGHTINGS)
+            rows += [(term, None, None, None)] if x is None else [] if x is False else [(term, xxhash.xxh3_64_intdigest(" ".join(sorted(terms))) - 2**63, sorted(terms), sorted(near)) for terms, near in x.found]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(SIGHTINGS)], schema=SIGHTINGS)
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
-            terms = TERM.findall(text.lower() if text.isascii() else text)
-            words += len(terms)
-            if isinstance(most, dict) and not any(x.lower() in most and held.get(x.lower(), True) for x in terms):
+            spans, near = base_spans(text), {}
+            places, found = terms_of(text, spans)
+            if isinstance(most, dict) and not any(x in most and held.get(x, True) for x in found):
                 continue
-            spans, by_place = base_spans(text), {}
-            for k, (kind, s, e) in enumerate(spans):
-                for at, _ in around(text, spans[max(0, k - 8) : k + 9], s, e, reach):
-                    by_place.setdefault(at, set()).add(entity(kind, text[s:e]))
-            out = text
-            for _, s, e in spans:
-                out = out[:s] + " " * (e - s) + out[e:]
-            found = [(m.start(), m[0].lower()) for m in TERM.finditer(out)]
-            for i, (at, term) in enumerate(found):
+            for kind, s, e in spans:
+                for k in around(places, s, e, reach):
+                    near.setdefault(k, set()).add(entity(kind, text[s:e]))
+            for i, term in enumerate(found):
                 bound = most.get(term) if isinstance(most, dict) else most
                 if bound is None:
                     continue
@@ -199,8 +210,8 @@ def sightings(batches: Iterator[pa.RecordBatch], most: dict[str, float] | float,
                 if not x:
                     continue
                 before = len(x.found)
-                window = frozenset(t for _, t in found[max(0, i - reach) : i + reach + 1] if t != term) or frozenset([term])
-                full = x.add(window, by_place.get(at, set()), bound)
+                window = frozenset(t for t in found[max(0, i - reach) : i + reach + 1] if t != term) or frozenset([term])
+                full = x.add(window, near.get(i, set()), bound)
                 size += len(x.found) - before
                 if full:
                     size -= len(x.found)
@@ -208,10 +219,22 @@ def sightings(batches: Iterator[pa.RecordBatch], most: dict[str, float] | float,
         if size > 20_000:
             yield flush()
             # terms that are full stay so
-            held, words, size = {k: False for k, x in held.items() if not x} if isinstance(most, dict) else {}, 0, 0
+            held, size = {k: False for k, x in held.items() if not x} if isinstance(most, dict) else {}, 0
     yield flush()
 
 
+def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): the distinct terms of each batch, n the batch's terms on one of its rows."""
+    for batch in batches:
+        held, n = set(), 0
+        for text in batch.column(0).to_pylist():
+            if text:
+                found = TERM.findall(text.lower())
+                held.update(found)
+                n += len(found)
+        yield pa.RecordBatch.from_arrays([pa.array([*held, None], pa.string()), pa.array([0] * len(held) + [n], pa.int64())], names=["term", "n"])
+
+
 def grouped(seen: DataFrame) -> DataFrame:
     """seen (key, context, terms; distinct) with the group of copies that a context belongs to."""
     seen = cut(seen.withColumn("_node", F.xxhash64("key", "context")))
@@ -220,7 +243,7 @@ def grouped(seen: DataFrame) -> DataFrame:
     rows = seen.where(F.size("terms") > 0).select("key", "_node", "terms", least.alias("_x")).select("key", "_node", "terms", "_x.k", "_x.least")
     first = rows.groupBy("key", "k", "least").agg(F.min(F.struct("_node", "terms")).alias("_first"))
     shared = F.size(F.array_intersect("terms", "_first.terms"))
-    links = rows.join(first, ["key", "k", "least"]).where("_node <> _first._node").where(shared >= COPY_FROM * (F.size("terms") + F.size("_first.terms") - shared))
+    links = rows.join(first, ["key", "k", "least"]).where("_node <> _first._node").where(shared >= COPY_FROM * F.least(F.size("terms"), F.size("_first.terms")))
     links = cut(links.select(F.col("_node").alias("a"), F.col("_first._node").alias("b")).distinct())
     if not links.limit(1).count():
         return seen.withColumnRenamed("_node", "group")
@@ -228,21 +251,38 @@ def grouped(seen: DataFrame) -> DataFrame:
     return seen.join(labels, "_node", "left").withColumn("group", F.coalesce("label", "_node")).drop("_node", "label")
 
 
-def disclosing_terms(docs: DataFrame, reach: int = REACH, least_contexts: int = LEAST_CONTEXTS, generalise_from: float = GENERALISE_FROM, remove_from: float = REMOVE_FROM, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame | None:
-    """term and action (generalise or remove) of the terms that reveal an entity; None if no entity has enough contexts."""
+def chance(n_ct: Column, n_t: Column, q: Column) -> Column:
+    """The logarithm of a bound for the probability that n_ct or more of n_t sightings fall into a context: Chernoff's."""
+    share = n_ct / n_t
+    rest = F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - q))).otherwise(0.0)
+    return F.when(share > q, -n_t * (share * F.ln(share / q) + rest)).otherwise(0.0)
+
+
+def disclosing_terms(docs: DataFrame, reach: int = REACH, significance: float = SIGNIFICANCE, generalise_from: float = GENERALISE_FROM, remove_from: float = REMOVE_FROM, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame | None:
+    """term and action (generalise or remove) of the terms that reveal an entity; None if no term beside one can be significant."""
     texts = small_batches(docs).select("text")
     seen = texts.where(F.col("text").rlike("[0-9@]")).mapInArrow(lambda it: mentions(it, reach), "entity string, context long, terms array<string>")
     seen = cut(seen.groupBy("entity", "context").agg(F.first("terms").alias("terms")))
-    entities = seen.groupBy("entity").agg(F.count("*").alias("_contexts")).where(F.col("_contexts") >= least_contexts)
+    protected = seen.agg(F.approx_count_distinct("entity", 0.02)).first()[0]
+    if not protected:
+        return None
+    words, distinct = texts.mapInArrow(vocabulary, "term string, n long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.approx_count_distinct("term", 0.02)).first()
+    if not words:
+        return None
+    # logarithm of the largest p of a single hypothesis
+    least = math.log(significance) - math.log(protected) - math.log(max(1, distinct))
+    q_of = lambda n_c: F.least(F.lit(0.5), n_c * F.lit(2 * reach / words))
+    # no term of an entity can be significant if one in all of its contexts and nowhere else is not
+    entities = seen.groupBy("entity").agg(F.count("*").alias("_contexts"))
+    entities = entities.where(F.col("_contexts") * F.ln(F.lit(2 * reach / words)) <= least)
     if not entities.limit(1).count():
         return None
-    contexts = cut(grouped(seen.join(entities, "entity").select(F.col("entity").alias("key"), "context", "terms")).withColumnRenamed("key", "entity"))
-    entities = contexts.groupBy("entity").agg(F.count_distinct("group").alias("n_c")).where(F.col("n_c") >= least_contexts)
+    contexts = cut(grouped(seen.join(entities.select("entity"), "entity", "left_semi").withColumnRenamed("entity", "key")).withColumnRenamed("key", "entity"))
+    entities = contexts.groupBy("entity").agg(F.count_distinct("group").alias("n_c"))
     pairs = contexts.select("entity", "group", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-    pairs = cut(pairs.where(F.col("n_ct") >= least_contexts).join(entities, "entity"))
-    # words are three letters or more and a gap, so this is no less than M
-    most_words = texts.agg(F.sum(F.length("text") + 1)).first()[0] / 4
-    bound = F.col("n_ct") * (F.pow(F.greatest(F.lit(1.0), F.lit(most_words) / F.col("n_c")), F.lit(1 - generalise_from)) - 1) * (1 + 1e-9)
+    pairs = pairs.join(entities, "entity").where(chance(F.col("n_ct").cast("double"), F.col("n_ct").cast("double"), q_of(F.col("n_c"))) <= least)
+    pairs = cut(pairs)
+    bound = F.col("n_ct") * (F.pow(F.greatest(F.lit(1.0), F.lit(words) / F.col("n_c")), F.lit(1 - generalise_from)) - 1) * (1 + 1e-9)
     candidates = cut(pairs.groupBy("term").agg(F.max(bound).alias("most")))
     if no_broadcast_bound(candidates, broadcast_terms):
         most = candidates.agg(F.max("most")).first()[0]
@@ -250,9 +290,8 @@ def disclosing_terms(docs: DataFrame, reach: int = REACH, least_contexts: int =
         most = dict(candidates.collect())
         if not most:
             return None
-    found = cut(texts.mapInArrow(lambda it: sightings(it, most, reach), "term string, context long, terms array<string>, near array<string>, n long"))
-    words = found.where("term = ''").agg(F.sum("n")).first()[0]
-    full = found.where("term <> '' AND terms IS NULL").select("term").distinct()
+    found = cut(texts.mapInArrow(lambda it: sightings(it, most, reach), "term string, context long, terms array<string>, near array<string>"))
+    full = found.where("terms IS NULL").select("term").distinct()
     kept = found.where("terms IS NOT NULL").join(candidates.select("term"), "term", "left_semi").join(full, "term", "left_anti")
     kept = cut(kept.groupBy("term", "context").agg(F.first("terms").alias("terms"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     seen_at = grouped(kept.select(F.col("term").alias("key"), "context", "terms")).select(F.col("key").alias("term"), "context", "group")
@@ -263,7 +302,7 @@ def disclosing_terms(docs: DataFrame, reach: int = REACH, least_contexts: int =
     scored = scored.withColumn("n_t", F.col("n_ct") + F.col("_all") - F.coalesce("_beside", F.lit(0)))
     ic = -F.log2(F.col("n_c") / F.lit(float(words)))
     degree = 1 + F.log2(F.col("n_ct") / F.col("n_t")) / ic
-    scored = scored.where(ic > 0).groupBy("term").agg(F.max(degree).alias("degree")).where(F.col("degree") >= generalise_from)
+    scored = scored.where(ic > 0).where(chance(F.col("n_ct").cast("double"), F.col("n_t").cast("double"), q_of(F.col("n_c"))) <= least).groupBy("term").agg(F.max(degree).alias("degree")).where(F.col("degree") >= generalise_from)
     return cut(scored.select("term", F.when(F.col("degree") >= remove_from, "remove").otherwise("generalise").alias("action")))
 
 
@@ -323,13 +362,21 @@ def rewritten(batches: Iterator[pa.RecordBatch], at: int, terms: dict[str, str]
         yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(width)], names=names[:width])
 
 
+def held_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, term): the distinct terms of each text."""
+    for batch in batches:
+        found = [(k, t) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in {m.lower() for m in TERM.findall(x or "")}]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.string())], names=["key", "term"])
+
+
 def with_own_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """docs with _terms and _actions: the disclosing terms that a row's text holds. For term sets that are too large to broadcast."""
-    key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    held = docs.select(key.alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(r"([\p{L}\p{N}]{3,})"), F.lit(1)))).alias("term")).distinct()
-    own = held.join(terms, "term").groupBy("_key").agg(F.collect_list(F.struct("term", "action")).alias("_own"))
-    rows = docs.withColumn("_key", key).join(own, "_key", "left")
-    return rows.select(*docs.columns, F.col("_own.term").alias("_terms"), F.col("_own.action").alias("_actions"))
+    """docs and, as last columns, the disclosing terms that a row's text holds and their actions. For term sets that are too large to broadcast."""
+    key, own, words, actions = free_names(docs.columns, "key", "own", "terms", "actions")
+    hashed = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    found = docs.select(hashed.alias("key"), "text").mapInArrow(held_terms, "key binary, term string").distinct()
+    found = found.join(terms, "term").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("term", "action")).alias(own))
+    rows = docs.withColumn(key, hashed).join(found, key, "left")
+    return rows.select(*docs.columns, F.col(own)["term"].alias(words), F.col(own)["action"].alias(actions))
 
 
 def find(docs: DataFrame, broadcast_terms: int = BROADCAST_TERMS, **thresholds) -> DataFrame:
@@ -337,7 +384,7 @@ def find(docs: DataFrame, broadcast_terms: int = BROADCAST_TERMS, **thresholds)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     terms = disclosing_terms(docs, broadcast_terms=broadcast_terms, **thresholds)
     if terms is not None and no_broadcast_bound(terms, broadcast_terms):
-        return with_own_terms(docs, terms).drop("_actions").mapInArrow(lambda it: report(it, None), REPORT_DDL)
+        return with_own_terms(docs, terms).mapInArrow(lambda it: report(it, None), REPORT_DDL)
     known = dict(terms.collect()) if terms is not None else {}
     return docs.mapInArrow(lambda it: report(it, known), REPORT_DDL)
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import sys
@@ -8,6 +9,7 @@ import sys
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestrata.llm import op4_pii as m
 
@@ -109,15 +111,112 @@ def test_empty_table(docs_of):
     assert m.find(docs_of([])).count() == 0 and m.sanitise(docs_of([])).count() == 0
 
 
-def test_the_least_number_of_contexts_is_enough(docs_of):
+def groups(sets):  # all pairs; the operator finds them by minimum hashes, which are sure for copies and not for chance overlaps of half
+    """The number of each set's group: sets that share half of the smaller one's members, directly or by way of others."""
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 2 * len(a & sets[j]) >= min(len(a), len(sets[j])):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def plain_terms(texts, reach=8, significance=0.01, generalise_from=0.9, remove_from=0.95):
+    """The disclosing terms by definition: all contexts and all sightings, compared with each other."""
+    term, contexts, sights, vocabulary, words = re.compile(r"[^\W_]{3,}"), {}, {}, set(), 0
+    for text in texts:
+        text = text or ""
+        vocabulary |= set(term.findall(text.lower()))
+        words += len(term.findall(text))
+        spans, clear = plain(text), text
+        for _, s, e in spans:
+            clear = clear[:s] + " " * (e - s) + clear[e:]
+        found = [(x.start(), x[0].lower()) for x in term.finditer(clear)]
+        near = {}
+        for kind, s, e in spans:
+            before, after = [k for k, x in enumerate(found) if x[0] < s][-reach:], [k for k, x in enumerate(found) if x[0] >= e][:reach]
+            name = m.entity(kind, text[s:e])
+            contexts.setdefault(name, set()).add(tuple(found[k][1] for k in before + after))
+            for k in before + after:
+                near.setdefault(k, set()).add(name)
+        for k, (_, t) in enumerate(found):
+            window = frozenset(x for _, x in found[max(0, k - reach) : k + reach + 1] if x != t) or frozenset([t])
+            sights.setdefault(t, {}).setdefault(window, set()).update(near.get(k, ()))
+    best = {}
+    for name, held in contexts.items():
+        held = [frozenset(x) for x in held]
+        label = groups(held)
+        n_c = len(set(label))
+        q = min(0.5, 2 * reach * n_c / words)
+        for t in frozenset().union(*held):
+            n_ct = len({g for g, x in zip(label, held) if t in x})
+            group = groups(list(sights[t]))
+            n_t = n_ct + len(set(group)) - len({g for g, x in zip(group, sights[t].values()) if name in x})
+            share = n_ct / n_t
+            p = 1.0 if share <= q else math.exp(-n_t * (share * math.log(share / q) + (0 if share == 1 else (1 - share) * math.log((1 - share) / (1 - q)))))
+            ic = -math.log2(n_c / words)
+            degree = (ic + math.log2(share)) / ic
+            if p * len(contexts) * len(vocabulary) <= significance and degree >= generalise_from:
+                best[t] = max(best.get(t, 0), degree)
+    return {t: "remove" if x >= remove_from else "generalise" for t, x in best.items()}
+
+
+def planted(seed, vocabulary):
+    """Entities of one to eight contexts with terms of their own, terms that also stand elsewhere, copies, and entities beside each other."""
+    rng = random.Random(seed)
+    known = ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(vocabulary)]
+    words = lambda n: [rng.choice(known) for _ in range(n)]
+    rows = []
+    for n in range(1, 9):
+        rows += [" ".join([*words(12), f"own{n}", f"e{n}@ed.example.com", *words(12)]) for _ in range(n)]
+    for n in range(6):
+        rows += [" ".join([*words(9), "shared", f"10.0.0.{n}", *words(9)]) for _ in range(4)]
+        rows += [" ".join([*words(9), f"mixed{n}", "mix@ed.example.com" if k < 6 else "", *words(9)]) for k in range(6 + n)]
+    rows += rows[30:34] + [f"short {x}" for x in rows[30:34]]
+    return rows + [" ".join(words(30)) for _ in range(30)] + ["", None, "+1 (555) 555-1234", "lonely 10.9.8.7"]
+
+
+@pytest.mark.parametrize("seed,vocabulary", [(1, 400), (2, 1500)])
+def test_terms_equal_the_definition(docs_of, seed, vocabulary):
+    rows = planted(seed, vocabulary)
+    want = plain_terms(rows)
+    docs = docs_of(list(enumerate(rows)))
+    for broadcast_terms in (m.BROADCAST_TERMS, 0):
+        found = m.disclosing_terms(docs, broadcast_terms=broadcast_terms)
+        assert (dict(found.collect()) if found is not None else {}) == want
+    assert "own8" in want and "own1" not in want
+
+
+def test_significance_decides_and_not_a_number_of_contexts(docs_of):
     rng = random.Random(3)
     words = lambda n: ["".join(rng.choice("bcdfgaeiou") for _ in range(7)) for _ in range(n)]
-    rows = [(k, " ".join([*words(20), "zzkovacs", "four@ed.example.com", *words(20)])) for k in range(m.LEAST_CONTEXTS)]
-    rows += [(10 + k, " ".join([*words(20), "qqthree", "three@ed.example.com", *words(20)])) for k in range(m.LEAST_CONTEXTS - 1)]
+    rows = [(k, " ".join([*words(20), "zzkovacs", "four@ed.example.com", *words(20)])) for k in range(5)]
+    rows += [(10 + k, " ".join([*words(20), "qqonce", f"once{k}@ed.example.com", *words(20)])) for k in range(1)]
     near = rows[-1][1].split()
     rows += [(20 + k, " ".join([*near[:16], f"edit{k}", *near[17:]])) for k in range(30)]  # near copies add no context
     rows += [(100 + k, " ".join(words(60))) for k in range(50)]
-    assert dict(m.disclosing_terms(docs_of(rows)).collect()) == {"zzkovacs": "remove"}
+    assert dict(m.disclosing_terms(docs_of(rows)).collect()) == {"zzkovacs": "remove"} == plain_terms([t for _, t in rows])
+    assert m.disclosing_terms(docs_of(rows), significance=1e-30) is None
+
+
+def test_contexts_are_terms_and_not_characters():
+    text = "x" * 5000 + " mid-dle " + "long" * 100 + " a.b@example.org +1 (555) 555-1234 " + "é" * 3000 + " end"
+    spans = m.base_spans(text)
+    places, terms = m.terms_of(text, spans)
+    assert terms == ["x" * 5000, "mid", "dle", "long" * 100, "é" * 3000, "end"]
+    assert m.around(places, *spans[0][1:], 3) == [1, 2, 3, 4, 5] and m.around(places, *spans[1][1:], 1) == [3, 4] and m.around(places, 0, 0, 2) == [0, 1]
+
+
+@pytest.mark.parametrize("names", [("_key", "_own", "_terms", "_actions", "term", "action", "key", "own"), ("terms", "actions", "entity", "context", "near", "group")])
+def test_clashing_columns(docs_of, corpus, names):
+    docs = docs_of(corpus)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    for broadcast_terms in (m.BROADCAST_TERMS, 0):
+        out = m.sanitise(docs, broadcast_terms=broadcast_terms)
+        assert out.columns == docs.columns and out.select(*names).distinct().collect() == [names] and out.count() == len(corpus)
+        assert m.find(docs, broadcast_terms=broadcast_terms).count() == len(corpus)
 
 
 def test_a_term_of_one_entity_stays_at_every_size(docs_of):
