@@ -7,14 +7,17 @@ the bytes and never by a hash alone.
 
 * Before the shuffle each task runs a trie of its own, so a text that a third of all rows share crosses the network once a
   task. That trie has a byte budget: over it, its largest subtree is spilled, that is, emitted as partial owners and freed.
-* After the shuffle the strings of a partition arrive in byte order (Spark's external sort holds what waits). Then only
-  the trie's rightmost path can still change: a subtree left of it is final, is emitted and freed at once. So memory is
-  bounded by the longest text and not by the partition.
+* After the shuffle a partition's strings go into one trie again, whose terminals merge the partial owners. They arrive in
+  byte order (Spark's external sort holds what waits), so a string can only meet those on the rightmost path. Over the byte
+  budget, all subtrees left of that path are spilled: nothing can reach them any more, so what they hold is final. Memory
+  is bounded by the budget and the longest text, and not by the partition.
 * Documents then look up their owner by (length, SHA-256). The trie checks that this pair names one byte string only and
   fails the job otherwise, rather than merging different texts.
 
-Defined results: a null text counts as empty, and empty texts are one group; a null doc_id sorts after all others; rows
-that repeat doc_id and text give repeated rows in the result; an empty table gives no rows; other columns are ignored.
+Defined results: a null text counts as empty, and empty texts are one group; a null doc_id sorts after all others; an empty
+table gives no rows. Rows that repeat give repeated rows in exact_groups; of rows of one doc_id that are copies of each
+other, those of the most code points are marked kept, and drop_exact_copies keeps one of them. exact_groups ignores other
+columns; drop_exact_copies returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, read, small_batches
+from .common import BLANKS, cut, no_broadcast_bound, read, small_batches
 
 #: Bytes of text that a task's trie may hold before the shuffle.
 TRIE_BYTES = 16 << 20
 #: Bytes of text in one Arrow batch on the way out.
 BATCH_BYTES = 4 << 20
+#: Texts with copies that are broadcast; each takes about 100 bytes.
+BROADCAST_TEXTS = 200_000
 LAST = (1 << 63) - 1
 
 
@@ -127,40 +132,33 @@ class PatriciaTrie:
         del self.root.children[byte]
         self.bytes -= n
 
+    def spill_before(self, key: bytes) -> Iterator[tuple[bytes, list]]:
+        """Takes out all strings but key, the last in byte order, and yields them."""
+        node, at = self.root, 0
+        while True:
+            if at == len(key):
+                break  # what was below it would come after it
+            if node.owner is not None:
+                yield key[:at], node.owner
+                node.owner = None
+            child = node.children.pop(key[at])
+            for _, done in sorted(node.children.items()):
+                yield from self.subtree(done, key[:at])
+            node.children = {key[at]: child}
+            node, at = child, at + len(child.label)
+        # one path is left, so its edges become one
+        self.root, self.bytes = Node(b""), 0
+        self.insert(key, node.owner)
+
     def drain(self) -> Iterator[tuple[bytes, list]]:
         yield from self.subtree(self.root, b"")
         self.root, self.bytes = Node(b""), 0
 
 
-class OpenPath:
-    """The rightmost path of a Patricia trie whose strings come in byte order: all that is left of it is final."""
-
-    def __init__(self) -> None:
-        self.key: bytes | None = None
-        self.owner: list = []
-
-    def insert(self, key: bytes, owner: list) -> Iterator[tuple[int, list]]:
-        """Yields size and owner of the string that becomes final."""
-        if self.key is not None:
-            n = common_prefix(self.key, 0, key, 0)
-            if n == len(key) == len(self.key):
-                merge(self.owner, owner)
-                return
-            if n < len(self.key) and (n == len(key) or key[n] < self.key[n]):
-                raise ValueError("strings out of order")
-            yield len(self.key), self.owner
-        self.key, self.owner = key, owner
-
-    def close(self) -> Iterator[tuple[int, list]]:
-        if self.key is not None:
-            yield len(self.key), self.owner
-        self.key = None
-
-
 PARTIAL = pa.schema([("bytes", pa.binary()), ("size", pa.int64()), ("digest", pa.binary()), ("points", pa.int64()), ("id", pa.int64()), ("rows", pa.int64()), ("same", pa.int64())])
 PARTIAL_DDL = "bytes binary, size long, digest binary, points long, id long, rows long, same long"
-OWNER = pa.schema([("digest", pa.binary()), ("size", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("same", pa.int64())])
-OWNER_DDL = "digest binary, size long, keep_id long, group_size long, same long"
+OWNER = pa.schema([("digest", pa.binary()), ("size", pa.int64()), ("points", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("same", pa.int64())])
+OWNER_DDL = "digest binary, size long, points long, keep_id long, group_size long, same long"
 
 
 def _partials(pairs: Iterator[tuple[bytes, list]]) -> Iterator[pa.RecordBatch]:
@@ -192,19 +190,24 @@ def local_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def final_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Owners from partial owners in byte order."""
-    path, out = OpenPath(), []
+    trie, last, out = PatriciaTrie(), b"", []
 
     def packed() -> pa.RecordBatch:
-        rows = [(o[4], size, o[1] if o[1] != LAST else None, o[2], o[3]) for size, o in out]
-        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), OWNER)], schema=OWNER)
+        rows = [(o[4], size, o[0], o[1] if o[1] != LAST else None, o[2], o[3]) for size, o in out]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(OWNER)], schema=OWNER)
 
     for batch in batches:
         for key, digest, points, i, n, same in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6))):
-            out += path.insert(key, [points, i, n, same, digest])
+            if key < last:
+                raise ValueError("strings out of order")
+            trie.insert(key, [points, i, n, same, digest])
+            last = key
+            if trie.bytes > TRIE_BYTES:
+                out += ((len(k), o) for k, o in trie.spill_before(key))
         if len(out) >= 4096:
             yield packed()
             out = []
-    out += path.close()
+    out += ((len(k), o) for k, o in trie.drain())
     if out:
         yield packed()
 
@@ -215,7 +218,7 @@ def _identity(docs: DataFrame, *more) -> DataFrame:
 
 
 def owners(docs: DataFrame) -> DataFrame:
-    """digest, size, keep_id, group_size and same (rows that repeat the owner) for each distinct text."""
+    """digest, size, points and keep_id (of the owner), group_size and same (rows like the owner) for each distinct text."""
     keys = _identity(small_batches(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"))
     partial = keys.select("_bytes", "_digest", F.char_length("_text").cast("long").alias("_points"), "_id").mapInArrow(local_owners, PARTIAL_DDL)
     return partial.repartition("size", "digest").sortWithinPartitions("bytes").mapInArrow(final_owners, OWNER_DDL)
@@ -223,22 +226,30 @@ def owners(docs: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    keys = _identity(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", F.col("_digest").alias("digest"), F.octet_length("_bytes").cast("long").alias("size"))
+    keys = _identity(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    keys = keys.select("doc_id", F.char_length("_text").cast("long").alias("_points"), F.col("_digest").alias("digest"), F.octet_length("_bytes").cast("long").alias("size"))
     found = keys.join(owners(docs), ["digest", "size"])
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-
-
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text another row owns; of rows that repeat doc_id and text, one stays."""
-    keys = _identity(docs, *(F.col(c) for c in docs.columns)) if not {"_text", "_bytes", "_digest"} & set(docs.columns) else None
-    if keys is None:
-        raise ValueError("columns named _text, _bytes or _digest")
-    keys = keys.withColumn("_size", F.octet_length("_bytes").cast("long")).drop("_text", "_bytes")
-    own = owners(docs).select(F.col("digest").alias("_digest"), F.col("size").alias("_size"), "keep_id", "same").withColumnsRenamed({"keep_id": "_keep", "same": "_same"})
-    kept = keys.join(own, ["_digest", "_size"]).where(F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")))
-    once = kept.where("_same = 1").select(*docs.columns)
-    again = kept.where("_same > 1").dropDuplicates(["_digest", "_size"]).select(*docs.columns)
-    return once.unionByName(again)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_points") == F.col("points"))
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_exact_copies(docs: DataFrame, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
+    """docs without the rows whose text another row owns; of rows like the owner, one stays.
+
+    Only texts with copies are looked up. Up to broadcast_texts of them the rows of docs stay where they are; beyond that
+    they are joined by Spark's choice.
+    """
+    shared = cut(owners(docs).where("group_size > 1"))
+    lookup = shared if no_broadcast_bound(shared, broadcast_texts) else F.broadcast(shared)
+    row, text = F.struct(*docs.columns), F.coalesce(F.col("text"), F.lit(""))
+    norm = F.translate(text, BLANKS, "").cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.char_length(text).cast("long").alias("n"), F.unhex(F.sha2(norm, 256)).alias("digest"), F.octet_length(norm).cast("long").alias("size"), row.alias("row"))
+    found = rows.join(lookup, ["digest", "size"], "left")
+    owner = F.col("i").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("points"))
+    kept = found.where(F.col("same").isNull() | (owner & (F.col("same") == 1))).select("row.*")
+    if not shared.where("same > 1").limit(1).count():
+        return kept
+    return kept.unionByName(found.where(owner & (F.col("same") > 1)).groupBy("digest", "size").agg(F.first("row").alias("row")).select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

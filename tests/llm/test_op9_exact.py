@@ -6,6 +6,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import op9_exact as m
 
@@ -19,7 +20,7 @@ def brute(rows):
     for i, t in rows:
         g = groups[norm(t)]
         keep = min(g)[3]
-        out.append((i, keep, len(g), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+        out.append((i, keep, len(g), (-len(t or ""), i) == (min(g)[0], keep), hashlib.sha256(norm(t).encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
@@ -52,6 +53,29 @@ def test_small_tries_spill_and_agree(docs_of, corpus):
     assert sum(x["group_size"] for x in merged) == len(corpus) and len(merged) == len(whole)
 
 
+def test_the_last_trie_spills_and_agrees(corpus, monkeypatch):
+    rng, rows = random.Random(9), []
+    for _ in range(400):
+        key = bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) * rng.choice([1, 1, 40])
+        rows.append({"bytes": key, "size": len(key), "digest": hashlib.sha256(key).digest(), "points": rng.randrange(5), "id": rng.randrange(9), "rows": rng.randrange(1, 4), "same": 1})
+    rows.sort(key=lambda x: x["bytes"])
+    want = {}
+    for x in rows:
+        want.setdefault(x["bytes"], []).append(x)
+    for budget in (0, 10, 100, 1 << 30):
+        monkeypatch.setattr(m, "TRIE_BYTES", budget)
+        batches = [pa.RecordBatch.from_pylist(rows[k : k + 37], schema=m.PARTIAL) for k in range(0, len(rows), 37)]
+        got = [x for b in m.final_owners(iter(batches)) for x in b.to_pylist()]
+        assert len(got) == len(want)
+        by = {x["digest"]: x for x in got}
+        for key, xs in want.items():
+            x, (points, i) = by[hashlib.sha256(key).digest()], min((-y["points"], y["id"]) for y in xs)
+            assert (x["size"], x["points"], x["keep_id"], x["group_size"]) == (len(key), -points, i, sum(y["rows"] for y in xs))
+            assert x["same"] == sum(y["same"] for y in xs if (-y["points"], y["id"]) == (points, i))
+    with pytest.raises(ValueError):
+        list(m.final_owners(iter([pa.RecordBatch.from_pylist(rows[::-1], schema=m.PARTIAL)])))
+
+
 def test_one_digest_for_two_texts_of_a_node_is_an_error():
     with pytest.raises(ValueError):
         m.merge([1, 1, 1, 1, b"a"], [1, 2, 1, 1, b"b"])
@@ -65,3 +89,22 @@ def test_repeated_rows_keep_one(docs_of):
 
 def test_empty_table(docs_of):
     assert m.exact_groups(docs_of([])).count() == 0
+
+
+def test_copies_within_a_doc_id(docs_of):
+    docs = docs_of([(1, "a  b"), (1, "a b"), (2, "ab"), (None, "x"), (None, " x")])
+    assert sorted((r.text for r in m.drop_exact_copies(docs).collect())) == [" x", "a  b"]
+    assert sorted((r.doc_id or 0, r.kept) for r in m.exact_groups(docs).collect()) == [(0, False), (0, True), (1, False), (1, True), (2, False)]
+
+
+@pytest.mark.parametrize("broadcast_texts", [0, 1000])
+def test_clashing_columns(docs_of, corpus, broadcast_texts):
+    names = ["_size", "_keep", "_same", "_text", "_bytes", "_digest", "digest", "size", "points", "keep_id", "group_size", "same", "row", "i", "n", "kept"]
+    docs = docs_of(corpus)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    out = m.drop_exact_copies(docs, broadcast_texts)
+    assert out.columns == docs.columns and [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(names)]
+    want = {(i, keep) for i, keep, _, kept, _ in brute(corpus) if kept}
+    assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted((i for i, _ in want), key=repr)
+    assert m.exact_groups(docs).count() == len(corpus)
