@@ -1,13 +1,19 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 The automaton reads a text once. At each position its output links give the pieces that end there, and each relaxes the
-best score of that position; the best path is then read backwards. Scores are the model file's. A character that is no
-piece is spelled in byte pieces, at a score below all pieces.
+best score of that position; the best path is then read backwards. A character that is no piece is spelled in byte pieces,
+at a score below all pieces.
+
+Scores are the model file's if they are log probabilities. A file whose scores are whole numbers holds merge ranks, whose
+sums mean nothing; there the piece of rank r gets the log probability -ln(r + RANK_SHIFT) - ln(sum of 1 / (r + RANK_SHIFT)),
+as pieces are ranked by frequency and frequencies fall by Zipf's law. The result is the most probable segmentation, which
+is not always the one that merging gives.
 
 Where no piece holds a space mark after another character (checked when the model is loaded), the best path of a text is
 made of the best paths of its words, so a worker keeps the ids of frequent words in a bounded cache.
 
-Decoding restores the text exactly: a space mark that stands in a text itself is spelled in bytes.
+Decoding restores the text exactly: a space mark that stands in a text itself is spelled in bytes. A word takes 14 bytes a
+character while its path is searched, however long it is.
 
 Defined results: a text gets one leading space mark, which decoding takes off again; the empty text has no ids; a null text
 has null ids and counts 0; of paths of equal score the one found first wins, longer last pieces first; an empty table gives
@@ -16,6 +22,7 @@ no rows; repeated rows give repeated rows; columns other than doc_id and text ar
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -64,9 +71,9 @@ class Pieces(dict):
         self.automaton, self.unknown = found, lowest - 10
 
     def path(self, marked: str) -> array:
-        """The ids of the best path through a text whose spaces are marks; NUL stands for a mark of the text itself."""
+        """The ids of the best path through a text whose spaces are marks; OWN_MARK stands for a mark of the text itself."""
         n = len(marked)
-        best, back = [LOWEST] * (n + 1), [None] * (n + 1)
+        best, size_of, id_of = array("d", [LOWEST]) * (n + 1), array("H", [0]) * (n + 1), array("i", [-1]) * (n + 1)
         best[0], done = 0.0, 0
 
         def spell(to: int) -> None:
@@ -77,23 +84,23 @@ class Pieces(dict):
                 if marked[done - 1] not in self.single:
                     score = best[done - 1] + self.unknown * len(self.spelled(marked[done - 1]))
                     if score > best[done]:
-                        best[done], back[done] = score, (1, -1)
+                        best[done], size_of[done], id_of[done] = score, 1, -1
 
         for last, (size, i, score) in self.automaton.iter(marked):
             if done < last:
                 spell(last)
             score += best[last + 1 - size]
             if score > best[last + 1]:
-                best[last + 1], back[last + 1] = score, (size, i)
+                best[last + 1], size_of[last + 1], id_of[last + 1] = score, size, i
         spell(n)
         ids, at = array("I"), n
         while at:
-            size, i = back[at]
+            i = id_of[at]
             if i >= 0:
                 ids.append(i)
             else:
                 ids.extend(self.byte_ids[b] for b in reversed(self.spelled(marked[at - 1])))
-            at -= size
+            at -= size_of[at]
         ids.reverse()
         return ids
 
@@ -122,11 +129,22 @@ class Pieces(dict):
         return b"".join([table[i] for i in array("I", ids)])[1:].decode("utf-8", "surrogatepass")
 
 
-#: Stands for a space mark of the text itself while a path is searched; a private character that is no piece.
-OWN_MARK = "\U0010fffd"
+#: Stands for a space mark of the text itself while a path is searched: a lone surrogate, which no UTF-8 text can hold.
+OWN_MARK = "\udfff"
+#: Mandelbrot's shift of ranks in Zipf's law.
+RANK_SHIFT = 2.7
 _MODELS: dict[str | None, Pieces] = {}
 
 
+def log_probabilities(pieces: list[tuple[str, float, str]]) -> list[tuple[str, float, str]]:
+    """pieces (text, score, kind) with log probabilities for scores, if these are merge ranks."""
+    ranks = [-score for _, score, kind in pieces if kind == "normal"]
+    if not ranks or any(r < 0 or r != int(r) for r in ranks) or not any(ranks):
+        return pieces
+    total = math.log(sum(1 / (r + RANK_SHIFT) for r in ranks))
+    return [(text, -math.log(RANK_SHIFT - score) - total if kind == "normal" else score, kind) for text, score, kind in pieces]
+
+
 def model(path: str | None) -> Pieces:
     """The worker's model; made once per worker process."""
     if path not in _MODELS:
@@ -135,7 +153,7 @@ def model(path: str | None) -> Pieces:
 
         m = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL))
         kind = lambda i: "byte" if m.is_byte(i) else "other" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "normal"
-        _MODELS[path] = Pieces([(m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())])
+        _MODELS[path] = Pieces(log_probabilities([(m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())]))
     return _MODELS[path]
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from array import array
@@ -58,6 +59,30 @@ def test_round_trip_of_the_real_model(text):
         assert p.decode(p.encode(text)) == text
 
 
+def test_any_character_comes_back():
+    p = m.model(None)
+    for text in ("\U0010fffd", "a\U0010fffd▁b ▁\U0010fffd", "\x00\x01 \uffff", "▁", " ", "  ", "▁▁ ▁"):
+        assert p.decode(p.encode(text)) == text
+
+
+def test_a_word_of_a_million_characters():
+    p, rng = m.model(None), random.Random(2)
+    text = "".join(rng.choice("theofandé日▁") for _ in range(1_000_000))
+    assert p.decode(p.encode(text)) == text
+
+
+def test_merge_ranks_become_log_probabilities():
+    pieces = [("<unk>", 0.0, "other"), ("<0x00>", 0.0, "byte"), ("▁a", 0.0, "normal"), ("b", -1.0, "normal"), ("c", -2.0, "normal")]
+    got = m.log_probabilities(pieces)
+    assert sum(math.exp(s) for _, s, k in got if k == "normal") == pytest.approx(1) and [s for _, s, k in got if k != "normal"] == [0.0, 0.0]
+    assert got[2][1] > got[3][1] > got[4][1] and got[2][1] - got[4][1] == pytest.approx(math.log((2 + m.RANK_SHIFT) / m.RANK_SHIFT))
+    given = [("a", -1.5, "normal"), ("b", -2.0, "normal")]
+    assert m.log_probabilities(given) == given
+    p = m.model(None)
+    for text, ids in (("Hello world, this is a test of pieces.", 10), ("don't stop international", 5)):  # as many as merging gives
+        assert len(p.encode(text)) // 4 == ids
+
+
 def test_words_share_no_pieces_and_the_cache_is_bounded(monkeypatch):
     p = m.model(None)
     assert p.by_word
