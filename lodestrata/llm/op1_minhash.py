@@ -18,6 +18,10 @@ are exact, by the element regions themselves:
    no pairs but the links that join components, one less than its texts at most. Texts of the bucket's largest component
    meet only the others. So no link between texts is lost to step 2, and no group makes pairs of its size squared.
 
+Regions are 64-bit hashes throughout, made once for each text that shares a band. Where regions meet, cells are bounded in
+bytes: a text that many are compared with goes once to each cell of those, and blocks of a bucket hold about BLOCK_TEXTS
+texts or BLOCK_BYTES, or twice the bucket's longest text if that is more.
+
 Components follow from the links in Spark. Result: one row per document with the smallest doc_id of its class.
 
 Defined results: a text of fewer than five words is one run of all its words; a null text or one without words is alone in
@@ -43,8 +47,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Words that are sketched at once.
 CHUNK_WORDS = 50_000
-#: Texts of a bucket that meet as one block.
-BLOCK_TEXTS = 1024
+#: Texts of a bucket that meet as one block, and bytes of their regions.
+BLOCK_TEXTS, BLOCK_BYTES = 1024, 8 << 20
+#: Bytes of regions that are compared with the first of their bucket in one cell.
+CELL_BYTES = 4 << 20
+#: A class of more than this share of all rows is counted apart; there are at most as many as this is a part of one.
+HOT_SHARE = 1 / 1000
 #: Ids that are broadcast to pick out the documents that need an exact comparison.
 BROADCAST_IDS = 1_000_000
 
@@ -153,12 +161,12 @@ def sketches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows:
         yield flush(ids, words)
 
 
-def region_rows(batches: Iterator[pa.RecordBatch], shingle: int, kind: type) -> Iterator[pa.RecordBatch]:
-    """(id, regions): kind np.uint64 for exact comparison, np.uint32 for blocks."""
+def region_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(id, regions) of texts."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            rows = [regions(shingle_hashes(hashed(split_words(x)), shingle))[0].astype(kind).tobytes() for x in part.column(1).to_pylist()]
+            rows = [regions(shingle_hashes(hashed(split_words(x)), shingle))[0].tobytes() for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["id", "regions"])
 
 
@@ -170,30 +178,42 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared)
 
 
-def linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) among (a, b, regions of a, regions of b) of at least that similarity."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = x.as_buffer(), y.as_buffer()
-            keep.append(min(x.size, y.size) >= least * max(x.size, y.size) and weighted_jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def linked(members: pa.Table, firsts: pa.Table, least: float) -> pa.Table:
+    """The pairs (a, b) of at least that similarity. members: a, b, regions of b; firsts: first, own (its regions)."""
+    known, keep = {}, []
+    for a, x in zip(firsts.column("first").to_pylist(), firsts.column("own")):
+        known.setdefault(a, []).append(np.frombuffer(x.as_buffer(), np.uint64))
+    for a, y in zip(members.column("a").to_pylist(), members.column("regions")):
+        y = np.frombuffer(y.as_buffer(), np.uint64)
+        keep.append(any(min(len(x), len(y)) >= least * max(len(x), len(y)) and weighted_jaccard(x, y) >= least for x in known[a]))
+    return members.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def regions_of(docs: DataFrame, ids: DataFrame, shingle: int, broadcast_ids: int, kind: type) -> DataFrame:
+def regions_of(docs: DataFrame, ids: DataFrame, shingle: int, broadcast_ids: int) -> DataFrame:
     """(id, regions) of the documents that ids (doc_id) names."""
     ids = cut(ids.distinct())
     if not no_broadcast_bound(ids, broadcast_ids):
         ids = F.broadcast(ids)
     texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    return cut(texts.mapInArrow(lambda it: region_rows(it, shingle, kind), "id long, regions binary"))
-
-
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: float, broadcast_ids: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are similar; a < b."""
-    found = regions_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), shingle, broadcast_ids, np.uint64)
-    rows = pairs.join(found.select(F.col("id").alias("a"), F.col("regions").alias("ra")), "a").join(found.select(F.col("id").alias("b"), F.col("regions").alias("rb")), "b")
-    return cut(rows.select("a", "b", "ra", "rb").mapInArrow(lambda it: linked(it, least), "a long, b long"))
+    return cut(texts.mapInArrow(lambda it: region_rows(it, shingle), "id long, regions binary"))
+
+
+def verified(pairs: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar. found: (id, regions) of all of them."""
+    sizes = found.groupBy("id").agg(F.min(F.octet_length("regions")).alias("_low"), F.max(F.octet_length("regions")).alias("_high"))
+    of = lambda c: sizes.select(F.col("id").alias(c), F.col("_low").alias(f"_low_{c}"), F.col("_high").alias(f"_high_{c}"))
+    near = (F.col("_high_a") >= least * F.col("_low_b")) & (F.col("_high_b") >= least * F.col("_low_a"))
+    pairs = cut(pairs.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b", F.col("_high_a").cast("long").alias("_own"), F.col("_high_b").cast("long").alias("_bytes")))
+    held = pairs.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
+    group = F.pmod(F.xxhash64("a"), F.lit(max(1, -(-held // CELL_BYTES)))).cast("int").alias("grp")
+    # a cell holds no less of a text's partners than of the text itself, so repeating it at most doubles what is sent
+    firsts = pairs.groupBy("a").agg(F.ceil(F.sum("_bytes") / F.greatest(F.lit(CELL_BYTES), F.max("_own"))).cast("int").alias("_cells"))
+    members = pairs.join(firsts, "a").select(group, F.pmod(F.xxhash64("b"), F.col("_cells")).cast("int").alias("cell"), "a", "b")
+    members = members.join(found.withColumnRenamed("id", "b"), "b")
+    firsts = firsts.select(group, F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("cell"), "a")
+    firsts = firsts.join(found.withColumnRenamed("id", "a"), "a").select(F.col("grp").alias("grp"), F.col("cell").alias("cell"), F.col("a").alias("first"), F.col("regions").alias("own"))
+    cells = members.groupBy("grp", "cell").cogroup(firsts.groupBy("grp", "cell"))
+    return cut(cells.applyInArrow(lambda m, f: linked(m, f, least), "a long, b long").distinct())
 
 
 def across(table: pa.Table, least: float) -> pa.Table:
@@ -202,7 +222,7 @@ def across(table: pa.Table, least: float) -> pa.Table:
     Texts of side 0 meet those of side 1; side 2 stands for both.
     """
     ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-    parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("regions")]
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("regions")]
     sizes = np.array([len(x) for x in parts])
     names, flat = np.unique(np.concatenate(parts), return_inverse=True)
     starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(names), bool)
@@ -226,13 +246,16 @@ def across(table: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def cross_links(docs: DataFrame, buckets: DataFrame, labels: DataFrame, shingle: int, least: float, broadcast_ids: int) -> DataFrame:
-    """Candidate links (a, b) between components that share a bucket. buckets: band, id."""
+def cross_links(found: DataFrame, buckets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between components that share a bucket. buckets: band, id; found: (id, regions) of all ids."""
+    sizes = found.groupBy("id").agg(F.max(F.octet_length("regions")).cast("long").alias("_bytes"))
     rows = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    each = rows.groupBy("band", "label").agg(F.count("*").alias("_n"))
-    mixed = each.groupBy("band").agg(F.max_by("label", "_n").alias("_major"), F.max("_n").alias("_m"), F.sum("_n").alias("_n"), F.count("*").alias("_labels")).where("_labels > 1")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK_TEXTS)).cast("int")
-    rows = cut(rows.join(mixed.select("band", "_major", blocks(F.col("_m")).alias("_of_major"), blocks(F.col("_n") - F.col("_m")).alias("_of_minor")), "band"))
+    each = rows.join(sizes, "id").groupBy("band", "label").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_b"), F.max("_bytes").alias("_most"))
+    # the largest component of a bucket, by texts; what is left of the bucket's sums are the others
+    mixed = each.groupBy("band").agg(F.max_by(F.struct("label", "_n", "_b"), "_n").alias("_major"), F.sum("_n").alias("_n"), F.sum("_b").alias("_b"), F.max("_most").alias("_most"), F.count("*").alias("_labels")).where("_labels > 1")
+    blocks = lambda n, b: F.ceil(F.greatest(n / F.lit(BLOCK_TEXTS), b / F.greatest(F.lit(BLOCK_BYTES), 2 * F.col("_most")))).cast("int")
+    major, minor = blocks(F.col("_major._n"), F.col("_major._b")), blocks(F.col("_n") - F.col("_major._n"), F.col("_b") - F.col("_major._b"))
+    rows = cut(rows.join(mixed.select("band", F.col("_major.label").alias("_major"), major.alias("_of_major"), minor.alias("_of_minor")), "band"))
 
     # cells of kind 1: a block of the largest component against a block of the others; of kind 0: two blocks of the others
     major = F.col("label") == F.col("_major")
@@ -244,10 +267,9 @@ def cross_links(docs: DataFrame, buckets: DataFrame, labels: DataFrame, shingle:
     with_major = F.transform(to("_of_major"), lambda w: cell(1, w, F.col("_own"), F.lit(1)))
     among = F.transform(to("_of_minor"), lambda w: cell(0, F.least("_own", w), F.greatest(F.col("_own"), w), F.when(F.col("_own") == w, 2).when(F.col("_own") < w, 0).otherwise(1)))
     cells = rows.select("band", "id", "label", F.explode(F.when(major, with_minor).otherwise(F.concat(with_major, among))).alias("x")).select("band", "id", "label", "x.*")
-    regions_by_id = regions_of(docs, rows.select(F.col("id").alias("doc_id")), shingle, broadcast_ids, np.uint32)
     columns = ["id", "label", "side", "regions"]
-    found = cells.join(regions_by_id, "id").groupBy("band", "kind", "i", "j").applyInArrow(lambda t: across(t.select(columns), least), "a long, b long")
-    return cut(found.distinct())
+    links = cells.join(found, "id").groupBy("band", "kind", "i", "j").applyInArrow(lambda t: across(t.select(columns), least), "a long, b long")
+    return cut(links.distinct())
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -262,20 +284,24 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     shared = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("_last")).where("first < _last").drop("_last")
     buckets = cut(banded.join(shared, "band"))
     pairs = cut(buckets.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    links = verified(known, pairs, shingle, similarity, broadcast_ids)
+    held = regions_of(known, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), shingle, broadcast_ids)
+    links = verified(pairs, held, similarity)
     labels = components(links)
 
-    more = cross_links(known, buckets.select("band", "id"), labels, shingle, similarity, broadcast_ids)
+    more = cross_links(held, buckets.select("band", "id"), labels, similarity)
     if more.limit(1).count():
-        labels = components(links.union(verified(known, more, shingle, similarity, broadcast_ids)))
+        labels = components(links.union(more))
 
     of_text = texts.select("text_key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("text_key", F.coalesce("label", "id").alias("class_id"))
     members = sketched.select("doc_id", "text_key").distinct().join(of_text, "text_key").select("doc_id", "class_id")
     # a doc_id that stands for several texts belongs to the smallest of their classes
     members = members.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    found = source.select("doc_id").join(members, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    sizes = found.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = found.join(sizes, "class_id", "left").withColumn("class_size", F.when(F.col("class_id").isNull(), F.lit(1)).otherwise(F.col("class_size")).cast("long"))
+    found = cut(source.select("doc_id").join(members, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
+    sizes = cut(found.where("class_id is not null").groupBy("class_id").agg(F.count("*").cast("long").alias("class_size")))
+    # rows of large classes stay where they are: of such classes there are few, whatever the input
+    hot = F.broadcast(sizes.where(F.col("class_size") > F.lit(HOT_SHARE * found.count())))
+    rest = found.join(hot, "class_id", "left_anti").join(sizes, "class_id", "left").withColumn("class_size", F.coalesce("class_size", F.lit(1).cast("long")))
+    out = found.join(hot, "class_id").unionByName(rest)
     return out.select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 

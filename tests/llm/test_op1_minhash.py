@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import op1_minhash as m
 from lodestrata.llm.components import components
@@ -70,6 +71,7 @@ def test_classes_equal_brute_force(docs_of, corpus):
 
 def test_blocks_and_joins_instead_of_broadcasts_change_nothing(docs_of, corpus, monkeypatch):
     monkeypatch.setattr(m, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(m, "CELL_BYTES", 3000)
     got = m.near_classes(docs_of(corpus, 3), broadcast_ids=0, similarity=0.9).collect()
     assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == brute(corpus, 0.9)
 
@@ -124,5 +126,28 @@ def test_stage(docs_of, corpus):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect() if r.doc_id is not None} == want
 
 
+def test_blocks_are_bounded_in_bytes_and_long_texts_pass(docs_of, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(m, "CELL_BYTES", 2000)
+    monkeypatch.setattr(m, "CHUNK_WORDS", 100)
+    base = [f"v{k}" for k in range(100)]
+    a, b = base[:84] + [f"a{k}" for k in range(16)], base[:84] + [f"b{k}" for k in range(16)]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*b[:-1], "other"]))] + [(10 + k, " ".join([*a[:-1], f"n{k}"])) for k in range(20)]
+    long = [f"w{k % 5000}" for k in range(200_000)]
+    rows += [(100, " ".join(long)), (101, " ".join([*long[:-50], *base[:50]])), (102, " ".join(long[: len(long) // 2])), (103, "")]
+    got = {r.doc_id: r.class_id for r in m.near_classes(docs_of(rows)).collect()}
+    assert got == brute(rows) and got[101] == 100 and got[102] == 102
+
+
+def test_clashing_columns(docs_of, corpus):
+    names = ["id", "a", "b", "band", "bands", "label", "node", "class_id", "_gone", "regions", "grp", "cell", "text_key", "kept", "first"]
+    docs = docs_of(corpus)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    out = m.drop_near_copies(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(names)]
+    assert {r.doc_id for r in out.collect() if r.doc_id is not None} == {i for i, top in brute(corpus).items() if i == top}
+
+
 def test_empty_table(docs_of):
     assert m.near_classes(docs_of([])).count() == 0
