@@ -5,7 +5,8 @@ earlier in the corpus (smaller doc_id, or the same document and an earlier start
 
 1. Anchors: every document's non-overlapping blocks of `block` words are the index. A window of at least 2 * block - 1
    words holds one whole block of its document, so of two equal windows each holds an anchor of the other.
-2. Probes: every rolling run of `block` words probes the index. Documents are dealt to groups by doc_id ranges; a group
+2. Probes: every rolling run of `block` words probes the index. Documents are dealt to groups by ranges of doc_id that hold
+   like bytes; rows of one doc_id, or without one, that fill more than a range are split by a hash of their text. A group
    sends each distinct fingerprint once, packed by fingerprint bucket, so neither a frequent passage nor copies of a
    document crowd a bucket, and a row holds thousands of fingerprints instead of one. A bucket answers each group with
    those of its probes that are anchors and occur twice.
@@ -17,9 +18,12 @@ Groups and buckets grow with the corpus and stay of one size; nothing is collect
 the first exchange are 32 bits in a bucket: a false hit costs an extended window and cannot change the result. Texts are
 shuffled once, and the three passes read the same exchange.
 
+Equality is that of hashes: windows are equal if 96 bits of a sum over their words' 64-bit hashes are. For n distinct windows
+and v distinct words, texts that differ are taken for equal with a probability under n**2 / 2**97 + v**2 / 2**65.
+
 Defined results: a null text has no words; documents of fewer than `window` words lose none; a null doc_id sorts after all
-others; rows of equal doc_id are in the order of their texts; repeated rows give repeated rows; an empty table gives no
-rows; columns other than doc_id and text are ignored.
+others; rows of equal doc_id are in the order of a hash of their texts; repeated rows give repeated rows; an empty table
+gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,16 +43,18 @@ from .words import constants, hashed, members, mix, split_words, windows
 
 #: Bytes of text in a group and fingerprints in a bucket, on average.
 GROUP_BYTES, BUCKET_PRINTS = 6 << 20, 1 << 20
-#: Quantiles of doc_id; between two of them groups are of equal width.
-QUANTILES = 128
+#: Most marks between groups that are quantiles of doc_id by bytes; with more groups, those between two marks are of equal width.
+MARKS = 4096
+#: Bytes of text for which a row counts once more when quantiles are taken.
+UNIT = 4096
 
 
 class Group:
     """The documents of one group in order, their words and hashes one after the other."""
 
     def __init__(self, table: pa.Table, window: int, block: int) -> None:
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or ""))
+        ids, texts, ties = (table.column(c).to_pylist() for c in ("doc_id", "text", "tie"))
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, ties[k], texts[k] or ""))
         self.window, self.block = window, block
         self.ids = [ids[k] for k in order]
         self.words = [split_words(texts[k]) for k in order]
@@ -220,25 +227,44 @@ def texts(table: pa.Table, found: pa.Table, window: int, block: int, buckets: in
     return rows_to_table(rows, TEXTS)
 
 
-def group_column(docs: DataFrame, groups: int):
-    """The number of the doc_id range that a row belongs to, rising with doc_id; nulls come last."""
-    x = F.col("doc_id").cast("long")
-    marks = sorted(set(docs.select(x.alias("x")).approxQuantile("x", [k / QUANTILES for k in range(QUANTILES + 1)], 0.001)))
-    marks = sorted({int(m) for m in marks})
-    if len(marks) < 2:
-        return F.when(x.isNull(), 1).otherwise(0).cast("int")
-    each = max(1, math.ceil(groups / (len(marks) - 1)))
-
-    def choose(a: int, b: int):
-        """marks[a] to marks[b] hold x, but for values outside all marks."""
-        if b - a == 1:
-            lo, hi = marks[a], marks[b]
-            part = F.floor((x - F.lit(lo)).cast("double") * each / F.lit(float(hi - lo))).cast("int")
-            return F.lit(a * each) + F.greatest(F.lit(0), F.least(F.lit(each - 1), part))
-        mid = (a + b) // 2
-        return F.when(x < F.lit(marks[mid]), choose(a, mid)).otherwise(choose(mid, b))
-
-    return F.when(x.isNull(), F.lit((len(marks) - 1) * each)).otherwise(choose(0, len(marks) - 1)).cast("int")
+def group_of(ids: np.ndarray, missing: np.ndarray, ties: np.ndarray, marks: np.ndarray, each: int, null_groups: int) -> np.ndarray:
+    """The numbers of the groups that rows belong to, rising with (doc_id, tie); missing doc_ids come last.
+
+    marks are quantiles. Up to each mark there are `each` groups of equal width, and a doc_id that is several marks has as
+    many more groups of its own, to which its rows are dealt by their ties, in [0, 1).
+    """
+    at, times = np.unique(marks, return_counts=True)
+    own = (times - 1) * each
+    first = np.arange(len(at) + 1) * each + np.concatenate([[0], np.cumsum(own)])
+    j = np.searchsorted(at, ids)
+    left, right = at[np.maximum(j - 1, 0)].astype(np.float64), at[np.minimum(j, len(at) - 1)].astype(np.float64)
+    inside = np.clip(np.floor((ids - left) * each / np.maximum(right - left, 1)), 0, each - 1).astype(np.int64)
+    inside[(j == 0) | (j == len(at))] = 0
+    more = np.append(own, 0)[j]
+    many = (more > 0) & (right == ids)
+    group = first[j] + np.where(many, each + np.minimum((ties * more).astype(np.int64), more - 1), inside)
+    nulls = first[-1] + each + np.minimum((ties * null_groups).astype(np.int64), null_groups - 1)
+    return np.where(missing, nulls, group).astype(np.int32)
+
+
+def grouped(docs: DataFrame, groups: int, size: int) -> DataFrame:
+    """docs with tie, a hash of the text in [0, 1), and grp. size: bytes of all texts."""
+    x, n = F.col("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0))
+    units = (F.lit(1) + F.floor(n / F.lit(UNIT))).cast("int")
+    weights = docs.select(x.alias("x"), F.explode(F.array_repeat(F.lit(0), units)))
+    at = min(groups, MARKS)
+    marks = np.array(sorted(int(m) for m in weights.where("x is not null").approxQuantile("x", [k / at for k in range(1, at)], 1 / (8 * at))), np.int64) if at > 1 else np.empty(0, np.int64)
+    nulls = docs.where(x.isNull()).agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    each, null_groups = -(-groups // at), max(1, -(-nulls * groups // max(1, size)))
+
+    @F.pandas_udf("int")
+    def number(ids: pd.Series, missing: pd.Series, ties: pd.Series) -> pd.Series:
+        if not len(marks):
+            return missing.astype("int32")
+        return pd.Series(group_of(ids.to_numpy(), missing.to_numpy(), ties.to_numpy(), marks, each, null_groups))
+
+    tie = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), 11) / F.lit(2.0**53)
+    return docs.withColumn("tie", tie).withColumn("grp", number(F.coalesce(x, F.lit(0)), x.isNull(), "tie"))
 
 
 def deduplicate(docs: DataFrame, window: int = 20, block: int = 10, output=digests, schema: pa.Schema = RESULT) -> DataFrame:
@@ -250,7 +276,7 @@ def deduplicate(docs: DataFrame, window: int = 20, block: int = 10, output=diges
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(least, math.ceil(size / GROUP_BYTES))
     buckets = max(least, math.ceil(size / 6 / BUCKET_PRINTS))
-    dealt = docs.withColumn("grp", group_column(docs, groups)).repartition(groups, "grp")
+    dealt = grouped(docs, groups, size).repartition(groups, "grp")
 
     prints = dealt.groupBy("grp").applyInArrow(lambda t: prints_of(t, window, block, buckets), ddl(PRINTS))
     hits = prints.groupBy("bucket").applyInArrow(hits_of, ddl(FOUND))

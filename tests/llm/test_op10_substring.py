@@ -3,9 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestrata.llm.op10_substring import TEXTS, deduplicate, texts
+from lodestrata.llm.op10_substring import TEXTS, deduplicate, group_of, grouped, texts
 
 
 def brute(rows, window=20):
@@ -71,6 +73,38 @@ def test_texts(docs_of):
     assert got == {1: " ".join(words), 2: "start end"}
 
 
+def test_groups_keep_the_order_and_are_split():
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([rng.integers(-50, 50, 400), np.full(900, 7), rng.integers(10**9, 10**9 + 400, 800), rng.integers(-(10**12), 10**12, 50)])
+    missing, ties = rng.random(len(ids)) < 0.3, rng.random(len(ids))
+    marks = np.sort(np.quantile(ids, np.arange(1, 40) / 40, method="lower").astype(np.int64))
+    for each in (1, 3):
+        got = group_of(ids, missing, ties, marks, each, 12)
+        order = sorted(range(len(ids)), key=lambda k: (bool(missing[k]), 0 if missing[k] else ids[k], ties[k]))
+        assert (np.diff(got[order]) >= 0).all()
+        counts = np.bincount(got)
+        assert counts.max() < 0.06 * len(ids)
+
+
+def test_rows_without_doc_id_or_of_one_are_split(docs_of):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(50)}" for _ in range(30))
+    rows = [(None, text()) for _ in range(300)] + [(7, text()) for _ in range(300)] + [(k, text()) for k in range(60)]
+    dealt = grouped(docs_of(rows).select("doc_id", "text"), 30, sum(len(t) for _, t in rows))
+    sizes = [r["count"] for r in dealt.groupBy("grp").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 90
+    passage = " ".join(f"p{k}" for k in range(25))
+    out = deduplicate(docs_of([(None, f"{passage} x{k}") for k in range(40)] + [(7, f"{passage} y{k}") for k in range(40)]))
+    assert sorted(r.n_removed for r in out.collect()) == [0] + [25] * 79 and out.where("n_removed = 0").first().doc_id == 7
+
+
+def test_clashing_columns(docs_of, corpus):
+    docs = docs_of(corpus)
+    for n in ("grp", "tie", "bucket", "found", "kind", "probes", "x"):
+        docs = docs.withColumn(n, F.lit(n))
+    assert result(deduplicate(docs)) == brute(corpus)
+
+
 def test_window_must_hold_a_block(docs_of):
     with pytest.raises(ValueError):
         deduplicate(docs_of([]), window=10, block=10)
