@@ -33,8 +33,17 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only a session without that setting (tests, one machine) gets a folder of its own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestrata-{os.getpid()}"
+    """The folder of spark.checkpoint.dir. Only a session on one machine may lack that setting and gets a folder of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    return at or f"file://{tempfile.gettempdir()}/lodestrata-{os.getpid()}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark writes to."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -59,8 +68,7 @@ class Rounds:
         path = f"{shared_folder(self.spark)}/rounds-{uuid.uuid4().hex}"
         df.write.parquet(path)
         if self.path:
-            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+            remove(self.spark, self.path)
         self.path = path
         return self.spark.read.schema(df.schema).parquet(path)
 

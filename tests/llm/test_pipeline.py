@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 sys.path.insert(0, os.path.dirname(__file__))
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestrata.llm import op4_pii
 from lodestrata.llm.op7_packing import cut_points, encoder
@@ -61,3 +63,19 @@ def test_stages_and_run(spark, docs_of, tmp_path):
     for i, t in want.items():
         pieces.update((i, k, s, n) for k, (s, n) in enumerate(cut_points(len(e.encode(t)) // 4 + 1, 2048)))
     assert Counter((r.doc_id, r.piece, r.start, r.length) for r in got) == pieces
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, docs_of):
+    names = ["id", "key", "row", "digest", "keep_id", "class_id", "lang_pred", "score", "terms", "actions", "_u", "_gone", "piece", "length_"]
+    rows = [(1, None), (None, "the of and tion"), (2, ""), (3, "the of and tion wher", "en"), (3, "the of and tion wher", "en"), (4, "mail a.b@example.org the of", "en"), (None, None)]
+    for docs in (docs_of([]), docs_of(rows)):
+        for n in names:
+            docs = docs.withColumn(n, F.lit(n))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns, name
+            found = out.collect()
+            assert all(r[n] == n for r in found for n in names), name
+            assert len(found) == 0 or docs.count(), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert packed.count() == docs.count()
