@@ -1,140 +1,193 @@
-"""How well bytes hold up as a file of a kind: scores of 0 to 100. The scores are fixed values of the scoring scheme."""
+"""How well bytes hold up as a file of a kind: scores of 0 to 100.
+
+A reader for each format takes the bytes apart as the published format says and tells what it met; SCORES says what that is
+worth. So what is read and how it is judged stay apart, and other functions can use the readers.
+"""
 
 from __future__ import annotations
 
 import re
 import struct
 import zlib
+from collections.abc import Iterator
+
+# What is worth how much, for each format. Of the listed lines the first one whose findings were all made counts.
+SCORES: dict[str, tuple[tuple[int, str], ...]] = {
+    "jpeg": ((95, "image end, scan"), (70, "image end, segment"), (30, "image end"), (20, "bad length"), (75, "scan"), (50, "segment"), (20, "")),
+    "png": ((30, "bad name"), (10, "no header chunk"), (98, "end chunk, good sum"), (80, "end chunk"), (60, "cut"), (40, "bad sum"), (70, "good sum"), (0, "")),
+    "bmp": ((5, "bad offset"), (25, "no information"), (10, "unknown information"), (20, "no extent"), (15, "large extent"), (90, "whole"), (70, "")),
+    "zip": ((95, "directory, directory end"), (70, "directory end"), (60, "directory"), (30, "")),
+    "pdf": ((20, "no version"), (90, "object, trailer"), (55, "object"), (50, "trailer"), (25, "")),
+    "gzip": ((20, "unknown method"), (30, "cut header"), (40, "no room for a trailer"), (85, "")),
+    "sqlite": ((0, "bad page size"), (90, "page count"), (60, "")),
+    "mp4": ((0, "no ftyp"), (95, "moov, mdat"), (75, "moov"), (75, "mdat"), (50, "")),
+}
+# What a RIFF file holds, by its form; scores of a known and of another form, and of a transport stream.
+RIFF_KINDS = {b"WEBP": "webp", b"AVI ": "avi", b"WAVE": "wav"}
+RIFF_KNOWN, RIFF_OTHER, STREAM = 90, 15, 92
+# The largest plausible place of a bitmap's pixels and its largest extent; packets that are looked at.
+PIXELS_TO, EXTENT_TO, PACKETS = 1 << 20, 65535, 5
 
 
-def jpeg(data: bytes) -> int:
-    """95 with scan and end marker, 75 with a scan only, 70 or 50 with segments, 30 or 20 with none; 0 if it is none."""
-    if len(data) < 4 or data[:2] != b"\xff\xd8":
-        return 0
-    segment = scan = False
+def worth(kind: str, seen: set[str]) -> int:
+    return next(score for score, needed in SCORES[kind] if seen.issuperset(filter(None, needed.split(", "))))
+
+
+# JPEG (ITU-T T.81, annex B): markers are FF and a byte that is neither 00 nor fill; most carry a length.
+_MARKER = re.compile(rb"\xff+([^\x00\xff\xd0-\xd7])")
+SOI, EOI, SOS = 0xD8, 0xD9, 0xDA
+
+
+def jpeg_segments(data: bytes) -> Iterator[tuple[int, int, int]]:
+    """(marker, start, end of its parameters) after the image's start, up to its end; what follows a scan's header is skipped as data.
+
+    The end is 0 for a length that cannot be. A marker without room for a length ends it.
+    """
     at = 2
-    while True:
-        at = data.find(b"\xff", at)
-        if at < 0 or at + 1 >= len(data):
-            break
-        marker = data[at + 1]
-        if marker == 0xD9:
-            return 95 if scan else 70 if segment else 30
-        if marker == 0 or 0xD0 <= marker <= 0xD7:
-            at += 2
-            continue
-        if at + 3 >= len(data):
-            break
-        n = int.from_bytes(data[at + 2 : at + 4], "big")
+    while found := _MARKER.search(data, at):
+        marker, here = found[1][0], found.end()
+        if marker == EOI:
+            yield marker, found.start(), here
+            return
+        if here + 2 > len(data):
+            return
+        n = int.from_bytes(data[here : here + 2], "big")
+        yield marker, found.start(), here + n if n >= 2 else 0
         if n < 2:
-            return 20
-        segment, scan = True, scan or marker == 0xDA
-        at += 2 + n
-    return 75 if scan else 50 if segment else 20
+            return
+        at = here + n
 
 
-def png(data: bytes) -> int:
-    """98 if all chunks to the end have right checksums; 40 at the first wrong one; less the earlier it breaks off."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
+def jpeg(data: bytes) -> int:
+    if len(data) < 4 or data[:2] != bytes([0xFF, SOI]):
         return 0
-    at, checked = 8, 0
+    seen = set()
+    for marker, _, end in jpeg_segments(data):
+        seen.add("image end" if marker == EOI else "segment" if end else "bad length")
+        if marker == SOS and end:
+            seen.add("scan")
+    return worth("jpeg", seen)
+
+
+PNG_HEAD = b"\x89PNG\r\n\x1a\n"
+
+
+def png_chunks(data: bytes) -> Iterator[tuple[bytes, int, int, bool | None]]:
+    """(kind, start and end of the payload, whether its sum is right); None if the bytes end before the sum."""
+    at = len(PNG_HEAD)
     while at + 12 <= len(data):
         n, kind = struct.unpack_from(">I4s", data, at)
-        if not kind.isalpha() or not kind.isascii():
-            return 30
-        if at == 8 and kind != b"IHDR":
-            return 10
-        if kind == b"IEND":
-            return 98 if checked else 80
-        end = at + 8 + n
-        if end + 4 > len(data):
-            return 60
-        if zlib.crc32(data[at + 4 : end]) != int.from_bytes(data[end : end + 4], "big"):
-            return 40
-        checked, at = checked + 1, end + 4
-    return 0 if at == 8 and not checked else 70 if checked else 40
+        start, end = at + 8, at + 8 + n
+        whole = end + 4 <= len(data)
+        yield kind, start, end, zlib.crc32(data[at + 4 : end]) == int.from_bytes(data[end : end + 4], "big") if whole else None
+        if not whole:
+            return
+        at = end + 4
+
+
+def png(data: bytes) -> int:
+    if not data.startswith(PNG_HEAD):
+        return 0
+    seen = set()
+    for k, (kind, _, _, right) in enumerate(png_chunks(data)):
+        if not (kind.isascii() and kind.isalpha()):
+            seen.add("bad name")
+        elif not k and kind != b"IHDR":
+            seen.add("no header chunk")
+        elif kind == b"IEND":
+            seen.add("end chunk")
+        else:
+            seen.add({True: "good sum", False: "bad sum", None: "cut"}[right])
+        if seen - {"good sum"}:
+            break
+    return worth("png", seen)
+
+
+def bmp_fields(data: bytes) -> dict[str, int]:
+    """size, pixels, and as far as the bytes go, information (bytes of that header), width and height."""
+    out = dict(zip(("size", "pixels"), struct.unpack_from("<I4xI", data, 2)))
+    if len(data) >= 18:
+        out["information"] = int.from_bytes(data[14:18], "little")
+    if len(data) >= 26 and out["information"] >= 40:
+        out["width"], out["height"] = (abs(x) for x in struct.unpack_from("<ii", data, 18))
+    return out
 
 
 def bmp(data: bytes) -> int:
-    if len(data) < 14 or data[:2] != b"BM":
+    if len(data) < 14 or not data.startswith(b"BM"):
         return 0
-    size, offset = struct.unpack_from("<I4xI", data, 2)
-    if not 14 <= offset <= 1 << 20 or 0 < size < offset:
-        return 5
-    if len(data) < 18:
-        return 25
-    header = int.from_bytes(data[14:18], "little")
-    if header not in (12, 40, 108, 124):
-        return 10
-    if len(data) >= 26 and header >= 40:
-        width, height = struct.unpack_from("<ii", data, 18)
-        if not width or not height:
-            return 20
-        if max(abs(width), abs(height)) > 65535:
-            return 15
-    return 90 if 0 < size <= len(data) else 70
+    x = bmp_fields(data)
+    extents = [x[k] for k in ("width", "height") if k in x]
+    findings = {
+        "bad offset": not 14 <= x["pixels"] <= PIXELS_TO or 0 < x["size"] < x["pixels"],
+        "no information": "information" not in x,
+        "unknown information": x.get("information") not in (12, 40, 108, 124),
+        "no extent": 0 in extents,
+        "large extent": max(extents, default=0) > EXTENT_TO,
+        "whole": 0 < x["size"] <= len(data),
+    }
+    return worth("bmp", {name for name, made in findings.items() if made})
 
 
 def zip_(data: bytes) -> int:
-    """By what the last 64 KiB show of the central directory and its end record."""
-    if data[:4] != b"PK\x03\x04":
+    """By the records in the last bytes, as far as a comment may push the end record forward."""
+    if not data.startswith(b"PK\x03\x04"):
         return 0
-    tail = data[-65557:]
-    central, end = b"PK\x01\x02" in tail, b"PK\x05\x06" in tail
-    return 95 if central and end else 70 if end else 60 if central else 30
+    tail = data[-(0xFFFF + 22) :]
+    return worth("zip", {name for name, mark in (("directory", b"PK\x01\x02"), ("directory end", b"PK\x05\x06")) if mark in tail})
 
 
 def pdf(data: bytes) -> int:
-    if len(data) < 8 or data[:5] != b"%PDF-":
+    if len(data) < 8 or not data.startswith(b"%PDF-"):
         return 0
-    if not data[5:6].isdigit():
-        return 20
-    body, end = b"obj" in data, b"%%EOF" in data[-1024:]
-    return 90 if body and end else 55 if body else 50 if end else 25
+    findings = {"no version": not data[5:6].isdigit(), "object": b"obj" in data, "trailer": b"%%EOF" in data[-1024:]}
+    return worth("pdf", {name for name, made in findings.items() if made})
 
 
-RIFF_KINDS = {b"WEBP": "webp", b"AVI ": "avi", b"WAVE": "wav"}
+def riff(data: bytes) -> int:
+    if len(data) < 12 or not data.startswith(b"RIFF"):
+        return 0
+    return RIFF_KNOWN if data[8:12] in RIFF_KINDS else RIFF_OTHER
 
 
-def riff(data: bytes) -> int:
-    return 0 if len(data) < 12 or data[:4] != b"RIFF" else 90 if data[8:12] in RIFF_KINDS else 15
+# gzip (RFC 1952): bits of the flags that announce a field after the fixed header, in the order of the fields.
+_EXTRA, _NAME, _COMMENT, _RESERVED = 4, 8, 16, 0xE0
+
+
+def gzip_body(data: bytes) -> int | None:
+    """Where the compressed data of a member begin; None if the header is cut."""
+    at, flags = 10, data[3]
+    if flags & _EXTRA:
+        at += 2 + int.from_bytes(data[at : at + 2], "little") if at + 2 <= len(data) else len(data)
+    for bit in (_NAME, _COMMENT):
+        if flags & bit:
+            at = data.find(b"\0", at) + 1 or len(data) + 1
+    return at if at <= len(data) else None
 
 
 def gzip(data: bytes) -> int:
-    if len(data) < 10 or data[:2] != b"\x1f\x8b":
+    if len(data) < 10 or not data.startswith(b"\x1f\x8b"):
         return 0
-    flags = data[3]
-    if data[2] != 8 or flags & 0xE0:
-        return 20
-    at = 10
-    if flags & 4:
-        if at + 2 > len(data):
-            return 30
-        at += 2 + int.from_bytes(data[at : at + 2], "little")
-    for bit in (8, 16):
-        if flags & bit:
-            end = data.find(b"\0", at)
-            if end < 0:
-                return 30
-            at = end + 1
-    return 30 if at > len(data) else 40 if at + 8 > len(data) else 85
+    if data[2] != 8 or data[3] & _RESERVED:
+        return worth("gzip", {"unknown method"})
+    body = gzip_body(data)
+    return worth("gzip", {"cut header"} if body is None else {"no room for a trailer"} if body + 8 > len(data) else set())
 
 
 def mpeg_ts(data: bytes) -> int:
-    """Five packets of 188 bytes that start with the sync byte."""
-    return 92 if len(data) >= 940 and all(data[188 * k] == 0x47 for k in range(5)) else 0
+    """A transport stream: the first packets of 188 bytes start with the sync byte."""
+    return STREAM if len(data) >= 188 * PACKETS and data[: 188 * PACKETS : 188] == b"\x47" * PACKETS else 0
 
 
 def sqlite(data: bytes) -> tuple[int, int]:
     """(score, size) from the header's page size and page count."""
-    if data[:16] != b"SQLite format 3\0" or len(data) < 32:
+    if len(data) < 32 or not data.startswith(b"SQLite format 3\0"):
         return 0, 0
-    page = int.from_bytes(data[16:18], "big")
-    page = 65536 if page == 1 else page
-    pages = int.from_bytes(data[28:32], "big")
-    if page < 512 or page & (page - 1):
-        return 0, 0
-    return (90, page * pages) if pages else (60, 0)
+    page, pages = struct.unpack_from(">H10xI", data, 16)
+    page = 1 << 16 if page == 1 else page  # the one value that two bytes can't hold
+    if page < 512 or page.bit_count() != 1:
+        return worth("sqlite", {"bad page size"}), 0
+    return worth("sqlite", {"page count"} if pages else set()), page * pages
 
 
 def mp4(data: bytes) -> tuple[int, int]:
@@ -142,14 +195,13 @@ def mp4(data: bytes) -> tuple[int, int]:
     from .binary import atoms
 
     kinds, end = [], 0
-    for kind, _, e in atoms(data):
+    for kind, _, stop in atoms(data):
         if not re.fullmatch(rb"[A-Za-z0-9 \xa9]{4}", kind):
             break
-        kinds.append(kind)
-        end = e
-    if not kinds or kinds[0] != b"ftyp":
-        return 0, 0
-    return (95 if b"moov" in kinds and b"mdat" in kinds else 75 if b"moov" in kinds or b"mdat" in kinds else 50), end
+        kinds.append(kind.decode("latin-1"))
+        end = stop
+    first = kinds[:1] == ["ftyp"]
+    return worth("mp4", {*kinds, *([] if first else ["no ftyp"])}), end if first else 0
 
 
 def office_kind(data: bytes) -> str:

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.classify import usn_event_type
-from ..operators.windows import SpeedMeter
+from ..operators.intervals import CARVE_COPY_CONFIDENCE
+from ..operators.windows import eta_fold
 from ..schema import DUPLICATE
 
 
@@ -57,17 +58,14 @@ def eta_stream(ticks: DataFrame, key: str) -> DataFrame:
     out = f"{key} {kind}, time_ms long, work long, speed double, eta_seconds double, stalled boolean"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        meter = SpeedMeter()
-        if state.exists:
-            history, meter.speed = state.get
-            meter.history = [tuple(x) for x in json.loads(history)]
+        held = json.loads(state.get[0]) if state.exists else None
         for frame in frames:
             frame = frame.sort_values(["time_ms", "work"], kind="stable")
-            found = [meter.tick(int(t), int(w), int(n)) for t, w, n in zip(frame["time_ms"], frame["work"], frame["total"])]
-            yield pd.DataFrame({key: k[0], "time_ms": frame["time_ms"].to_numpy(), "work": frame["work"].to_numpy(), "speed": [x[0] for x in found], "eta_seconds": [x[1] for x in found], "stalled": [x[2] for x in found]})
-        state.update((json.dumps(meter.history), float(meter.speed)))
+            held, speed, left, stalled = eta_fold(held, *(frame[c].to_numpy(dtype="int64") for c in ("time_ms", "work", "total")))
+            yield pd.DataFrame({key: k[0], "time_ms": frame["time_ms"].to_numpy(), "work": frame["work"].to_numpy(), "speed": speed, "eta_seconds": left, "stalled": stalled})
+        state.update((json.dumps(held),))
 
-    return ticks.groupBy(key).applyInPandasWithState(step, out, "history string, speed double", "append", GroupStateTimeout.NoTimeout)
+    return ticks.groupBy(key).applyInPandasWithState(step, out, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def copies_stream(carved: DataFrame, key: str = "volume_id") -> DataFrame:
@@ -85,6 +83,8 @@ def copies_stream(carved: DataFrame, key: str = "volume_id") -> DataFrame:
                     kept.append((s, e))
             frame = frame.copy()
             frame.loc[flags, "source"] = DUPLICATE
+            frame.loc[flags, "path"] = "/dup_of/carve"
+            frame.loc[flags, "confidence"] = frame.loc[flags, "confidence"].clip(upper=CARVE_COPY_CONFIDENCE)
             yield frame[columns]
         state.update((json.dumps(kept),))
 

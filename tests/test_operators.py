@@ -5,6 +5,7 @@ import os
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,13 +134,37 @@ def test_lifecycle(spark):
     assert [r.x for r in ends.select(lifecycle.end_status(F.col("s"), F.col("f"), F.col("a"), F.col("b")).alias("x")).collect()] == [4, 2, 3]
 
 
-def test_progress():
-    meter = windows.SpeedMeter()
-    assert meter.tick(0, 0, 1000)[1] == -1
-    assert meter.tick(1000, 10, 1000)[:2] == (10.0, 99.0)
-    assert meter.tick(1500, 5, 1000)[0] > 0 and meter.history[-1] == (1000, 10)
-    assert meter.tick(2000, 500, 1000)[0] > 0 and len(meter.history) == 1
-    assert meter.tick(20_000, 500, 1000) == (0.0, -1.0, True)
+def test_progress(spark):
+    rows = [("a", 0, 0, 1000), ("a", 1000, 10, 1000), ("a", 1500, 5, 1000), ("a", 2000, 500, 1000), ("a", 20_000, 500, 1000), ("a", 21_000, 505, 1000), ("a", 22_000, 1000, 1000)]
+    got = {r.time_ms: (r.speed, r.eta_seconds, r.stalled) for r in windows.eta(spark.createDataFrame(rows, "k string, t long, w long, n long"), "k", "t", "w", "n").collect()}
+    assert got[0] == (0.0, -1.0, False) and got[1000] == (10.0, 99.0, False) and got[20_000] == (0.0, -1.0, True)
+    late = 10 * (1 - windows.ALPHA) + 10 / 1.5 * windows.ALPHA
+    assert got[1500] == (pytest.approx(late), pytest.approx(990 / late), False) and got[2000][0] == pytest.approx(late)  # a jump has no speed of its own
+    assert got[21_000][0] == pytest.approx(5 / 19) and got[21_000][1] == pytest.approx(495 * 19 / 5) and got[22_000][1] == -1.0
+
+
+def test_progress_of_streams_is_that_of_tables(spark):
+    rng, rows = random.Random(6), []
+    for k in range(4):
+        t = w = 0
+        for _ in range(400):
+            t, w = t + rng.choice([0, 300, 900, 2500, 9000 if rng.random() < 0.1 else 700]), max(0, w + rng.choice([0, 0, 1, 40, 90, -30, 3000 if rng.random() < 0.05 else 7]))
+            rows.append((k, t, w, 100_000))
+    rows = list(dict.fromkeys(rows))  # equal ticks have no order
+    got = {}
+    for r in windows.eta(spark.createDataFrame(rows, "k int, t long, w long, n long"), "k", "t", "w", "n").collect():
+        got.setdefault(r.k, []).append((r.time_ms, r.work, r.speed, r.eta_seconds, r.stalled))
+    for k in range(4):
+        ticks = np.array(sorted(x[1:] for x in rows if x[0] == k))
+        state, found, at = None, [], 0
+        while at < len(ticks):
+            part = ticks[at : at + rng.randrange(1, 30)]
+            state, speed, left, stalled = windows.eta_fold(state, part[:, 0], part[:, 1], part[:, 2])
+            found += zip(speed, left, stalled)
+            at += len(part)
+        want = sorted(got[k])
+        assert [x[4] for x in want] == [bool(f[2]) for f in found] and any(x[4] for x in want)
+        assert np.allclose([x[2:4] for x in want], [f[:2] for f in found])
 
 
 def test_hash_chain(spark):
