@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from ..functions.binary import entropy
 from ..functions.text import col
 
 GENESIS = "0" * 64
@@ -13,20 +17,30 @@ GOOD_FROM = 60
 
 
 def symbol_entropy(df: DataFrame, keys: list[str], body: str) -> DataFrame:
-    """(keys, entropy): Shannon entropy in bits of the characters of a text, by a distributed count."""
-    letters = df.where(F.length(body) > 0).select(*keys, F.explode(F.split(F.col(body), "")).alias("_c"))
-    counts = letters.groupBy(*keys, "_c").agg(F.count("*").alias("_n"))
+    """(keys, entropy): Shannon entropy in bits of the characters of a text. A row's characters are counted where it lies; only counts are shuffled."""
+    counts = df.where(F.length(body) > 0).select(*keys, F.explode(_character_counts(F.col(body))).alias("_x")).select(*keys, F.col("_x.code").alias("_c"), F.col("_x.n").alias("_n"))
+    counts = counts.groupBy(*keys, "_c").agg(F.sum("_n").alias("_n"))
     total, part = F.sum("_n"), F.sum(F.col("_n") * F.log2(F.col("_n").cast("double")))
     return counts.groupBy(*keys).agg((F.log2(total.cast("double")) - part / total).alias("entropy"))
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("code", IntegerType()), StructField("n", LongType())])))
+def _character_counts(texts: pd.Series) -> pd.Series:
+    def counts(text: str) -> list[dict]:
+        codes, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+        return [{"code": int(c), "n": int(k)} for c, k in zip(codes, n)]
+
+    return texts.map(counts)
+
+
+@F.pandas_udf(DoubleType())
+def _byte_entropy(data: pd.Series) -> pd.Series:
+    return data.map(lambda x: None if x is None else entropy(bytes(x)))
+
+
 def byte_entropy(data: Column | str, most: int | None = None) -> Column:
-    """Shannon entropy in bits of the first bytes of binary data; 0 for none. Stays in the JVM."""
-    d = col(data) if most is None else F.substring(col(data), 1, most)
-    codes = F.split(F.decode(d, "ISO-8859-1"), "")
-    n = F.octet_length(d)
-    counts = F.transform(F.array_distinct(codes), lambda c: F.size(F.filter(codes, lambda x: x == c)).cast("double"))
-    return F.when(n > 0, F.log2(n.cast("double")) - F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c)) / n).otherwise(0.0)
+    """Shannon entropy in bits of the first bytes of binary data, or of all; 0 for none."""
+    return _byte_entropy(col(data) if most is None else F.substring(col(data), 1, most))
 
 
 def outcome_totals(results: DataFrame, keys: list[str]) -> DataFrame:

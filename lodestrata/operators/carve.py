@@ -1,13 +1,15 @@
 """Signature carving: find headers and footers in chunks, fold them into carves, check what they hold.
 
-1. Hits: chunks are searched where they lie; only what crosses an edge (a few bytes of each chunk) is joined.
-2. Fold: hits of a volume, in order, open and close carves. Hits are few, so this is the only ordered step. A footer can
-   be any number of chunks away.
+1. Hits: an automaton over all headers and footers reads each chunk once, where it lies; only what crosses an edge (a few
+   bytes of each chunk) is joined. A chunk that could not be read (null data) is a boundary: nothing crosses it.
+2. Fold: hits in order open and close carves. Hits that no carve can span stand apart, so a volume is folded in as many
+   parts as it has such places. A footer can be any number of chunks away.
 3. Scores: the bytes of a carve come from a join and are checked by their kind.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,11 +22,14 @@ from ..functions import validators
 from ..functions.binary import entropy, exif_time
 from ..functions.times import exif_to_unix
 from ..sources.volumes import CHUNK, SECTOR, file_bytes
+from .intervals import components, overlap_join
 
 # Distances (bytes) under which a header opens no carve: of the same signature, and of any.
 SAME_WITHIN, ANY_WITHIN = 4096, 512
 # Confidence of a carve with header and footer, with header only, and of one that lost a gap; largest span checked.
 PAIR, HEADER_ONLY, RESCUED, CHECKED_FROM, CHECKED_TO = 70, 55, 88, 4096, 16 << 20
+#: A carve of this size or less is also tried with two gaps, by so many checks.
+TWO_GAPS_TO, TWO_GAP_CHECKS = 256 * 1024, 64
 #: Fixed value: a gap is accepted from this score on.
 GAP_SCORE = 85
 
@@ -69,34 +74,69 @@ SIGNATURES = (
 
 
 def catalogue(spark: SparkSession, path: str) -> list[Signature]:
-    """Signatures from a JSON list of format, extension, category, header, footer (hexadecimal) and maxSize; bounded by nature."""
-    rows = spark.read.json(path, schema="format string, extension string, category string, header string, footer string, maxSize long", multiLine=True)
-    unhex = lambda x: bytes.fromhex("".join((x or "").split()))
-    return [Signature(r.format, r.extension.lstrip("."), r.category, unhex(r.header), unhex(r.footer), r.maxSize) for r in rows.collect() if r.header]
+    """Signatures from JSON lists of format, extension, category, header, footer (hexadecimal), max_size (or maxSize) and header_at; bounded by nature.
 
+    An entry without a header is left out; one without a size is an error.
+    """
+    rows = spark.read.json(path, schema="format string, extension string, category string, header string, footer string, max_size long, maxSize long, header_at int", multiLine=True)
+    unhex, out = lambda x: bytes.fromhex("".join((x or "").split())), []
+    for r in rows.collect():
+        size = r["max_size"] if r["max_size"] is not None else r["maxSize"]
+        if not r["header"]:
+            continue
+        if not size or size < 0:
+            raise ValueError(f"a signature without a size: {r['format']}")
+        out.append(Signature(r["format"], (r["extension"] or "").lstrip("."), r["category"] or "Other", unhex(r["header"]), unhex(r["footer"]), size, r["header_at"] or 0))
+    return out
+
+
+def known_signatures(spark: SparkSession) -> list[Signature]:
+    """The signatures above and those of the library's catalogue; of equal headers and extensions the first counts."""
+    more = catalogue(spark, "file://" + os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "data", "signatures.json"))
+    return list({(x.header, x.header_at, x.extension): x for x in reversed([*SIGNATURES, *more])}.values())[::-1]
+
+
+#: Bytes of a volume that one window sees when hits are parted.
+FOLD_STRETCH = 1 << 30
 
 HITS = "volume_id string, offset long, kind string, sig int, length int"
 
 
-def _found(data: bytes, patterns: list[tuple[bytes, str, int]]) -> Iterator[tuple[int, str, int, int]]:
-    for p, kind, k in patterns:
-        at = data.find(p)
-        while at >= 0:
-            yield at, kind, k, len(p)
-            at = data.find(p, at + 1)
+def automaton(signatures):
+    """All headers and footers in one automaton; bytes are characters of the same number."""
+    import ahocorasick
+
+    by_pattern: dict[bytes, list[tuple[str, int]]] = {}
+    for k, s in enumerate(signatures):
+        by_pattern.setdefault(s.header, []).append(("header", k))
+        if s.footer:
+            by_pattern.setdefault(s.footer, []).append(("footer", k))
+    out = ahocorasick.Automaton()
+    for p, means in by_pattern.items():
+        out.add_word(p.decode("latin-1"), (len(p), means))
+    out.make_automaton()
+    return out
+
+
+def _found(data: bytes, patterns) -> Iterator[tuple[int, str, int, int]]:
+    """(offset, kind, signature, length) of each pattern in data."""
+    for last, (n, means) in patterns.iter(data.decode("latin-1")):
+        for kind, k in means:
+            yield last + 1 - n, kind, k, n
 
 
 def hits(chunks: DataFrame, signatures=SIGNATURES, allowed: DataFrame | None = None) -> DataFrame:
     """(volume_id, offset, kind, sig, length) of every header and footer. allowed: (volume_id, start, end) bytes that may be searched."""
-    patterns = [(s.header, "header", k) for k, s in enumerate(signatures)] + [(s.footer, "footer", k) for k, s in enumerate(signatures) if s.footer]
-    halo = max(len(p) for p, _, _ in patterns) - 1
+    halo = max(len(p) for s in signatures for p in (s.header, s.footer)) - 1
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = automaton(signatures)
         for b in batches:
             rows = [(v, off + at, kind, k, n) for v, off, data in zip(*(b.column(c).to_pylist() for c in ("volume_id", "byte_offset", "data"))) for at, kind, k, n in _found(data or b"", patterns)]
             yield _batch(rows)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = automaton(signatures)
         for b in batches:
             rows = []
             for v, off, tail, head in zip(*(b.column(c).to_pylist() for c in ("volume_id", "byte_offset", "tail", "head"))):
@@ -104,14 +144,12 @@ def hits(chunks: DataFrame, signatures=SIGNATURES, allowed: DataFrame | None = N
                 rows += [(v, off - cut + at, kind, k, n) for at, kind, k, n in _found(tail + head, patterns) if at < cut < at + n]
             yield _batch(rows)
 
-    edges = chunks.select("volume_id", "chunk_no", "byte_offset", F.substring("data", 1, halo).alias("head"), F.expr(f"right(hex(data), {2 * halo})").alias("tail"))
+    edges = chunks.where("data is not null").select("volume_id", "chunk_no", "byte_offset", F.substring("data", 1, halo).alias("head"), F.expr(f"right(hex(data), {2 * halo})").alias("tail"))
     left = edges.select("volume_id", (F.col("chunk_no") + 1).alias("chunk_no"), F.unhex("tail").alias("tail"))
     crossing = edges.select("volume_id", "chunk_no", "byte_offset", "head").join(left, ["volume_id", "chunk_no"])
     found = chunks.select("volume_id", "byte_offset", "data").mapInArrow(inside, HITS).unionByName(crossing.select("volume_id", "byte_offset", "tail", "head").mapInArrow(over, HITS))
     if allowed is None:
         return found
-    from .intervals import overlap_join
-
     spans = found.withColumn("_end", F.col("offset") + 1)
     return overlap_join(spans, allowed, ["volume_id"], ("offset", "_end"), ("start", "end"), None, 1 << 26).select(found.columns).distinct()
 
@@ -149,12 +187,16 @@ CARVES = "volume_id string, id long, start long, end long, sig int, closed boole
 
 def carves(found: DataFrame, ends: DataFrame, signatures=SIGNATURES) -> DataFrame:
     """(volume_id, id, start, end, sig, closed). ends: (volume_id, bytes). Ids follow from the start, so they don't depend on partitions."""
+    most, at = (F.array(*[F.lit(x) for x in values])[F.col("sig")] for values in ([s.max_size for s in signatures], [s.header_at for s in signatures]))
+    header = F.col("kind") == "header"
+    rows = found.withColumns({"_from": F.when(header, F.col("offset") - at).otherwise(F.col("offset")), "_to": F.when(header, F.col("offset") - at + most).otherwise(0)})
+    rows = components(rows.withColumn("_to", F.greatest("_to", F.col("offset") + F.col("length"))), ["volume_id"], "_from", "_to", ["_from", "offset", "kind", "sig"], "_part", FOLD_STRETCH)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         done = fold(list(zip(rows["offset"], rows["kind"], rows["sig"], rows["length"])), signatures, int(rows["bytes"].iloc[0]))
         return pd.DataFrame([(rows["volume_id"].iloc[0], start, start, end, s, closed) for start, end, s, closed in done], columns=["volume_id", "id", "start", "end", "sig", "closed"])
 
-    return found.join(ends, "volume_id").groupBy("volume_id").applyInPandas(run, CARVES)
+    return rows.join(ends, "volume_id").groupBy("volume_id", "_part").applyInPandas(run, CARVES)
 
 
 def bifragment_gap(data: bytes, check: Callable[[bytes], int], step: int = SECTOR, most_gap: int = 64 * 1024) -> tuple[int, int] | None:
@@ -181,12 +223,16 @@ def trifragment_gap(data: bytes, check: Callable[[bytes], int], step: int = SECT
     return None
 
 
-SCORED = "volume_id string, id long, name string, extension string, size_bytes long, start_sector long, end_sector long, confidence int, category string, source string, gap_start long, gap_length long, modified_text string"
+SCORED = "volume_id string, id long, name string, extension string, size_bytes long, start_sector long, end_sector long, confidence int, category string, source string, gap_start long, gap_length long, gap2_start long, gap2_length long, modified_text string"
+
 
+def scored(found: DataFrame, chunks: DataFrame, signatures=SIGNATURES, chunk: int = CHUNK, sector: int = SECTOR, gap_limit: int = 64 * 1024, checked_to: int = CHECKED_TO) -> DataFrame:
+    """Carves as file rows: checked by kind, demoted or dropped if they don't hold up, rescued if a gap, or two, explain it.
 
-def scored(found: DataFrame, chunks: DataFrame, signatures=SIGNATURES, chunk: int = CHUNK, sector: int = SECTOR, gap_limit: int = 64 * 1024) -> DataFrame:
-    """Carves as file rows: checked by kind, demoted or dropped if they don't hold up, rescued if a gap explains it."""
-    rows = found.select("volume_id", "id", F.col("start").alias("start_b"), (F.least(F.col("end") - F.col("start"), F.lit(CHECKED_TO))).alias("size_bytes"), "end", "sig", "closed")
+    checked_to: bytes of a carve that are read; carves of more keep the confidence of their signature. gap_limit: the
+    longest gap that is tried. The gap columns hold offsets in the carve.
+    """
+    rows = found.select("volume_id", "id", F.col("start").alias("start_b"), (F.least(F.col("end") - F.col("start"), F.lit(checked_to))).alias("size_bytes"), "end", "sig", "closed")
     spans = rows.select("volume_id", "id", F.floor(F.col("start_b") / sector).alias("start_sector"), (F.col("size_bytes") + F.col("start_b") % sector).alias("size_bytes"), F.lit(None).cast("array<struct<start_sector:bigint,sector_count:bigint,is_sparse:boolean>>").alias("runs"))
     data = file_bytes(spans, chunks, chunk, sector)
     rows = rows.join(data, ["volume_id", "id"]).select("volume_id", "id", "start_b", "end", "sig", "closed", "data")
@@ -196,7 +242,7 @@ def scored(found: DataFrame, chunks: DataFrame, signatures=SIGNATURES, chunk: in
             out = []
             for v, i, start, end, k, closed, raw in zip(*(b.column(c).to_pylist() for c in b.schema.names)):
                 s, body = signatures[k], (raw or b"")[start % sector :]
-                ext, size, conf, gap = s.extension, end - start, PAIR if closed else HEADER_ONLY, None
+                ext, size, conf, gap, second = s.extension, end - start, PAIR if closed else HEADER_ONLY, None, None
                 if ext == "riff":
                     ext = validators.RIFF_KINDS.get(body[8:12], "bin")
                 elif ext == "zip":
@@ -207,19 +253,21 @@ def scored(found: DataFrame, chunks: DataFrame, signatures=SIGNATURES, chunk: in
                         continue
                     size = known or size
                 check = validators.BY_EXTENSION.get(ext)
-                if check and ext not in ("mp4", "sqlite") and CHECKED_FROM < size <= CHECKED_TO:
-                    score = check(body)
-                    if score < GAP_SCORE and closed and (gap := bifragment_gap(body, check, sector, min(gap_limit, len(body) // 4))):
-                        score = RESCUED
-                    conf = score
+                if check and ext not in ("mp4", "sqlite") and CHECKED_FROM < size <= checked_to:
+                    conf = check(body)
+                    if conf < GAP_SCORE and closed:
+                        gap = bifragment_gap(body, check, sector, gap_limit)
+                        if not gap and len(body) <= TWO_GAPS_TO and (two := trifragment_gap(body, check, sector, gap_limit, TWO_GAP_CHECKS)):
+                            gap, second = two[:2], (sum(two[:3]), two[3])
+                        conf = RESCUED if gap else conf
                 if ext == "bmp":
                     score = validators.bmp(body)
                     if score < 50:
                         continue
                     ext = "bin" if score < 70 else ext
                 category = s.category if s.category not in ("", "Unknown", "Other") else "Encrypted" if entropy(body[:4096]) >= 7.6 else s.category
-                out.append((v, i, f"carved_{start}.{ext}", ext, size, start // sector, (start + size - 1) // sector, conf, category, "carver_bgc" if gap else "carver", *(gap or (None, None)), exif_time(body[: 1 << 16]) if ext == "jpg" else ""))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+                out.append((v, i, f"carved_{start}.{ext}", ext, size, start // sector, (start + size - 1) // sector, conf, category, "carver_bgc" if gap else "carver", *(gap or (None, None)), *(second or (None, None)), exif_time(body[: 1 << 16]) if ext == "jpg" else ""))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             names = [x.split()[0] for x in SCORED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=names)
 

@@ -19,9 +19,9 @@ RECORD_MASK = 0x0000FFFFFFFFFFFF
 
 def best_record(rows: DataFrame, key: str = "mft_record", seq: str = "seq") -> DataFrame:
     """Of the rows of one record number the most confident, the first one on ties; streams and rows without number all stay."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("confidence"), seq))
-    loose = F.col(key).isNull() | (F.col("source") == "ntfs_ads")
-    return rows.where(loose).unionByName(rows.where(~loose).withColumn("_k", rank).where("_k = 1").drop("_k"))
+    loose = F.coalesce(F.col(key).isNull() | (F.col("source") == "ntfs_ads"), F.lit(False))
+    best = rows.where(~loose).groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct("confidence", (-F.col(seq)).alias("s"))).alias("row"))
+    return rows.where(loose).unionByName(best.select("row.*"))
 
 
 def confirm_by_log(files: DataFrame, hints: DataFrame) -> DataFrame:

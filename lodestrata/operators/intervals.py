@@ -12,16 +12,34 @@ from ..schema import DUPLICATE
 
 #: Confidence of a carved copy of a known file, and of a carved copy of a carved file.
 COPY_CONFIDENCE, CARVE_COPY_CONFIDENCE = 35, 30
-#: Sectors of a bucket of the overlap join.
-BUCKET = 1 << 14
+#: Sectors of a bucket of the overlap join, and of a stretch that one window sees.
+BUCKET, STRETCH = 1 << 14, 1 << 20
 
 
-def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+def earlier_max(df: DataFrame, keys: list[str], at: str, order: list[str], value: Column | str, out: str, width: int, own: bool = False) -> DataFrame:
+    """df with the largest value of the rows before a row in order, and of the row itself with own, within keys.
+
+    order starts with at. Rows are dealt by stretches of `width` of at: windows see one stretch, and one number of each
+    stretch goes on to later ones. So a key with any number of rows is shared by many tasks. Keys are not null.
+    """
+    rows = df.withColumns({"_stretch": F.floor(F.col(at) / F.lit(width)), "_value": value if isinstance(value, Column) else F.col(value)})
+    tops = rows.groupBy(*keys, "_stretch").agg(F.max("_value").alias("_top"))
+    tops = tops.withColumn("_top", F.max("_top").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = F.max("_value").over(Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    return rows.withColumn("_inside", inside).join(tops, [*keys, "_stretch"]).withColumn(out, F.greatest("_inside", "_top")).drop("_stretch", "_value", "_inside", "_top")
+
+
+def components(df: DataFrame, keys: list[str], start: str, reach: Column | str, order: list[str], out: str, width: int, touching: bool = True) -> DataFrame:
+    """df with the start of the group of overlapping (or touching) spans that a row belongs to, as out."""
+    rows = earlier_max(df, keys, start, order, reach, "_reached", width)
+    apart = F.col(start) > F.col("_reached") if touching else F.col(start) >= F.col("_reached")
+    first = F.when(F.col("_reached").isNull() | apart, F.col(start))
+    return earlier_max(rows, keys, start, order, first, out, width, own=True).drop("_reached")
+
+
+def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = STRETCH) -> DataFrame:
     """The unions of intervals that overlap or touch, within keys."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.where(F.col(start) < F.col(end)).withColumn("_new", F.when(F.col(start) <= reached, 0).otherwise(1))
-    grouped = marked.withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = components(df.where(F.col(start) < F.col(end)).select(*keys, start, end), keys, start, end, [start, end], "_group", width)
     return grouped.groupBy(*keys, "_group").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_group")
 
 
@@ -29,18 +47,16 @@ def total_length(df: DataFrame, keys: list[str], start: str = "start", end: str
     return merge(df, keys, start, end).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias("length"))
 
 
-def islands(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], value: str, width: int = STRETCH) -> DataFrame:
     """Runs of consecutive values as [start, end), within keys; repeated values count once."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    grouped = df.select(*keys, value).distinct().withColumn("_group", F.col(value) - rank)
+    grouped = components(df.select(*keys, value).distinct(), keys, value, F.col(value) + 1, [value], "_group", width)
     return grouped.groupBy(*keys, "_group").agg(F.min(value).cast("long").alias("start"), (F.max(value) + 1).cast("long").alias("end")).drop("_group")
 
 
-def gaps(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def gaps(df: DataFrame, keys: list[str], value: str, width: int = STRETCH) -> DataFrame:
     """The missing values between the smallest and the largest one, as [start, end)."""
-    after = F.lead(value).over(Window.partitionBy(*keys).orderBy(value))
-    found = df.select(*keys, value).distinct().withColumn("_next", after).where(F.col("_next") > F.col(value) + 1)
-    return found.select(*keys, (F.col(value) + 1).cast("long").alias("start"), F.col("_next").cast("long").alias("end"))
+    found = earlier_max(df.select(*keys, value).distinct(), keys, value, [value], value, "_last", width).where(F.col(value) > F.col("_last") + 1)
+    return found.select(*keys, (F.col("_last") + 1).cast("long").alias("start"), F.col(value).cast("long").alias("end"))
 
 
 def bucketed(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
@@ -77,25 +93,36 @@ def mark_copies(carved: DataFrame, known: DataFrame, keys: list[str], width: int
     }).drop("_of").select(*carved.columns)
 
 
-def mark_carved_copies(carved: DataFrame, keys: list[str]) -> DataFrame:
+class Kept:
+    """Spans [first, last] that were kept, found by the stretches that they touch."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.at = max(1, width), {}
+
+    def covers(self, first: int, last: int) -> bool:
+        """Whether a kept span shares half of the shorter one with this; if not, this is kept too."""
+        touched = range(first // self.width, last // self.width + 1)
+        for k in touched:
+            for a, b in self.at.get(k, ()):
+                if 2 * (min(last, b) - max(first, a) + 1) >= min(last - first, b - a) + 1:
+                    return True
+        for k in touched:
+            self.at.setdefault(k, []).append((first, last))
+        return False
+
+
+def mark_carved_copies(carved: DataFrame, keys: list[str], width: int = STRETCH) -> DataFrame:
     """In order of id, a carved file that overlaps an earlier kept one by half of the shorter becomes a copy of it.
 
     The order matters, so each group of files that touch each other (an interval component) is folded by itself.
     """
-    order = Window.partitionBy(*keys).orderBy("start_sector", "end_sector", "id")
-    reached = F.max("end_sector").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = carved.withColumn("_part", F.sum(F.when(F.col("start_sector") <= reached, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
+    parts = components(carved, keys, "start_sector", "end_sector", ["start_sector", "end_sector", "id"], "_part", width)
     columns = carved.columns
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        kept: list[tuple[int, int]] = []
-        copies = []
-        for s, e in zip(rows["start_sector"], rows["end_sector"]):
-            copies.append(any(2 * (min(e, b) - max(s, a) + 1) >= min(e - s, b - a) + 1 for a, b in kept if s <= b and a <= e))
-            if not copies[-1]:
-                kept.append((s, e))
+        kept = Kept(int((rows["end_sector"] - rows["start_sector"]).mean()) + 1)
+        copies = [kept.covers(int(s), int(e)) for s, e in zip(rows["start_sector"], rows["end_sector"])]
         rows = rows.copy()
         rows.loc[copies, "source"] = DUPLICATE
         rows.loc[copies, "path"] = "/dup_of/carve"

@@ -17,7 +17,7 @@ from ..sources.volumes import CHUNK, SECTOR, file_bytes
 
 # Percent under which a deleted file counts as failed, and the structure score under which any does.
 DELETED_LEAST, STRUCTURE_LEAST = 90, 60
-#: Larger compressed files are recovered as they lie.
+#: Larger compressed files are recovered as they lie, and that is an error.
 COMPRESSED_MOST = 64 << 20
 
 RESULT = "volume_id string, id long, name string, success boolean, zero_filled boolean, bytes_recovered long, md5 string, score int, error string, data binary"
@@ -46,11 +46,12 @@ def recover(files: DataFrame, chunks: DataFrame, chunk: int = CHUNK, sector: int
                 if not r["_able"]:
                     out.append((r["volume_id"], r["id"], r["name"], False, False, 0, None, -1, "a discovery row has no bytes", None))
                     continue
-                if r["compressed"] and len(body) <= COMPRESSED_MOST:
+                packed = r["compressed"] and len(body) > COMPRESSED_MOST
+                if r["compressed"] and not packed:
                     plain = lznt1(body, r["size_bytes"])
                     body = plain if plain is not None else body
-                good = bool(body) and not r["missing"]
-                error = "" if good else "parts could not be read and are zeros" if body else "empty"
+                good = bool(body) and not r["missing"] and not packed
+                error = "" if good else "still compressed" if packed else "parts could not be read and are zeros" if body else "empty"
                 if r["size_bytes"] and len(body) - r["missing"] < r["size_bytes"]:
                     score = (len(body) - r["missing"]) * 100 // r["size_bytes"]
                     if r["status"] == 0 and not r["source"].startswith("carver") and score < DELETED_LEAST:
@@ -58,7 +59,7 @@ def recover(files: DataFrame, chunks: DataFrame, chunk: int = CHUNK, sector: int
                 if r["source"] == "refs" and r["checksum"] not in (None, "0"):
                     right = crc64_ecma(body) == int(r["checksum"])
                     score, good, error = (90, good, error) if right else (15, False, "checksum mismatch")
-                elif body and (structure := validators.score(r["ext"], body[: 1 << 20])) is not None:
+                elif body and (structure := validators.score(r["ext"], body)) is not None:
                     score = structure
                     if structure < STRUCTURE_LEAST:
                         good, error = False, "; ".join(filter(None, [error, "structure check failed"]))
@@ -70,22 +71,25 @@ def recover(files: DataFrame, chunks: DataFrame, chunk: int = CHUNK, sector: int
 
 
 def unique_names(results: DataFrame, most: int = 9999) -> DataFrame:
-    """results with dest: safe names; files of one name get _1, _2 and so on, up to most."""
+    """results with dest: safe names; files of one name get _1, _2 and so on, up to most; past that dest is null."""
     safe = results.withColumn("_base", safe_basename("name"))
     k = F.row_number().over(Window.partitionBy("_base").orderBy("volume_id", "id")) - 1
     stem, ext = F.regexp_extract("_base", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("_base", r"(\.[^.]*)$", 1)
-    named = safe.withColumn("_k", k).where(F.col("_k") <= most)
-    return named.withColumn("dest", F.when(F.col("_k") == 0, F.col("_base")).otherwise(F.concat(stem, F.lit("_"), F.col("_k").cast("string"), ext))).drop("_base", "_k")
+    named = safe.withColumn("_k", k)
+    return named.withColumn("dest", F.when(F.col("_k") == 0, F.col("_base")).when(F.col("_k") <= most,F.concat(stem, F.lit("_"), F.col("_k").cast("string"), ext))).drop("_base", "_k")
 
 
 def write_files(results: DataFrame, folder: str) -> DataFrame:
-    """Writes the bytes of recovered rows below a folder that all executors share; (id, path, bytes) of what was written."""
+    """Writes the bytes of recovered rows below a folder that all executors share; (id, path, bytes), path null for what got no name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
         for b in batches:
             out = []
             for i, dest, data in zip(*(b.column(c).to_pylist() for c in ("id", "dest", "data"))):
+                if dest is None:
+                    out.append((i, None, 0))
+                    continue
                 part = os.path.join(folder, f".{dest}.part")  # renamed when whole, so a repeated task leaves no torn file
                 with open(part, "wb") as f:
                     f.write(data)

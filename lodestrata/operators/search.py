@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, icontains
 from ..schema import text
+from .listing import page
 
 #: Characters of a content chunk.
 CHUNK = 256 * 1024
@@ -48,13 +51,20 @@ def match_substring(query: str, *columns: Column | str) -> Column:
     return out
 
 
-def match_regex(pattern: str, *columns: Column | str) -> Column:
-    """Case-insensitive search; a pattern that is too long or malformed matches nothing."""
+def readable(pattern: str) -> bool:
+    """Whether the engine that will run a pattern, Java's, can read it."""
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(f"(?i){pattern}")
+    except (IllegalArgumentException, Py4JJavaError):
+        return False
+    return True
+
+
+def match_regex(pattern: str, *columns: Column | str) -> Column:
+    """Case-insensitive search; a pattern that is too long or that the engine can't read matches nothing."""
+    if len(pattern) > MOST_PATTERN or not readable(pattern):
         return F.lit(False)
-    return F.concat_ws(" ", *[col(c) for c in columns]).rlike(f"(?i){pattern}") if len(pattern) <= MOST_PATTERN else F.lit(False)
+    return F.concat_ws(" ", *[col(c) for c in columns]).rlike(f"(?i){pattern}")
 
 
 NAMES = ("name", "path", "extension")
@@ -110,6 +120,15 @@ def search_postings(postings: DataFrame, query: str) -> DataFrame:
     return per_chunk.where(all_terms).select("file_id").distinct()
 
 
+def search_content_page(files: DataFrame, chunks: DataFrame, query: str, offset: int, limit: int, mode: str = "token") -> DataFrame:
+    """A page of the files that search_content finds, by id."""
+    return page(search_content(files, chunks, query, mode), offset, limit, "id")
+
+
+def search_content_count(files: DataFrame, chunks: DataFrame, query: str, mode: str = "token") -> DataFrame:
+    return search_content(files, chunks, query, mode).agg(F.count("*").alias("n"))
+
+
 def search_content(files: DataFrame, chunks: DataFrame, query: str, mode: str = "token") -> DataFrame:
     """Files with a chunk that holds all terms (token) or the query itself (substring, which is marked in source)."""
     hit = match_tokens(query, "body") if mode == "token" else icontains("body", query)

@@ -85,9 +85,8 @@ def sector_count(chunks: DataFrame) -> DataFrame:
 def slice_at(chunks: DataFrame, offset: int, size: int, chunk: int = CHUNK) -> DataFrame:
     """(volume_id, data): size bytes at an offset of each volume; only the chunks that hold them are read."""
     first, last = offset // chunk, (offset + size - 1) // chunk
-    part = chunks.where(F.col("chunk_no").between(first, last)).groupBy("volume_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "data"))).alias("x"))
-    whole = F.aggregate("x", F.lit(b""), lambda a, c: F.concat(a, c["data"]))
-    return part.select("volume_id", F.substring(whole, offset - first * chunk + 1, size).alias("data"))
+    part = chunks.where(F.col("chunk_no").between(first, last)).groupBy("volume_id").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY chunk_no)").alias("x"))
+    return part.select("volume_id", F.substring("x", offset - first * chunk + 1, size).alias("data"))
 
 
 def check_range(offset: int, size: int, sector: int = SECTOR) -> None:
@@ -138,11 +137,14 @@ def zeros(n: Column) -> Column:
 
 
 def file_bytes(files: DataFrame, chunks: DataFrame, chunk: int = CHUNK, sector: int = SECTOR, most: int | None = None) -> DataFrame:
-    """(volume_id, id, data, missing): the bytes of each file, or the first most of them, in one value."""
+    """(volume_id, id, data, missing): the bytes of each file, or the first most of them, in one value.
+
+    One value holds 2 GB at most; larger files are read with file_parts, whose pieces are of a chunk's size.
+    """
     limited = files if most is None else files.withColumn("size_bytes", F.least("size_bytes", F.lit(most)))
     parts = file_parts(limited, chunks, chunk, sector)
-    rows = parts.groupBy("volume_id", "id").agg(F.array_sort(F.collect_list(F.struct("file_offset", "data"))).alias("x"), F.sum("missing").alias("missing"))
-    return rows.select("volume_id", "id", F.aggregate("x", F.lit(b""), lambda a, c: F.concat(a, c["data"])).alias("data"), "missing")
+    rows = parts.groupBy("volume_id", "id").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY file_offset)").alias("data"), F.sum("missing").alias("missing"))
+    return rows.select("volume_id", "id", "data", "missing")
 
 
 def decrypted(chunks: DataFrame, key: bytes, sector: int = SECTOR) -> DataFrame:

@@ -334,3 +334,52 @@ def test_images(spark, tmp_path):
     assert b"".join(evidence.ewf_chunks(str(tmp_path / "c.E01"))) == data
     with pytest.raises(ValueError):
         recover.write_image(chunks, str(tmp_path / "d.dd"), len(data), 1024, allowed=("/nowhere",))
+
+
+def test_catalogues(spark, tmp_path):
+    import json
+
+    entry = {"format": "X", "extension": ".x", "category": "Image", "header": "ff d8", "footer": "", "max_size": 10}
+    (tmp_path / "a.json").write_text(json.dumps([entry, {**entry, "header": ""}, {k: v for k, v in entry.items() if k != "max_size"} | {"maxSize": 20, "extension": "y"}]))
+    assert [(s.extension, s.header, s.max_size) for s in carve.catalogue(spark, f"file://{tmp_path}/a.json")] == [("x", b"\xff\xd8", 10), ("y", b"\xff\xd8", 20)]
+    (tmp_path / "b.json").write_text(json.dumps([{**entry, "max_size": None}]))
+    with pytest.raises(ValueError):
+        carve.catalogue(spark, f"file://{tmp_path}/b.json")
+    known = carve.known_signatures(spark)
+    assert len(known) > 130 and known[: len(carve.SIGNATURES)] == list(carve.SIGNATURES) and len({(s.header, s.header_at, s.extension) for s in known}) == len(known)
+
+
+def test_hits_equal_a_plain_search(spark):
+    rng = random.Random(12)
+    signatures = [carve.Signature("A", "a", "Image", b"ab", b"ba", 40), carve.Signature("B", "b", "Image", b"aba", b"", 25, 1), carve.Signature("C", "c", "Image", b"b", b"ab", 9)]
+    data = bytes(rng.choice(b"ab....") for _ in range(3000))
+    want = sorted((at, kind, k, len(p)) for k, s in enumerate(signatures) for kind, p in (("header", s.header), ("footer", s.footer)) if p for at in range(len(data)) if data.startswith(p, at))
+    for size in (7, 512):
+        chunks = volumes.from_bytes(spark, {"v": data}, size)
+        found = carve.hits(chunks, signatures)
+        assert sorted((r.offset, r.kind, r.sig, r.length) for r in found.collect()) == want
+        got = carve.carves(found, volumes.sector_count(chunks), signatures)
+        assert sorted((r.start, r.end, r.sig, r.closed) for r in got.collect()) == carve.fold(want, signatures, len(data))
+    gone = chunks.withColumn("data", F.when(F.col("chunk_no") == 2, None).otherwise(F.col("data")))
+    assert sorted((r.offset, r.kind, r.sig, r.length) for r in carve.hits(gone, signatures).collect()) == [x for x in want if x[0] + x[3] <= 1024 or x[0] >= 1536]
+
+
+def test_names_past_the_last_number(spark, tmp_path):
+    rows = spark.createDataFrame([("v", k, "a.txt", bytearray(b"x")) for k in range(4)], "volume_id string, id long, name string, data binary")
+    assert [r.dest for r in recover.unique_names(rows, 2).orderBy("id").collect()] == ["a.txt", "a_1.txt", "a_2.txt", None]
+
+
+def test_patterns_are_read_by_the_engine_that_runs_them(files):
+    assert ids(search.search_files(files, r"(?P<x>a)", "regex")) == [] and ids(search.search_files(files, r"(?<x>IMG)_\d++", "regex")) == [5]
+
+
+def test_carved_copies_equal_plain_marks(spark):
+    rng = random.Random(8)
+    rows = [(k % 2, k, f"/{k}", s := rng.randrange(4000), s + rng.randrange(60), "carver", 70) for k in range(500)]
+    frame = spark.createDataFrame(rows, "v int, id long, path string, start_sector long, end_sector long, source string, confidence int")
+    kept, want = {0: [], 1: []}, {}
+    for v, k, _, s, e, *_ in rows:
+        want[k] = any(2 * (min(e, b) - max(s, a) + 1) >= min(e - s, b - a) + 1 for a, b in kept[v] if s <= b and a <= e)
+        kept[v] += [] if want[k] else [(s, e)]
+    for width in (64, 1 << 20):
+        assert {r.id: r.source == "carver_duplicate" for r in intervals.mark_carved_copies(frame, ["v"], width).collect()} == want
