@@ -84,7 +84,7 @@ def safe_basename(path: Column | str) -> Column:
 
 def windows_path(path: Column | str) -> Column:
     r"""Forward slashes to backslashes, runs to one, no trailing one, lower case."""
-    p = F.regexp_replace(F.lower(F.trim(col(path))), r"[/\\]+", r"\\\\")
+    p = F.regexp_replace(F.lower(F.trim(col(path))), r"[/\\]+", r"\\")
     return F.regexp_replace(p, r"(?<!:)\\$", "")
 
 

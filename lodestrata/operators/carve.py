@@ -22,7 +22,7 @@ from ..functions import validators
 from ..functions.binary import entropy, exif_time
 from ..functions.times import exif_to_unix
 from ..sources.volumes import CHUNK, SECTOR, file_bytes
-from .intervals import components, overlap_join
+from .intervals import components, earlier_max, overlap_join
 
 # Distances (bytes) under which a header opens no carve: of the same signature, and of any.
 SAME_WITHIN, ANY_WITHIN = 4096, 512
@@ -189,8 +189,12 @@ def carves(found: DataFrame, ends: DataFrame, signatures=SIGNATURES) -> DataFram
     """(volume_id, id, start, end, sig, closed). ends: (volume_id, bytes). Ids follow from the start, so they don't depend on partitions."""
     most, at = (F.array(*[F.lit(x) for x in values])[F.col("sig")] for values in ([s.max_size for s in signatures], [s.header_at for s in signatures]))
     header = F.col("kind") == "header"
-    rows = found.withColumns({"_from": F.when(header, F.col("offset") - at).otherwise(F.col("offset")), "_to": F.when(header, F.col("offset") - at + most).otherwise(0)})
-    rows = components(rows.withColumn("_to", F.greatest("_to", F.col("offset") + F.col("length"))), ["volume_id"], "_from", "_to", ["_from", "offset", "kind", "sig"], "_part", FOLD_STRETCH)
+    rows = found.withColumns({"_from": F.when(header, F.col("offset") - at).otherwise(F.col("offset")), "_to": F.when(header, F.col("offset") - at + most)})
+    order = ["_from", "offset", "kind", "sig"]
+    # a footer that no header reaches closes nothing
+    rows = earlier_max(rows, ["volume_id"], "_from", order, "_to", "_open", FOLD_STRETCH).where(header | (F.col("offset") <= F.col("_open")))
+    rows = rows.withColumn("_to", F.greatest("_to", F.col("offset") + F.col("length")))
+    rows = components(rows, ["volume_id"], "_from", "_to", order, "_part", FOLD_STRETCH)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         done = fold(list(zip(rows["offset"], rows["kind"], rows["sig"], rows["length"])), signatures, int(rows["bytes"].iloc[0]))

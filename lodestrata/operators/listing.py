@@ -66,6 +66,17 @@ def page(df: DataFrame, offset: int, limit: int, *order: str) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_by_name(df: DataFrame, offset: int, limit: int, name: str = "name", locale: str = "tr") -> DataFrame:
+    """A page in the order of a language's alphabet."""
+    return df.orderBy(F.collate(F.col(name), locale)).offset(offset).limit(limit)
+
+
+def truncated(files: DataFrame, source: str = "hfs_limit", needle: str = "catalog truncated") -> DataFrame:
+    """One row: whether a scan left a mark that a catalogue was too long. Such marks are hidden from lists, so all rows are looked at."""
+    hit = (F.col("source") == source) & F.coalesce(F.contains(F.lower("name"), F.lit(needle)), F.lit(False))
+    return files.agg(F.coalesce(F.max(hit), F.lit(False)).alias("truncated"))
+
+
 def page_after(df: DataFrame, last_id: int, limit: int) -> DataFrame:
     """The next rows by id: a range condition that reaches the scan, however deep the page lies."""
     return df.where(F.col("id") > last_id).orderBy("id").limit(limit)

@@ -184,11 +184,11 @@ def search_count(spark, sf_dir):
     return search.search_count(files(spark, sf_dir), "src1 pdf")
 
 
-_CHUNKS = "c AS (SELECT doc_id AS file_id, k AS chunk_no, substr(text, k * 4096 + 1, 4096) AS body FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 4096) AS BIGINT))) AS k FROM documents WHERE length(text) > 0))"
+_CHUNKS = "c AS (SELECT doc_id AS file_id, k AS chunk_no, substr(text, k * 262144 + 1, 262144) AS body FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 262144) AS BIGINT))) AS k FROM documents WHERE length(text) > 0))"
 
 
 def chunks(spark, sf_dir):
-    return search.content_chunks(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("body")), 4096)
+    return search.content_chunks(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("body")), 262144)
 
 
 @query(f"WITH {_CHUNKS} SELECT file_id, min(chunk_no) AS first_chunk, count(*) AS hits FROM c WHERE contains(lower(body), 'license') GROUP BY file_id")
@@ -208,7 +208,7 @@ def content_postings_search(spark, sf_dir):
     return search.search_postings(search.content_index(chunks(spark, sf_dir)), "mit license")
 
 
-@query("SELECT doc_id AS file_id, md5(substr(text, 1, 4096)) AS sample_md5 FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id AS file_id, md5(substr(text, 1, 262144)) AS sample_md5 FROM documents WHERE length(text) > 0")
 def content_sample(spark, sf_dir):
     return search.content_sample(chunks(spark, sf_dir)).select("file_id", F.md5(F.col("body").cast("binary")).alias("sample_md5"))
 
@@ -248,9 +248,9 @@ def dos_unix(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", times.dos_to_unix(date, time).alias("unix"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(epoch(date_trunc('second', l_shipdate)) AS BIGINT) AS unix FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, CAST(epoch(date_trunc('second', l_shipdate)) AS BIGINT) AS unix FROM lineitem")
 def exif_unix(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    rows = read(spark, sf_dir, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", times.exif_to_unix(F.date_format("l_shipdate", "yyyy:MM:dd HH:mm:ss")).alias("unix"))
 
 
@@ -275,17 +275,11 @@ def health_triage(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", classify.ata_health(one(5), one(3)).alias("ata"))
 
 
-@query(r"""SELECT page_id, 'text' AS kind, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'text/plain' END AS mime FROM pages""")
-def preview_kind(spark, sf_dir):
-    name = F.concat(F.lit("p"), F.when(F.col("page_id") % 2 == 0, ".html").otherwise(""))
-    return read(spark, sf_dir, "pages").select("page_id", classify.preview_kind(name, F.col("html").cast("binary")).alias("x")).select("page_id", "x.kind", "x.mime")
-
-
-@query("""SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
+@query("""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
   CASE WHEN regexp_matches(g, '[",\n;]') THEN '"' || replace(g, '"', '""') || '"' ELSE g END AS cell
-FROM (SELECT doc_id, text, CASE WHEN regexp_matches(substr(text, 1, 60), '^[=+\\-@]') THEN '''' || substr(text, 1, 60) ELSE substr(text, 1, 60) END AS g FROM documents)""")
+FROM (SELECT doc_id, text, CASE WHEN regexp_matches(text, '^[=+\\-@]') THEN '''' || text ELSE text END AS g FROM documents)""")
 def csv_and_html(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.html_escape(F.substring("text", 1, 200)).alias("html"), text.csv_cell(F.substring("text", 1, 60)).alias("cell"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.html_escape("text").alias("html"), text.csv_cell("text").alias("cell"))
 
 
 @query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) ELSE printf('%.2f GB', n / 1073741824.0::DOUBLE) END AS size FROM (SELECT doc_id, n_chars * (1 + doc_id % 3 * 4096) AS n FROM documents)")
@@ -333,10 +327,12 @@ def doc_entropy(spark, sf_dir):
     return found.select("doc_id", F.round("entropy", 6).alias("entropy"))
 
 
-@query("SELECT doc_id, md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 10 = 0) AS known FROM documents")
+@query("""WITH h AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) FILTER (WHERE md5(line) IN (SELECT md5(text) FROM benchmark UNION ALL SELECT md5(line) FROM h GROUP BY line HAVING count(*) > 3)) AS known FROM h GROUP BY doc_id""")
 def hash_known(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.upper(F.md5(F.col("text").cast("binary"))).alias("md5"))
-    return enrich.flag_known(rows, rows.where("doc_id % 10 = 0").select(F.lower("md5").alias("md5"))).select("doc_id", "known")
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.upper(F.md5(F.col("line").cast("binary"))).alias("md5"))
+    listed = read(spark, sf_dir, "benchmark").select(F.md5(F.col("text").cast("binary")).alias("md5")).unionByName(lines.groupBy("md5").count().where("count > 3").select(F.lower("md5").alias("md5")))
+    return enrich.flag_known(lines, listed).groupBy("doc_id").agg(F.count_if("known").alias("known"))
 
 
 @query("""WITH r AS (SELECT doc_id AS seq, md5(text) AS mft_record, CAST(doc_id * 7 % 101 AS INTEGER) AS confidence FROM documents)
@@ -482,10 +478,10 @@ def monotonic_meter(spark, sf_dir):
     return windows.monotonic(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", "meter").select("event_id", "meter")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_orderkey * 1000000007::HUGEINT >= 10000000000000 THEN 999 ELSE l_orderkey * 1000000007::HUGEINT * 999 // 10000000000000 END AS BIGINT) AS share FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_orderkey * 1000000007::HUGEINT >= 10000000000000 THEN 999 ELSE l_orderkey * 1000000007::HUGEINT * 999 // 10000000000000 END AS BIGINT) AS share FROM lineitem")
 def work_to_budget(spark, sf_dir):
     done = F.col("l_orderkey") * 1_000_000_007
-    return read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", windows.work_to_budget(done, F.lit(10**13), F.lit(1000)).alias("share"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", windows.work_to_budget(done, F.lit(10**13), F.lit(1000)).alias("share"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_type || event_id AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
@@ -494,15 +490,3 @@ SELECT user_id, max_by(head, k) AS head, max(k) AS links FROM h GROUP BY user_id
 def audit_chain(spark, sf_dir):
     lines = read(spark, sf_dir, "events").select("user_id", "event_id", F.concat("event_type", F.col("event_id").cast("string")).alias("m"))
     return aggregates.hash_chain(lines, ["user_id"], "event_id", "m")
-
-
-@query()
-def eta_ema(spark, sf_dir):
-    ticks = read(spark, sf_dir, "events").select("user_id", (F.unix_timestamp("ts") * 10).alias("t"), F.col("event_id").alias("work"), F.lit(10**6).cast("long").alias("total"))
-    return windows.eta(ticks, "user_id", "t", "work", "total")
-
-
-@query()
-def near_duplicate_carve(spark, sf_dir):
-    rows = files(spark, sf_dir).where(classify.is_carved("source")).select("scan_id", "id", "path", "start_sector", "end_sector", "source", "confidence")
-    return intervals.mark_carved_copies(rows, ["scan_id"])
