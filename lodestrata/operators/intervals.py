@@ -16,25 +16,32 @@ COPY_CONFIDENCE, CARVE_COPY_CONFIDENCE = 35, 30
 BUCKET, STRETCH = 1 << 14, 1 << 20
 
 
-def earlier_max(df: DataFrame, keys: list[str], at: str, order: list[str], value: Column | str, out: str, width: int, own: bool = False) -> DataFrame:
-    """df with the largest value of the rows before a row in order, and of the row itself with own, within keys.
+def _in_stretches(df: DataFrame, at: str, width: int) -> DataFrame:
+    return df.withColumn("_stretch", F.floor(F.col(at) / F.lit(width)))
+
+
+def _earlier(rows: DataFrame, keys: list[str], order: list[str], value: Column, out: str, own: bool) -> DataFrame:
+    """earlier_max of rows that have _stretch; the rows stay dealt by keys and _stretch."""
+    tops = rows.groupBy(*keys, "_stretch").agg(F.max(value).alias("_top"))
+    tops = tops.withColumn("_top", F.max("_top").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = F.max(value).over(Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    return rows.withColumn("_inside", inside).join(tops.where("_top is not null"), [*keys, "_stretch"], "left").withColumn(out, F.greatest("_inside", "_top")).drop("_inside", "_top")
+
+
+def earlier_max(df: DataFrame, keys: list[str], at: str, order: list[str], value: Column | str, out: str, width: int) -> DataFrame:
+    """df with the largest value of the rows before a row in order, within keys.
 
     order starts with at. Rows are dealt by stretches of `width` of at: windows see one stretch, and one number of each
     stretch goes on to later ones. So a key with any number of rows is shared by many tasks. Keys are not null.
     """
-    rows = df.withColumns({"_stretch": F.floor(F.col(at) / F.lit(width)), "_value": value if isinstance(value, Column) else F.col(value)})
-    tops = rows.groupBy(*keys, "_stretch").agg(F.max("_value").alias("_top"))
-    tops = tops.withColumn("_top", F.max("_top").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.max("_value").over(Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
-    return rows.withColumn("_inside", inside).join(tops, [*keys, "_stretch"]).withColumn(out, F.greatest("_inside", "_top")).drop("_stretch", "_value", "_inside", "_top")
+    return _earlier(_in_stretches(df, at, width), keys, order, value if isinstance(value, Column) else F.col(value), out, False).drop("_stretch")
 
 
 def components(df: DataFrame, keys: list[str], start: str, reach: Column | str, order: list[str], out: str, width: int, touching: bool = True) -> DataFrame:
     """df with the start of the group of overlapping (or touching) spans that a row belongs to, as out."""
-    rows = earlier_max(df, keys, start, order, reach, "_reached", width)
+    rows = _earlier(_in_stretches(df, start, width), keys, order, reach if isinstance(reach, Column) else F.col(reach), "_reached", False)
     apart = F.col(start) > F.col("_reached") if touching else F.col(start) >= F.col("_reached")
-    first = F.when(F.col("_reached").isNull() | apart, F.col(start))
-    return earlier_max(rows, keys, start, order, first, out, width, own=True).drop("_reached")
+    return _earlier(rows, keys, order, F.when(F.col("_reached").isNull() | apart, F.col(start)), out, True).drop("_reached", "_stretch")
 
 
 def merge(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = STRETCH) -> DataFrame:
