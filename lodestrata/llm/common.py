@@ -16,6 +16,8 @@ BUCKET_ROWS = 256
 SUPER = 4096
 #: Rows of an Arrow batch; of texts of a few KB, a few MB.
 BATCH_ROWS = 1000
+#: A key of more than this share of all rows is joined apart.
+HOT_SHARE = 1 / 1000
 #: White space of the corpus contracts: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -89,6 +91,18 @@ def no_broadcast_bound(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() > most_rows
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows, left-joined with table (one row a key) on key. hot: the keys of more than HOT_SHARE of all rows.
+
+    As there are no more than 1 / HOT_SHARE hot keys, these and their rows of table are broadcast, and rows of hot keys stay
+    where they are. So do rows without a key, which find nothing.
+    """
+    hot = F.broadcast(hot.select(key))
+    there = rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key, "left")
+    rest = rows.where(F.col(key).isNotNull()).join(hot, key, "left_anti").join(table, key, "left")
+    return there.unionByName(rest).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def with_offsets(counts: DataFrame, group: list[str], bucket: str, count: str, out: str) -> DataFrame:
     """counts (one row per group and bucket) with the sum of count over the smaller buckets of the same group, as out.
 

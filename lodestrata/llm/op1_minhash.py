@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, no_broadcast_bound, read, small_batches
+from .common import HOT_SHARE, cut, look_up, no_broadcast_bound, read, small_batches
 from .components import components
 from .words import GOLDEN, hashed, mix, split_words, windows
 
@@ -51,8 +51,6 @@ CHUNK_WORDS = 50_000
 BLOCK_TEXTS, BLOCK_BYTES = 1024, 8 << 20
 #: Bytes of regions that are compared with the first of their bucket in one cell.
 CELL_BYTES = 4 << 20
-#: A class of more than this share of all rows is counted apart; there are at most as many as this is a part of one.
-HOT_SHARE = 1 / 1000
 #: Ids that are broadcast to pick out the documents that need an exact comparison.
 BROADCAST_IDS = 1_000_000
 
@@ -298,10 +296,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     members = members.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     found = cut(source.select("doc_id").join(members, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")))
     sizes = cut(found.where("class_id is not null").groupBy("class_id").agg(F.count("*").cast("long").alias("class_size")))
-    # rows of large classes stay where they are: of such classes there are few, whatever the input
-    hot = F.broadcast(sizes.where(F.col("class_size") > F.lit(HOT_SHARE * found.count())))
-    rest = found.join(hot, "class_id", "left_anti").join(sizes, "class_id", "left").withColumn("class_size", F.coalesce("class_size", F.lit(1).cast("long")))
-    out = found.join(hot, "class_id").unionByName(rest)
+    hot = sizes.where(F.col("class_size") > F.lit(HOT_SHARE * found.count()))
+    out = look_up(found, sizes, "class_id", hot).withColumn("class_size", F.coalesce("class_size", F.lit(1).cast("long")))
     return out.select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 

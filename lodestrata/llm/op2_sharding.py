@@ -5,7 +5,9 @@ rows of all sources are merged by that fraction, and the merged order is cut int
 rows lie evenly in the merged order, so each cut matches the mixture to within a row or so per source.
 
 Both rankings are distributed: a row's bucket follows from its hash (or fraction), a window numbers the rows inside a
-bucket, and prefix sums over bucket counts make the numbers global. No task sorts a source or the table.
+bucket, and prefix sums over bucket counts make the numbers global. No task sorts a source or the table. What is needed of
+the rows is written once, so the input is read once. Rows that repeat more often than a bucket is large get a number of
+their own into the hash, or else they would share one bucket.
 
 Defined results: a null source is a source of its own; a null text has size 16 and the CRC of the empty string; rows that
 repeat in all columns are placed separately, and it doesn't matter which gets which place; an empty table gives no rows;
@@ -14,10 +16,13 @@ columns other than doc_id, text and source are ignored. Slots count from 0 in ea
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, buckets_for, no_broadcast_bound, read, unit31, with_offsets
+from .common import BUCKET_ROWS, buckets_for, cut, no_broadcast_bound, read, unit31, with_offsets
 
 #: Sources whose counts are broadcast; with more of them, Spark plans the join by their size.
 BROADCAST_SOURCES = 20_000
@@ -25,7 +30,6 @@ BROADCAST_SOURCES = 20_000
 
 def interleaved_shards(docs: DataFrame, n_shards: int = 40, seed: int = 17) -> DataFrame:
     """doc_id, size, text_crc32, source, shard, slot; row counts of any two shards differ by one at most."""
-    total = docs.count()
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -33,11 +37,19 @@ def interleaved_shards(docs: DataFrame, n_shards: int = 40, seed: int = 17) -> D
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.col("source"),
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("_key"),
+        F.monotonically_increasing_id().alias("_row"),
     )
+    rows = cut(rows)
+    total = rows.count()
+    same = ["doc_id", "text_crc32", "size", "_key"]
+    often = rows.groupBy(*same).agg(F.count("*").alias("_n")).where(F.col("_n") > BUCKET_ROWS).drop("_n")
+    known = [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in same]
+    often = cut(often.select(*[F.col(c).alias(f"_{c}_") for c in same], F.lit(True).alias("_often")))  # no more than one in BUCKET_ROWS rows
+    rows = rows.join(often, reduce(and_, known), "left").withColumn("_row", F.when(F.col("_often"), F.col("_row"))).drop("_often", *[f"_{c}_" for c in same])
     sizes = rows.groupBy("_key").agg(F.count("*").alias("_of"))
     if not no_broadcast_bound(sizes, BROADCAST_SOURCES):
         sizes = F.broadcast(sizes)
-    rows = rows.withColumn("_u", unit31(F.lit(seed), F.col("doc_id"), F.col("text_crc32"))).join(sizes, "_key")
+    rows = rows.withColumn("_u", unit31(F.lit(seed), F.col("doc_id"), F.col("text_crc32"), F.col("_row"))).join(sizes, "_key")
     rows = rows.withColumn("_bucket", F.floor(F.col("_u") * F.ceil(F.col("_of") / F.lit(BUCKET_ROWS)) / F.lit(2**31)).cast("long"))
 
     ties = ["_u", "doc_id", "text_crc32", "size"]

@@ -3,12 +3,12 @@
 Trust is a personalised PageRank from the hosts of allowed urls along links; distrust is one from the hosts of blocked urls
 against links (who links to a bad host is suspect). Both run in one DataFrame loop, cut off each round, until no host gets
 its first score and no score changes by `tolerance` of itself, so hosts without links change no verdict however many they
-are; `most_rounds` counts only rounds that reach no new host. Mass that hosts without links lose would go back to the seeds; that only scales the ranks, so
+are, or for `most_rounds` rounds that reach no new host (a bound on a walk that shrinks by the damping each round). Mass that hosts without links lose would go back to the seeds; that only scales the ranks, so
 they are normalised in the end instead. A host is blocked if its share of distrust in both exceeds `block_from`.
 
 Links are absolute or protocol-relative urls in href and src attributes; links inside a host are left out. They are counted
-per pair of hosts before anything else is shuffled. Hosts are joined by Spark's own choice, so a host with a third of
-all pages is split by adaptive execution.
+per pair of hosts before anything else is shuffled. Pages of a host with more than a thousandth of all of them are not
+shuffled to meet its scores: there are at most a thousand such hosts, and their scores are broadcast.
 
 Defined results: a null url or one without :// has an empty host and path, fits no rule and is allowed; a host that
 nothing reaches is allowed; a null html has no links; rows that repeat are judged each; an empty table gives no rows;
@@ -20,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rounds, cut, read
+from .common import HOT_SHARE, Rounds, cut, look_up, read
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?is)\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
-DAMPING, TOLERANCE, MOST_ROUNDS, BLOCK_FROM = 0.85, 1e-4, 60, 0.5
+DAMPING, TOLERANCE, MOST_ROUNDS, BLOCK_FROM = 0.85, 1e-4, 200, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -93,7 +93,9 @@ def judge(pages: DataFrame, rules=RULES, block_from: float = BLOCK_FROM, **propa
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(links.select(F.lit("distrust").alias("kind"), F.col("dst"), F.col("src"), "n"))
     scores = propagate(seeds, both, **propagation)
     scores = scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust"))
-    found = parsed.drop("html").join(scores, "host", "left")
+    hot = per_host.where(F.col("_n") > F.lit(HOT_SHARE) * per_host.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    found = parsed.drop("html").withColumn("host", F.nullif("host", F.lit("")))  # pages without a host find no scores
+    found = look_up(found, cut(scores), "host", hot).withColumn("host", F.coalesce("host", F.lit("")))
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when((distrust > 0) & (distrust > F.lit(block_from) * (trust + distrust)), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("_ruled", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

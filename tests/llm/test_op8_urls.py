@@ -101,3 +101,12 @@ def test_hosts_without_links_change_no_verdict(spark):
         got = {r.host: r.score for r in m.propagate(seeds, links).where("host LIKE 'h%'").collect()}
         assert len(got) == 9 and all(x > 0 for x in got.values())
         assert [got[f"h{k + 1}.org"] / got[f"h{k}.org"] for k in range(8)] == pytest.approx([0.85] * 8, rel=1e-3)
+
+
+def test_hosts_of_a_third_of_all_pages(spark, monkeypatch):
+    monkeypatch.setattr(m, "HOT_SHARE", 0.05)
+    rows = [(k, f"http://hot.example.net/{'fr' if k % 2 else 'de'}/{k}", None) for k in range(60)] + [(100 + k, None if k % 2 else "nothing", None) for k in range(60)] + [(200 + k, f"http://h{k}.org/{k}", None) for k in range(60)]
+    rows += [(300, "http://trap.org/", '<a href="http://hot.example.net/de/">')]
+    got = {r.page_id: r for r in m.judge(pages(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(got[k].verdict == "block" for k in range(60)) and got[300].verdict == "block"
+    assert all(got[100 + k].host == "" and got[100 + k].verdict == "allow" for k in range(60)) and all(got[200 + k].verdict == "allow" for k in range(60))
