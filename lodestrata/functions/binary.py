@@ -5,6 +5,7 @@ The column forms (ending in _udf) take and give Arrow batches.
 
 from __future__ import annotations
 
+import re
 import struct
 from functools import lru_cache
 
@@ -309,7 +310,7 @@ def sps_size(sps: bytes) -> tuple[int, int] | None:
     try:
         profile = raw[1]
         ue()
-        if profile in (100, 110, 122, 244, 44, 83, 86, 118, 128):
+        if profile in (100, 110, 122, 244, 44, 83, 86, 118, 128, 134, 135, 138, 139):
             chroma = ue()
             at += chroma == 3
             ue(), ue()
@@ -340,6 +341,22 @@ def sps_size(sps: bytes) -> tuple[int, int] | None:
         return None
 
 
+def video_preview(data: bytes) -> tuple[str, bytes | None, str]:
+    """(kind, picture, note) of a video: its cover, else a picture inside it, else a note on its frames; kind is image or note."""
+    picture = mp4_cover(data)
+    if picture is None and (found := embedded_jpeg(data)):
+        picture = data[found[0] : sum(found)]
+    if picture is not None:
+        return "image", picture, ""
+    at = next((m.start() for m in _SPS.finditer(data)), None)
+    size = sps_size(data[at + 4 : at + 260]) if at is not None else None
+    return "note", None, f"{size[0]}x{size[1]}" if size else "no picture"
+
+
+#: A start code and a sequence parameter set of H.264.
+_SPS = re.compile(rb"\x00\x00\x00\x01[\x27\x47\x67]")
+
+
 def _binary_udf(f, kind: str):
     @F.pandas_udf(kind)
     def run(data: pd.Series) -> pd.Series:

@@ -31,6 +31,16 @@ def resumable(scans: DataFrame) -> DataFrame:
     return scans.where((F.col("status") == PAUSED) & (F.col("scan_type") != "quick"))
 
 
+def resumed(scans: DataFrame, files: DataFrame) -> DataFrame:
+    """Scans that may go on, each with the spans of the files that it stored already, which marking copies goes on from.
+
+    (scan_id, from_sector, id, path, start_sector, end_sector, source, confidence); a scan without files has one row of nulls.
+    """
+    rows = resumable(scans).select(F.col("id").alias("scan_id"), F.coalesce("carve_resume_sector", "scanned_sectors").alias("from_sector"))
+    spans = files.where("start_sector is not null").select("scan_id", "id", "path", "start_sector", "end_sector", "source", "confidence")
+    return rows.join(spans, "scan_id", "left").select("scan_id", "from_sector", "id", "path", "start_sector", "end_sector", "source", "confidence")
+
+
 def upsert_case(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """new over old by key; the first created_at stays."""
     rest = [c for c in new.columns if c not in (key, "created_at")]

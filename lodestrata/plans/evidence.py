@@ -323,6 +323,55 @@ def journal_records(spark, sf_dir):
     return found.select("usn", "file_reference", "parent_reference", "timestamp", F.col("reason").cast("int").alias("reason"), "name", classify.usn_event_type("reason").alias("kind"))
 
 
+@query("SELECT event_id AS usn, event_type || event_id AS name FROM events")
+def journal_across_edges(spark, sf_dir):
+    # one stream in chunks of 1000 bytes, which no record fits to
+    name = F.concat("event_type", F.col("event_id").cast("string"))
+    length = F.octet_length(utf16(name))
+    record = F.concat(le(F.ceil((60 + length) / 8) * 8, 4), le(F.lit(2), 2), le(F.lit(0), 2), raw(bytes(16)), le(F.col("event_id"), 8), raw(bytes(24)), le(length, 2), le(F.lit(60), 2), utf16(name))
+    rows = read(spark, sf_dir, "events").select((F.col("event_id") % 20).cast("string").alias("volume_id"), "event_id", padded(record, F.ceil((60 + length) / 8) * 8).alias("r"))
+    whole = rows.groupBy("volume_id").agg(F.expr("listagg(r) WITHIN GROUP (ORDER BY event_id)").alias("b"))
+    chunks = whole.select("volume_id", "b", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / 1000).cast("int"))).alias("chunk_no")).select("volume_id", "chunk_no", F.expr("substring(b, chunk_no * 1000 + 1, 1000)").alias("data"))
+    return ntfs.journal(ntfs.journal_pieces(chunks)).select("usn", "name")
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'n' || c_custkey || '.txt' ELSE 'loose' || c_custkey || '.doc' END AS name, CASE WHEN c_custkey % 3 = 1 THEN c_custkey END AS mft_ref, CAST(CASE c_custkey % 3 WHEN 0 THEN 20 WHEN 1 THEN 58 ELSE 35 END AS INTEGER) AS confidence, CASE c_custkey % 3 WHEN 0 THEN 'ntfs_logfile_restart' ELSE 'ntfs_logfile' END AS source FROM customer")
+def log_page_rows(spark, sf_dir):
+    k = F.col("c_custkey")
+    t = k.cast("string")
+    name = F.concat(F.lit("N"), t, F.lit(".txt"))
+    inside = F.concat(raw(b"RCRD" + bytes(60)), le(k, 8), raw(bytes(56)), le(F.length(name), 1), raw(b"\x01"), utf16(name))
+    loose = F.concat(raw(b"RCRD" + bytes(200)), utf16(F.concat(F.lit("Loose"), t, F.lit(".doc"))))
+    page = F.when(k % 3 == 0, raw(b"RSTR")).when(k % 3 == 1, inside).otherwise(loose)
+    found = ntfs.log_rows(read(spark, sf_dir, "customer").select(t.alias("volume_id"), padded(page, ntfs.LOG_PAGE).alias("data")))
+    return found.select(F.col("volume_id").cast("long").alias("id"), F.col("name_lower").alias("name"), "mft_ref", "confidence", "source")
+
+
+@query("SELECT page_id AS id, CASE WHEN page_id % 3 = 2 THEN 'note' ELSE 'image' END AS kind, CAST(CASE page_id % 3 WHEN 0 THEN 7 WHEN 1 THEN 18 + 2 * (page_id % 30) ELSE 0 END AS BIGINT) AS size FROM pages")
+def video_previews(spark, sf_dir):
+    # a cover in the metadata, a picture in the data, or neither
+    i = F.col("page_id")
+    atom = lambda kind, body: F.concat(F.unhex(F.lpad(F.hex((8 + F.octet_length(body)).cast("long")), 8, "0")), raw(kind), body)
+    head = atom(b"ftyp", raw(b"isom"))
+    cover = atom(b"moov", atom(b"udta", atom(b"ilst", atom(b"covr", atom(b"data", raw(bytes(8) + b"\xff\xd8\xffpict"))))))
+    picture = F.concat(raw(b"\xff\xd8\xff\xe0\x00\x04JF\xff\xda\x00\x04ab"), F.unhex(F.repeat(F.lit("4142"), (i % 30).cast("int"))), raw(b"dd\xff\xd9"))
+    body = F.when(i % 3 == 0, F.concat(cover, atom(b"mdat", F.encode("url", "UTF-8")))).when(i % 3 == 1, atom(b"mdat", F.concat(F.encode("url", "UTF-8"), picture))).otherwise(atom(b"mdat", F.encode("url", "UTF-8")))
+    each = lambda i, data: [(i, kind, len(p or b"")) for kind, p, _ in [binary.video_preview(data)]]
+    return apply(read(spark, sf_dir, "pages").select(i.alias("id"), F.concat(head, body).alias("data")), each, "id long, kind string, size long")
+
+
+@query(f"""WITH {FILES_SQL}, s AS (SELECT DISTINCT o_orderkey % 7 AS id, o_orderkey % 7 * 10 AS from_sector FROM orders WHERE o_orderkey % 7 % 2 = 1) SELECT s.id AS scan_id, from_sector, f.id, f.start_sector FROM s LEFT JOIN files f ON f.scan_id = s.id""")
+def resumed_scans(spark, sf_dir):
+    k = F.col("o_orderkey") % 7
+    scans = read(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 2 == 1, 4).otherwise(1).alias("status"), F.lit("deep").alias("scan_type"), (k * 10).alias("carve_resume_sector"), F.lit(0).cast("long").alias("scanned_sectors")).distinct()
+    return lifecycle.resumed(scans, files(spark, sf_dir)).select("scan_id", "from_sector", "id", "start_sector")
+
+
+@query("SELECT count(*) FILTER (WHERE source = 'src1' AND contains(lower(lang), 'fr')) > 0 AS truncated FROM documents")
+def truncation_mark(spark, sf_dir):
+    return listing.truncated(read(spark, sf_dir, "documents").select("source", F.upper("lang").alias("name")), "src1", "fr")
+
+
 def resident(kind: int, body: Column, size: Column) -> Column:
     """A resident attribute without a name."""
     full = 24 + F.ceil(size / 8) * 8

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import enrich, graph, intervals, lifecycle, listing, recover, search
+from .functions.crypto import volume_key
+from .functions.text import sanitize_content
+from .operators import carve, enrich, graph, intervals, lifecycle, listing, raid, recover, search
 from .schema import CASE, CONTENT, FILES, SCANS, TIMELINE, conform, empty
-from .sources import evidence, volumes
+from .sources import evidence, partitions, volumes
 
 TABLES = {"files": FILES, "scans": SCANS, "timeline_events": TIMELINE, "case_info": CASE, "content": CONTENT}
 
@@ -80,11 +84,18 @@ class ForensicSession:
     def search_content(self, scan_id: int, query: str, mode: str = "token") -> DataFrame:
         return search.search_content(self.files(scan_id), self.table("content"), query, mode)
 
-    def index_content(self, scan_id: int, chunks: DataFrame) -> DataFrame:
-        """Content windows of a scan's files, read from a volume."""
-        found = volumes.file_bytes(self.files(scan_id).withColumn("volume_id", F.lit(chunks.select("volume_id").first()[0])), chunks)
-        from .functions.text import sanitize_content
+    def search_content_page(self, scan_id: int, query: str, offset: int, limit: int, mode: str = "token") -> DataFrame:
+        return search.search_content_page(self.files(scan_id), self.table("content"), query, offset, limit, mode)
+
+    def search_content_count(self, scan_id: int, query: str, mode: str = "token") -> DataFrame:
+        return search.search_content_count(self.files(scan_id), self.table("content"), query, mode)
+
+    def content_index_complete(self, scan_id: int) -> DataFrame:
+        return search.content_index_complete(self.files(scan_id), self.table("content"))
 
+    def index_content(self, scan_id: int, chunks: DataFrame, volume_id: str) -> DataFrame:
+        """Content windows of a scan's files, read from the volume that they lie on."""
+        found = volumes.file_bytes(self.files(scan_id).withColumn("volume_id", F.lit(volume_id)), chunks.where(F.col("volume_id") == volume_id))
         return search.content_chunks(found.select(F.col("id").alias("file_id"), sanitize_content("data", 1 << 30).alias("body")))
 
     # Enrichment and recovery.
@@ -102,6 +113,58 @@ class ForensicSession:
         rows = self.table("files").where(F.col("scan_id") == scan_id).join(wanted, "id", "left_semi")
         return recover.recover(rows.withColumn("volume_id", F.lit(volume_id)), chunks)
 
+    # Evidence: volumes, arrays, carving, images, hash lists, reports.
+
+    def images(self, *paths: str) -> DataFrame:
+        """Raw images, or segmented ones by their .E01 file, as chunks."""
+        parts = [evidence.read_ewf(self.spark, p) if p.lower().endswith(".e01") else volumes.read_images(self.spark, p) for p in paths]
+        return reduce(DataFrame.unionByName, parts)
+
+    def array(self, chunks: DataFrame, disks: list[str], level: int, name: str = "array") -> DataFrame:
+        return raid.assemble(chunks, disks, level, name)
+
+    def unlocked(self, chunks: DataFrame, key: str) -> DataFrame:
+        """Chunks of an encrypted volume whose key (hexadecimal) is known."""
+        return volumes.decrypted(chunks, volume_key(key))
+
+    def partitions(self, chunks: DataFrame) -> DataFrame:
+        return partitions.partitions(chunks)
+
+    def carve(self, scan_id: int, chunks: DataFrame, allowed: DataFrame | None = None, signatures=None) -> DataFrame:
+        """Carved files of volumes as rows of the files table, scored."""
+        known = carve.known_signatures(self.spark) if signatures is None else signatures
+        found = carve.carves(carve.hits(chunks, known, allowed), volumes.sector_count(chunks), known)
+        rows = carve.scored(carve.first_per_start(found), chunks, known).withColumns({"scan_id": F.lit(scan_id), "path": F.concat(F.lit("/carved/"), "name"), "status": F.lit(0)})
+        return conform(rows, FILES)
+
+    def mark_carved_copies(self, scan_id: int) -> DataFrame:
+        return intervals.mark_carved_copies(self.files(scan_id, listing.FileFilter(include_duplicates=True)).where(F.col("source").startswith("carver")), ["scan_id"])
+
+    def catalogue_truncated(self, scan_id: int) -> DataFrame:
+        return listing.truncated(self.table("files").where(F.col("scan_id") == scan_id))
+
+    def hash_list(self, *paths: str) -> DataFrame:
+        return evidence.hash_set(self.spark, *paths)
+
+    def write_image(self, chunks: DataFrame, path: str, size: int, container: str = "raw", allowed: tuple[str, ...] = ()) -> tuple[str, int]:
+        return recover.write_image(chunks, path, size, container=container, allowed=allowed)
+
+    def export_csv(self, scan_id: int, path: str, where: listing.FileFilter = listing.FileFilter()) -> None:
+        recover.write_csv(self.files(scan_id, where), path)
+
+    def report(self, scan_id: int, case: dict[str, str]) -> tuple[str, str]:
+        return recover.html_report(self.scan_summary(scan_id), case)
+
+    def resumed(self) -> DataFrame:
+        return lifecycle.resumed(self.scans(), self.table("files"))
+
+    def clear(self) -> None:
+        """Takes the data of all scans away. Cases stay."""
+        for name in TABLES:
+            if name != "case_info":
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     # Case.
 
     def case(self) -> DataFrame:

@@ -141,9 +141,16 @@ def hash_set(spark: SparkSession, *paths: str) -> DataFrame:
     return fields.where("md5 is not null").distinct()
 
 
+def log_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(line_no, value): the lines of logs. line_no sorts them by file and by place in it, however files are split among tasks."""
+    # rows of a split are read one after the other, so their running number orders them; splits are ordered by where they start
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return spark.read.text(list(paths)).select(place.alias("line_no"), "value")
+
+
 def log_tail(spark: SparkSession, path: str, most: int = 200) -> DataFrame:
     """(line_no, value): the last lines of a log, in order."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    lines = log_lines(spark, path)
     return lines.orderBy(F.desc("line_no")).limit(most).orderBy("line_no").select("line_no", "value")
 
 
@@ -175,8 +182,7 @@ class AuditLog:
     @staticmethod
     def rows(spark: SparkSession, path: str) -> DataFrame:
         """(line_no, digest, message) for verify_chain."""
-        lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-        return lines.select("line_no", F.substring_index("value", " ", 1).alias("digest"), F.expr("substring(value, 66)").alias("message"))
+        return log_lines(spark, path).select("line_no", F.substring_index("value", " ", 1).alias("digest"), F.expr("substring(value, 66)").alias("message"))
 
 
 def url_allowed(url: str) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -160,10 +161,10 @@ def orphan_records(chunks: DataFrame, size: int = 1024, step: int = 512) -> Data
 # Change journal.
 
 
-def usn_records(data: bytes, resync: int = 8) -> Iterator[dict]:
-    """Journal records of version 2 and 3; where none starts, the next place is tried."""
-    at = 0
-    while at + 60 <= len(data):
+def usn_records(data: bytes, resync: int = 8, stop: int | None = None) -> Iterator[dict]:
+    """Journal records of version 2 and 3 that start before stop; where none starts, the next place is tried."""
+    at, stop = 0, len(data) if stop is None else stop
+    while at < stop and at + 60 <= len(data):
         size, major, minor = struct.unpack_from("<IHH", data, at)
         head = {2: 60, 3: 76}.get(major)
         if head is None or minor or size < head or size % 8 or at + size > len(data):
@@ -180,20 +181,35 @@ def usn_records(data: bytes, resync: int = 8) -> Iterator[dict]:
 
 
 def journal(streams: DataFrame) -> DataFrame:
-    """Journal rows of (volume_id, data) pieces; pieces start at records."""
+    """Journal rows of (volume_id, data) pieces; records that start before a piece's stop count, if it has that column."""
     schema = pa.schema([("volume_id", pa.string()), ("file_reference", pa.int64()), ("parent_reference", pa.int64()), ("usn", pa.int64()), ("timestamp", pa.int64()), ("reason", pa.int64()), ("attributes", pa.int64()), ("name", pa.string())])
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for v, data in zip(b.column("volume_id").to_pylist(), b.column("data").to_pylist()):
-                for r in usn_records(data):
+            for v, data, stop in zip(*(b.column(c).to_pylist() for c in ("volume_id", "data", "stop"))):
+                for r in usn_records(data, stop=stop):
                     del r["length"]
                     rows.append(r | {"volume_id": v, "file_reference": signed(r["file_reference"]), "parent_reference": signed(r["parent_reference"])})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return streams.select("volume_id", "data").mapInArrow(run, "volume_id string, file_reference long, parent_reference long, usn long, timestamp long, reason long, attributes long, name string")
+    stop = F.col("stop") if "stop" in streams.columns else F.lit(None)
+    return streams.select("volume_id", "data", stop.cast("int").alias("stop")).mapInArrow(run, "volume_id string, file_reference long, parent_reference long, usn long, timestamp long, reason long, attributes long, name string")
+
+
+#: The longest journal record: its header and a name of 255 characters, rounded up.
+LONGEST_RECORD = 1024
+
+
+def journal_pieces(chunks: DataFrame) -> DataFrame:
+    """(volume_id, data, stop) for journal: chunks with what the next one begins with, so that records may cross an edge.
+
+    A piece that starts inside a record finds the next one by trying places.
+    """
+    following = chunks.select("volume_id", (F.col("chunk_no") - 1).alias("chunk_no"), F.substring("data", 1, LONGEST_RECORD).alias("_more"))
+    rows = chunks.where("data is not null").join(following, ["volume_id", "chunk_no"], "left")
+    return rows.select("volume_id", F.concat("data", F.coalesce("_more", F.lit(b""))).alias("data"), F.octet_length("data").alias("stop"))
 
 
 # Recycle bin.
@@ -233,23 +249,58 @@ def with_recycle_info(files: DataFrame) -> DataFrame:
 # Log file.
 
 
-def log_hints(data: bytes, most: int = 512) -> list[tuple[str, int | None]]:
-    """(lower-case name, record number or None) that log pages show: names in file-name attributes, else free UTF-16 runs."""
+#: Bytes of a log page, and confidence of a name in an attribute, of a loose name and of a restart page.
+LOG_PAGE, IN_ATTRIBUTE, LOOSE, RESTART = 4096, 58, 35, 20
+_LOOSE_NAME = re.compile(rb"(?:[\x20-\x7e]\x00){4,255}")
+
+
+def log_page_hints(page: bytes) -> Iterator[tuple[str, int | None, int]]:
+    """(lower-case name, record number or None, confidence) of one log page.
+
+    Names in file-name attributes come with their parent's record number; other runs of printable UTF-16 with a dot in them
+    are loose names.
+    """
+    k, taken = 64, []
+    while k + 66 <= len(page):
+        n, space = page[k + 64], page[k + 65]
+        if n and space in (0, 1, 2, 3) and k + 66 + 2 * n <= len(page):
+            name = utf16(page[k + 66 : k + 66 + 2 * n])
+            if len(name) == n and "." in name and name.isprintable() and name.isascii():
+                yield name.lower(), struct.unpack_from("<Q", page, k)[0] & REFERENCE, IN_ATTRIBUTE
+                taken.append((k + 66, k + 66 + 2 * n))
+                k += 66 + 2 * n
+                continue
+        k += 8
+    for m in _LOOSE_NAME.finditer(page, 64):
+        name = m[0].decode("utf-16-le")
+        if "." in name.strip(". ") and not any(s < m.end() and m.start() < e for s, e in taken):
+            yield name.lower(), None, LOOSE
+
+
+def log_hints(data: bytes, most: int | None = None) -> list[tuple[str, int | None]]:
+    """(lower-case name, record number or None) of the record pages of a log, wherever they start; most: no more than these."""
     out: list[tuple[str, int | None]] = []
     at = data.find(b"RCRD")
-    while at >= 0 and len(out) < most:
-        page = data[at : at + 4096]
-        k = 64
-        while k + 66 <= len(page):
-            n, space = page[k + 64], page[k + 65]
-            if 0 < n <= 255 and space in (0, 1, 2, 3) and k + 66 + 2 * n <= len(page):
-                name = utf16(page[k + 66 : k + 66 + 2 * n])
-                if len(name) == n and "." in name and name.isprintable() and name.isascii():
-                    out.append((name.lower(), struct.unpack_from("<Q", page, k)[0] & REFERENCE))
-                    k += 66 + 2 * n
-                    continue
-            k += 8
-        at = data.find(b"RCRD", at + 4096)
-    return out
+    while at >= 0 and (most is None or len(out) < most):
+        out += [(name, ref) for name, ref, _ in log_page_hints(data[at : at + LOG_PAGE])]
+        at = data.find(b"RCRD", at + LOG_PAGE)
+    return out[:most]
+
 
+def log_rows(chunks: DataFrame) -> DataFrame:
+    """(volume_id, name_lower, mft_ref, confidence, source) of the log pages in chunks of whole pages; a restart page is a row without a name."""
+    schema = pa.schema([("volume_id", pa.string()), ("name_lower", pa.string()), ("mft_ref", pa.int64()), ("confidence", pa.int32()), ("source", pa.string())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for v, data in zip(b.column("volume_id").to_pylist(), b.column("data").to_pylist()):
+                for at in range(0, len(data or b""), LOG_PAGE):
+                    page = data[at : at + LOG_PAGE]
+                    if page[:4] == b"RSTR":
+                        rows.append((v, None, None, RESTART, "ntfs_logfile_restart"))
+                    elif page[:4] == b"RCRD":
+                        rows += [(v, *hint, "ntfs_logfile") for hint in log_page_hints(page)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return chunks.select("volume_id", "data").mapInArrow(run, "volume_id string, name_lower string, mft_ref long, confidence int, source string")

@@ -383,3 +383,33 @@ def test_carved_copies_equal_plain_marks(spark):
         kept[v] += [] if want[k] else [(s, e)]
     for width in (64, 1 << 20):
         assert {r.id: r.source == "carver_duplicate" for r in intervals.mark_carved_copies(frame, ["v"], width).collect()} == want
+
+
+def test_log_lines_keep_their_order(spark, tmp_path):
+    lines = [f"{k} line" for k in range(3000)]
+    (tmp_path / "long.log").write_text("\n".join(lines) + "\n")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = [r.value for r in evidence.log_tail(spark, str(tmp_path / "long.log"), 700).collect()]
+        assert evidence.log_lines(spark, str(tmp_path / "long.log")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert got == lines[-700:]
+
+
+def test_session_carves_and_clears(spark, tmp_path, files):
+    s = ForensicSession(spark, str(tmp_path / "case"))
+    picture = png(random.Random(3).randbytes(6000))
+    chunks = volumes.from_bytes(spark, {"v": bytes(5120) + picture + bytes(9000)}, volumes.CHUNK)
+    s.append("files", s.carve(3, chunks))
+    got = s.files(3).where("extension = 'png'").first()
+    assert (got.start_sector, got.size_bytes, got.confidence, got.path) == (10, len(picture), 98, "/carved/carved_5120.png")
+    assert not s.catalogue_truncated(3).first().truncated and s.report(3, {"case": "C-1"})[0].startswith("<!DOCTYPE html>")
+    s.clear()
+    assert s.files(3).count() == 0
+
+
+def test_order_of_a_language(spark):
+    rows = spark.createDataFrame([("d",), ("ç",), ("c",), ("i",), ("ı",)], "name string")
+    assert [r.name for r in listing.page_by_name(rows, 1, 3).collect()] == ["ç", "d", "ı"]
