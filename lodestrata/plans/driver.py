@@ -29,10 +29,10 @@ def pick(values, by):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     i = F.col("doc_id")
     name = F.concat(F.lit("f"), i.cast("string"), F.lit("."), pick(EXTENSIONS, i))
-    rows = read(spark, sf_dir, "documents").select(
+    rows = (read(spark, sf_dir, "documents") if documents is None else documents).select(
         i.alias("id"), (i % 2 + 1).alias("scan_id"), name.alias("name"), F.concat(F.lit("/"), "lang", F.lit("/"), "source", F.lit("/"), name).alias("path"),
         F.col("n_chars").alias("size_bytes"), (i % 3).cast("int").alias("status"), (i * 7 % 101).cast("int").alias("confidence"), pick(SOURCES, i).alias("source"),
         (i * 40 % 100_003).alias("start_sector"), "text",

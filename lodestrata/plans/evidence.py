@@ -223,13 +223,16 @@ def carve_hits_allowed(spark, sf_dir):
     return found.groupBy(F.col("volume_id").cast("long").alias("id")).agg(F.count_distinct("offset").alias("n"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT scan_id, id, path, start_sector AS s, end_sector AS e, source, confidence, row_number() OVER (PARTITION BY scan_id ORDER BY id) AS k FROM files WHERE source LIKE 'carver%'),
+COPIES_SQL = """WITH RECURSIVE o AS (SELECT scan_id, id, path, start_sector AS s, end_sector AS e, source, confidence, row_number() OVER (PARTITION BY scan_id ORDER BY id) AS k FROM files WHERE source LIKE 'carver%'),
 r AS (SELECT scan_id, id, k, false AS copy, [{'s': s, 'e': e}] AS kept FROM o WHERE k = 1
   UNION ALL SELECT o.scan_id, o.id, o.k, len(list_filter(r.kept, lambda x: x.s <= o.e AND o.s <= x.e AND 2 * (least(o.e, x.e) - greatest(o.s, x.s) + 1) >= least(o.e - o.s, x.e - x.s) + 1)) > 0,
     CASE WHEN len(list_filter(r.kept, lambda x: x.s <= o.e AND o.s <= x.e AND 2 * (least(o.e, x.e) - greatest(o.s, x.s) + 1) >= least(o.e - o.s, x.e - x.s) + 1)) > 0 THEN r.kept ELSE list_append(r.kept, {'s': o.s, 'e': o.e}) END
   FROM r JOIN o ON o.scan_id = r.scan_id AND o.k = r.k + 1)
 SELECT o.scan_id, o.id, CASE WHEN copy THEN '/dup_of/carve' ELSE path END AS path, o.s AS start_sector, o.e AS end_sector, CASE WHEN copy THEN 'carver_duplicate' ELSE source END AS source, CASE WHEN copy THEN least(confidence, 30) ELSE confidence END AS confidence
-FROM o JOIN r ON o.scan_id = r.scan_id AND o.id = r.id""".replace("WITH RECURSIVE o", f"WITH RECURSIVE {FILES_SQL}, o", 1))
+FROM o JOIN r ON o.scan_id = r.scan_id AND o.id = r.id""".replace("WITH RECURSIVE o", f"WITH RECURSIVE {FILES_SQL}, o", 1)
+
+
+@query(COPIES_SQL)
 def near_duplicate_carve(spark, sf_dir):
     rows = files(spark, sf_dir).where(classify.is_carved("source")).select("scan_id", "id", "path", "start_sector", "end_sector", "source", "confidence")
     return intervals.mark_carved_copies(rows, ["scan_id"], width=4096)
@@ -516,6 +519,64 @@ def embedded_pictures(spark, sf_dir):
     return apply(read(spark, sf_dir, "pages").select(i.alias("id"), F.concat(F.encode("url", "UTF-8"), picture, F.encode("url", "UTF-8")).alias("data")), each, "id long, offset long, length long")
 
 
+def png_of(body: Column, wrong: Column | None = None) -> Column:
+    """A picture file with a body; its checksum is off by one where wrong."""
+    def part(kind: bytes, data: Column, off: Column | None = None) -> Column:
+        named = F.concat(raw(kind), data)
+        crc = F.crc32(named) + (F.lit(0) if off is None else F.when(off, 1).otherwise(0))
+        return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(data).cast("long")), 8, "0")), named, F.unhex(F.substring(F.lpad(F.hex(crc), 16, "0"), 9, 8)))
+
+    return F.concat(raw(b"\x89PNG\r\n\x1a\n"), part(b"IHDR", raw(bytes(13))), part(b"IDAT", body, wrong), part(b"IEND", raw(b"")))
+
+
+@query("""SELECT page_id AS id, (['png', 'png', 'png', 'pdf', 'pdf', 'gz', 'zip', 'jpg', 'jpg', 'bmp', 'exe'])[page_id % 11 + 1] AS kind, CAST(([98, 40, 60, 90, 55, 85, 95, 95, 75, 90, NULL])[page_id % 11 + 1] AS INTEGER) AS score FROM pages""")
+def structure_scores(spark, sf_dir):
+    from ..functions import validators
+
+    i, html = F.col("page_id"), F.encode("html", "UTF-8")
+    good = png_of(html)
+    jpeg = F.concat(raw(b"\xff\xd8\xff\xe0\x00\x04JF\xff\xda\x00\x04ab"), html)
+    bmp = F.concat(raw(b"BM"), le(F.octet_length(html) + 54, 4), raw(bytes(4)), le(F.lit(54), 4), le(F.lit(40), 4), le(i + 1, 4), le(F.lit(9), 4), raw(bytes(28)), html)
+    pdf = F.concat(raw(b"%PDF-1.7\n1 0 obj\n"), html, raw(b"\nendobj\n"))
+    kinds = ("png", "png", "png", "pdf", "pdf", "gz", "zip", "jpg", "jpg", "bmp", "exe")
+    bodies = F.array(good, png_of(html, F.lit(True)), F.expr("substring(b, 1, octet_length(b) - 20)"), F.concat(pdf, raw(b"%%EOF\n")), pdf, F.concat(raw(b"\x1f\x8b\x08\x08" + bytes(6)), F.encode("url", "UTF-8"), raw(b"\0"), html), F.concat(raw(b"PK\x03\x04"), html, raw(b"PK\x01\x02PK\x05\x06" + bytes(18))), F.concat(jpeg, raw(b"\xff\xd9")), jpeg, bmp, F.concat(raw(b"MZ"), html))
+    rows = read(spark, sf_dir, "pages").withColumn("b", good).select(i.alias("id"), F.element_at(bodies, (i % 11 + 1).cast("int")).alias("data"))
+    each = lambda i, data: [(i, kinds[i % 11], validators.score(kinds[i % 11], data))]
+    return apply(rows, each, "id long, kind string, score int")
+
+
+@query("SELECT page_id AS id, CAST(CASE page_id % 3 WHEN 0 THEN 98 WHEN 1 THEN 40 ELSE -1 END AS INTEGER) AS score, page_id % 3 <> 1 AS success, CASE WHEN page_id % 3 = 1 THEN 'structure check failed' ELSE '' END AS error, strlen(html) + 57 AS bytes_recovered FROM pages")
+def recover_checked(spark, sf_dir):
+    i = F.col("page_id")
+    rows = read(spark, sf_dir, "pages").select(i.alias("id"), F.lit("v").alias("volume_id"), F.when(i % 3 == 2, "a.dat").otherwise("a.png").alias("name"), png_of(F.encode("html", "UTF-8"), i % 3 == 1).alias("resident"))
+    rows = rows.withColumns({"size_bytes": F.octet_length("resident").cast("long"), "status": F.lit(1), "source": F.lit("ntfs_mft"), "start_sector": F.lit(0).cast("long"), "runs": F.array().cast("array<struct<start_sector:bigint,sector_count:bigint,is_sparse:boolean>>")})
+    return recover.recover(rows, page_volumes(spark, sf_dir).limit(0), chunk=SECTOR).select("id", "score", "success", "error", "bytes_recovered")
+
+
+@query("SELECT page_id AS volume, CAST(1536 AS BIGINT) AS id, 'carved_1536.png' AS name, strlen(html) + 57 AS size_bytes, CAST(3 AS BIGINT) AS start_sector, CAST(CASE WHEN strlen(html) + 57 > 4096 THEN 98 ELSE 70 END AS INTEGER) AS confidence, 'carver' AS source, 'Image' AS category FROM pages")
+def scored_carves(spark, sf_dir):
+    picture = png_of(F.encode("html", "UTF-8"))
+    disk = F.concat(raw(bytes(1536)), picture, raw(bytes(700)))
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("volume_id"), disk.alias("b"))
+    chunks = rows.select("volume_id", "b", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / 2048).cast("int"))).alias("k"))
+    chunks = chunks.select("volume_id", F.col("k").cast("long").alias("chunk_no"), (F.col("k") * 2048).cast("long").alias("byte_offset"), F.expr("substring(b, k * 2048 + 1, 2048)").alias("data"))
+    known = carve.SIGNATURES[1:2]
+    found = carve.scored(carve.carves(carve.hits(chunks, known), volumes.sector_count(chunks), known), chunks, known, chunk=2048)
+    return found.select(F.col("volume_id").cast("long").alias("volume"), "id", "name", "size_bytes", "start_sector", "confidence", "source", "category")
+
+
+@query("SELECT doc_id AS id, x.n AS name, x.i AS inode, CAST(x.t AS INTEGER) AS file_type FROM (SELECT doc_id, unnest([{'n': 'live' || doc_id, 'i': doc_id + 12, 't': 1}, {'n': 'gone.txt', 'i': 0, 't': 1}]) AS x FROM documents)")
+def ext_directory(spark, sf_dir):
+    from ..sources import ext
+
+    i = F.col("doc_id")
+    live = F.concat(F.lit("live"), i.cast("string"))
+    entry = padded(F.concat(le(i + 12, 4), le(F.lit(1024), 2), le(F.length(live), 1), raw(b"\x01"), F.encode(live, "UTF-8")), F.ceil((8 + F.length(live)) / 4) * 4)
+    gone = F.concat(le(F.lit(15), 4), le(F.lit(16), 2), raw(b"\x08\x01gone.txt"))
+    each = lambda i, data: [(i, name, inode, kind) for inode, kind, name in ext.directory_entries(data)]
+    return apply(read(spark, sf_dir, "documents").select(i.alias("id"), padded(F.concat(entry, gone), 1024).alias("data")), each, "id long, name string, inode long, file_type int")
+
+
 # Rules over rows.
 
 
@@ -762,3 +823,9 @@ def routed_journal(spark, sf_dir):
 def routed_files(spark, sf_dir):
     rows = _stream(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "fat").when(F.col("event_id") % 3 == 1, "usn_journal").otherwise("ntfs_logfile").alias("source"))
     return _drained(spark, streams.file_rows(rows)).select("id")
+
+
+@query(COPIES_SQL)
+def copies_of_a_stream(spark, sf_dir):
+    rows = files(spark, sf_dir, _stream(spark, sf_dir, "documents")).where(classify.is_carved("source")).select("scan_id", "id", "path", "start_sector", "end_sector", "source", "confidence")
+    return _drained(spark, streams.copies_stream(rows, "scan_id"))
