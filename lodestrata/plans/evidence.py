@@ -6,6 +6,8 @@ back: pages are volumes of 512-byte chunks, orders fill disk arrays, customers a
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -799,9 +801,10 @@ def _stream(spark, sf_dir, table: str) -> DataFrame:
 
 def _drained(spark, out: DataFrame, mode: str = "append") -> DataFrame:
     """The rows that a stream writes, once it has read all there is."""
-    import uuid
-
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/lodestrata-streams'}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    at = f"{shared or 'file://' + tempfile.gettempdir() + '/lodestrata-streams'}/stream-{uuid.uuid4().hex}"
     started = out.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/rows")
