@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from ..functions import binary, classify, crypto, text, times
 from ..operators import aggregates, carve, enrich, graph, intervals, lifecycle, listing, raid, recover, search, windows
 from ..sources import evidence, fat, ntfs, partitions, volumes
 from ..streaming import timeline as streams
-from .driver import FILES_SQL, TIMELINE_SQL, files, query, read, timeline
+from .driver import FILES_SQL, files, query, read
 
 SECTOR = 512
 
