@@ -61,10 +61,11 @@ def eta_fold(state: tuple | None, times: np.ndarray, works: np.ndarray, totals:
     """The next ticks of one key as eta sees them, for streams: (state, speed, eta_seconds, stalled).
 
     The state is the times and meters of the episode's last WINDOW_MS, when the meter rose last, and the smoothed speed.
+    Times are in order; those before the state's last one count as that.
     """
     held_t, held_m, rose, speed = state or ([], [], None, 0.0)
     old = len(held_t)
-    t = np.concatenate([np.asarray(held_t, np.int64), times])
+    t = np.maximum.accumulate(np.concatenate([np.asarray(held_t, np.int64), times]))
     m = np.maximum.accumulate(np.concatenate([np.asarray(held_m, np.int64), works]))
     n = np.concatenate([np.zeros(old, np.int64), totals])
     rise = np.diff(m, prepend=m[:1])

@@ -52,18 +52,25 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "
     return timed.groupBy(F.session_window("at", gap), key).agg(F.count("*").alias("n"))
 
 
+def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """All rows that a batch has of a key. Frames are cut at any row and come as the shuffle brings them, so only the whole has an order."""
+    return pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
+
+
 def eta_stream(ticks: DataFrame, key: str) -> DataFrame:
-    """(key, time_ms, work, speed, eta_seconds, stalled) of ticks (key, time_ms, work, total); the meter is the state."""
+    """(key, time_ms, work, speed, eta_seconds, stalled) of ticks (key, time_ms, work, total); the meter is the state.
+
+    A batch's ticks of a key are put in order by one task. Ticks older than those of earlier batches count at the latest time seen.
+    """
     kind = ticks.schema[key].dataType.simpleString()
     out = f"{key} {kind}, time_ms long, work long, speed double, eta_seconds double, stalled boolean"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values(["time_ms", "work"], kind="stable")
-            held, speed, left, stalled = eta_fold(held, *(frame[c].to_numpy(dtype="int64") for c in ("time_ms", "work", "total")))
-            yield pd.DataFrame({key: k[0], "time_ms": frame["time_ms"].to_numpy(), "work": frame["work"].to_numpy(), "speed": speed, "eta_seconds": left, "stalled": stalled})
+        frame = _in_order(frames, ["time_ms", "work"])
+        held, speed, left, stalled = eta_fold(held, *(frame[c].to_numpy(dtype="int64") for c in ("time_ms", "work", "total")))
         state.update((json.dumps(held),))
+        yield pd.DataFrame({key: k[0], "time_ms": frame["time_ms"].to_numpy(), "work": frame["work"].to_numpy(), "speed": speed, "eta_seconds": left, "stalled": stalled})
 
     return ticks.groupBy(key).applyInPandasWithState(step, out, "held string", "append", GroupStateTimeout.NoTimeout)
 

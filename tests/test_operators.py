@@ -304,6 +304,32 @@ def test_streams(spark, tmp_path, files):
     assert [(r.speed, r.eta_seconds) for r in spark.table("eta").orderBy("time_ms").collect()] == [(0.0, -1.0), (10.0, 99.0)]
 
 
+def test_eta_of_a_stream_whose_ticks_come_in_any_order(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(k, 700 * j, 40 * j + k, 100_000) for k in range(3) for j in range(400)]
+    rng.shuffle(rows)
+    ticks = spark.createDataFrame(rows, "scan long, time_ms long, work long, total long")
+    ticks.repartition(5).write.parquet(str(tmp_path / "ticks"))
+    frames = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        q = stream.eta_stream(spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "ticks")), "scan").writeStream.format("memory").queryName("eta_shuffled").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frames)
+    in_order = ["scan", "time_ms", "work"]
+    got, want = spark.table("eta_shuffled").orderBy(in_order).collect(), windows.eta(ticks, "scan", "time_ms", "work", "total").orderBy(in_order).collect()
+    assert [tuple(r)[:3] + (r.stalled,) for r in got] == [tuple(r)[:3] + (r.stalled,) for r in want]
+    assert np.allclose([r[3:5] for r in got], [r[3:5] for r in want])
+
+
+def test_eta_fold_takes_late_ticks():
+    state, *_ = windows.eta_fold(None, np.array([0, 50_000, 100_000]), np.array([1, 2, 3]), np.array([1000] * 3))
+    state, speed, left, stalled = windows.eta_fold(state, np.array([5, 101_000]), np.array([2, 13]), np.array([1000] * 2))
+    assert state[0][-1] == 101_000 and len(speed) == len(left) == 2 and speed[-1] == pytest.approx(10.0)
+
+
 def test_session(spark, tmp_path, files):
     s = ForensicSession(spark, str(tmp_path / "case"))
     assert s.files().count() == 0
