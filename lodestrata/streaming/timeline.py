@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.classify import usn_event_type
-from ..operators.intervals import CARVE_COPY_CONFIDENCE
+from ..operators.intervals import CARVE_COPY_CONFIDENCE, Kept
 from ..operators.windows import eta_fold
 from ..schema import DUPLICATE
 
@@ -76,24 +76,26 @@ def eta_stream(ticks: DataFrame, key: str) -> DataFrame:
 
 
 def copies_stream(carved: DataFrame, key: str = "volume_id") -> DataFrame:
-    """Carved rows in order of arrival, marked if they overlap a kept one by half of the shorter; kept spans are the state."""
+    """Carved rows, marked if they overlap a kept one by half of the shorter; kept spans are the state.
+
+    Batches count in order of arrival, and the rows of one batch in order of id: one task puts a batch's rows of a key in order.
+    """
     columns = carved.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carved.schema)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
-        for frame in frames:
-            frame, flags = frame.sort_values("id", kind="stable"), []
-            for s, e in zip(frame["start_sector"].astype(int), frame["end_sector"].astype(int)):
-                flags.append(any(2 * (min(e, b) - max(s, a) + 1) >= min(e - s, b - a) + 1 for a, b in kept if s <= b and a <= e))
-                if not flags[-1]:
-                    kept.append((s, e))
-            frame = frame.copy()
-            frame.loc[flags, "source"] = DUPLICATE
-            frame.loc[flags, "path"] = "/dup_of/carve"
-            frame.loc[flags, "confidence"] = frame.loc[flags, "confidence"].clip(upper=CARVE_COPY_CONFIDENCE)
-            yield frame[columns]
-        state.update((json.dumps(kept),))
+        frame, spans = _in_order(frames, ["id"]), json.loads(state.get[0]) if state.exists else []
+        firsts, lasts = frame["start_sector"].astype(int).tolist(), frame["end_sector"].astype(int).tolist()
+        lengths = [b - a for a, b in spans] + [b - a for a, b in zip(firsts, lasts)]
+        kept = Kept(sum(lengths) // len(lengths) + 1)
+        for a, b in spans:
+            kept.keep(a, b)
+        flags = [kept.covers(a, b) for a, b in zip(firsts, lasts)]
+        frame.loc[flags, "source"] = DUPLICATE
+        frame.loc[flags, "path"] = "/dup_of/carve"
+        frame.loc[flags, "confidence"] = frame.loc[flags, "confidence"].clip(upper=CARVE_COPY_CONFIDENCE)
+        state.update((json.dumps(spans + [span for copy, *span in zip(flags, firsts, lasts) if not copy]),))
+        yield frame[columns]
 
     return carved.groupBy(key).applyInPandasWithState(step, ddl, "kept string", "append", GroupStateTimeout.NoTimeout)
 

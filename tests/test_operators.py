@@ -330,6 +330,38 @@ def test_eta_fold_takes_late_ticks():
     assert state[0][-1] == 101_000 and len(speed) == len(left) == 2 and speed[-1] == pytest.approx(10.0)
 
 
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    from lodestrata.plans import evidence as plans
+
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "tmp"))
+    os.rename(next((tmp_path / "tmp").glob("part-*.parquet")), tmp_path / "one.parquet")
+    for table in ("many", "one"):
+        assert ids(plans._drained(spark, plans._stream(spark, str(tmp_path), table))) == list(range(10))
+
+
+def test_copies_of_a_stream_that_come_in_any_order(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(j % 2, j, "/a", at, at + rng.randrange(0, 60), "carver", 70) for j in range(600) for at in (rng.randrange(0, 2000),)]
+    rng.shuffle(rows)
+    carved = spark.createDataFrame(rows, "volume_id long, id long, path string, start_sector long, end_sector long, source string, confidence int")
+    for part in (carved.where("id < 300"), carved.where("id >= 300")):
+        part.repartition(5).write.mode("append").parquet(str(tmp_path / f"in/{part.first().id // 300}"))
+    frames = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for part in (0, 1):  # a stream that is stopped and goes on
+            os.makedirs(tmp_path / "come", exist_ok=True)
+            for f in (tmp_path / f"in/{part}").glob("part-*.parquet"):
+                os.rename(f, tmp_path / "come" / f.name)
+            read = spark.readStream.schema(carved.schema).parquet(str(tmp_path / "come"))
+            stream.copies_stream(read).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frames)
+    got = spark.read.parquet(str(tmp_path / "out")).select(*carved.columns).orderBy("id").collect()
+    assert got == intervals.mark_carved_copies(carved, ["volume_id"]).orderBy("id").collect() and 0 < sum(r.path == "/dup_of/carve" for r in got) < 600
+
+
 def test_session(spark, tmp_path, files):
     s = ForensicSession(spark, str(tmp_path / "case"))
     assert s.files().count() == 0
