@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,14 @@ def test_texts(spark):
     assert one(spark, text.sanitize_content(F.lit(bytearray(b"a\x00b\xff\t\x7f")))) == "a b\xff\t "
 
 
+def test_sizes_round_as_printf_does(spark):
+    rng = random.Random(3)
+    sizes = [1023, 1152, 1157, 1664, 1 << 17 | 128, (1 << 20) - 1, (1 << 20) + (1 << 17), (1 << 30) - 1, (1 << 30) + (3 << 27), 10**17 + 1, (1 << 62) + 12345]
+    sizes += [rng.randrange(1 << 10, 1 << 44) for _ in range(200)] + [(1 << p) // 8 * k for p in (10, 20, 30) for k in range(8, 60)]
+    printf = lambda n: f"{n} B" if n < 1 << 10 else f"{n / 2**10:.2f} KB" if n < 1 << 20 else f"{n / 2**20:.2f} MB" if n < 1 << 30 else f"{n / 2**30:.2f} GB"
+    assert all_of(spark, text.format_size, [*sizes, None], "long") == [*map(printf, sizes), None]
+
+
 def test_classification(spark):
     assert all_of(spark, classify.category_for_name, ["x.JPG", "a.mkv", "b.opus", "c.pdf", "d.7z", "e.dll", "f"]) == ["Image", "Video", "Audio", "Document", "Archive", "Executable", "Other"]
     assert all_of(spark, classify.usn_event_type, [0x80000203 - (1 << 32), 0x10000, 0x20001, 0x11, 8, 4, 1, 0x800], "long") == ["delete", "rename_old", "rename_new", "truncate", "extend", "overwrite", "create", "touch"]
