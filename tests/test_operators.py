@@ -362,6 +362,15 @@ def test_copies_of_a_stream_that_come_in_any_order(spark, tmp_path):
     assert got == intervals.mark_carved_copies(carved, ["volume_id"]).orderBy("id").collect() and 0 < sum(r.path == "/dup_of/carve" for r in got) < 600
 
 
+def test_scores_of_pages_with_large_ids(spark, tmp_path):
+    from lodestrata.plans import evidence as plans
+
+    numbers = [11 * k + 9 for k in (0, 1, 5957, 5958, 40_000, 10**8, 10**9)] + [7, 65_536 * 11]
+    spark.createDataFrame([(i, "http://a.b/", "<html>page</html>") for i in numbers], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.id: (r.kind, r.score) for r in plans.structure_scores(spark, str(tmp_path)).collect()}
+    assert got == {i: ("bmp", 90) for i in numbers[:-2]} | {7: ("jpg", 95), 65_536 * 11: ("png", 98)}
+
+
 def test_session(spark, tmp_path, files):
     s = ForensicSession(spark, str(tmp_path / "case"))
     assert s.files().count() == 0
