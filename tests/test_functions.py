@@ -64,6 +64,16 @@ def test_sizes_round_as_printf_does(spark):
     assert all_of(spark, text.format_size, [*sizes, None], "long") == [*map(printf, sizes), None]
 
 
+def test_accented_text_is_text(spark):
+    kind = lambda data: tuple(one(spark, classify.preview_kind(F.lit("p"), F.lit(bytearray(data)))))
+    for words in ("Éçé Éçé Éçé", "Straße für Öl", "ışık güneş", "текст", "文字", "😀 ok"):
+        for cut in (b"", b"a", b"ab", b"abc"):  # the sample may end within a character
+            assert kind(cut + (words * 200).encode()) == ("text", "text/plain")
+    assert kind("Éçé".encode("latin-1") * 9) == kind("Éçé ab".encode("utf-16-le") * 9) == kind(b"\x80\x81" * 9) == kind("\u0081\u0082".encode() * 9) == ("binary", "")
+    assert kind(random.Random(5).randbytes(2000)) == kind(b"") == kind(bytes(600)) == kind("\ufffd".encode() * 9) == ("binary", "")
+    assert kind(b"a" * 85 + bytes(15)) == ("text", "text/plain") and kind(b"a" * 84 + bytes(16)) == ("binary", "")
+
+
 def test_classification(spark):
     assert all_of(spark, classify.category_for_name, ["x.JPG", "a.mkv", "b.opus", "c.pdf", "d.7z", "e.dll", "f"]) == ["Image", "Video", "Audio", "Document", "Archive", "Executable", "Other"]
     assert all_of(spark, classify.usn_event_type, [0x80000203 - (1 << 32), 0x10000, 0x20001, 0x11, 8, 4, 1, 0x800], "long") == ["delete", "rename_old", "rename_new", "truncate", "extend", "overwrite", "create", "touch"]
