@@ -15,6 +15,7 @@ NAMES = {
     "op8_url_filters": "op8_urls",
     "op9_exact_dedup": "op9_exact",
     "op10_substring_dedup": "op10_substring",
+    "op11_fill_in_middle": "op11_infill",
 }
 _MODULES = {name: import_module(f".{module}", __package__) for name, module in NAMES.items()}
 QUERIES = {name: module.query for name, module in _MODULES.items()}
