@@ -16,6 +16,7 @@ NAMES = {
     "op9_exact_dedup": "op9_exact",
     "op10_substring_dedup": "op10_substring",
     "op11_fill_in_middle": "op11_infill",
+    "op12_centroid_clustering": "op12_centroids",
 }
 _MODULES = {name: import_module(f".{module}", __package__) for name, module in NAMES.items()}
 QUERIES = {name: module.query for name, module in _MODULES.items()}
