@@ -17,6 +17,7 @@ NAMES = {
     "op10_substring_dedup": "op10_substring",
     "op11_fill_in_middle": "op11_infill",
     "op12_centroid_clustering": "op12_centroids",
+    "op13_embedding_near_dedup": "op13_lattice",
 }
 _MODULES = {name: import_module(f".{module}", __package__) for name, module in NAMES.items()}
 QUERIES = {name: module.query for name, module in _MODULES.items()}
