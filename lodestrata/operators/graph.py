@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,26 +13,37 @@ ROOT, DEEPEST = 5, 64
 IN_USE, DELETED, HINT, NO_HINT_FROM = 85, 70, 55, 60
 
 
-def directory_index(entries: DataFrame) -> DataFrame:
-    """One (node, parent, name) per node: the entry of the highest confidence, the first one on ties. entries also have confidence, seq."""
-    return entries.groupBy("node").agg(F.max_by(F.struct("parent", "name"), F.struct("confidence", (-F.col("seq")).alias("seq"))).alias("x")).select("node", "x.parent", "x.name")
+def directory_index(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One (node, parent, name) per node: the entry of the highest confidence, the first one on ties. entries also have confidence, seq.
+
+    keys: columns that tell volumes (or scans) apart, as record numbers count anew in each.
+    """
+    best = F.max_by(F.struct("parent", "name"), F.struct("confidence", (-F.col("seq")).alias("seq"))).alias("x")
+    return entries.groupBy(*(keys or []), "node").agg(best).select(*(keys or []), "node", "x.parent", "x.name")
 
 
-def rebuild_paths(index: DataFrame, root: int = ROOT, deepest: int = DEEPEST) -> DataFrame:
+def rebuild_paths(index: DataFrame, root: int = ROOT, deepest: int = DEEPEST, keys: list[str] | None = None, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, path) of (node, parent, name): links are doubled each round, so a depth of 64 takes six joins.
 
     A chain ends at the root, at 0 or at a parent that isn't in the index; a chain that runs in a circle is cut at deepest.
+    keys: columns that tell volumes (or scans) apart; they come first in the result. settle writes a round's rows down (for
+    example a checkpoint), which keeps plans small and ends the rounds once no chain is open.
     """
+    keys = keys or []
     ends = F.col("parent").isin(root, 0) | (F.col("parent") == F.col("node"))
-    hops = index.select("node", F.when(~ends, F.col("parent")).alias("up"), F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth"))
+    hops = index.select(*keys, "node", F.when(~ends, F.col("parent")).alias("up"), F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth"))
     rounds = 0
     while 1 << rounds < deepest:
         rounds += 1
-        upper = hops.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
-        joined = hops.join(upper, "up", "left")
+        upper = hops.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        joined = hops.join(upper, [*keys, "up"], "left")
         more = F.col("_path").isNotNull() & (F.col("depth") + F.col("_depth") <= deepest)
-        hops = joined.select("node", F.when(more, F.col("_up")).alias("up"), F.when(more, F.concat("_path", "path")).otherwise(F.col("path")).alias("path"), F.when(more, F.col("depth") + F.col("_depth")).otherwise(F.col("depth")).alias("depth"))
-    return hops.select("node", "path")
+        hops = joined.select(*keys, "node", F.when(more, F.col("_up")).alias("up"), F.when(more, F.concat("_path", "path")).otherwise(F.col("path")).alias("path"), F.when(more, F.col("depth") + F.col("_depth")).otherwise(F.col("depth")).alias("depth"))
+        if settle:
+            hops = settle(hops)
+            if not hops.where("up is not null").limit(1).count():
+                break
+    return hops.select(*keys, "node", "path")
 
 
 def tree_rollup(paths: DataFrame, column: str = "path", separator: str = "/") -> DataFrame:

@@ -7,10 +7,11 @@ come from an equi join on chunk numbers, and what crosses a chunk's edge travels
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -132,6 +133,62 @@ def file_parts(files: DataFrame, chunks: DataFrame, chunk: int = CHUNK, sector:
     return real.unionByName(sparse)
 
 
+def blocks_at(wanted: DataFrame, chunks: DataFrame, chunk: int = CHUNK, most_rows: int = 500_000) -> DataFrame:
+    """wanted (volume_id, byte_offset, length, ...) with data: these bytes of the volumes, as far as they are there; length is a chunk at most.
+
+    Only chunk numbers in the wanted range are read. Up to most_rows wanted pieces (counted) are broadcast to the chunks, so
+    the evidence stays where it lies; more of them meet their chunks in a shuffle. A piece may cross one chunk's edge.
+    """
+    rows = wanted.withColumns({"_chunk": F.floor(F.col("byte_offset") / chunk), "_last": F.floor((F.col("byte_offset") + F.col("length") - 1) / chunk)})
+    n, low, high = rows.agg(F.count("*"), F.min("_chunk"), F.max("_last")).first()
+    near = chunks.where(F.col("chunk_no").between(low or 0, high or 0)) if n else chunks.limit(0)
+    hint = F.broadcast if n <= most_rows else lambda df: df
+    at = (F.col("byte_offset") - F.col("_chunk") * chunk + 1).cast("int")
+
+    def joined(part: DataFrame, number: Column, name: str) -> DataFrame:
+        # an inner join broadcasts the small side whichever it is; pieces that lie past a volume's end are dropped here
+        held = near.select(F.col("volume_id").alias("_volume"), F.col("chunk_no").alias("_number"), F.col("data").alias(name))
+        return held.join(hint(part), (F.col("_volume") == F.col("volume_id")) & (F.col("_number") == number)).drop("_volume", "_number")
+
+    inside = joined(rows.where("_chunk = _last"), F.col("_chunk"), "_a").withColumn("data", F.substring("_a", at, F.col("length").cast("int"))).drop("_a")
+    across = rows.where("_chunk < _last")
+    first = joined(across, F.col("_chunk"), "_a").withColumn("_a", F.substring("_a", at, F.col("length").cast("int")))
+    rest = near.select(F.col("volume_id"), (F.col("chunk_no") - 1).alias("_chunk"), F.col("data").alias("_b"))
+    both = first.join(rest, ["volume_id", "_chunk"], "left").withColumn("data", F.substring(F.concat("_a", F.coalesce("_b", F.lit(b""))), F.lit(1), F.col("length").cast("int")))
+    return inside.unionByName(both.drop("_a", "_b")).drop("_chunk", "_last")
+
+
+def runs_of(extents: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, runs): extents (keys, logical, start_sector, sector_count), in sectors, in logical order, as runs of a file.
+
+    Neighbours are merged, a gap between two extents and an extent without start_sector is a sparse run. Islands are found
+    with windows over a file's extents, so a file of very many fragments costs no more than it has.
+    """
+    w = Window.partitionBy(*keys).orderBy("logical")
+    extents = extents.withColumn("_before", F.lag(F.col("logical") + F.col("sector_count"), 1, 0).over(w))
+    hole = F.struct(F.col("_before").alias("logical"), F.lit(None).cast("long").alias("start_sector"), (F.col("logical") - F.col("_before")).alias("sector_count"))
+    own = F.struct("logical", F.col("start_sector").cast("long").alias("start_sector"), F.col("sector_count").cast("long").alias("sector_count"))
+    rows = extents.select(*keys, F.explode(F.when(F.col("logical") > F.col("_before"), F.array(hole, own)).otherwise(F.array(own))).alias("x")).select(*keys, "x.*")
+    joins = F.lag("start_sector").over(w) + F.lag("sector_count").over(w) == F.col("start_sector")
+    both_holes = F.lag(F.col("start_sector").isNull()).over(w) & F.col("start_sector").isNull()
+    joined = F.coalesce(joins, F.lit(False)) | F.coalesce(both_holes, F.lit(False))
+    rows = rows.withColumn("_new", (~joined).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    rows = rows.groupBy(*keys, "_run").agg(F.min("start_sector").alias("start_sector"), F.sum("sector_count").alias("sector_count"))
+    run = F.struct("_run", F.struct("start_sector", "sector_count", F.col("start_sector").isNull().alias("is_sparse")).alias("r"))
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(run)), lambda x: x["r"]).alias("runs"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the reliable checkpoint folder, so that rounds don't repeat each other and a lost executor costs little."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(at or f"file://{tempfile.gettempdir()}/lodestrata-{os.getpid()}")
+    return df.checkpoint(eager=True)
+
+
 def zeros(n: Column) -> Column:
     return F.unhex(F.repeat(F.lit("00"), n.cast("int")))
 
