@@ -85,10 +85,13 @@ def slack_names(hints: DataFrame, index: DataFrame) -> DataFrame:
     return rows.select("child", "parent", "name", F.lit(0).alias("status"), F.lit("ntfs_i30").alias("source"), F.lit(I30_CONFIDENCE).alias("confidence"))
 
 
-def entries_with_inodes(entries: DataFrame, inodes: DataFrame) -> DataFrame:
-    """Directory entries (inode, name, file_type) with their inodes (inode, deleted, ...): status and confidence by what was found."""
+def entries_with_inodes(entries: DataFrame, inodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Directory entries (inode, name, file_type) with their inodes (inode, deleted, ...): status and confidence by what was found.
+
+    keys: columns that tell volumes (or scans) apart, as inodes count anew in each.
+    """
     meta = inodes.withColumn("_known", F.lit(True))
-    rows = entries.where((F.col("inode") != 0) | (F.col("file_type") == 1)).join(meta, "inode", "left")
+    rows = entries.where((F.col("inode") != 0) | (F.col("file_type") == 1)).join(meta, [*(keys or []), "inode"], "left")
     lost, known, gone = F.col("inode") == 0, F.col("_known").isNotNull(), F.coalesce("deleted", F.lit(False))
     return rows.withColumns({
         "confidence": F.when(lost, NO_NUMBER).when(known & gone, DELETED_ENTRY).when(known, LIVE_ENTRY).otherwise(NO_INODE),

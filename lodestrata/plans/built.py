@@ -122,3 +122,87 @@ def apfs_container(states: dict[int, list[dict]], names: str = "Data", per: int
         struct.pack_into("<q", body, 184, 1026)
         blocks[0 if xid == min(states) else 1 + xid % 8] = sealed(body, 1, xid, apfs.SUPERBLOCK)
     return b"".join(blocks.get(k, bytes(BLOCK)) for k in range(max(blocks) + 1))
+
+
+# ext.
+
+EXT_BLOCK, EXT_GROUP = 1024, 256
+
+
+def ext_volume(files: list[dict]) -> bytes:
+    """An ext volume of 1 KiB blocks and 256 inodes a group. Files: inode, parent, name, folder, size, changed, modified, deleted and
+    either extents [(first file block, block, blocks)] with depth 0 or 2, or map {file block: block} of direct and indirect pointers.
+    A folder's own blocks are laid out here; inode 2 is the root and has to be among the files."""
+    groups = -(-max(f["inode"] for f in files) // EXT_GROUP)
+    tables = [50 + 32 * g for g in range(groups)]
+    free, blocks = iter(range(60 + 32 * groups, 1 << 30)), {}
+
+    def put(data: bytes) -> int:
+        at = next(free)
+        blocks[at] = data.ljust(EXT_BLOCK, b"\0")
+        return at
+
+    def extent_places(extents: list[tuple[int, int, int]], depth: int) -> bytes:
+        leaf = lambda part: struct.pack("<HHHHI", 0xF30A, len(part), 84, 0, 0) + b"".join(struct.pack("<IHHI", f, n, b >> 32, b & 0xFFFFFFFF) for f, b, n in part)
+        inner = lambda part, d: struct.pack("<HHHHI", 0xF30A, len(part), 84, d, 0) + b"".join(struct.pack("<IIHH", f, b & 0xFFFFFFFF, b >> 32, 0) for f, b in part)
+        if not depth:
+            return leaf(extents).ljust(60, b"\0")
+        level = [(extents[k][0], put(leaf(extents[k : k + 3]))) for k in range(0, len(extents), 3)]
+        level = [(level[k][0], put(inner(level[k : k + 40], 1))) for k in range(0, len(level), 40)]
+        return inner(level, 2).ljust(60, b"\0")
+
+    def map_places(places: dict[int, int]) -> bytes:
+        per = EXT_BLOCK // 4
+        heads, first = [places.get(k, 0) for k in range(12)], 12
+
+        def level(base: int, depth: int) -> int:
+            own = {k: b for k, b in places.items() if base <= k < base + per**depth}
+            if not own:
+                return 0
+            step = per ** (depth - 1)
+            slots = {(k - base) // step for k in own}
+            return put(struct.pack(f"<{per}I", *[(0 if k not in slots else own[base + k] if depth == 1 else level(base + k * step, depth - 1)) for k in range(per)]))
+
+        for depth in (1, 2, 3):
+            heads.append(level(first, depth))
+            first += per**depth
+        return struct.pack("<15I", *heads)
+
+    children: dict[int, list[dict]] = {}
+    for f in files:
+        if f["inode"] != 2:
+            children.setdefault(f["parent"], []).append(f)
+    raw = {}
+    for f in files:
+        if f["folder"]:
+            body = [b""]
+            for c in children.get(f["inode"], []):
+                name = c["name"].encode()
+                size = 8 + len(name) + 3 & ~3
+                # a name whose number is 0 stays in a record of its own
+                entry = struct.pack("<IHBB", 0 if c.get("lost") else c["inode"], size, len(name), 2 if c["folder"] else 1) + name
+                if len(body[-1]) + size > EXT_BLOCK - 8:
+                    body.append(b"")
+                body[-1] += entry.ljust(size, b"\0")
+            body = [b + (struct.pack("<IHBB", 0, EXT_BLOCK - len(b), 0, 0)) for b in body]
+            at = [put(b) for b in body]
+            f = f | {"size": len(at) * EXT_BLOCK, "extents": [(k, b, 1) for k, b in enumerate(at)], "depth": 2 if len(at) > 4 else 0}
+        if f.get("lost"):
+            continue
+        flags, places = (0, map_places(f["map"])) if "map" in f else (0x80000, extent_places(f["extents"], f.get("depth", 0)))
+        gone = f.get("deleted", False)
+        head = struct.pack("<HHIIIIIHHII", 0x41ED if f["folder"] else 0x81A4, 0, f["size"] & 0xFFFFFFFF, 0, f["changed"], f["modified"], 77 if gone else 0, 0, 0 if gone else 1, 0, flags)
+        raw[f["inode"]] = (head + bytes(4) + places + bytes(8) + struct.pack("<I", f["size"] >> 32)).ljust(128, b"\0")
+    for g, at in enumerate(tables):
+        data = b"".join(raw.get(g * EXT_GROUP + k + 1, bytes(128)) for k in range(EXT_GROUP))
+        blocks |= {at + k: data[k * EXT_BLOCK : (k + 1) * EXT_BLOCK] for k in range(32)}
+    sb = bytearray(EXT_BLOCK)
+    struct.pack_into("<II", sb, 0, groups * EXT_GROUP, groups * 8192)
+    struct.pack_into("<IIIIII", sb, 20, 1, 0, 0, 8192, 8192, EXT_GROUP)
+    sb[56:58] = b"\x53\xef"
+    struct.pack_into("<I", sb, 76, 1)
+    struct.pack_into("<H", sb, 88, 128)
+    blocks[1] = bytes(sb)
+    table = b"".join(struct.pack("<III", 3, 4, at).ljust(32, b"\0") for at in tables)
+    blocks |= {2 + k: table[k * EXT_BLOCK : (k + 1) * EXT_BLOCK].ljust(EXT_BLOCK, b"\0") for k in range(-(-len(table) // EXT_BLOCK))}
+    return b"".join(blocks.get(k, bytes(EXT_BLOCK)) for k in range(max(blocks) + 1))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources import apfs
+from ..sources import apfs, ext
+from ..sources.volumes import cut
 from . import built
 from .driver import query, read
 
@@ -38,3 +39,35 @@ def apfs_tree_files(spark, sf_dir):
     chunks = built.volumes(rows, F.floor(F.col("c_custkey") / A_VOLUME), apfs_volume, 1 << 16)
     found = apfs.files(chunks)
     return found.select("volume_id", "path", "is_directory", "size_bytes", "modified_at", "start_sector", "end_sector", F.coalesce(F.size("runs"), F.lit(0)).alias("runs"), "confidence")
+
+
+def ext_volume(frame: pd.DataFrame) -> bytes:
+    """Parts as files in folders by size: extents, a deep extent tree, a block map of three levels, or a deleted file."""
+    file = lambda inode, parent, name, folder=False, size=0, **more: {"inode": inode, "parent": parent, "name": name, "folder": folder, "size": size, "changed": 5, "modified": 7, "extents": [], **more}
+    files, sizes = [file(2, 2, "", True), file(12, 2, "parts", True)], sorted(set(frame["p_size"] % 10))
+    files += [file(13 + n, 12, f"s{n}", True) for n in sizes]
+    for k, size in sorted(zip(frame["p_partkey"].tolist(), frame["p_size"].tolist())):
+        own = file(30 + k % A_VOLUME, 13 + size % 10, f"p{k}.bin", size=(k % 50 + 1) * 1024)
+        if k % 4 == 1:
+            own |= {"size": 300 * 1024, "extents": [(3 * j, 1000 + 5 * j, 2) for j in range(100)], "depth": 2}
+        elif k % 4 == 2:
+            own |= {"size": (70_000 + k % 9) * 1024, "map": {0: k, 1: k + 1, 13: k + 90, 300: k + 7, 66_000: k + 8}}
+        else:
+            own |= {"extents": [(0, 10 * k, k % 50 + 1)], "deleted": k % 4 == 3}
+        files.append(own)
+    return built.ext_volume(files)
+
+
+@query(f"""WITH p AS (SELECT *, p_partkey // {A_VOLUME} AS v, p_partkey AS k, p_partkey % 4 AS kind FROM part)
+SELECT CAST(v AS VARCHAR) AS volume_id, '/parts/s' || p_size % 10 || '/p' || k || '.bin' AS path, false AS is_directory,
+  CASE kind WHEN 1 THEN 300 * 1024 WHEN 2 THEN (70000 + k % 9) * 1024 ELSE (k % 50 + 1) * 1024 END AS size_bytes,
+  CASE kind WHEN 1 THEN 2000 WHEN 2 THEN 2 * k ELSE 20 * k END AS start_sector,
+  CASE kind WHEN 1 THEN 2 * (1000 + 5 * 99 + 2) WHEN 2 THEN 2 * (k + 9) ELSE 2 * (10 * k + k % 50 + 1) END AS end_sector,
+  CAST(CASE kind WHEN 1 THEN 200 WHEN 2 THEN 8 ELSE 1 END AS INTEGER) AS runs, CASE kind WHEN 1 THEN 600 WHEN 2 THEN 2 * (70000 + k % 9) ELSE 2 * (k % 50 + 1) END AS sectors,
+  CAST(CASE WHEN kind = 3 THEN 0 ELSE 1 END AS INTEGER) AS status, CAST(CASE WHEN kind = 3 THEN 60 ELSE 95 END AS INTEGER) AS confidence FROM p""")
+def ext_tree_files(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    chunks = cut(built.volumes(rows, F.floor(F.col("p_partkey") / A_VOLUME), ext_volume, 1 << 16))
+    found = ext.files(chunks, 1 << 16).where("not is_directory")
+    sectors = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["sector_count"]).alias("sectors")
+    return found.select("volume_id", "path", "is_directory", "size_bytes", "start_sector", "end_sector", F.size("runs").alias("runs"), sectors, "status", "confidence")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators.enrich import APFS_EXTENT, APFS_NAME, APFS_WITH_EXTENT
 from ..operators.graph import rebuild_paths
 from .apple import ENTRY, EXTENT, INODE, container, volume_name
-from .volumes import cut, runs_of
+from .volumes import cut, little, runs_of, spanned
 
 # Object types (the low 16 bits) that are kept, flags of tree nodes and of map entries, the root folder,
 # the inode field that holds a stream's size, and the kind of folders in directory entries.
@@ -226,9 +226,7 @@ def volumes_of(nodes: DataFrame, state: DataFrame) -> DataFrame:
 
 def map_roots(nodes: DataFrame, maps: DataFrame) -> DataFrame:
     """(volume_id, tree, child): the address of the tree of each object map (volume_id, tree, omap: the map's address)."""
-    at = F.col("data")
-    tree = F.conv(F.concat(*[F.hex(F.substring(at, 49 + k, 1)) for k in range(7, -1, -1)]), 16, 10).cast("long")
-    found = nodes.where(F.col("type") == MAP).select("volume_id", F.col("paddr").alias("omap"), tree.alias("child"))
+    found = nodes.where(F.col("type") == MAP).select("volume_id", F.col("paddr").alias("omap"), little("data", 48, 8).alias("child"))
     return maps.join(found, ["volume_id", "omap"]).select("volume_id", "tree", "child")
 
 
@@ -261,13 +259,13 @@ def files(chunks: DataFrame, block: int = 4096, as_of: int | None = None, sector
     has, is_named = F.col("runs").isNotNull(), F.col("name").isNotNull()
     sectors = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["sector_count"])
     name = F.coalesce("name", F.concat(F.lit("extent_"), F.col("stream").cast("string")))
-    real = F.filter("runs", lambda r: ~r["is_sparse"])
+    first, last = spanned(F.col("runs"))
     return all_.select(
         "volume_id", "volume", "tree", F.coalesce("oid", "stream").alias("oid"), "parent", name.alias("name"),
         F.when(is_named, F.concat(F.coalesce("_above", F.lit("")), F.lit("/"), name)).otherwise(F.concat(F.lit("/extent/"), F.col("stream").cast("string"))).alias("path"),
         F.coalesce("is_directory", F.lit(False)).alias("is_directory"), F.coalesce("size", F.when(has, sectors * sector), F.lit(0)).cast("long").alias("size_bytes"),
         F.coalesce("created_at", F.lit(0)).cast("long").alias("created_at"), F.coalesce("modified_at", F.lit(0)).cast("long").alias("modified_at"), "runs",
-        F.try_element_at(real, F.lit(1))["start_sector"].alias("start_sector"), F.try_element_at(F.transform(real, lambda r: r["start_sector"] + r["sector_count"]), F.lit(-1)).alias("end_sector"),
+        first.alias("start_sector"), last.alias("end_sector"),
         F.lit(1).alias("status"), F.when(is_named & has, APFS_WITH_EXTENT).when(is_named, APFS_NAME).otherwise(APFS_EXTENT).alias("confidence"),
         F.when(is_named, "apfs_file").otherwise("apfs_extent").alias("source"),
     )

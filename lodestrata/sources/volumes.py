@@ -161,23 +161,44 @@ def blocks_at(wanted: DataFrame, chunks: DataFrame, chunk: int = CHUNK, most_row
 def runs_of(extents: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, runs): extents (keys, logical, start_sector, sector_count), in sectors, in logical order, as runs of a file.
 
-    Neighbours are merged, a gap between two extents and an extent without start_sector is a sparse run. Islands are found
-    with windows over a file's extents, so a file of very many fragments costs no more than it has.
+    Neighbours are merged, a gap between two extents and an extent without start_sector is a sparse run; so is what the runs
+    lack of a column total (a file's sectors), if there is one. Islands are found with windows over a file's extents, so a
+    file of very many fragments costs no more than it has.
     """
+    if "total" not in extents.columns:
+        extents = extents.withColumn("total", F.lit(0).cast("long"))
     w = Window.partitionBy(*keys).orderBy("logical")
     extents = extents.withColumn("_before", F.lag(F.col("logical") + F.col("sector_count"), 1, 0).over(w))
     hole = F.struct(F.col("_before").alias("logical"), F.lit(None).cast("long").alias("start_sector"), (F.col("logical") - F.col("_before")).alias("sector_count"))
     own = F.struct("logical", F.col("start_sector").cast("long").alias("start_sector"), F.col("sector_count").cast("long").alias("sector_count"))
-    rows = extents.select(*keys, F.explode(F.when(F.col("logical") > F.col("_before"), F.array(hole, own)).otherwise(F.array(own))).alias("x")).select(*keys, "x.*")
+    rows = extents.select(*keys, F.explode(F.when(F.col("logical") > F.col("_before"), F.array(hole, own)).otherwise(F.array(own))).alias("x"), "total").select(*keys, "x.*", "total")
     joins = F.lag("start_sector").over(w) + F.lag("sector_count").over(w) == F.col("start_sector")
     both_holes = F.lag(F.col("start_sector").isNull()).over(w) & F.col("start_sector").isNull()
     joined = F.coalesce(joins, F.lit(False)) | F.coalesce(both_holes, F.lit(False))
     rows = rows.withColumn("_new", (~joined).cast("int")).withColumn("_run", F.sum("_new").over(w))
-    rows = rows.groupBy(*keys, "_run").agg(F.min("start_sector").alias("start_sector"), F.sum("sector_count").alias("sector_count"))
+    rows = rows.groupBy(*keys, "_run").agg(F.min("start_sector").alias("start_sector"), F.sum("sector_count").alias("sector_count"), F.max("total").alias("total"))
     run = F.struct("_run", F.struct("start_sector", "sector_count", F.col("start_sector").isNull().alias("is_sparse")).alias("r"))
-    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(run)), lambda x: x["r"]).alias("runs"))
+    rows = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(run)), lambda x: x["r"]).alias("runs"), F.sum("sector_count").alias("_has"), F.max("total").alias("total"))
+    rest = F.array(F.struct(F.lit(None).cast("long").alias("start_sector"), (F.col("total") - F.col("_has")).alias("sector_count"), F.lit(True).alias("is_sparse")))
+    return rows.select(*keys, F.when(F.col("_has") < F.col("total"), F.concat("runs", rest)).otherwise(F.col("runs")).alias("runs"))
 
 
+def first_sectors(volume_chunks: DataFrame, at: int, size: int, chunk: int = CHUNK) -> DataFrame:
+    """(volume_id, data): size bytes at one offset of every volume, for headers."""
+    here = volume_chunks.where(F.col("chunk_no") == at // chunk).select("volume_id", F.lit(at).cast("long").alias("byte_offset"), F.lit(size).alias("length"))
+    return blocks_at(here, volume_chunks, chunk).select("volume_id", "data")
+
+
+def little(column: str, at: int, size: int) -> Column:
+    """A little-endian whole number at a place of binary data, as a long."""
+    return F.conv(F.concat(*[F.hex(F.substring(column, at + k + 1, 1)) for k in range(size - 1, -1, -1)]), 16, 10).cast("long")
+
+
+def spanned(runs: Column) -> tuple[Column, Column]:
+    """(start_sector, end_sector) of the first and last run that is not sparse."""
+    real = F.filter(runs, lambda r: ~r["is_sparse"])
+    return F.try_element_at(real, F.lit(1))["start_sector"], F.try_element_at(F.transform(real, lambda r: r["start_sector"] + r["sector_count"]), F.lit(-1))
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the reliable checkpoint folder, so that rounds don't repeat each other and a lost executor costs little."""
     spark = df.sparkSession

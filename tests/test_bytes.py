@@ -8,7 +8,7 @@ import zlib
 from lodestrata.functions import crypto, validators
 from lodestrata.functions.binary import crc32c, crc64_ecma, data_runs, embedded_jpeg, entropy, exif_time, fixup, gf_div, gf_mul, gf_pow2, hexdump, lfn_checksum, lznt1, mp4_cover, sps_size, utf16
 from lodestrata.operators.carve import SIGNATURES, bifragment_gap, fold, trifragment_gap
-from lodestrata.sources import ext, fat, ntfs
+from lodestrata.sources import ext, fat, ntfs, volumes
 from lodestrata.sources.evidence import rotate_segment, segment_name, url_allowed
 
 
@@ -235,12 +235,11 @@ def ext_volume():
     return bytes(vol)
 
 
-def test_ext_volume():
-    vol = ext_volume()
-    inodes, entries = ext.scan(lambda o, n: vol[o : o + n])
-    assert [(i["inode"], i["is_directory"], i["size_bytes"], i["deleted"]) for i in inodes] == [(12, True, 1024, False), (13, False, 8, False)]
-    assert inodes[1]["runs"] == [{"start_sector": 42, "sector_count": 2, "is_sparse": False}]
-    assert [(e["inode"], e["name"], e["file_type"]) for e in entries] == [(13, "note.txt", 1), (0, "old.txt", 1)]
+def test_ext_volume(spark):
+    rows = ext.files(volumes.from_bytes(spark, {"v": ext_volume()}, 4096), 4096).collect()
+    # the folder has no name of its own, as the volume has no root
+    assert {(r.inode, r.parent, r.name, r.size_bytes, r.status, r.confidence) for r in rows} == {(13, 12, "note.txt", 8, 1, 95), (0, 12, "old.txt", 0, 0, 45)}
+    assert [tuple(x) for r in rows for x in r.runs or []] == [(42, 2, False)]
     assert ext.free_blocks(b"\xff\x0f", 1, 16) == list(range(13, 17))
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from lodestrata.plans import built
-from lodestrata.sources import apfs, volumes
+from lodestrata.sources import apfs, ext, volumes
 
 
 def apfs_file(oid, parent, name, size=0, extents=(), folder=False, at=1_700_000_000):
@@ -58,3 +58,46 @@ def test_blocks_at(spark):
         got = {r.k: bytes(r.data) for r in volumes.blocks_at(spark.createDataFrame(wanted, "volume_id string, byte_offset long, length int, k int"), chunks, 512, most).collect()}
         assert got == {k: (data if v == "a" else data[1000:])[at : at + n] for v, at, n, k in wanted if at < len(data)}
     assert volumes.blocks_at(spark.createDataFrame([], "volume_id string, byte_offset long, length int"), chunks, 512).count() == 0
+
+
+def ext_file(inode, parent, name, size=0, folder=False, **places):
+    return {"inode": inode, "parent": parent, "name": name, "folder": folder, "size": size, "changed": 100, "modified": 200, **(places or {"extents": []})}
+
+
+@pytest.mark.parametrize("chunk", [1024, 5000, 1 << 18])
+def test_ext_volumes(spark, chunk):
+    triple = 12 + 256 + 65536
+    files = [ext_file(2, 2, "", folder=True), ext_file(12, 2, "a dir", folder=True), ext_file(13, 12, "deep", folder=True)]
+    files += [
+        ext_file(20, 13, "direct.bin", 12 * 1024, map={k: 9000 + k for k in range(12)}),
+        ext_file(21, 13, "levels.bin", (triple + 70_000) * 1024 + 1, map={0: 5, 1: 6, 12: 70, 14: 71, 15: 72, 268: 80, 12 + 256 + 65_535: 81, triple: 90, triple + 65_536: 91, triple + 65_537: 92}),
+        ext_file(22, 12, "tree.bin", 2000 * 1024, extents=[(4 * k, 20_000 + 10 * k, 3) for k in range(480)], depth=2),
+        ext_file(23, 2, "gone é.txt", 10, extents=[(0, 33, 1)], deleted=True),
+        ext_file(24, 2, "lost.txt", lost=True),
+        ext_file(25, 2, "empty"),
+        ext_file(26, 2, "preallocated", 2048, extents=[(0, 40, 1), (1, 41, 7)]),
+    ]
+    files += [ext_file(300 + k, 13, f"file number {k}", 5, extents=[(0, 100 + k, 1)]) for k in range(300)]
+    image = built.ext_volume(files)
+    other = built.ext_volume([ext_file(2, 2, "", folder=True), ext_file(20, 2, "direct.bin", 1024, extents=[(0, 7, 1)])])
+    rows = ext.files(volumes.from_bytes(spark, {"one": image, "two": other, "none": bytes(9000), "short": image[:70_000]}, chunk), chunk).collect()
+    got = {(r.volume_id, r.path): r for r in rows if r.volume_id != "short"}
+    assert len(got) == 309 + 1 and all(r.volume_id != "none" for r in rows)
+    runs = lambda *key: [tuple(x) for x in got[key].runs]
+    assert runs("one", "/a dir/deep/direct.bin") == [(18_000, 24, False)] and runs("two", "/direct.bin") == [(14, 2, False)]
+    assert runs("one", "/a dir/deep/levels.bin") == [
+        (10, 4, False), (None, 20, True), (140, 2, False), (None, 2, True), (142, 4, False), (None, 2 * 252, True), (160, 2, False), (None, 2 * 65_534, True),
+        (162, 2, False), (180, 2, False), (None, 2 * 65_535, True), (182, 4, False), (None, 2 * (70_001 - 65_538), True),
+    ]
+    assert runs("one", "/a dir/tree.bin")[:3] == [(40_000, 6, False), (None, 2, True), (40_020, 6, False)] and len(runs("one", "/a dir/tree.bin")) == 960
+    assert sum(x[1] for x in runs("one", "/a dir/tree.bin")) == 4000 and runs("one", "/preallocated") == [(80, 4, False)]
+    assert (got["one", "/gone é.txt"].status, got["one", "/gone é.txt"].confidence) == (0, 60) and (got["one", "/lost.txt"].status, got["one", "/lost.txt"].confidence) == (0, 45)
+    assert got["one", "/empty"].runs is None and got["one", "/a dir/deep"].is_directory and got["one", "/a dir/deep/file number 299"].start_sector == 798
+    assert got["one", "/a dir/deep/levels.bin"].size_bytes == (triple + 70_000) * 1024 + 1 and got["one", "/a dir/deep/levels.bin"].created_at == 100
+
+
+def test_ext_at_a_partition(spark):
+    image = bytes(3 * 512) + built.ext_volume([ext_file(2, 2, "", folder=True), ext_file(20, 2, "x", 1024, extents=[(0, 7, 1)])])
+    (row,) = ext.files(volumes.from_bytes(spark, {"v": image}, 2048), 2048, start=3 * 512).collect()
+    assert [tuple(x) for x in row.runs] == [(3 + 14, 2, False)]
+    assert ext.files(volumes.from_bytes(spark, {"v": bytes(4096)}, 2048), 2048).count() == 0
