@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binary import lfn_checksum
 from ..sources import apfs
 
 BLOCK = 4096
@@ -206,3 +207,108 @@ def ext_volume(files: list[dict]) -> bytes:
     table = b"".join(struct.pack("<III", 3, 4, at).ljust(32, b"\0") for at in tables)
     blocks |= {2 + k: table[k * EXT_BLOCK : (k + 1) * EXT_BLOCK].ljust(EXT_BLOCK, b"\0") for k in range(-(-len(table) // EXT_BLOCK))}
     return b"".join(blocks.get(k, bytes(EXT_BLOCK)) for k in range(max(blocks) + 1))
+
+
+# FAT and exFAT.
+
+
+def fat_volume(kind: str, entries: list[dict], spread: int = 3) -> tuple[bytes, dict[int, list[tuple[int, int]]]]:
+    """A volume (fat12, fat16, fat32, exfat) of 512-byte sectors, one a cluster, and the (first sector, sectors) of each entry by key.
+
+    Entries: key, name (long names), parent (key of a folder before it, 0: the root), folder, size, deleted, data. A file's clusters lie
+    in stretches of `spread`, every other one further on; chains of deleted files are cleared and their files lie in one stretch;
+    in exFAT files whose key is even have no chain, but lie in one stretch.
+    """
+    exfat, bits = kind == "exfat", {"fat12": 12, "fat16": 16, "fat32": 32, "exfat": 32}[kind]
+    count = max(sum(-(-e.get("size", 0) // 512) for e in entries) * 2 + 4 * len(entries) + 100, {12: 100, 16: 5000, 32: 100}[bits])
+    fat_sectors = -(-(count + 2) * bits // 8 // 512) + 1
+    reserved = 32
+    root_entries = 0 if bits == 32 else 512
+    data_at = reserved + (1 if exfat else 2) * fat_sectors + root_entries * 32 // 512
+    table, data, free, where = {0: 1, 1: 1}, {}, iter(range(2, count)), {}
+
+    def taken(n: int, straight: bool) -> list[int]:
+        out = []
+        while len(out) < n:
+            out += [next(free) for _ in range(n if straight else min(spread, n - len(out)))]
+            if not straight:
+                next(free)  # a gap
+        return out
+
+    def chained(clusters: list[int]) -> None:
+        table.update(zip(clusters, [*clusters[1:], 0x0FFFFFFF if bits == 32 else (1 << bits) - 1]))
+
+    def merged(clusters: list[int]) -> list[tuple[int, int]]:
+        out: list[list[int]] = []
+        for c in clusters:
+            if out and out[-1][0] + out[-1][1] == data_at + c - 2:
+                out[-1][1] += 1
+            else:
+                out.append([data_at + c - 2, 1])
+        return [tuple(x) for x in out]
+
+    def entry(e: dict, clusters: list[int], straight: bool) -> bytes:
+        first, size, units = clusters[0] if clusters else 0, e.get("size", 0), e["name"].encode("utf-16-le")
+        gone = e.get("deleted", False)
+        if exfat:
+            names = [units[k : k + 30].ljust(30, b"\0") for k in range(0, len(units), 30)]
+            kept = lambda b: bytes([b & 0x7F if gone else b])
+            length = len(clusters) * 512 if e["folder"] else size
+            head = kept(0x85) + bytes([1 + len(names), 0, 0]) + struct.pack("<HHHHHH", 0x10 if e["folder"] else 0x20, 0, 0, 0x21, 0, 0x21) + bytes(16)
+            stream = kept(0xC0) + bytes([3 if straight else 1, 0, len(units) // 2]) + bytes(16) + struct.pack("<IQ", first, length)
+            return head + stream + b"".join(kept(0xC1) + b"\0" + n for n in names)
+        short = f"E{e['key']}".encode().ljust(8)[:8] + b"BIN"
+        tail = units + b"\0\0" + b"\xff\xff" * 13
+        pieces = [tail[26 * k : 26 * k + 26] for k in range(-(-(len(units)) // 26))]
+        mark = lambda k: 0xE5 if gone else k + 1 | (0x40 if k + 1 == len(pieces) else 0)
+        out = b"".join(bytes([mark(k)]) + p[:10] + b"\x0f\0" + bytes([lfn_checksum(short)]) + p[10:22] + b"\0\0" + p[22:26] for k, p in reversed(list(enumerate(pieces))))
+        shown = b"\xe5" + short[1:] if gone else short
+        return out + shown + bytes([0x10 if e["folder"] else 0x20]) + bytes(8) + struct.pack("<HHHHI", first >> 16, 0, 0x21, first & 0xFFFF, 0 if e["folder"] else size)
+
+    listing: dict[int, bytes] = {0: b""}
+    own: dict[int, list[int]] = {}
+    children = lambda key: sum(1 for e in entries if e["parent"] == key)
+    room = lambda key: -(-children(key) * 32 * 8 // 512) + 1
+    if bits == 32:
+        own[0] = taken(room(0), False)
+        chained(own[0])
+    for e in entries:
+        gone, straight = e.get("deleted", False), e.get("deleted", False) or exfat and not e["folder"] and e["key"] % 2 == 0
+        clusters = taken(room(e["key"]) if e["folder"] else -(-e["size"] // 512), straight)
+        own[e["key"]] = clusters
+        if e["folder"]:
+            listing[e["key"]] = b""
+        if clusters and not gone and not (exfat and straight):
+            chained(clusters)
+        where[e["key"]] = merged(clusters)
+        data |= {c: e["data"][512 * k : 512 * k + 512].ljust(512, b"\0") for k, c in enumerate(clusters)} if "data" in e else {}
+        listing[e["parent"]] += entry(e, clusters, straight)
+    for key, raw in listing.items():
+        for k, c in enumerate(own.get(key, [])):
+            data[c] = raw[512 * k : 512 * k + 512].ljust(512, b"\0")
+    boot = bytearray(512)
+    total = data_at + count
+    if exfat:
+        boot[3:11] = b"EXFAT   "
+        struct.pack_into("<IIIIII", boot, 80, reserved, fat_sectors, data_at, count, own[0][0], 1)
+        boot[108:110] = bytes([9, 0])
+    else:
+        struct.pack_into("<HBHBHHBH", boot, 11, 512, 1, reserved, 2, root_entries, total if total < 65536 else 0, 0xF8, 0 if bits == 32 else fat_sectors)
+        struct.pack_into("<I", boot, 32, total)
+        if bits == 32:
+            struct.pack_into("<IHHI", boot, 36, fat_sectors, 0, 0, own[0][0])
+    boot[510:512] = b"\x55\xaa"
+    values = [table.get(k, 0) for k in range(count + 2 + count % 2)]
+    if bits == 12:
+        raw = b"".join((a | b << 12).to_bytes(3, "little") for a, b in zip(values[::2], values[1::2]))
+    else:
+        raw = b"".join((v & (1 << bits) - 1).to_bytes(bits // 8, "little") for v in values)
+    image = bytearray(total * 512)
+    image[:512] = boot
+    image[reserved * 512 : reserved * 512 + len(raw)] = raw
+    if bits != 32:
+        at = (reserved + 2 * fat_sectors) * 512
+        image[at : at + len(listing[0])] = listing[0]
+    for c, block in data.items():
+        image[(data_at + c - 2) * 512 : (data_at + c - 1) * 512] = block
+    return bytes(image), where

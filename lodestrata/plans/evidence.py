@@ -462,8 +462,12 @@ def cluster_chains(spark, sf_dir):
     third = k % 40 + 10
     entry = lambda n: F.when((k % 3 == 0) & (F.lit(n) == third), 0xFFFF).when(F.lit(n) == 2, F.when(k % 3 == 2, 0xFFF7).otherwise(3)).when(F.lit(n) == 3, F.when(k % 3 == 0, third).otherwise(2)).otherwise(0)
     table = F.concat(*[le(entry(n), 2) for n in range(52)])
-    each = lambda i, data: [(i, fat.chain(lambda c: fat.fat_entry(data, 16, c), 16, 2))]
-    return apply(read(spark, sf_dir, "orders").select(k.alias("id"), table.alias("data")), each, "id long, clusters array<long>")
+    pieces = read(spark, sf_dir, "orders").select(k.cast("string").alias("volume_id"), F.lit(16).alias("bits"), F.lit(51).cast("long").alias("last"), F.lit(0).cast("long").alias("first"), table.alias("data"))
+    pieces = volumes.cut(pieces)
+    places, ends = fat.ranked(fat.stretches_of(pieces))
+    heads = pieces.select("volume_id", F.lit(2).cast("long").alias("first"), F.lit(None).cast("long").alias("want"), F.lit(1).cast("long").alias("guess"))
+    found = fat.chain_extents(heads, ["volume_id"], places, ends).groupBy("volume_id").agg(F.array_sort(F.collect_list(F.struct("logical", "cluster", "n"))).alias("x"))
+    return found.select(F.col("volume_id").cast("long").alias("id"), F.flatten(F.transform("x", lambda e: F.sequence(e["cluster"], e["cluster"] + e["n"] - 1))).alias("clusters"))
 
 
 @query("""WITH u AS (SELECT DISTINCT o_custkey % 50 AS b, o_orderkey // 64 AS blk FROM orders), free AS (SELECT b, blk * 64 + i AS unit FROM (SELECT b, blk, unnest(range(64)) AS i FROM u) x WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey % 50 = x.b AND o.o_orderkey = x.blk * 64 + x.i)),

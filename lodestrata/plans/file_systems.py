@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources import apfs, ext
+from ..sources import apfs, ext, fat, volumes
 from ..sources.volumes import cut
 from . import built
 from .driver import query, read
@@ -71,3 +71,32 @@ def ext_tree_files(spark, sf_dir):
     found = ext.files(chunks, 1 << 16).where("not is_directory")
     sectors = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["sector_count"]).alias("sectors")
     return found.select("volume_id", "path", "is_directory", "size_bytes", "start_sector", "end_sector", F.size("runs").alias("runs"), sectors, "status", "confidence")
+
+
+FAT_KINDS = ("fat12", "fat16", "fat32", "exfat")
+
+
+def fat_volume(frame: pd.DataFrame) -> bytes:
+    """256 customers as files of a FAT12, FAT16, FAT32 or exFAT volume, in folders by nation; every seventh one is deleted."""
+    rows = sorted(zip(frame["c_custkey"].tolist(), frame["c_name"].tolist(), frame["c_nationkey"].tolist()))
+    entries = [{"key": 1, "parent": 0, "name": "nations", "folder": True}]
+    entries += [{"key": 10 + n, "parent": 1, "name": f"nation number {n}", "folder": True} for n in sorted({n for _, _, n in rows})]
+    for k, name, n in rows:
+        size = k % 9 * 180
+        entries.append({"key": 100 + k, "parent": 10 + n, "name": f"{name}.dat", "folder": False, "size": size, "deleted": k % 7 == 0, "data": (name * 100).encode()[:size]})
+    return built.fat_volume(FAT_KINDS[rows[0][0] // 256 % 4], entries)[0]
+
+
+@query("""WITH c AS (SELECT *, c_custkey AS k, c_custkey // 256 AS v, c_custkey % 9 * 180 AS size, CAST(ceil(c_custkey % 9 * 180 / 512) AS INTEGER) AS n FROM customer)
+SELECT CAST(v AS VARCHAR) AS volume_id, '/nations/nation number ' || c_nationkey || '/' || c_name || '.dat' AS path, size AS size_bytes, n AS sectors,
+  CAST(CASE WHEN n = 0 THEN 0 WHEN k % 7 = 0 OR v % 4 = 3 AND k % 2 = 0 THEN 1 ELSE ceil(n / 3) END AS INTEGER) AS runs, CAST(CASE WHEN k % 7 = 0 THEN 0 ELSE 1 END AS INTEGER) AS status,
+  CAST(CASE WHEN k % 7 > 0 THEN 95 WHEN n = 0 THEN 35 ELSE 60 END AS INTEGER) AS confidence, CASE WHEN v % 4 = 3 THEN 'exfat' ELSE 'fat' END AS source,
+  CASE WHEN size > 0 THEN md5(substr(repeat(c_name, 100), 1, size)) END AS md5 FROM c""")
+def fat_tree_files(spark, sf_dir):
+    # every file's bytes are read back by its runs
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    chunks = cut(built.volumes(rows, F.floor(F.col("c_custkey") / 256), fat_volume, 3 << 14))
+    found = cut(fat.files(chunks, 3 << 14).where("not is_directory").withColumn("id", F.xxhash64("volume_id", "path")))
+    bytes_ = volumes.file_bytes(found, chunks, 3 << 14).select("volume_id", "id", F.md5("data").alias("md5"))
+    sectors = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["sector_count"]), F.lit(0)).cast("int").alias("sectors")
+    return found.join(bytes_, ["volume_id", "id"], "left").select("volume_id", "path", "size_bytes", sectors, F.coalesce(F.size("runs"), F.lit(0)).alias("runs"), "status", "confidence", "source", "md5")

@@ -9,17 +9,16 @@ from their runs, entries meet inodes in a join, and paths come from the links. N
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.enrich import entries_with_inodes
 from ..operators.graph import rebuild_paths
-from .volumes import CHUNK, blocks_at, cut, first_sectors, little, runs_of, spanned
+from .volumes import CHUNK, blocks_at, cut, first_sectors, little, runs_of, spanned, table
 
 # The root folder, the first inode that isn't reserved, the flag of inodes with extents, the deepest tree.
 ROOT, FIRST, EXTENTS, DEEPEST = 2, 11, 0x80000, 5
@@ -77,23 +76,6 @@ def directory_entries(data: bytes) -> Iterator[tuple[int, int, str]]:
         at += size
 
 
-def each(rows: DataFrame, columns: list[str], make: Callable[..., Iterator[tuple]], kinds: dict[str, pa.DataType], ddl: str) -> DataFrame:
-    """What make(*columns) yields for each row, Arrow batch by batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [x for row in zip(*(c.to_pylist() for c in b.columns)) for x in make(*row)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds.values())], names=list(kinds))
-
-    return rows.select(*columns).mapInArrow(run, ddl)
-
-
-def table(rows: DataFrame, columns: list[str], make: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
-    """each() with the column types read from a schema like "a long, b string"."""
-    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
-    return each(rows, columns, make, {n: types[t] for n, t in (x.split() for x in schema.split(", "))}, schema)
-
-
 def supers(chunks: DataFrame, chunk: int = CHUNK, start: int = 0) -> DataFrame:
     """Geometry of each volume that has a superblock."""
     names = "block long, blocks long, inodes long, blocks_a_group long, inodes_a_group long, inode_size long, first_block long, descriptor long"

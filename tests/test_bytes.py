@@ -187,13 +187,12 @@ def fat16():
     return bytes(vol)
 
 
-def test_fat_volume():
-    vol = fat16()
-    rows = list(fat.scan(lambda o, n: vol[o : o + n], 2048))
-    assert [(r["name"], r["size_bytes"], r["status"]) for r in rows] == [("TEST.TXT", 11, 1), ("Long name é.txt", 600, 1), ("_GONE.TXT", 5, 0)]
-    assert rows[0]["runs"] == [{"start_sector": 2048 + 34, "sector_count": 1, "is_sparse": False}]
-    assert [(r["start_sector"], r["sector_count"]) for r in rows[1]["runs"]] == [(2048 + 35, 1), (2048 + 37, 1)]
-    assert fat.volume(vol).serial == 0xCAFE and fat.volume(vol).bits == 16
+def test_fat_volume(spark):
+    vol = bytes(2048 * 512) + fat16()
+    rows = sorted(fat.files(volumes.from_bytes(spark, {"v": vol}, 8192), 8192, start=2048 * 512).collect(), key=lambda r: r.name)
+    assert [(r.name, r.size_bytes, r.status, r.confidence) for r in rows] == [("Long name é.txt", 600, 1, 95), ("TEST.TXT", 11, 1, 95), ("_GONE.TXT", 5, 0, 60)]
+    assert [[tuple(x) for x in r.runs] for r in rows] == [[(2048 + 35, 1, False), (2048 + 37, 1, False)], [(2048 + 34, 1, False)], [(2048 + 36, 1, False)]]
+    assert fat.volume(fat16()).serial == 0xCAFE and fat.volume(fat16()).bits == 16
 
 
 def test_fat_chains():

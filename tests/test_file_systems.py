@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from lodestrata.plans import built
-from lodestrata.sources import apfs, ext, volumes
+from lodestrata.sources import apfs, ext, fat, volumes
 
 
 def apfs_file(oid, parent, name, size=0, extents=(), folder=False, at=1_700_000_000):
@@ -101,3 +103,70 @@ def test_ext_at_a_partition(spark):
     (row,) = ext.files(volumes.from_bytes(spark, {"v": image}, 2048), 2048, start=3 * 512).collect()
     assert [tuple(x) for x in row.runs] == [(3 + 14, 2, False)]
     assert ext.files(volumes.from_bytes(spark, {"v": bytes(4096)}, 2048), 2048).count() == 0
+
+
+def fat_table(entries, bits):
+    """Bytes of a table: {cluster: value}."""
+    n = max(entries) + 1
+    values = [entries.get(k, 0) for k in range(n)]
+    if bits == 12:
+        values += [0] * (n % 2)
+        return b"".join((a | b << 12).to_bytes(3, "little") for a, b in zip(values[::2], values[1::2]))
+    return b"".join(v.to_bytes(bits // 8, "little") for v in values)
+
+
+def clusters_of(spark, tables, first, piece=12):
+    """{(volume, first): clusters} by the plans, for tables {volume: (bits, entries)}."""
+    pieces = []
+    for v, (bits, entries) in tables.items():
+        data = fat_table(entries, bits)
+        pieces += [(v, bits, max(entries), at * 8 // bits, bytearray(data[at : at + piece])) for at in range(0, len(data), piece)]
+    places, ends = fat.ranked(fat.stretches_of(spark.createDataFrame(pieces, "volume_id string, bits int, last long, first long, data binary")))
+    items = [(v, f, None, 1) for v in tables for f in first(v)]
+    rows = fat.chain_extents(spark.createDataFrame(items, "volume_id string, first long, want long, guess long"), ["volume_id", "first"], places, ends).collect()
+    out = {}
+    for r in sorted(rows, key=lambda r: r.logical):
+        own = out.setdefault((r.volume_id, r.first), [])
+        assert r.logical == len(own)
+        own += range(r.cluster, r.cluster + r.n)
+    return out
+
+
+def test_fat_chains_like_a_walk(spark):
+    rng = random.Random(8)
+    tables = {}
+    for bits in (12, 16, 32):
+        for k in range(4):
+            entries = {c: rng.choice([0, c + 1, c + 1, c + 1, rng.randint(2, 60), rng.randint(2, 60), fat.BAD[bits], fat.END_FROM[bits]]) for c in range(2, 61)}
+            tables[f"{bits}-{k}"] = (bits, {0: 1, 1: 1} | {c: v if v <= 60 or v >= fat.BAD[bits] else fat.END_FROM[bits] for c, v in entries.items()})
+    tables["circle"] = (16, {2: 3, 3: 9, 9: 10, 10: 5, 5: 2, 20: 21, 21: 20, 30: 30, 60: 0xFFFF})
+    got = clusters_of(spark, tables, lambda v: range(2, 61))
+    for v, (bits, entries) in tables.items():
+        for c in range(2, 61):
+            assert got[v, c] == fat.chain(lambda x: entries.get(x, 0), bits, c), (v, c)
+
+
+def test_long_fat_chain(spark):
+    n = 100_000
+    order = list(range(2, n + 2))
+    random.Random(1).shuffle(order)
+    entries = dict(zip(order, [*order[1:], 0x0FFFFFFF]))
+    assert clusters_of(spark, {"v": (32, entries)}, lambda v: [order[0]], 49_152) == {("v", order[0]): order}
+
+
+def test_fat_and_exfat_volumes(spark):
+    files = [{"name": f"file number {k}.bin", "folder": False, "parent": k % 3, "size": 200 * k, "deleted": k % 7 == 3, "key": 10 + k} for k in range(60)]
+    folders = [{"name": "first folder", "folder": True, "parent": 0, "key": 1}, {"name": "second", "folder": True, "parent": 1, "key": 2}]
+    images, where = {}, {}
+    for kind in ("fat12", "fat16", "fat32", "exfat"):
+        images[kind], where[kind] = built.fat_volume(kind, folders + files)
+    rows = fat.files(volumes.from_bytes(spark, images, 3 << 12), 3 << 12).collect()
+    for kind in images:
+        own = {r.path: r for r in rows if r.volume_id == kind}
+        above = ["/", "/first folder/", "/first folder/second/"]
+        assert len(own) == 62 and own["/first folder"].is_directory
+        for f in files:
+            r = own[above[f["parent"]] + f["name"]]
+            assert (r.size_bytes, r.status, r.source) == (f["size"], 0 if f["deleted"] else 1, "exfat" if kind == "exfat" else "fat")
+            assert r.confidence == (95 if not f["deleted"] else 60 if f["size"] else 35)
+            assert [(x.start_sector, x.sector_count) for x in r.runs or []] == where[kind][f["key"]], (kind, f)
