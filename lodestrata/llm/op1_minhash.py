@@ -201,12 +201,14 @@ def verified(pairs: DataFrame, found: DataFrame, least: float) -> DataFrame:
     sizes = found.groupBy("id").agg(F.min(F.octet_length("regions")).alias("_low"), F.max(F.octet_length("regions")).alias("_high"))
     of = lambda c: sizes.select(F.col("id").alias(c), F.col("_low").alias(f"_low_{c}"), F.col("_high").alias(f"_high_{c}"))
     near = (F.col("_high_a") >= least * F.col("_low_b")) & (F.col("_high_b") >= least * F.col("_low_a"))
-    pairs = cut(pairs.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b", F.col("_high_a").cast("long").alias("_own"), F.col("_high_b").cast("long").alias("_bytes")))
+    # a text shares no more than its bands with smaller ones, but one first text may have the pairs of a large group of copies
+    hubs = cut(pairs.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_SHARE * pairs.count()).select("a"))
+    pairs = cut(look_up(pairs, of("a"), "a", hubs).join(of("b"), "b").where(near).select("a", "b", F.col("_high_a").cast("long").alias("_own"), F.col("_high_b").cast("long").alias("_bytes")))
     held = pairs.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
     group = F.pmod(F.xxhash64("a"), F.lit(max(1, -(-held // CELL_BYTES)))).cast("int").alias("grp")
     # a cell holds no less of a text's partners than of the text itself, so repeating it at most doubles what is sent
     firsts = pairs.groupBy("a").agg(F.ceil(F.sum("_bytes") / F.greatest(F.lit(CELL_BYTES), F.max("_own"))).cast("int").alias("_cells"))
-    members = pairs.join(firsts, "a").select(group, F.pmod(F.xxhash64("b"), F.col("_cells")).cast("int").alias("cell"), "a", "b")
+    members = look_up(pairs, firsts, "a", hubs).select(group, F.pmod(F.xxhash64("b"), F.col("_cells")).cast("int").alias("cell"), "a", "b")
     members = members.join(found.withColumnRenamed("id", "b"), "b")
     firsts = firsts.select(group, F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("cell"), "a")
     firsts = firsts.join(found.withColumnRenamed("id", "a"), "a").select(F.col("grp").alias("grp"), F.col("cell").alias("cell"), F.col("a").alias("first"), F.col("regions").alias("own"))
@@ -253,7 +255,8 @@ def cross_links(found: DataFrame, buckets: DataFrame, labels: DataFrame, least:
     mixed = each.groupBy("band").agg(F.max_by(F.struct("label", "_n", "_b"), "_n").alias("_major"), F.sum("_n").alias("_n"), F.sum("_b").alias("_b"), F.max("_most").alias("_most"), F.count("*").alias("_labels")).where("_labels > 1")
     blocks = lambda n, b: F.ceil(F.greatest(n / F.lit(BLOCK_TEXTS), b / F.greatest(F.lit(BLOCK_BYTES), 2 * F.col("_most")))).cast("int")
     major, minor = blocks(F.col("_major._n"), F.col("_major._b")), blocks(F.col("_n") - F.col("_major._n"), F.col("_b") - F.col("_major._b"))
-    rows = cut(rows.join(mixed.select("band", F.col("_major.label").alias("_major"), major.alias("_of_major"), minor.alias("_of_minor")), "band"))
+    mixed = cut(mixed.select("band", F.col("_major.label").alias("_major"), major.alias("_of_major"), minor.alias("_of_minor"), "_n"))
+    rows = cut(look_up(rows, mixed.drop("_n"), "band", mixed.where(F.col("_n") > HOT_SHARE * buckets.count())).where("_major is not null"))
 
     # cells of kind 1: a block of the largest component against a block of the others; of kind 0: two blocks of the others
     major = F.col("label") == F.col("_major")
@@ -279,8 +282,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     texts = cut(texts.select("text_key", F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")))
 
     banded = texts.select(F.explode("bands").alias("band"), "id")
-    shared = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("_last")).where("first < _last").drop("_last")
-    buckets = cut(banded.join(shared, "band"))
+    shared = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("_last"), F.count("*").alias("_n")).where("first < _last").drop("_last")
+    shared = cut(shared)
+    wide = shared.where(F.col("_n") > HOT_SHARE * shared.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    buckets = cut(look_up(banded, shared.drop("_n"), "band", wide).where("first is not null"))
     pairs = cut(buckets.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     held = regions_of(known, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), shingle, broadcast_ids)
     links = verified(pairs, held, similarity)
