@@ -178,23 +178,26 @@ def is_container(data: Column | str) -> Column:
     return _starts(d, b"ftyp", 4) | _starts(d, b"RIFF") | _starts(d, b"\x1a\x45\xdf\xa3") | _starts(d, b"PK") | _starts(d, b"MZ")
 
 
-def printable_percent(data: Column | str, most: int) -> Column:
-    """The share of tabs, line ends, printable ASCII and well-formed UTF-8 beyond it in the first bytes, in whole percent; null for no bytes."""
+def printable_percent(data: Column | str, most: int, utf8: bool = False) -> Column:
+    """The share of tabs, line ends and printable ASCII in the first bytes, in whole percent; null for no bytes. utf8: well-formed
+    UTF-8 beyond ASCII counts too, control characters and what stands for malformed bytes do not."""
     head = F.substring(col(data), 1, most)
     n = F.octet_length(head)
-    # control characters and what stands for malformed bytes do not count
-    shown = F.regexp_replace(F.make_valid_utf8(head.cast("string")), r"[^\t\n\r\x20-\x7e\u00a0-\x{10ffff}]|\ufffd", "")
-    return F.when(n > 0, F.floor(F.octet_length(shown) * 100 / n))
+    if utf8:
+        shown = F.octet_length(F.regexp_replace(F.make_valid_utf8(head.cast("string")), r"[^\t\n\r\x20-\x7e\u00a0-\x{10ffff}]|\ufffd", ""))
+    else:
+        shown = F.char_length(F.regexp_replace(F.decode(head, "ISO-8859-1"), r"[^\t\n\r\x20-\x7e]", ""))
+    return F.when(n > 0, F.floor(shown * 100 / n))
 
 
-def preview_kind(name: Column | str, data: Column | str) -> Column:
-    """Struct of kind (image, pdf, text, binary) and mime. First bytes beat the extension."""
+def preview_kind(name: Column | str, data: Column | str, utf8: bool = False) -> Column:
+    """Struct of kind (image, pdf, text, binary) and mime. First bytes beat the extension. utf8: accented text is text too."""
     mime, ext = sniff_mime(data), extension_of(name)
     # Types by extension.
     images = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "ico": "image/x-icon"}
     by_ext = F.create_map(*[F.lit(x) for item in images.items() for x in item])
     text = ext.isin("txt", "log", "csv", "json", "xml", "md", "html", "htm")
-    body = ~is_container(data) & F.coalesce(printable_percent(data, 512) >= PRINTABLE_FROM, F.lit(False))
+    body = ~is_container(data) & F.coalesce(printable_percent(data, 512, utf8) >= PRINTABLE_FROM, F.lit(False))
     pair = lambda kind, m: F.struct(F.lit(kind).alias("kind"), (m if isinstance(m, Column) else F.lit(m)).alias("mime"))
     return (
         F.when(mime.startswith("image/"), pair("image", mime))

@@ -57,13 +57,13 @@ def csv_cell(x: Column | str) -> Column:
 
 
 def format_size(x: Column | str) -> Column:
-    """Bytes with two places of the unit. What lies halfway goes to the even digit, as in C's printf; Java's %.2f rounds it up."""
+    """Bytes with two places of the unit; of two equally near values the larger one is shown."""
     n = col(x)
 
     def shown(power: int, unit: str) -> Column:
         whole = n.cast("double").cast("long")
         # exact: at most 37 bits, divided by a power of two
-        part = F.bround(whole.bitwiseAND((1 << power) - 1) * 100 / F.lit(float(1 << power))).cast("long")
+        part = F.floor(whole.bitwiseAND((1 << power) - 1) * 100 / F.lit(float(1 << power)) + 0.5).cast("long")
         return F.concat((F.shiftright(whole, power) + F.floor(part / 100)).cast("string"), F.lit("."), F.lpad((part % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
 
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, shown(10, "KB")).when(n < 1 << 30, shown(20, "MB")).otherwise(shown(30, "GB"))

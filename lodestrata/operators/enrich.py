@@ -17,19 +17,24 @@ APFS_NAME, APFS_WITH_EXTENT, APFS_EXTENT = 70, 85, 60
 RECORD_MASK = 0x0000FFFFFFFFFFFF
 
 
-def best_record(rows: DataFrame, key: str = "mft_record", seq: str = "seq") -> DataFrame:
-    """Of the rows of one record number the most confident, the first one on ties; streams and rows without number all stay."""
+def best_record(rows: DataFrame, key: str = "mft_record", seq: str = "seq", keys: list[str] | None = None) -> DataFrame:
+    """Of the rows of one record number the most confident, the first one on ties; streams and rows without number all stay.
+
+    Here and below, keys are the columns that tell volumes (or scans) apart, as record numbers count anew in each.
+    """
     loose = F.coalesce(F.col(key).isNull() | (F.col("source") == "ntfs_ads"), F.lit(False))
-    best = rows.where(~loose).groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct("confidence", (-F.col(seq)).alias("s"))).alias("row"))
+    best = rows.where(~loose).groupBy(*(keys or []), key).agg(F.max_by(F.struct(*rows.columns), F.struct("confidence", (-F.col(seq)).alias("s"))).alias("row"))
     return rows.where(loose).unionByName(best.select("row.*"))
 
 
-def confirm_by_log(files: DataFrame, hints: DataFrame) -> DataFrame:
+def confirm_by_log(files: DataFrame, hints: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """files (name, mft_record, source, confidence) confirmed by log hints (name_lower, mft_ref), by name first, else by record number."""
-    by_name = hints.where(text("name_lower") != "").groupBy("name_lower").agg(F.min("mft_ref").alias("_ref"))
-    by_ref = hints.where("mft_ref is not null").groupBy("mft_ref").agg(F.min("name_lower").alias("_name"))
-    rows = files.join(by_name.withColumn("_by_name", F.lit(True)), F.lower("name") == F.col("name_lower"), "left")
-    rows = rows.join(by_ref.withColumn("_by_ref", F.lit(True)), F.col("mft_record") == by_ref["mft_ref"], "left")
+    keys = keys or []
+    by_name = hints.where(text("name_lower") != "").groupBy(*keys, F.col("name_lower").alias("_lower")).agg(F.min("mft_ref").alias("_ref"))
+    by_ref = hints.where("mft_ref is not null").groupBy(*keys, F.col("mft_ref").alias("_record")).agg(F.min("name_lower").alias("_name"))
+    rows = files.withColumns({"_lower": F.lower("name"), "_record": F.col("mft_record")})
+    rows = rows.join(by_name.withColumn("_by_name", F.lit(True)), [*keys, "_lower"], "left")
+    rows = rows.join(by_ref.withColumn("_by_ref", F.lit(True)), [*keys, "_record"], "left")
     hit = F.coalesce("_by_name", F.lit(False)) | F.coalesce("_by_ref", F.lit(False))
     return rows.withColumns({
         "confidence": F.when(hit, F.least(F.lit(100), F.col("confidence") + LOG_GAIN)).otherwise(F.col("confidence")),
@@ -39,10 +44,11 @@ def confirm_by_log(files: DataFrame, hints: DataFrame) -> DataFrame:
     }).select(*files.columns)
 
 
-def confirm_by_journal(files: DataFrame, deletions: DataFrame) -> DataFrame:
+def confirm_by_journal(files: DataFrame, deletions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Deleted files whose record number a journal deletion (file_reference) names."""
-    refs = deletions.select(F.col("file_reference").bitwiseAND(RECORD_MASK).alias("mft_record")).distinct().withColumn("_hit", F.lit(True))
-    rows = files.join(refs, "mft_record", "left")
+    keys = keys or []
+    refs = deletions.select(*keys, F.col("file_reference").bitwiseAND(RECORD_MASK).alias("mft_record")).distinct().withColumn("_hit", F.lit(True))
+    rows = files.join(refs, [*keys, "mft_record"], "left")
     hit = F.col("_hit").isNotNull() & (F.col("status") == 0)
     return rows.withColumns({
         "confidence": F.when(hit, F.least(F.lit(100), F.col("confidence") + JOURNAL_GAIN)).otherwise(F.col("confidence")),
@@ -77,12 +83,13 @@ def pair_recycle_bin(files: DataFrame, seq: str = "seq") -> DataFrame:
     return found.withColumns(new).select(*files.columns)
 
 
-def slack_names(hints: DataFrame, index: DataFrame) -> DataFrame:
+def slack_names(hints: DataFrame, index: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Index hints (child, parent, name) whose record is unknown or has another name; each child and name once."""
-    known = index.select(F.col("node").alias("child"), F.col("name").alias("_name"))
-    rows = hints.where((text("name") != "") & (F.col("child") != 0)).join(known, "child", "left")
-    rows = rows.where(F.col("_name").isNull() | (F.col("_name") != F.col("name"))).dropDuplicates(["child", "name"])
-    return rows.select("child", "parent", "name", F.lit(0).alias("status"), F.lit("ntfs_i30").alias("source"), F.lit(I30_CONFIDENCE).alias("confidence"))
+    keys = keys or []
+    known = index.select(*keys, F.col("node").alias("child"), F.col("name").alias("_name"))
+    rows = hints.where((text("name") != "") & (F.col("child") != 0)).join(known, [*keys, "child"], "left")
+    rows = rows.where(F.col("_name").isNull() | (F.col("_name") != F.col("name"))).dropDuplicates([*keys, "child", "name"])
+    return rows.select(*keys, "child", "parent", "name", F.lit(0).alias("status"), F.lit("ntfs_i30").alias("source"), F.lit(I30_CONFIDENCE).alias("confidence"))
 
 
 def entries_with_inodes(entries: DataFrame, inodes: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -282,7 +282,9 @@ def csv_and_html(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.html_escape("text").alias("html"), text.csv_cell("text").alias("cell"))
 
 
-@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) ELSE printf('%.2f GB', n / 1073741824.0::DOUBLE) END AS size FROM (SELECT doc_id, n_chars * (1 + doc_id % 3 * 4096) AS n FROM documents)")
+@query("""WITH n AS (SELECT doc_id, n_chars * (1 + doc_id % 3 * 4096) AS n FROM documents), u AS (SELECT *, CASE WHEN n < 1048576 THEN 1024 WHEN n < 1073741824 THEN 1048576 ELSE 1073741824 END AS u FROM n),
+h AS (SELECT *, CAST(floor(n * 100 / CAST(u AS DOUBLE) + 0.5) AS BIGINT) AS h FROM u)
+SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE h // 100 || '.' || lpad(CAST(h % 100 AS VARCHAR), 2, '0') || CASE u WHEN 1024 THEN ' KB' WHEN 1048576 THEN ' MB' ELSE ' GB' END END AS size FROM h""")
 def format_size(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.format_size(F.col("n_chars") * (1 + F.col("doc_id") % 3 * 4096)).alias("size"))
 
@@ -335,11 +337,11 @@ def hash_known(spark, sf_dir):
     return enrich.flag_known(lines, listed).groupBy("doc_id").agg(F.count_if("known").alias("known"))
 
 
-@query("""WITH r AS (SELECT doc_id AS seq, md5(text) AS mft_record, CAST(doc_id * 7 % 101 AS INTEGER) AS confidence FROM documents)
-SELECT seq, confidence FROM r QUALIFY row_number() OVER (PARTITION BY mft_record ORDER BY confidence DESC, seq) = 1""")
+@query("""WITH r AS (SELECT doc_id AS seq, source AS volume_id, md5(text) AS mft_record, CAST(doc_id * 7 % 101 AS INTEGER) AS confidence FROM documents)
+SELECT volume_id, seq, confidence FROM r QUALIFY row_number() OVER (PARTITION BY volume_id, mft_record ORDER BY confidence DESC, seq) = 1""")
 def best_record(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.md5(F.col("text").cast("binary")).alias("mft_record"), (F.col("doc_id") * 7 % 101).cast("int").alias("confidence"), F.lit("ntfs_mft").alias("source"))
-    return enrich.best_record(rows).select("seq", "confidence")
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.md5(F.col("text").cast("binary")).alias("mft_record"), (F.col("doc_id") * 7 % 101).cast("int").alias("confidence"), F.lit("ntfs_mft").alias("source"), F.col("source").alias("volume_id"))
+    return enrich.best_record(rows, keys=["volume_id"]).select("volume_id", "seq", "confidence")
 
 
 _SPANS = "s AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value * 100) AS BIGINT) + 1 AS e FROM events)"
@@ -377,16 +379,19 @@ def overlap_dedup(spark, sf_dir):
     return intervals.mark_copies(rows.where(carved), rows.where(~carved), ["scan_id"], width=64).select("id", "source", "path", "confidence")
 
 
-@query("""WITH RECURSIVE e AS (SELECT 10 + r_regionkey AS node, 5 AS parent, r_name AS name FROM region UNION ALL SELECT 100 + n_nationkey, 10 + n_regionkey, n_name FROM nation
-  UNION ALL SELECT 1000 + c_custkey, 100 + c_nationkey, c_name FROM customer),
-p AS (SELECT node, '/' || name AS path FROM e WHERE parent = 5 UNION ALL SELECT e.node, p.path || '/' || e.name FROM e JOIN p ON e.parent = p.node)
-SELECT CAST(node AS BIGINT) AS node, path FROM p""")
+@query("""WITH RECURSIVE c AS (SELECT c_custkey % 3 AS v, * FROM customer),
+e AS (SELECT 10 + r_regionkey AS node, 5 AS parent, r_name AS name, v FROM region, range(3) t(v) UNION ALL SELECT 100 + n_nationkey, 10 + (n_regionkey + v) % 5, n_name, v FROM nation, range(3) t(v)
+  UNION ALL SELECT 1000 + c_custkey // 3, 100 + c_nationkey, c_name, v FROM c),
+p AS (SELECT v, node, '/' || name AS path FROM e WHERE parent = 5 UNION ALL SELECT e.v, e.node, p.path || '/' || e.name FROM e JOIN p ON e.parent = p.node AND e.v = p.v)
+SELECT CAST(v AS BIGINT) AS v, CAST(node AS BIGINT) AS node, path FROM p""")
 def path_rebuild(spark, sf_dir):
+    # three volumes whose record numbers are the same, and whose folders lie elsewhere
     long = lambda c: F.col(c).cast("long")
-    regions = read(spark, sf_dir, "region").select((long("r_regionkey") + 10).alias("node"), F.lit(5).cast("long").alias("parent"), F.col("r_name").alias("name"))
-    nations = read(spark, sf_dir, "nation").select((long("n_nationkey") + 100).alias("node"), (long("n_regionkey") + 10).alias("parent"), F.col("n_name").alias("name"))
-    customers = read(spark, sf_dir, "customer").select((long("c_custkey") + 1000).alias("node"), (long("c_nationkey") + 100).alias("parent"), F.col("c_name").alias("name"))
-    return graph.rebuild_paths(regions.union(nations).union(customers), deepest=8)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("v")
+    regions = read(spark, sf_dir, "region").select(each, (long("r_regionkey") + 10).alias("node"), F.lit(5).cast("long").alias("parent"), F.col("r_name").alias("name"))
+    nations = read(spark, sf_dir, "nation").select("*", each).select("v", (long("n_nationkey") + 100).alias("node"), ((long("n_regionkey") + F.col("v")) % 5 + 10).alias("parent"), F.col("n_name").alias("name"))
+    customers = read(spark, sf_dir, "customer").select((long("c_custkey") % 3).alias("v"), (F.floor(long("c_custkey") / 3) + 1000).alias("node"), (long("c_nationkey") + 100).alias("parent"), F.col("c_name").alias("name"))
+    return graph.rebuild_paths(regions.union(nations).union(customers), deepest=8, keys=["v"])
 
 
 @query(f"""WITH {FILES_SQL}, d AS (SELECT unnest(['/', '/' || lang, '/' || lang || '/' || folder]) AS directory FROM files) SELECT directory, count(*) AS files FROM d GROUP BY directory""")

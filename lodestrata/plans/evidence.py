@@ -487,11 +487,11 @@ def slack_names(spark, sf_dir):
     return enrich.slack_names(hints, index).select("child", "name", "source", "confidence")
 
 
-@query("SELECT o_custkey AS node, arg_max(o_orderkey % 90, (o_orderkey % 10, -o_orderkey)) AS parent, arg_max('n' || o_orderkey, (o_orderkey % 10, -o_orderkey)) AS name FROM orders GROUP BY o_custkey")
+@query("SELECT o_orderstatus AS volume_id, o_custkey AS node, arg_max(o_orderkey % 90, (o_orderkey % 10, -o_orderkey)) AS parent, arg_max('n' || o_orderkey, (o_orderkey % 10, -o_orderkey)) AS name FROM orders GROUP BY o_orderstatus, o_custkey")
 def directory_index(spark, sf_dir):
     k = F.col("o_orderkey")
-    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node"), (k % 90).alias("parent"), F.concat(F.lit("n"), k.cast("string")).alias("name"), (k % 10).alias("confidence"), k.alias("seq"))
-    return graph.directory_index(rows)
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("volume_id"), F.col("o_custkey").alias("node"), (k % 90).alias("parent"), F.concat(F.lit("n"), k.cast("string")).alias("name"), (k % 10).alias("confidence"), k.alias("seq"))
+    return graph.directory_index(rows, ["volume_id"])
 
 
 @query("SELECT doc_id AS id, md5(text) AS md5, true AS success, strlen(text) AS bytes_recovered FROM documents WHERE text <> ''")
@@ -742,7 +742,11 @@ def device_and_progress(spark, sf_dir):
 _MAGIC = (("ffd8ffe0", "image", "image/jpeg"), ("89504e470d0a1a0a", "image", "image/png"), ("474946383961", "image", "image/gif"), ("255044462d312e34", "pdf", "application/pdf"), ("4d5a0001", "binary", ""), ("", "text", "text/plain"), ("00000018667479706d703432", "binary", ""))
 
 
-@query("SELECT page_id, x[page_id % 7 + 1].k AS kind, x[page_id % 7 + 1].m AS mime FROM pages, (SELECT [" + ", ".join(f"{{'k': '{k}', 'm': '{m}'}}" for _, k, m in _MAGIC) + "] AS x)")
+@query(
+    "WITH p AS (SELECT page_id, regexp_extract_all(substr(hex(encode(html)), 1, 1024), '..') AS b FROM pages), s AS (SELECT *, len(list_filter(b, lambda c: c IN ('09', '0A', '0D') OR c BETWEEN '20' AND '7E')) * 100 // len(b) >= 85 AS shown FROM p) "
+    "SELECT page_id, CASE WHEN page_id % 7 = 5 AND NOT coalesce(shown, false) THEN 'binary' ELSE x[page_id % 7 + 1].k END AS kind, CASE WHEN page_id % 7 = 5 AND NOT coalesce(shown, false) THEN '' ELSE x[page_id % 7 + 1].m END AS mime FROM s, (SELECT ["
+    + ", ".join(f"{{'k': '{k}', 'm': '{m}'}}" for _, k, m in _MAGIC) + "] AS x)"
+)
 def preview_kind(spark, sf_dir):
     heads = F.array(*[raw(bytes.fromhex(h)) for h, _, _ in _MAGIC])
     data = F.concat(F.element_at(heads, (F.col("page_id") % len(_MAGIC) + 1).cast("int")), F.encode("html", "UTF-8"))

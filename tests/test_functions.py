@@ -56,16 +56,26 @@ def test_texts(spark):
     assert one(spark, text.sanitize_content(F.lit(bytearray(b"a\x00b\xff\t\x7f")))) == "a b\xff\t "
 
 
-def test_sizes_round_as_printf_does(spark):
+def test_sizes_round_halves_up(spark):
     rng = random.Random(3)
     sizes = [1023, 1152, 1157, 1664, 1 << 17 | 128, (1 << 20) - 1, (1 << 20) + (1 << 17), (1 << 30) - 1, (1 << 30) + (3 << 27), 10**17 + 1, (1 << 62) + 12345]
     sizes += [rng.randrange(1 << 10, 1 << 44) for _ in range(200)] + [(1 << p) // 8 * k for p in (10, 20, 30) for k in range(8, 60)]
-    printf = lambda n: f"{n} B" if n < 1 << 10 else f"{n / 2**10:.2f} KB" if n < 1 << 20 else f"{n / 2**20:.2f} MB" if n < 1 << 30 else f"{n / 2**30:.2f} GB"
-    assert all_of(spark, text.format_size, [*sizes, None], "long") == [*map(printf, sizes), None]
+
+    def shown(n):
+        if n < 1 << 10:
+            return f"{n} B"
+        power, unit = (10, "KB") if n < 1 << 20 else (20, "MB") if n < 1 << 30 else (30, "GB")
+        h = (float(n).as_integer_ratio()[0] * 200 + (1 << power)) >> power + 1  # of two equally near hundredths the larger
+        return f"{h // 100}.{h % 100:02d} {unit}"
+
+    assert shown(1152) == "1.13 KB"
+    assert all_of(spark, text.format_size, [*sizes, None], "long") == [*map(shown, sizes), None]
 
 
 def test_accented_text_is_text(spark):
-    kind = lambda data: tuple(one(spark, classify.preview_kind(F.lit("p"), F.lit(bytearray(data)))))
+    plain = lambda data: tuple(one(spark, classify.preview_kind(F.lit("p"), F.lit(bytearray(data)))))
+    assert plain("Éçé ab".encode() * 99) == ("binary", "") and plain(b"caf\xc3\xa9 in the morning" * 99) == ("text", "text/plain")
+    kind = lambda data: tuple(one(spark, classify.preview_kind(F.lit("p"), F.lit(bytearray(data)), utf8=True)))
     for words in ("Éçé Éçé Éçé", "Straße für Öl", "ışık güneş", "текст", "文字", "😀 ok"):
         for cut in (b"", b"a", b"ab", b"abc"):  # the sample may end within a character
             assert kind(cut + (words * 200).encode()) == ("text", "text/plain")

@@ -480,3 +480,22 @@ def test_session_carves_and_clears(spark, tmp_path, files):
 def test_order_of_a_language(spark):
     rows = spark.createDataFrame([("d",), ("ç",), ("c",), ("i",), ("ı",)], "name string")
     assert [r.name for r in listing.page_by_name(rows, 1, 3).collect()] == ["ç", "d", "ı"]
+
+
+def test_record_joins_tell_volumes_apart(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    keys = ["volume_id"]
+    rows = make([("v1", 1, "a", 50, "ntfs_mft", 0), ("v2", 1, "b", 40, "ntfs_mft", 1), ("v1", 1, "c", 60, "ntfs_mft", 2)], "volume_id string, mft_record long, name string, confidence int, source string, seq long")
+    assert sorted(r.name for r in enrich.best_record(rows, keys=keys).collect()) == ["b", "c"]
+    entries = make([("v1", 7, 5, "x", 85, 0), ("v2", 7, 8, "y", 85, 1), ("v2", 8, 5, "top", 85, 2)], "volume_id string, node long, parent long, name string, confidence int, seq long")
+    index = graph.directory_index(entries, keys)
+    assert {(r.volume_id, r.node): r.path for r in graph.rebuild_paths(index, keys=keys).collect()} == {("v1", 7): "/x", ("v2", 7): "/top/y", ("v2", 8): "/top"}
+    assert {(r.volume_id, r.node): r.path for r in graph.rebuild_paths(index, keys=keys, settle=lambda df: df.cache()).collect()} == {("v1", 7): "/x", ("v2", 7): "/top/y", ("v2", 8): "/top"}
+    files = make([("v1", 3, "f", 40, "ntfs_mft", 0), ("v2", 3, "g", 40, "ntfs_mft", 0)], "volume_id string, mft_record long, name string, confidence int, source string, status int")
+    hints = make([("v1", "f", 9), ("v2", "zz", 3)], "volume_id string, name_lower string, mft_ref long")
+    assert {r.name: (r.confidence, r.source) for r in enrich.confirm_by_log(files, hints, keys).collect()} == {"f": (52, "ntfs_mft_logfile"), "g": (52, "ntfs_mft_logfile")}
+    assert {r.name: r.confidence for r in enrich.confirm_by_log(files, hints.where("volume_id = 'v1'"), keys).collect()} == {"f": 52, "g": 40}
+    gone = make([("v2", 3 | 5 << 48)], "volume_id string, file_reference long")
+    assert {r.name: r.confidence for r in enrich.confirm_by_journal(files, gone, keys).collect()} == {"f": 40, "g": 55}
+    slack = make([("v1", 7, 5, "x"), ("v2", 7, 5, "x")], "volume_id string, child long, parent long, name string")
+    assert [(r.volume_id, r.name) for r in enrich.slack_names(slack, index, keys).collect()] == [("v2", "x")]
