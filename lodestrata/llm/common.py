@@ -103,6 +103,21 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> Data
     return there.unionByName(rest).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
+def numbers_of_copies(rows: DataFrame, same: list[str], row: str) -> DataFrame:
+    """rows, whose number in column row stays if more than BUCKET_ROWS rows are the same in some columns and is null if not.
+
+    A hash of those columns stands for them; one that two groups share costs numbers that were not needed. row has to be fixed
+    (of rows that were cut).
+    """
+    rows = rows.withColumn("_same", F.xxhash64(*same))
+    often = cut(rows.groupBy("_same").agg(F.count("*").alias("_n")).where(F.col("_n") > BUCKET_ROWS))
+    if not often.limit(1).count():
+        return rows.drop("_same").withColumn(row, F.lit(None).cast("long"))
+    hot = often.where(F.col("_n") > rows.count() * HOT_SHARE)
+    found = look_up(rows, often, "_same", hot)
+    return found.withColumn(row, F.when(F.col("_n").isNotNull(), F.col(row))).drop("_same", "_n")
+
+
 def with_offsets(counts: DataFrame, group: list[str], bucket: str, count: str, out: str) -> DataFrame:
     """counts (one row per group and bucket) with the sum of count over the smaller buckets of the same group, as out.
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, cut, read, small_batches, unit31, with_offsets
+from .common import BUCKET_ROWS, cut, numbers_of_copies, read, small_batches, unit31, with_offsets
 
 VOCABULARY = "byte_bpe_50k"
 #: Chunks that a worker remembers, and the longest that it remembers.
@@ -244,11 +244,14 @@ def assigned(batches: Iterator[pa.RecordBatch], plan: tuple[np.ndarray, ...]) ->
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. vocabulary: path without suffix."""
     source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = cut(source.mapInArrow(lambda it: pieces_of(it, capacity, vocabulary), "doc_id long, piece int, start long, length int, ids_crc32 long"))
+    pieces = source.mapInArrow(lambda it: pieces_of(it, capacity, vocabulary), "doc_id long, piece int, start long, length int, ids_crc32 long")
+    pieces = cut(pieces.withColumn("_row", F.monotonically_increasing_id()))
     histogram = dict(pieces.groupBy("length").count().collect())  # capacity rows at most
     plan = Plan(histogram, capacity).arrays()
     sizes = docs.sparkSession.createDataFrame([(int(n), -(-c // BUCKET_ROWS)) for n, c in histogram.items()], "length int, _buckets long")
-    pieces = pieces.join(F.broadcast(sizes), "length").withColumn("_u", unit31(F.lit(7), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")))
+    # rows that repeat are spread by their number, or all of them would be in one bucket
+    pieces = numbers_of_copies(pieces, ["doc_id", "piece", "ids_crc32"], "_row").join(F.broadcast(sizes), "length")
+    pieces = pieces.withColumn("_u", unit31(F.lit(7), F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.col("_row")))
     pieces = pieces.withColumn("_bucket", F.floor(F.col("_u") * F.col("_buckets") / F.lit(2**31)).cast("long")).drop("_buckets")
     offsets = with_offsets(pieces.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), ["length"], "_bucket", "_n", "_off").drop("_n")
     ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_u", "doc_id", "piece")))

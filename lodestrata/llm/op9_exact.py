@@ -6,13 +6,15 @@ points, then smallest id) and the number of rows. Equal strings meet in one term
 the bytes and never by a hash alone.
 
 * Before the shuffle each task runs a trie of its own, so a text that a third of all rows share crosses the network once a
-  task. That trie has a byte budget: over it, its largest subtree is spilled, that is, emitted as partial owners and freed.
+  task. That trie has a byte budget, which counts labels and a fixed cost of each node and owner: over it, its largest subtree
+  is spilled, that is, emitted as partial owners and freed. The weight of each subtree below the root is kept as strings come.
 * After the shuffle a partition's strings go into one trie again, whose terminals merge the partial owners. They arrive in
   byte order (Spark's external sort holds what waits), so a string can only meet those on the rightmost path. Over the byte
   budget, all subtrees left of that path are spilled: nothing can reach them any more, so what they hold is final. Memory
   is bounded by the budget and the longest text, and not by the partition.
 * Documents then look up their owner by (length, SHA-256). The trie checks that this pair names one byte string only and
-  fails the job otherwise, rather than merging different texts.
+  fails the job otherwise, rather than merging different texts. The owner of a text that more than HOT_SHARE of all rows have
+  is repeated under several salts, over which these rows are dealt, so a reducer gets no more than about that share of one text.
 
 Defined results: a null text counts as empty, and empty texts are one group; a null doc_id sorts after all others; an empty
 table gives no rows. Rows that repeat give repeated rows in exact_groups; of rows of one doc_id that are copies of each
@@ -23,15 +25,18 @@ columns; drop_exact_copies returns them, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, no_broadcast_bound, read, small_batches
+from .common import BLANKS, HOT_SHARE, cut, no_broadcast_bound, read, small_batches
 
-#: Bytes of text that a task's trie may hold before the shuffle.
-TRIE_BYTES = 16 << 20
+#: Bytes of memory that a task's trie may hold.
+TRIE_BYTES = 64 << 20
+#: Memory of a node with its children's table, and of an owner, as CPython 3.13 takes it; a test measures it.
+NODE_BYTES, OWNER_BYTES = 330, 260
 #: Bytes of text in one Arrow batch on the way out.
 BATCH_BYTES = 4 << 20
 #: Texts with copies that are broadcast; each takes about 100 bytes.
@@ -77,10 +82,17 @@ def merge(owner: list, other: list) -> None:
 
 
 class PatriciaTrie:
-    """A compressed radix trie over byte strings with a count of the bytes on its edges."""
+    """A compressed radix trie over byte strings that knows its memory, whole and by subtree of the root."""
 
     def __init__(self) -> None:
-        self.root, self.bytes = Node(b""), 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.root, self.bytes, self.weights = Node(b""), 0, {}
+
+    def grow(self, key: bytes, n: int) -> None:
+        self.bytes += n
+        self.weights[key[0]] = self.weights.get(key[0], 0) + n
 
     def insert(self, key: bytes, owner: list) -> None:
         node, at = self.root, 0
@@ -88,13 +100,15 @@ class PatriciaTrie:
             if at == len(key):
                 if node.owner is None:
                     node.owner = owner
+                    if key:  # the root's own owner is one only
+                        self.grow(key, OWNER_BYTES)
                 else:
                     merge(node.owner, owner)
                 return
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = Node(key[at:], owner)
-                self.bytes += len(key) - at
+                self.grow(key, len(key) - at + NODE_BYTES + OWNER_BYTES)
                 return
             n = common_prefix(child.label, 0, key, at)
             if n < len(child.label):  # split the edge
@@ -103,6 +117,7 @@ class PatriciaTrie:
                 upper.children[child.label[0]] = child
                 node.children[key[at]] = upper
                 child = upper
+                self.grow(key, NODE_BYTES)
             node, at = child, at + n
 
     def subtree(self, node: Node, prefix: bytes) -> Iterator[tuple[bytes, list]]:
@@ -116,21 +131,10 @@ class PatriciaTrie:
 
     def spill_largest(self) -> Iterator[tuple[bytes, list]]:
         """Takes out the root's largest subtree and yields its strings."""
-        if not self.root.children:
-            return
-
-        def weight(node: Node) -> int:
-            total, todo = 0, [node]
-            while todo:
-                x = todo.pop()
-                total += len(x.label)
-                todo.extend(x.children.values())
-            return total
-
-        byte, child, n = max(((b, c, weight(c)) for b, c in self.root.children.items()), key=lambda x: x[2])
-        yield from self.subtree(child, b"")
-        del self.root.children[byte]
-        self.bytes -= n
+        if self.weights:
+            byte = max(self.weights, key=self.weights.get)
+            yield from self.subtree(self.root.children.pop(byte), b"")
+            self.bytes -= self.weights.pop(byte)
 
     def spill_before(self, key: bytes) -> Iterator[tuple[bytes, list]]:
         """Takes out all strings but key, the last in byte order, and yields them."""
@@ -147,12 +151,12 @@ class PatriciaTrie:
             node.children = {key[at]: child}
             node, at = child, at + len(child.label)
         # one path is left, so its edges become one
-        self.root, self.bytes = Node(b""), 0
+        self.clear()
         self.insert(key, node.owner)
 
     def drain(self) -> Iterator[tuple[bytes, list]]:
         yield from self.subtree(self.root, b"")
-        self.root, self.bytes = Node(b""), 0
+        self.clear()
 
 
 PARTIAL = pa.schema([("bytes", pa.binary()), ("size", pa.int64()), ("digest", pa.binary()), ("points", pa.int64()), ("id", pa.int64()), ("rows", pa.int64()), ("same", pa.int64())])
@@ -190,26 +194,23 @@ def local_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def final_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Owners from partial owners in byte order."""
-    trie, last, out = PatriciaTrie(), b"", []
-
-    def packed() -> pa.RecordBatch:
-        rows = [(o[4], size, o[0], o[1] if o[1] != LAST else None, o[2], o[3]) for size, o in out]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(OWNER)], schema=OWNER)
-
-    for batch in batches:
-        for key, digest, points, i, n, same in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6))):
-            if key < last:
-                raise ValueError("strings out of order")
-            trie.insert(key, [points, i, n, same, digest])
-            last = key
-            if trie.bytes > TRIE_BYTES:
-                out += ((len(k), o) for k, o in trie.spill_before(key))
-        if len(out) >= 4096:
-            yield packed()
-            out = []
-    out += ((len(k), o) for k, o in trie.drain())
-    if out:
-        yield packed()
+    trie = PatriciaTrie()
+
+    def pairs() -> Iterator[tuple[bytes, list]]:
+        last = b""
+        for batch in batches:
+            for key, digest, points, i, n, same in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6))):
+                if key < last:
+                    raise ValueError("strings out of order")
+                trie.insert(key, [points, i, n, same, digest])
+                last = key
+                if trie.bytes > TRIE_BYTES:
+                    yield from trie.spill_before(key)
+        yield from trie.drain()
+
+    final = ((o[4], len(key), o[0], o[1] if o[1] != LAST else None, o[2], o[3]) for key, o in pairs())
+    while rows := list(islice(final, 4096)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), OWNER)], schema=OWNER)
 
 
 def _identity(docs: DataFrame, *more) -> DataFrame:
@@ -224,27 +225,49 @@ def owners(docs: DataFrame) -> DataFrame:
     return partial.repartition("size", "digest").sortWithinPartitions("bytes").mapInArrow(final_owners, OWNER_DDL)
 
 
+def with_owners(rows: DataFrame, found: DataFrame, total: int, how: str) -> DataFrame:
+    """rows (digest, size, i) joined with found; the texts of more than HOT_SHARE of total rows are dealt over salts.
+
+    Such a text has one salt for each HOT_SHARE of all rows that it has, so all salts together are no more than twice
+    1 / HOT_SHARE, and so are the rows that are broadcast to tell them.
+    """
+    found = found.withColumn("_salts", F.ceil(F.col("group_size") / F.lit(max(1.0, total * HOT_SHARE))).cast("long"))
+    hot = F.broadcast(found.where("_salts > 1").select("digest", F.col("_salts").alias("_of")))
+    # rows without an id are told apart by their place
+    spread = F.xxhash64(F.coalesce("i", F.monotonically_increasing_id()))
+    rows = rows.join(hot, "digest", "left").withColumn("_salt", F.pmod(spread, F.coalesce("_of", F.lit(1)))).drop("_of")
+    found = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    return rows.join(found, ["digest", "size", "_salt"], how).drop("_salt")
+
+
+def _rows_in(found: DataFrame) -> int:
+    return found.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    keys = _identity(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    keys = keys.select("doc_id", F.char_length("_text").cast("long").alias("_points"), F.col("_digest").alias("digest"), F.octet_length("_bytes").cast("long").alias("size"))
-    found = keys.join(owners(docs), ["digest", "size"])
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_points") == F.col("points"))
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    keys = _identity(docs, F.col("doc_id").cast("long").alias("i"))
+    keys = keys.select("i", F.char_length("_text").cast("long").alias("_points"), F.col("_digest").alias("digest"), F.octet_length("_bytes").cast("long").alias("size"))
+    texts = cut(owners(docs))
+    found = with_owners(keys, texts, _rows_in(texts), "inner")
+    kept = F.col("i").eqNullSafe(F.col("keep_id")) & (F.col("_points") == F.col("points"))
+    return found.select(F.col("i").alias("doc_id"), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
     """docs without the rows whose text another row owns; of rows like the owner, one stays.
 
     Only texts with copies are looked up. Up to broadcast_texts of them the rows of docs stay where they are; beyond that
-    they are joined by Spark's choice.
+    they are joined by a shuffle, hot texts over salts.
     """
     shared = cut(owners(docs).where("group_size > 1"))
-    lookup = shared if no_broadcast_bound(shared, broadcast_texts) else F.broadcast(shared)
     row, text = F.struct(*docs.columns), F.coalesce(F.col("text"), F.lit(""))
     norm = F.translate(text, BLANKS, "").cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.char_length(text).cast("long").alias("n"), F.unhex(F.sha2(norm, 256)).alias("digest"), F.octet_length(norm).cast("long").alias("size"), row.alias("row"))
-    found = rows.join(lookup, ["digest", "size"], "left")
+    if no_broadcast_bound(shared, broadcast_texts):
+        found = with_owners(rows, shared, _rows_in(shared), "left")
+    else:
+        found = rows.join(F.broadcast(shared), ["digest", "size"], "left")
     owner = F.col("i").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("points"))
     kept = found.where(F.col("same").isNull() | (owner & (F.col("same") == 1))).select("row.*")
     if not shared.where("same > 1").limit(1).count():

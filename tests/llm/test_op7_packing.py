@@ -125,3 +125,28 @@ def test_pack(docs_of):
 
 def test_empty_table(docs_of):
     assert pack(docs_of([])).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_many_repeated_rows_are_spread(docs_of, monkeypatch, doc_id):
+    from pyspark.sql import functions as F
+
+    from lodestrata.llm import common, op7_packing
+
+    monkeypatch.setattr(common, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(op7_packing, "BUCKET_ROWS", 20)
+    docs = docs_of([(doc_id, None)] * 900 + [(k + 10, f"text {k}") for k in range(600)], 4)
+    rows = pack(docs, capacity=16).collect()
+    assert len(rows) == 1500
+    at = defaultdict(list)
+    for r in rows:
+        at[r.sequence_id].append((r.offset, r.length))
+    for x in at.values():
+        end = 0
+        for offset, n in sorted(x):
+            assert offset == end
+            end += n
+        assert end <= 16
+    numbered = common.numbers_of_copies(common.cut(docs.withColumn("_row", F.monotonically_increasing_id())), ["doc_id", "text"], "_row")
+    assert numbered.where("_row is not null").count() == 900 == numbered.where("text is null").select("_row").distinct().count()
+    assert numbered.count() == 1500

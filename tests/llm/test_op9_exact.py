@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -108,3 +109,28 @@ def test_clashing_columns(docs_of, corpus, broadcast_texts):
     want = {(i, keep) for i, keep, _, kept, _ in brute(corpus) if kept}
     assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted((i for i, _ in want), key=repr)
     assert m.exact_groups(docs).count() == len(corpus)
+
+
+@pytest.mark.parametrize("length", [0, 6, 300])
+def test_the_budget_counts_what_short_strings_take(length):
+    rng = random.Random(5)
+    rows = [(k, rng.randbytes(8 + length)) for k in range(20_000)]
+    tracemalloc.start()
+    trie = m.PatriciaTrie()
+    for k, key in rows:
+        trie.insert(bytes(bytearray(key)), [len(key), k + 1000, 1, 1, hashlib.sha256(key).digest()])
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert 0.6 < trie.bytes / taken < 1.6 and sum(trie.weights.values()) == trie.bytes
+    for _ in range(300):
+        list(trie.spill_largest())
+    assert trie.bytes == 0 and not trie.weights
+
+
+@pytest.mark.parametrize("ids", [True, False])
+def test_a_text_of_a_third_of_all_rows_is_dealt_over_salts(docs_of, monkeypatch, ids):
+    monkeypatch.setattr(m, "HOT_SHARE", 1 / 50)
+    rows = [(k if ids else None, "hot text" if k % 3 == 0 else f"text {k % 400}") for k in range(1200)]
+    assert sorted((tuple(r) for r in m.exact_groups(docs_of(rows, 5)).collect()), key=repr) == brute(rows)
+    if ids:
+        assert sorted(r.doc_id for r in m.drop_exact_copies(docs_of(rows, 5), 0).collect()) == sorted({keep for _, keep, *_ in brute(rows)})
