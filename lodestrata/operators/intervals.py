@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..schema import DUPLICATE
 
@@ -120,25 +122,46 @@ class Kept:
         return False
 
 
-def mark_carved_copies(carved: DataFrame, keys: list[str], width: int = STRETCH) -> DataFrame:
-    """In order of id, a carved file that overlaps an earlier kept one by half of the shorter becomes a copy of it.
+def carved_copies(carved: DataFrame, keys: list[str], width: int = STRETCH, kept: DataFrame | None = None) -> DataFrame:
+    """carved with _copy: whether, in order of id, a file overlaps an earlier one that was kept by half of the shorter.
 
-    The order matters, so each group of files that touch each other (an interval component) is folded by itself.
+    kept: spans (keys, start_sector, end_sector) that were kept before all of carved. The order matters, so each group of
+    files that touch each other (an interval component) is folded by itself, in Arrow, so no column changes its type.
     """
-    parts = components(carved, keys, "start_sector", "end_sector", ["start_sector", "end_sector", "id"], "_part", width)
     columns = carved.columns
+    rows = carved.withColumn("_held", F.lit(False))
+    if kept is not None:
+        rows = rows.unionByName(kept.select(*keys, "start_sector", "end_sector", F.lit(True).alias("_held")), allowMissingColumns=True)
+    parts = components(rows, keys, "start_sector", "end_sector", ["start_sector", "end_sector", "id"], "_part", width)
+
+    def fold(table: pa.Table) -> pa.Table:
+        i, first, last, held = (table.column(c).to_pylist() for c in ("id", "start_sector", "end_sector", "_held"))
+        spans = Kept(sum(b - a for a, b in zip(first, last)) // len(first) + 1)
+        copy = [False] * len(first)
+        for k in sorted(range(len(first)), key=lambda k: (not held[k], i[k] is None, i[k] or 0)):
+            if held[k]:
+                spans.keep(first[k], last[k])
+            else:
+                copy[k] = spans.covers(first[k], last[k])
+        out = table.append_column("_copy", pa.array(copy, pa.bool_()))
+        return out.filter(pa.array([not x for x in held], pa.bool_())).select([*columns, "_copy"])
+
+    return parts.groupBy(*keys, "_part").applyInArrow(fold, StructType([*carved.schema.fields, StructField("_copy", BooleanType())]))
+
+
+def marked_by_copy(rows: DataFrame) -> DataFrame:
+    """rows of carved_copies as file rows: copies have their source, path and a low confidence."""
+    copy = F.col("_copy")
+    return rows.withColumns({
+        "source": F.when(copy, DUPLICATE).otherwise(F.col("source")),
+        "path": F.when(copy, "/dup_of/carve").otherwise(F.col("path")),
+        "confidence": F.when(copy & F.col("confidence").isNotNull(), F.least("confidence", F.lit(CARVE_COPY_CONFIDENCE))).otherwise(F.col("confidence")),
+    }).drop("_copy")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        kept = Kept(int((rows["end_sector"] - rows["start_sector"]).mean()) + 1)
-        copies = [kept.covers(int(s), int(e)) for s, e in zip(rows["start_sector"], rows["end_sector"])]
-        rows = rows.copy()
-        rows.loc[copies, "source"] = DUPLICATE
-        rows.loc[copies, "path"] = "/dup_of/carve"
-        rows.loc[copies, "confidence"] = rows.loc[copies, "confidence"].clip(upper=CARVE_COPY_CONFIDENCE)
-        return rows[columns]
-
-    return parts.groupBy(*keys, "_part").applyInPandas(fold, carved.schema)
+
+def mark_carved_copies(carved: DataFrame, keys: list[str], width: int = STRETCH) -> DataFrame:
+    """In order of id, a carved file that overlaps an earlier kept one by half of the shorter becomes a copy of it."""
+    return marked_by_copy(carved_copies(carved, keys, width)).select(*carved.columns)
 
 
 def free_runs_from_bitmap(bitmaps: DataFrame, keys: list[str], sectors_per_unit: int = 1) -> DataFrame:

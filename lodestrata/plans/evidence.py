@@ -809,12 +809,16 @@ def _stream(spark, sf_dir, table: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}[.]parquet")
 
 
-def _drained(spark, out: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows that a stream writes, once it has read all there is."""
+def _stream_folder(spark) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-    at = f"{shared or 'file://' + tempfile.gettempdir() + '/lodestrata-streams'}/stream-{uuid.uuid4().hex}"
+    return f"{shared or 'file://' + tempfile.gettempdir() + '/lodestrata-streams'}/stream-{uuid.uuid4().hex}"
+
+
+def _drained(spark, out: DataFrame, mode: str = "append") -> DataFrame:
+    """The rows that a stream writes, once it has read all there is."""
+    at = _stream_folder(spark)
     started = out.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/rows")
@@ -843,4 +847,6 @@ def routed_files(spark, sf_dir):
 @query(COPIES_SQL)
 def copies_of_a_stream(spark, sf_dir):
     rows = files(spark, sf_dir, _stream(spark, sf_dir, "documents")).where(classify.is_carved("source")).select("scan_id", "id", "path", "start_sector", "end_sector", "source", "confidence")
-    return _drained(spark, streams.copies_stream(rows, "scan_id"))
+    at = _stream_folder(spark)
+    streams.write_copies(rows, ["scan_id"], f"{at}/rows", f"{at}/kept", f"{at}/checkpoint", trigger={"availableNow": True}).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/rows").select(*rows.columns)

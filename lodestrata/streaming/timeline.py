@@ -1,4 +1,4 @@
-"""Timelines as streams: journal rows split from file rows, windowed counts, speed meters and incremental copies as state."""
+"""Timelines as streams: journal rows split from file rows, windowed counts, speed meters as state, incremental copies by a table of spans."""
 
 from __future__ import annotations
 
@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.classify import usn_event_type
-from ..operators.intervals import CARVE_COPY_CONFIDENCE, Kept
+from ..operators.intervals import bucketed, carved_copies, marked_by_copy
 from ..operators.windows import eta_fold
-from ..schema import DUPLICATE
+
+#: Sectors of a stretch of kept spans (8 GiB), and stretches of a batch that are listed to read no other folders.
+KEPT_STRETCH, LISTED_STRETCHES = 1 << 24, 1000
 
 
 def timeline_events(rows: DataFrame) -> DataFrame:
@@ -75,29 +78,37 @@ def eta_stream(ticks: DataFrame, key: str) -> DataFrame:
     return ticks.groupBy(key).applyInPandasWithState(step, out, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
-def copies_stream(carved: DataFrame, key: str = "volume_id") -> DataFrame:
-    """Carved rows, marked if they overlap a kept one by half of the shorter; kept spans are the state.
+def write_copies(carved: DataFrame, keys: list[str], rows_path: str, kept_path: str, checkpoint: str, stretch: int = KEPT_STRETCH, trigger: dict | None = None) -> StreamingQuery:
+    """Appends a stream of carved rows to a table, marked if they overlap a kept one by half of the shorter.
 
-    Batches count in order of arrival, and the rows of one batch in order of id: one task puts a batch's rows of a key in order.
+    Batches count in order of arrival, and the rows of one batch in order of id. What was kept is a table of spans, in a folder
+    for each stretch of sectors and batch (a span lies in each stretch that it touches). A batch reads the folders of the
+    stretches that its rows lie in, and of these the volumes that it has; what it keeps it adds. Rows are dealt by volume and
+    stretch and folded by groups of spans that touch, so a volume is many tasks and no state of a volume is ever in one
+    place. A batch that is repeated after a failure sees the spans of earlier batches only and overwrites itself.
     """
-    columns = carved.columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carved.schema)
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame, spans = _in_order(frames, ["id"]), json.loads(state.get[0]) if state.exists else []
-        firsts, lasts = frame["start_sector"].astype(int).tolist(), frame["end_sector"].astype(int).tolist()
-        lengths = [b - a for a, b in spans] + [b - a for a, b in zip(firsts, lasts)]
-        kept = Kept(sum(lengths) // len(lengths) + 1)
-        for a, b in spans:
-            kept.keep(a, b)
-        flags = [kept.covers(a, b) for a, b in zip(firsts, lasts)]
-        frame.loc[flags, "source"] = DUPLICATE
-        frame.loc[flags, "path"] = "/dup_of/carve"
-        frame.loc[flags, "confidence"] = frame.loc[flags, "confidence"].clip(upper=CARVE_COPY_CONFIDENCE)
-        state.update((json.dumps(spans + [span for copy, *span in zip(flags, firsts, lasts) if not copy]),))
-        yield frame[columns]
-
-    return carved.groupBy(key).applyInPandasWithState(step, ddl, "kept string", "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        touched = bucketed(batch.select(*keys, "start_sector", (F.col("end_sector") + 1).alias("_end")), "start_sector", "_end", stretch).select(*keys, F.col("_bucket").alias("stretch")).distinct()
+        stretches = [r[0] for r in touched.select("stretch").distinct().limit(LISTED_STRETCHES + 1).collect()]
+        schema = StructType([*[batch.schema[k] for k in keys], *[StructField(c, LongType()) for c in ("start_sector", "end_sector", "stretch", "batch")]])
+        spark.createDataFrame([], schema).write.mode("append").partitionBy("stretch", "batch").parquet(kept_path)
+        kept = spark.read.schema(schema).parquet(kept_path).where(F.col("batch") < number)
+        if len(stretches) <= LISTED_STRETCHES:  # with more, all folders are read and the join picks
+            kept = kept.where(F.col("stretch").isin(stretches))
+        kept = kept.join(touched, [*keys, "stretch"], "left_semi").select(*keys, "start_sector", "end_sector").distinct()
+        marked = carved_copies(batch, keys, kept=kept).persist()
+        out = lambda df: df.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        # rows first: a write to kept_path makes Spark drop what it holds of plans that read there
+        out(marked_by_copy(marked)).partitionBy("batch").parquet(rows_path)
+        new = bucketed(marked.where(~F.col("_copy")).select(*keys, F.col("start_sector").cast("long").alias("start_sector"), F.col("end_sector").cast("long").alias("end_sector"), (F.col("end_sector") + 1).alias("_end")), "start_sector", "_end", stretch)
+        out(new.select(*keys, "start_sector", "end_sector", F.col("_bucket").cast("long").alias("stretch")).repartition("stretch")).partitionBy("stretch", "batch").parquet(kept_path)
+        marked.unpersist()
+        batch.unpersist()
+
+    return carved.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
 def live_summary(rows: DataFrame, name: str, every: str = "3 seconds") -> StreamingQuery:

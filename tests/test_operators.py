@@ -340,26 +340,46 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
         assert ids(plans._drained(spark, plans._stream(spark, str(tmp_path), table))) == list(range(10))
 
 
-def test_copies_of_a_stream_that_come_in_any_order(spark, tmp_path):
-    rng = random.Random(12)
-    rows = [(j % 2, j, "/a", at, at + rng.randrange(0, 60), "carver", 70) for j in range(600) for at in (rng.randrange(0, 2000),)]
+@pytest.mark.parametrize("stretch", [500, 1 << 24])
+def test_copies_of_a_stream_that_is_stopped_and_goes_on(spark, tmp_path, stretch):
+    rng, big = random.Random(12), 1 << 60
+    rows = [(j % 2, big + j, "/a", at, at + rng.randrange(0, 60), "carver", 70 if j % 7 else None) for j in range(600) for at in (rng.randrange(0, 2000),)]
     rng.shuffle(rows)
     carved = spark.createDataFrame(rows, "volume_id long, id long, path string, start_sector long, end_sector long, source string, confidence int")
-    for part in (carved.where("id < 300"), carved.where("id >= 300")):
-        part.repartition(5).write.mode("append").parquet(str(tmp_path / f"in/{part.first().id // 300}"))
-    frames = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
-    try:
-        for part in (0, 1):  # a stream that is stopped and goes on
-            os.makedirs(tmp_path / "come", exist_ok=True)
-            for f in (tmp_path / f"in/{part}").glob("part-*.parquet"):
-                os.rename(f, tmp_path / "come" / f.name)
-            read = spark.readStream.schema(carved.schema).parquet(str(tmp_path / "come"))
-            stream.copies_stream(read).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frames)
-    got = spark.read.parquet(str(tmp_path / "out")).select(*carved.columns).orderBy("id").collect()
-    assert got == intervals.mark_carved_copies(carved, ["volume_id"]).orderBy("id").collect() and 0 < sum(r.path == "/dup_of/carve" for r in got) < 600
+    one_go = intervals.mark_carved_copies(carved, ["volume_id"]).orderBy("id").collect()
+    for part, which in enumerate((f"id < {big + 300}", f"id >= {big + 300}")):
+        carved.where(which).repartition(5).write.parquet(str(tmp_path / f"in/{part}"))
+    at = {k: str(tmp_path / k) for k in ("rows", "kept", "checkpoint")}
+
+    def go():
+        read = spark.readStream.schema(carved.schema).parquet(str(tmp_path / "come"))
+        stream.write_copies(read, ["volume_id"], at["rows"], at["kept"], at["checkpoint"], stretch, {"availableNow": True}).awaitTermination()
+
+    def marked():
+        return spark.read.schema(carved.schema).parquet(at["rows"]).select(*carved.columns).orderBy("id").collect()
+
+    os.makedirs(tmp_path / "come")
+    for part in (0, 1):
+        for f in (tmp_path / f"in/{part}").glob("part-*.parquet"):
+            os.rename(f, tmp_path / "come" / f.name)
+        go()
+    assert marked() == one_go and 0 < sum(r.path == "/dup_of/carve" for r in one_go) < 600
+    # the second batch failed after it had written: it comes again and overwrites itself
+    (tmp_path / "checkpoint/commits/1").unlink()
+    (tmp_path / "checkpoint/commits/.1.crc").unlink(missing_ok=True)
+    go()
+    assert marked() == one_go
+    kept = spark.read.parquet(at["kept"])
+    assert kept.select("volume_id", "start_sector", "end_sector").distinct().count() <= sum(r.path != "/dup_of/carve" for r in one_go)
+    assert kept.where(f"start_sector >= (stretch + 1) * {stretch} or end_sector < stretch * {stretch}").count() == 0
+
+
+def test_copies_of_a_stream_of_nothing(spark, tmp_path):
+    schema = "volume_id long, id long, path string, start_sector long, end_sector long, source string, confidence int"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "come"))
+    read = spark.readStream.schema(schema).parquet(str(tmp_path / "come"))
+    stream.write_copies(read, ["volume_id"], *(str(tmp_path / k) for k in ("rows", "kept", "checkpoint")), trigger={"availableNow": True}).awaitTermination()
+    assert not (tmp_path / "rows").exists() or spark.read.schema(schema).parquet(str(tmp_path / "rows")).count() == 0
 
 
 def test_scores_of_pages_with_large_ids(spark, tmp_path):
