@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.binary import entropy
 from ..functions.text import col
@@ -53,14 +57,35 @@ def quality_tally(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count_if(F.col("score") >= GOOD_FROM).alias("good"), F.count_if(F.coalesce(F.col("score") < GOOD_FROM, F.lit(False))).alias("bad"))
 
 
-def hash_chain(lines: DataFrame, keys: list[str], order: str, message: str) -> DataFrame:
-    """(keys, head, links): head of the chain h = sha256(previous || message) of each log, from 64 zeros.
+def chained(lines: DataFrame, keys: list[str], order: str, message: str) -> DataFrame:
+    """lines with link (from 1) and digest: of each log, digest = sha256(digest before || message), the first after 64 zeros.
 
-    A chain is sequential by nature; it is as long as one log, and the logs are chained in parallel.
+    A chain is sequential by nature. A log is sorted by Spark and folded as it streams by, with one open digest, so its length
+    takes no memory; logs are chained in parallel. Ties in order go by message. From a null message on, digests are null.
     """
-    sorted_lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(message).alias("m"))))
-    head = F.aggregate(sorted_lines, F.lit(GENESIS), lambda h, x: F.sha2(F.concat(h, x["m"]), 256))
-    return lines.groupBy(*keys).agg(head.alias("head"), F.count("*").alias("links"))
+    columns = lines.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, digest, link = None, GENESIS, 0
+        for batch in batches:
+            digests, links = [], []
+            for of, text in zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column(message).to_pylist()):
+                if of != log:
+                    log, digest, link = of, GENESIS, 0
+                digest = None if digest is None or text is None else hashlib.sha256((digest + text).encode()).hexdigest()
+                link += 1
+                digests.append(digest)
+                links.append(link)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(links, pa.int64()), pa.array(digests, pa.string())], names=[*columns, "link", "digest"])
+
+    schema = StructType([*lines.schema.fields, StructField("link", LongType()), StructField("digest", StringType())])
+    return lines.repartition(*keys).sortWithinPartitions(*keys, order, message).mapInArrow(fold, schema)
+
+
+def hash_chain(lines: DataFrame, keys: list[str], order: str, message: str) -> DataFrame:
+    """(keys, head, links): the last digest of each log, and its number of lines."""
+    linked = chained(lines.select(*keys, order, message), keys, order, message)
+    return linked.groupBy(*keys).agg(F.max_by("digest", "link").alias("head"), F.max("link").alias("links"))
 
 
 def verify_chain(lines: DataFrame, keys: list[str], order: str, message: str, digest: str) -> DataFrame:

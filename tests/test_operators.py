@@ -519,3 +519,20 @@ def test_record_joins_tell_volumes_apart(spark):
     assert {r.name: r.confidence for r in enrich.confirm_by_journal(files, gone, keys).collect()} == {"f": 40, "g": 55}
     slack = make([("v1", 7, 5, "x"), ("v2", 7, 5, "x")], "volume_id string, child long, parent long, name string")
     assert [(r.volume_id, r.name) for r in enrich.slack_names(slack, index, keys).collect()] == [("v2", "x")]
+
+
+def test_chains_of_many_lines_are_folded_as_they_come(spark):
+    rows = [(k % 3 or None, k, f"line {k % 40}") for k in range(3000)] + [(1, 7, "line 7")] * 2 + [(8, 1, "a"), (8, 2, None), (8, 3, "b")]
+    lines = spark.createDataFrame(rows, "log int, at long, m string").repartition(5)
+    want = {}
+    for log, _, m in sorted(rows, key=lambda r: (r[0] or 0, r[1], r[2] or "")):
+        head, n = want.get(log, ("0" * 64, 0))
+        want[log] = (head and m and hashlib.sha256((head + m).encode()).hexdigest(), n + 1)
+    frames = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        assert {r.log: (r.head, r.links) for r in aggregates.hash_chain(lines, ["log"], "at", "m").collect()} == want
+        written = aggregates.chained(lines.where("log = 2"), ["log"], "at", "m").withColumn("digest", F.when(F.col("at") == 500, "x").otherwise(F.col("digest")))
+        assert [r["at"] for r in aggregates.verify_chain(written, ["log"], "at", "m", "digest").where("not valid").orderBy("at").collect()] == [500, 503]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", frames)
