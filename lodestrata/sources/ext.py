@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.enrich import entries_with_inodes
 from ..operators.graph import rebuild_paths
-from .volumes import CHUNK, blocks_at, cut, first_sectors, little, runs_of, spanned, table
+from .volumes import CHUNK, blocks_at, cut, dealt, first_sectors, little, runs_of, spanned, table
 
 # The root folder, the first inode that isn't reserved, the flag of inodes with extents, the deepest tree.
 ROOT, FIRST, EXTENTS, DEEPEST = 2, 11, 0x80000, 5
@@ -205,13 +205,13 @@ def files(chunks: DataFrame, chunk: int = CHUNK, sector: int = 512, start: int =
     runs = runs_of(spans, [*key, "inode"])
 
     folders = found.where("is_directory").select(*key, "inode")
-    places = blocks.join(folders, [*key, "inode"], "left_semi").select(*key, F.col("inode").alias("parent"), "block", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
+    places = blocks.join(dealt(folders), [*key, "inode"], "left_semi").select(*key, F.col("inode").alias("parent"), "block", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
     read = blocks_at(places.select(*key, "parent", (F.lit(start) + F.col("at") * F.col("block")).alias("byte_offset"), F.col("block").alias("length")), chunks, chunk)
     entries = cut(table(read, [*key, "parent", "data"], lambda v, p, d: ((v, p, i, t, n) for i, t, n in directory_entries(d)), "volume_id string, parent long, inode long, file_type int, name string"))
 
     links = entries.where("file_type = 2 and inode <> 0").groupBy(*key, F.col("inode").alias("node")).agg(F.min(F.struct("parent", "name")).alias("x")).select(*key, "node", "x.*")
-    paths = rebuild_paths(cut(links), root=ROOT, keys=key, settle=cut).withColumnRenamed("node", "parent").withColumnRenamed("path", "_above")
-    all_ = entries_with_inodes(entries, found.drop("block", "extents", "places").join(runs, [*key, "inode"], "left"), key).join(paths, [*key, "parent"], "left")
+    paths = rebuild_paths(dealt(cut(links)), root=ROOT, keys=key, settle=lambda df: dealt(cut(df))).withColumnRenamed("node", "parent").withColumnRenamed("path", "_above")
+    all_ = entries_with_inodes(entries, dealt(found.drop("block", "extents", "places").join(dealt(runs), [*key, "inode"], "left")), key).join(dealt(paths), [*key, "parent"], "left")
     first, last = spanned(F.col("runs"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return all_.select(

@@ -1,13 +1,23 @@
 from __future__ import annotations
 
+import contextlib
+import io
 import random
 
+import pyarrow as pa
 import pytest
 
 from lodestrata.plans import built
 from lodestrata.sources import apfs, ext, fat, volumes
 
 
+def plan(df):
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        df.explain()
+    return shown.getvalue()
+
+
 def apfs_file(oid, parent, name, size=0, extents=(), folder=False, at=1_700_000_000):
     return {"oid": oid, "parent": parent, "name": name, "folder": folder, "size": size, "created": at, "modified": at + 5, "extents": list(extents)}
 
@@ -62,6 +72,21 @@ def test_blocks_at(spark):
     assert volumes.blocks_at(spark.createDataFrame([], "volume_id string, byte_offset long, length int"), chunks, 512).count() == 0
 
 
+def test_chunks_that_pass_for_small_are_not_broadcast(spark):
+    # rows made by Python from a tiny table, written down: Spark takes them for small
+    def made(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pylist([{"volume_id": "a", "chunk_no": k, "byte_offset": 512 * k, "data": c * 512} for k, c in enumerate((b"a", b"b"))])
+
+    chunks = volumes.cut(spark.range(0, 1, 1, 1).mapInArrow(made, "volume_id string, chunk_no long, byte_offset long, data binary"))
+    wanted = spark.createDataFrame([("a", 100, 50), ("a", 500, 24)], "volume_id string, byte_offset long, length int")
+    assert "Broadcast" not in plan(volumes.blocks_at(wanted, chunks, 512, 0))
+    few = volumes.blocks_at(wanted, chunks, 512, 100)
+    assert "SortMergeJoin" in plan(few) and "LeftOuter, BuildRight" not in plan(few)
+    assert sorted(bytes(r.data) for r in few.collect()) == [b"a" * 50, b"a" * 12 + b"b" * 12]
+    assert "SortMergeJoin" not in plan(volumes.blocks_at(wanted.where("byte_offset = 100"), chunks, 512, 100))
+
+
 def ext_file(inode, parent, name, size=0, folder=False, **places):
     return {"inode": inode, "parent": parent, "name": name, "folder": folder, "size": size, "changed": 100, "modified": 200, **(places or {"extents": []})}
 
