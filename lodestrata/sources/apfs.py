@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators.enrich import APFS_EXTENT, APFS_NAME, APFS_WITH_EXTENT
 from ..operators.graph import rebuild_paths
 from .apple import ENTRY, EXTENT, INODE, container, volume_name
-from .volumes import cut, little, runs_of, spanned
+from .volumes import FEW, cut, dealt, little, runs_of, spanned
 
 # Object types (the low 16 bits) that are kept, flags of tree nodes and of map entries, the root folder,
 # the inode field that holds a stream's size, and the kind of folders in directory entries.
@@ -107,18 +107,22 @@ def pairs(nodes: DataFrame) -> DataFrame:
     return nodes.select("volume_id", "tree", "above", "data").mapInArrow(run, PAIR_DDL)
 
 
-def leaves(roots: DataFrame, nodes: DataFrame, located: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def leaves(roots: DataFrame, nodes: DataFrame, located: Callable[[DataFrame], DataFrame], most_rows: int = FEW) -> DataFrame:
     """The leaf pairs (volume_id, tree, key, value) of trees, level by level. roots: volume_id, tree, child; located adds the address (paddr) of each child.
 
     A child has to lie on a lower level than its parent, so damaged trees end too; the rounds are the levels of the highest tree.
+    A frontier of up to most_rows nodes (counted) is broadcast to the nodes, a larger one meets them in a shuffle.
     """
     trees = nodes.where(F.col("type").isin(TREE_ROOT, TREE_NODE)).select("volume_id", "paddr", "data")
     frontier, found = roots.select("volume_id", "tree", "child", F.lit(1 << 16).alias("above")), []
+    n = frontier.count()
     while True:
-        got = cut(pairs(located(frontier).join(trees, ["volume_id", "paddr"])))
+        sent = F.broadcast if n <= most_rows else dealt
+        got = cut(pairs(dealt(trees).join(sent(located(sent(frontier))), ["volume_id", "paddr"])))
         found.append(got.where("leaf").select("volume_id", "tree", "key", "value"))
         frontier = got.where("not leaf and child is not null").groupBy("volume_id", "tree", "child").agg(F.max("level").alias("above"))
-        if not got.where("not leaf and child is not null").limit(1).count():
+        n = frontier.count()
+        if not n:
             return reduce(DataFrame.unionByName, found)
 
 
@@ -220,14 +224,14 @@ def volumes_of(nodes: DataFrame, state: DataFrame) -> DataFrame:
 
     known = mapped(map_roots(nodes, state.select("volume_id", F.lit(0).cast("long").alias("tree"), "omap")), nodes, state)
     ids = state.select("volume_id", F.explode("volumes").alias("oid"))
-    blocks = ids.join(known, ["volume_id", "oid"]).join(nodes.where(F.col("type") == VOLUME).select("volume_id", "paddr", "data"), ["volume_id", "paddr"])
+    blocks = ids.join(known, ["volume_id", "oid"]).join(dealt(nodes.where(F.col("type") == VOLUME).select("volume_id", "paddr", "data")), ["volume_id", "paddr"])
     return blocks.select("volume_id", F.col("oid").alias("tree"), "data").mapInArrow(run, "volume_id string, tree long, name string, omap long, root long")
 
 
 def map_roots(nodes: DataFrame, maps: DataFrame) -> DataFrame:
     """(volume_id, tree, child): the address of the tree of each object map (volume_id, tree, omap: the map's address)."""
     found = nodes.where(F.col("type") == MAP).select("volume_id", F.col("paddr").alias("omap"), little("data", 48, 8).alias("child"))
-    return maps.join(found, ["volume_id", "omap"]).select("volume_id", "tree", "child")
+    return maps.join(dealt(found), ["volume_id", "omap"]).select("volume_id", "tree", "child")
 
 
 def files(chunks: DataFrame, block: int = 4096, as_of: int | None = None, sector: int = 512, start: int = 0) -> DataFrame:
@@ -241,7 +245,7 @@ def files(chunks: DataFrame, block: int = 4096, as_of: int | None = None, sector
     state = cut(checkpoints(nodes, as_of))
     volumes = cut(volumes_of(nodes, state))
     known = cut(mapped(map_roots(nodes, volumes.select("volume_id", "tree", "omap")), nodes, state))
-    address = lambda f: f.join(known.withColumnRenamed("oid", "child"), ["volume_id", "tree", "child"])
+    address = lambda f: f.join(dealt(known.withColumnRenamed("oid", "child")), ["volume_id", "tree", "child"])
     rows = cut(records(leaves(volumes.select("volume_id", "tree", F.col("root").alias("child")), nodes, address)))
 
     keys = ["volume_id", "tree"]
@@ -252,10 +256,10 @@ def files(chunks: DataFrame, block: int = 4096, as_of: int | None = None, sector
     runs = runs_of(spans.distinct(), [*keys, "stream"])
     # one folder entry a node makes its path; a file with two names (hard links) has a row for each
     folders = entries.where("is_directory").groupBy(*keys, F.col("oid").alias("node")).agg(F.min(F.struct("parent", "name")).alias("x")).select(*keys, "node", "x.*")
-    paths = rebuild_paths(cut(folders), root=ROOT, keys=keys, settle=cut).withColumnRenamed("node", "parent").withColumnRenamed("path", "_above")
+    paths = rebuild_paths(dealt(cut(folders)), root=ROOT, keys=keys, settle=lambda df: dealt(cut(df))).withColumnRenamed("node", "parent").withColumnRenamed("path", "_above")
 
-    named = entries.join(inodes, [*keys, "oid"], "left").withColumn("stream", F.coalesce("stream", "oid"))
-    all_ = named.join(paths, [*keys, "parent"], "left").join(runs, [*keys, "stream"], "full").join(volumes.select(*keys, F.col("name").alias("volume")), keys, "left")
+    named = entries.join(dealt(inodes), [*keys, "oid"], "left").withColumn("stream", F.coalesce("stream", "oid"))
+    all_ = named.join(dealt(paths), [*keys, "parent"], "left").join(dealt(runs), [*keys, "stream"], "full").join(volumes.select(*keys, F.col("name").alias("volume")), keys, "left")
     has, is_named = F.col("runs").isNotNull(), F.col("name").isNotNull()
     sectors = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["sector_count"])
     name = F.coalesce("name", F.concat(F.lit("extent_"), F.col("stream").cast("string")))

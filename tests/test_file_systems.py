@@ -56,6 +56,26 @@ def test_apfs_damage(spark):
     assert row.runs[0].start_sector == 40 + 50 * 8
 
 
+def test_apfs_tables_are_not_broadcast_whole(spark):
+    files = [apfs_file(20 + k, 2, f"f{k}.bin", 9, [(0, 500 + k, 4096)]) for k in range(60)]
+    data = built.apfs_container({1: files})
+
+    def made(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pylist([{"volume_id": "v", "chunk_no": k, "byte_offset": 4096 * k, "data": data[4096 * k : 4096 * k + 4096]} for k in range(len(data) // 4096)])
+
+    chunks = spark.range(0, 1, 1, 1).mapInArrow(made, "volume_id string, chunk_no long, byte_offset long, data binary")
+    nodes = volumes.cut(apfs.objects(chunks))
+    maps = nodes.where(f"type = {apfs.MAP}").select("volume_id", apfs.F.lit(0).cast("long").alias("tree"), apfs.F.col("paddr").alias("omap"))
+    assert "Broadcast" not in plan(apfs.map_roots(nodes, maps))
+    roots = apfs.map_roots(nodes, maps)
+    address = lambda f: f.withColumn("paddr", apfs.F.col("child"))
+    sent, dealt = (sorted(apfs.leaves(roots, nodes, address, n).collect()) for n in (100, 0))
+    assert sent == dealt and len(sent) > 8
+    found = plan(apfs.files(chunks))
+    assert found.count("SortMergeJoin") >= 3 and found.count("BroadcastHashJoin") <= 1  # that one is the names of volumes
+
+
 def test_runs_of(spark):
     rows = [("a", 0, 10, 4), ("a", 4, 14, 2), ("a", 8, 30, 1), ("a", 9, None, 3), ("b", 5, 1, 1), ("c", 0, 7, 1), ("c", 1, 7, 1)]
     got = {r.k: [tuple(x) for x in r.runs] for r in volumes.runs_of(spark.createDataFrame(rows, "k string, logical long, start_sector long, sector_count long"), ["k"]).collect()}
