@@ -91,6 +91,22 @@ def test_free_runs(spark):
     assert [(r.start, r.end) for r in got] == [(0, 32), (128, 200)]
 
 
+def test_free_runs_of_many_bitmaps_at_once(spark, monkeypatch):
+    rng = random.Random(5)
+    maps = [bytes(rng.choice([0, 255, rng.randrange(256)]) for _ in range(rng.randrange(4))) if k % 9 else None for k in range(300)]
+    want = []
+    for k, x in enumerate(maps):
+        bits = [b >> i & 1 for b in x or b"" for i in range(8)]
+        edges = [i for i in range(len(bits) + 1) if (i < len(bits) and not bits[i]) != (i > 0 and not bits[i - 1])]
+        want += [(k, *e) for e in zip(edges[::2], edges[1::2])]
+    assert [tuple(int(v) for v in x) for x in zip(*intervals.clear_runs(maps))] == want
+    monkeypatch.setattr(intervals, "UNPACKED", 64)
+    rows = spark.createDataFrame([(k, 1000 * k, bytearray(x) if x is not None else None) for k, x in enumerate(maps)], "k int, first_unit int, data binary").coalesce(1)
+    got = intervals.free_runs_from_bitmap(rows, ["k"])
+    assert [f.simpleString() for f in got.schema] == ["k:int", "start:bigint", "end:bigint"]
+    assert sorted((r.k, r.start - 1000 * r.k, r.end - 1000 * r.k) for r in got.collect()) == want
+
+
 def test_paths(spark):
     edges = spark.createDataFrame([(10, 5, "Users", 85, 1), (11, 10, "bar.jpg", 85, 2), (10, 5, "Projects", 55, 3), (48, 5, "boot.ini", 70, 4), (60, 61, "a", 50, 5), (61, 60, "b", 50, 6)], "node long, parent long, name string, confidence int, seq int")
     got = {r.node: r.path for r in graph.rebuild_paths(graph.directory_index(edges)).collect()}
