@@ -237,6 +237,18 @@ def test_arrays(spark, level, lose):
     assert b"".join(bytes(r.data) for r in got) == b"".join(data) and not any(r.lost for r in got)
 
 
+def test_carves_of_many_small_volumes_are_folded_batch_by_batch(spark, capsys):
+    known = carve.SIGNATURES[:2]
+    body = b"\x89PNG\r\n\x1a\n" + bytes(5000) + b"IEND\xaeB`\x82" + bytes(600) + b"\xff\xd8\xff" + bytes(300)
+    chunks = volumes.from_bytes(spark, {f"v{k}": bytes(512 * (k % 5)) + body for k in range(40)}, 2048)
+    got = carve.carves(carve.hits(chunks, known), volumes.sector_count(chunks), known)
+    end = lambda k: 512 * (k % 5) + len(body)
+    want = [(f"v{k}", 512 * (k % 5), 512 * (k % 5) + 5016, 1, True) for k in range(40)] + [(f"v{k}", 512 * (k % 5) + 5616, end(k), 0, False) for k in range(40)]
+    assert sorted((r.volume_id, r.start, r.end, r.sig, r.closed) for r in got.collect()) == sorted(want)
+    got.explain()
+    assert "InPandas" not in capsys.readouterr().out
+
+
 def test_volume_reading_and_carving(spark, tmp_path):
     image = bytearray(64 * 1024)
     image[4096 : 4096 + len(png())] = png()
