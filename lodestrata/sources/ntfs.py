@@ -180,22 +180,33 @@ def usn_records(data: bytes, resync: int = 8, stop: int | None = None) -> Iterat
         at += size
 
 
-def journal(streams: DataFrame) -> DataFrame:
-    """Journal rows of (volume_id, data) pieces; records that start before a piece's stop count, if it has that column."""
-    schema = pa.schema([("volume_id", pa.string()), ("file_reference", pa.int64()), ("parent_reference", pa.int64()), ("usn", pa.int64()), ("timestamp", pa.int64()), ("reason", pa.int64()), ("attributes", pa.int64()), ("name", pa.string())])
+#: Journal rows that a task holds.
+ROWS_AT_ONCE = 10_000
+
+
+JOURNAL = pa.schema([("volume_id", pa.string()), ("file_reference", pa.int64()), ("parent_reference", pa.int64()), ("usn", pa.int64()), ("timestamp", pa.int64()), ("reason", pa.int64()), ("attributes", pa.int64()), ("name", pa.string())])
+
+
+def journal_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pieces (volume_id, data, stop); a piece and ROWS_AT_ONCE of its rows are held at a time."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows: list[dict] = []
+    for b in batches:
+        for k in range(b.num_rows):
+            v, data, stop = (b.column(c)[k].as_py() for c in ("volume_id", "data", "stop"))
+            for r in usn_records(data, stop=stop):
+                del r["length"]
+                rows.append(r | {"volume_id": v, "file_reference": signed(r["file_reference"]), "parent_reference": signed(r["parent_reference"])})
+                if len(rows) == ROWS_AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(rows, schema=JOURNAL)
+                    rows = []
+    yield pa.RecordBatch.from_pylist(rows, schema=JOURNAL)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for v, data, stop in zip(*(b.column(c).to_pylist() for c in ("volume_id", "data", "stop"))):
-                for r in usn_records(data, stop=stop):
-                    del r["length"]
-                    rows.append(r | {"volume_id": v, "file_reference": signed(r["file_reference"]), "parent_reference": signed(r["parent_reference"])})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+def journal(streams: DataFrame) -> DataFrame:
+    """Journal rows of (volume_id, data) pieces; records that start before a piece's stop count, if it has that column."""
     stop = F.col("stop") if "stop" in streams.columns else F.lit(None)
-    return streams.select("volume_id", "data", stop.cast("int").alias("stop")).mapInArrow(run, "volume_id string, file_reference long, parent_reference long, usn long, timestamp long, reason long, attributes long, name string")
+    return streams.select("volume_id", "data", stop.cast("int").alias("stop")).mapInArrow(journal_rows, "volume_id string, file_reference long, parent_reference long, usn long, timestamp long, reason long, attributes long, name string")
 
 
 #: The longest journal record: its header and a name of 255 characters, rounded up.

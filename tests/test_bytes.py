@@ -161,6 +161,17 @@ def test_journal_records():
     assert len(got) == 2 and got[0]["name"] == "secret.txt" and got[0]["file_reference"] & ntfs.REFERENCE == 1234 and got[0]["usn"] == 99 and got[0]["timestamp"] == 1577836800 and got[0]["attributes"] == 0x20
 
 
+def test_journal_rows_leave_in_bounded_batches():
+    import pyarrow as pa
+
+    one = lambda k: struct.pack("<IHHQQqQIIIIHH", 64, 2, 0, 7, 5, k, 132223104000000000, 1, 0, 0, 0, 4, 60) + b"a\0b\0"
+    data = [b"".join(one(k) for k in range(12_000)), b"".join(one(12_000 + k) for k in range(13_000))]
+    pieces = pa.record_batch({"volume_id": ["v", "w"], "data": data, "stop": pa.array([None, None], pa.int32())})
+    got = list(ntfs.journal_rows(iter([pieces])))
+    assert [b.num_rows for b in got] == [10_000, 10_000, 5_000]
+    assert [(r["volume_id"], r["usn"], r["name"]) for b in got for r in b.to_pylist()] == [("v" if k < 12_000 else "w", k, "ab") for k in range(25_000)]
+
+
 def test_recycle_info():
     path = "C:\\Photos\\vacation.jpg"
     two = struct.pack("<QQQI", 2, 2048, 132223104000000000, len(path) + 1) + (path + "\0").encode("utf-16-le")
