@@ -124,11 +124,17 @@ def names_with_extents(names: DataFrame, extents: DataFrame, sector_size: int =
 
 
 def bind_snapshots(snapshots: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Snapshots with a volume of the same serial and, unless one is unknown (0), the same size: hits and whether they collide."""
-    v = volumes.select(F.col("serial"), F.col("size_bytes").alias("_size"))
-    fits = (F.col("_size") == F.col("size_bytes")) | (F.col("_size") == 0) | (F.col("size_bytes") == 0)
-    rows = snapshots.where("serial <> 0").join(v, "serial").where(fits)
-    return rows.groupBy(*snapshots.columns).agg(F.count("*").alias("hits")).withColumn("collision", F.col("hits") > 1)
+    """Snapshots with a volume of the same serial and, unless one is unknown (0), the same size: hits and whether they collide.
+
+    Volumes are counted by serial and size first, so no pair is made.
+    """
+    same = volumes.groupBy("serial", "size_bytes").agg(F.count("*").alias("_same"))
+    total = same.groupBy("serial").agg(F.sum("_same").alias("_all"), F.sum(F.when(F.col("size_bytes") == 0, F.col("_same"))).alias("_unknown"))
+    rows = snapshots.where("serial <> 0").groupBy(*snapshots.columns).agg(F.count("*").alias("_n")).join(total, "serial").join(same, ["serial", "size_bytes"], "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    each = F.when(F.col("size_bytes") == 0, F.col("_all")).otherwise(none("_unknown") + none("_same"))
+    rows = rows.select(*snapshots.columns, (F.col("_n") * each).alias("hits")).where("hits > 0")
+    return rows.withColumn("collision", F.col("hits") > 1)
 
 
 def flag_known(files: DataFrame, hashes: DataFrame, column: str = "md5") -> DataFrame:

@@ -126,6 +126,22 @@ def test_enrichment(spark):
     assert sorted(r.name for r in enrich.best_record(rows).collect()) == ["a", "c", "d"]
 
 
+def test_snapshots_are_counted_and_not_paired(spark, capsys):
+    snaps = [(k, k % 3 if k % 11 else None, k % 4 if k % 7 else None) for k in range(60)] + [(1, 1, 1)] * 2
+    known = [(k % 4 if k % 13 else None, k % 5 if k % 9 else None) for k in range(150)]
+    want = {}
+    for i, serial, size in snaps:
+        n = sum(1 for s, z in known if s == serial and (z == 0 or size == 0 or (z is not None and z == size))) if serial else 0
+        if n:
+            want[i, serial, size] = want.get((i, serial, size), 0) + n
+    got = enrich.bind_snapshots(spark.createDataFrame(snaps, "id long, serial int, size_bytes long"), spark.createDataFrame(known, "serial int, size_bytes long"))
+    got.explain()
+    shown = capsys.readouterr().out
+    assert {(r.id, r.serial, r.size_bytes): (r.hits, r.collision) for r in got.collect()} == {k: (n, n > 1) for k, n in want.items()}
+    # both sides of each join are counts already
+    assert shown.count("Join") == 2 and shown.count("HashAggregate") >= 6
+
+
 def test_recycle_pairs(spark):
     path = "C:\\Photos\\vacation.jpg"
     info = struct.pack("<QQQI", 2, 2048, 132223104000000000, len(path) + 1) + (path + "\0").encode("utf-16-le")
