@@ -6,6 +6,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +254,36 @@ def test_arrays(spark, level, lose):
     assert b"".join(bytes(r.data) for r in got) == b"".join(data) and not any(r.lost for r in got)
 
 
+@pytest.mark.parametrize("level,disks", [(5, 4), (6, 5)])
+def test_alike_stripes_are_rebuilt_in_few_calls(spark, level, disks):
+    rng = random.Random(level)
+    # stripes lack no block, one, two or three, or have one of another size, row by row; one row is unreadable
+    rows = [(f"d{k}", row, None if row == 77 else rng.randbytes(8 if (row + k) % 13 else 4)) for row in range(200) for k in range(disks) if (row * 7 + k * 3) % 10 > row % 4 - 1]
+    got = raid.assemble(spark.createDataFrame(rows, "volume_id string, chunk_no long, data binary").where("chunk_no <> 77"), [f"d{k}" for k in range(disks)], level)
+    want = []
+    for row in range(200):
+        have = {int(v[1:]): d for v, r, d in rows if r == row and d is not None}
+        if have:
+            size = max(map(len, have.values()))
+            blocks = raid.rebuilt(level, {k: have[k] if len(have.get(k, b"")) == size else None for k in range(disks)}, row, disks, size)
+            want += [(row * len(blocks) + k, (row * len(blocks) + k) * size, bytes(size) if d is None else d, d is None) for k, d in enumerate(blocks)]
+    assert sorted((r.chunk_no, r.byte_offset, bytes(r.data), r.lost) for r in got.collect()) == sorted(want)
+    assert any(lost for *_, lost in want)
+
+
+def test_a_long_stripe_is_rebuilt_like_its_parts():
+    rng, calls = random.Random(1), []
+    stripes = [{k: rng.randbytes(8) if k not in (2, 4) else None for k in range(5)} for _ in range(1000)]
+    whole, real = pa.record_batch({"row": [5 * k for k in range(1000)], "size": pa.array([8] * 1000, pa.int32()), **{f"_d{k}": pa.array([s[k] for s in stripes], pa.binary()) for k in range(5)}}), raid.rebuilt
+    raid.rebuilt = lambda *a: calls.append(1) or real(*a)
+    try:
+        out = pa.Table.from_batches(raid.stripes_rebuilt(iter([whole]), 5, 6, "array"))
+    finally:
+        raid.rebuilt = real
+    assert len(calls) == 1
+    assert sorted(zip(out["chunk_no"].to_pylist(), out["data"].to_pylist())) == [(15 * k + j, d) for k, s in enumerate(stripes) for j, d in enumerate(real(6, s, 5 * k, 5, 8))]
+
+
 def test_carves_of_many_small_volumes_are_folded_batch_by_batch(spark, capsys):
     known = carve.SIGNATURES[:2]
     body = b"\x89PNG\r\n\x1a\n" + bytes(5000) + b"IEND\xaeB`\x82" + bytes(600) + b"\xff\xd8\xff" + bytes(300)
