@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources import apfs, ext, fat, volumes
-from ..sources.volumes import cut
+from ..sources.volumes import cut, dealt
 from . import built
 from .driver import query, read
 
@@ -99,4 +99,4 @@ def fat_tree_files(spark, sf_dir):
     found = cut(fat.files(chunks, 3 << 14).where("not is_directory").withColumn("id", F.xxhash64("volume_id", "path")))
     bytes_ = volumes.file_bytes(found, chunks, 3 << 14).select("volume_id", "id", F.md5("data").alias("md5"))
     sectors = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["sector_count"]), F.lit(0)).cast("int").alias("sectors")
-    return found.join(bytes_, ["volume_id", "id"], "left").select("volume_id", "path", "size_bytes", sectors, F.coalesce(F.size("runs"), F.lit(0)).alias("runs"), "status", "confidence", "source", "md5")
+    return found.join(dealt(bytes_), ["volume_id", "id"], "left").select("volume_id", "path", "size_bytes", sectors, F.coalesce(F.size("runs"), F.lit(0)).alias("runs"), "status", "confidence", "source", "md5")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binary import lfn_checksum, short_name, utf16
-from .volumes import CHUNK, blocks_at, cut, first_sectors, runs_of, spanned, table
+from .volumes import CHUNK, blocks_at, cut, dealt, first_sectors, runs_of, spanned, table
 
 # End-of-chain and bad-cluster marks by width.
 END_FROM = {12: 0xFF8, 16: 0xFFF8, 32: 0x0FFFFFF8}
@@ -363,7 +363,7 @@ def files(chunks: DataFrame, chunk: int = CHUNK, sector: int = 512, start: int =
     spans = extents(rows, key).join(shape, "volume_id")
     runs = runs_of(spans.select(*key, (F.col("logical") * per).cast("long").alias("logical"), (F.lit(start // sector) + F.col("data_at") * F.col("sector") / sector + (F.col("cluster") - 2) * per).cast("long").alias("start_sector"), (F.col("n") * per).cast("long").alias("sector_count")), key)
     first, last = spanned(F.col("runs"))
-    return rows.join(runs, key, "left").select(
+    return rows.join(dealt(runs), key, "left").select(
         "volume_id", "name", F.concat("above", F.lit("/"), "name").alias("path"), "is_directory", "size_bytes", "created_at", "modified_at", "runs", first.alias("start_sector"), last.alias("end_sector"),
         F.when(F.col("deleted"), 0).otherwise(1).alias("status"), F.when(~F.col("deleted"), CONFIDENCE).when(F.col("runs").isNull(), NO_CHAIN).otherwise(DELETED_CONFIDENCE).alias("confidence"),
         F.when(F.col("exfat"), "exfat").otherwise("fat").alias("source"),

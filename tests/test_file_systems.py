@@ -105,6 +105,9 @@ def test_chunks_that_pass_for_small_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan(few) and "LeftOuter, BuildRight" not in plan(few)
     assert sorted(bytes(r.data) for r in few.collect()) == [b"a" * 50, b"a" * 12 + b"b" * 12]
     assert "SortMergeJoin" not in plan(volumes.blocks_at(wanted.where("byte_offset = 100"), chunks, 512, 100))
+    file = spark.createDataFrame([("a", 1, 700, [(0, 2, False)], 0)], "volume_id string, id long, size_bytes long, runs array<struct<start_sector:bigint,sector_count:bigint,is_sparse:boolean>>, start_sector long")
+    got = volumes.file_bytes(file, chunks, 512)
+    assert "Broadcast" not in plan(got) and [bytes(r.data) for r in got.collect()] == [b"a" * 512 + b"b" * 188]
 
 
 def ext_file(inode, parent, name, size=0, folder=False, **places):
