@@ -526,6 +526,29 @@ def test_hits_equal_a_plain_search(spark):
     assert sorted((r.offset, r.kind, r.sig, r.length) for r in carve.hits(gone, signatures).collect()) == [x for x in want if x[0] + x[3] <= 1024 or x[0] >= 1536]
 
 
+def test_carving_reads_chunks_once_for_each_need(spark, capsys):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    known = carve.SIGNATURES[1:2]
+    rng = random.Random(4)
+    # footers end at 2048 to 2059, so those of k = 1 to 7 cross the edge of two chunks; the last chunk holds k bytes
+    disks = {f"v{k}": b"\x89PNG\r\n\x1a\n" + rng.randbytes(2032 + k) + b"IEND\xaeB`\x82" for k in range(12)}
+    chunks = volumes.from_bytes(spark, disks, 2048).mapInArrow(counted, "volume_id string, chunk_no long, byte_offset long, data binary")
+    n = sum(-(-len(data) // 2048) for data in disks.values())
+    found = carve.hits(chunks, known)
+    got = carve.scored(carve.carves(found, volumes.sector_count(chunks), known), chunks, known, chunk=2048)
+    assert sorted((r.volume_id, r.id, r.size_bytes, r.confidence) for r in got.collect()) == sorted((v, 0, len(data), carve.PAIR) for v, data in disks.items())
+    # whole, heads, tails, sizes, bytes of the carves
+    assert read.value <= 5 * n
+    found.explain("extended")
+    assert "hex(data" not in capsys.readouterr().out
+
+
 def test_names_past_the_last_number(spark, tmp_path):
     rows = spark.createDataFrame([("v", k, "a.txt", bytearray(b"x")) for k in range(4)], "volume_id string, id long, name string, data binary")
     assert [r.dest for r in recover.unique_names(rows, 2).orderBy("id").collect()] == ["a.txt", "a_1.txt", "a_2.txt", None]
