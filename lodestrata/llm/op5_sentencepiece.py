@@ -10,7 +10,10 @@ as pieces are ranked by frequency and frequencies fall by Zipf's law. The result
 is not always the one that merging gives.
 
 Where no piece holds a space mark after another character (checked when the model is loaded), the best path of a text is
-made of the best paths of its words, so a worker keeps the ids of frequent words in a bounded cache.
+made of the best paths of its words. So the distinct words of a batch take their steps together: the automaton's states, goto
+included, are a table for the STEP_CHARS characters that most pieces hold, and a step is a few array operations for all words
+of a block. Words of more than LONG characters or with other characters of pieces go one by one, and a worker keeps the ids of
+frequent ones in a bounded cache.
 
 Decoding restores the text exactly: a space mark that stands in a text itself is spelled in bytes. A word takes 14 bytes a
 character while its path is searched, however long it is.
@@ -26,12 +29,17 @@ import math
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import Stretches, encode_all, listed, parts
 from .common import read, small_batches
 
 MODEL = "piece_bpe_32k.model"
@@ -39,9 +47,101 @@ MARK = "▁"
 CACHE_WORDS, CACHE_CHARS = 300_000, 40
 #: A word with the spaces before it, or spaces at the end.
 WORD = re.compile(r" *[^ ]+| +")
+#: Texts that are not split at each space.
+ODD = r"\A\z|\A | \z|  "
+#: Characters in the table of steps, words that take them together, and the longest of these.
+STEP_CHARS, BLOCK, LONG = 256, 8192, 40
 LOWEST = float("-inf")
 
 
+class Steps:
+    """The automaton of pieces as arrays. State 0 is the root, and class 0 all characters that no longer piece holds."""
+
+    def __init__(self, pieces: list[tuple[str, int, float]], unknown: float) -> None:
+        """pieces: text, id and score. unknown: score of a spelled byte."""
+        often = Counter(c for text, _, _ in pieces if len(text) > 1 for c in text)
+        known = [c for c, _ in often.most_common(STEP_CHARS)]
+        self.class_of = np.zeros(0x110000, np.int16)
+        self.class_of[[ord(c) for c in often]] = -1
+        self.class_of[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+        #: Characters that the automaton lacks: whether, the piece (-1 - c: spelled) and its score.
+        self.apart, self.own, self.own_score = np.ones(0x110000, bool), -1 - np.arange(0x110000, dtype=np.int32), unknown * utf8_size(np.arange(0x110000))
+        for text, i, score in pieces:
+            if len(text) == 1:
+                self.apart[ord(text)], self.own[ord(text)], self.own_score[ord(text)] = text not in often, i, score
+        children: list[dict[int, int]] = [{}]
+        self.piece, self.score, self.size = [-1], [LOWEST], [0]
+        for text, i, score in pieces:
+            classes = self.class_of[[ord(c) for c in text]].tolist()
+            if not text or min(classes) < 0 or max(classes) == 0:
+                continue
+            at = 0
+            for depth, c in enumerate(classes, 1):
+                if c not in children[at]:
+                    children[at][c] = len(children)
+                    children.append({})
+                    self.piece.append(-1)
+                    self.score.append(LOWEST)
+                    self.size.append(depth)
+                at = children[at][c]
+            self.piece[at], self.score[at] = i, score
+        self.width = len(known) + 1
+        self.next = np.zeros((len(children), self.width), np.int32)
+        fail, level = [0] * len(children), [0]
+        #: The state of the longest piece that ends in a state, and that of the next shorter one; 0: none.
+        self.longest, self.shorter = np.zeros(len(children), np.int32), np.zeros(len(children), np.int32)
+        while level:
+            for at in level:
+                if at:
+                    self.next[at] = self.next[fail[at]]
+                    self.shorter[at] = self.longest[fail[at]]
+                    self.longest[at] = at if self.piece[at] >= 0 else self.shorter[at]
+                for c, child in children[at].items():
+                    fail[child] = int(self.next[at, c])
+                    self.next[at, c] = child
+            level = [child for at in level for child in children[at].values()]
+        self.next = self.next.ravel()
+        self.piece, self.score, self.size = np.array(self.piece, np.int32), np.array(self.score), np.array(self.size, np.int64)
+
+    def paths(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Stretches:
+        """The best paths of words of marked characters, in falling order of size: ids, and -1 - c for a character c to spell."""
+        n, longest = len(sizes), int(sizes[0])
+        best, last = np.full((longest + 1, n), LOWEST), np.full((longest + 1, n), -1, np.int32)
+        step = np.ones((longest + 1, n), np.int64)
+        best[0], state = 0.0, np.zeros(n, np.int32)
+        active = np.searchsorted(-sizes, -np.arange(longest), side="left")
+        for e, m in enumerate(active.tolist()):
+            c = chars[starts[:m] + e]
+            state = self.next[state[:m] * self.width + self.class_of[c]]
+            rows, found = np.arange(m), self.longest[state]
+            while len(rows):
+                rows, found = rows[found > 0], found[found > 0]
+                score = self.score[found] + best[e + 1 - self.size[found], rows]
+                better = score > best[e + 1, rows]
+                to, by = rows[better], found[better]
+                best[e + 1, to], last[e + 1, to], step[e + 1, to] = score[better], self.piece[by], self.size[by]
+                found = self.shorter[found]
+            rows = np.flatnonzero(self.apart[c])
+            score = best[e, rows] + self.own_score[c[rows]]
+            better = score > best[e + 1, rows]
+            to = rows[better]
+            best[e + 1, to], last[e + 1, to], step[e + 1, to] = score[better], self.own[c[to]], 1
+        at, rows, ids, of = sizes.copy(), np.arange(n), [], []
+        while len(rows):
+            ids.append(last[at[rows], rows])
+            of.append(rows)
+            at[rows] -= step[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        of = np.concatenate(of)[::-1]
+        counts = np.bincount(of, minlength=n)
+        return np.concatenate(ids)[::-1][np.argsort(of, kind="stable")], np.cumsum(counts) - counts, counts
+
+
+def utf8_size(chars: np.ndarray) -> np.ndarray:
+    """Bytes of characters in UTF-8; a lone surrogate has those of a space mark."""
+    return 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+
+
 class Pieces(dict):
     """A piece model; as a dict, words (without their one leading space) to ids as little-endian unsigned 32-bit."""
 
@@ -51,6 +151,7 @@ class Pieces(dict):
 
         self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
+        self.normal = [(text, i, score) for i, (text, score, kind) in enumerate(pieces) if kind == "normal"]
         self.score, self.single, found, lowest = {}, set(), ahocorasick.Automaton(), 0.0
         self.by_word = True
         for i, (text, score, kind) in enumerate(pieces):
@@ -124,6 +225,55 @@ class Pieces(dict):
         # the leading mark joins the spaces before the first word; every word then starts with its first space
         return b"".join([self[w[1:]] for w in WORD.findall(" " + text)])
 
+    @cached_property
+    def steps(self) -> Steps:
+        return Steps(self.normal, self.unknown)
+
+    def fresh(self, words: pa.Array) -> Stretches:
+        """The ids of distinct words, with the space before them."""
+        chars = np.frombuffer("".join([MARK + w for w in listed(words)]).encode("utf-32-le"), np.uint32).copy()
+        sizes = pc.utf8_length(words).to_numpy().astype(np.int64) + 1
+        starts = np.cumsum(sizes) - sizes
+        inside = np.ones(len(chars), bool)
+        inside[starts] = False
+        chars[inside & (chars == ord(MARK))] = ord(OWN_MARK)
+        chars[chars == ord(" ")] = ord(MARK)
+        alone = sizes > LONG
+        if len(words):
+            alone |= np.minimum.reduceat(self.steps.class_of[chars], starts) < 0
+        together = np.flatnonzero(~alone)
+        together = together[np.argsort(-sizes[together], kind="stable")]
+        values, at, counts, n = [np.empty(0, np.int32)], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        for k in range(0, len(together), BLOCK):
+            rows = together[k : k + BLOCK]
+            ids, first, counts[rows] = self.steps.paths(chars, starts[rows], sizes[rows])
+            at[rows] = n + first
+            values.append(ids)
+            n += len(ids)
+        for row in np.flatnonzero(alone).tolist():
+            ids = np.frombuffer(self[words[row].as_py()], np.int32)
+            at[row], counts[row] = n, len(ids)
+            values.append(ids)
+            n += len(ids)
+        return self.with_spelled(np.concatenate(values), at, counts)
+
+    def with_spelled(self, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Stretches:
+        """Ids with the byte pieces of each -1 - c in the place of the character c."""
+        places = np.flatnonzero(values < 0)
+        spelled = [[self.byte_ids[b] for b in self.spelled(chr(c))] for c in (-1 - values[places]).tolist()]
+        lengths = np.ones(len(values), np.int64)
+        lengths[places] = [len(x) for x in spelled]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        out = np.repeat(values, lengths)
+        out[np.repeat(values < 0, lengths)] = [i for x in spelled for i in x]
+        return out.astype(np.uint32), ends[starts], ends[starts + sizes] - ends[starts]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (none null)."""
+        if not self.by_word:
+            return [self.encode(x) for x in listed(texts)]
+        return encode_all(texts, ODD, lambda text: [w[1:] for w in WORD.findall(" " + text)] if text else [], self.fresh)
+
     def decode(self, ids: bytes) -> str:
         table = self.bytes_of
         return b"".join([table[i] for i in array("I", ids)])[1:].decode("utf-8", "surrogatepass")
@@ -160,14 +310,9 @@ def model(path: str | None) -> Pieces:
 def encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
     pieces = model(path)
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        at = 0
-        while at < len(texts):  # parts of a batch, so that ids of many long texts aren't held at once
-            part, chars = [], 0
-            while at + len(part) < len(texts) and chars < 2_000_000:
-                part.append(texts[at + len(part)])
-                chars += len(part[-1] or "")
-            ids = [None if x is None else pieces.encode(x) for x in part]
+        for at, texts in parts(batch.column(1)):
+            part = texts.to_pylist()
+            ids = [None if x is None else i for x, i in zip(part, pieces.encode_all(pc.fill_null(texts, "")))]
             sizes = [len(x or b"") // 4 for x in ids]
             offsets = [0]
             for n in sizes:
@@ -177,7 +322,6 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.
             same = [None if x is None else pieces.decode(i) == x for x, i in zip(part, ids)]
             crc = [zlib.crc32(x or b"") for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), lists], names=["doc_id", "n_ids", "ids_crc32", "round_trip", "ids"])
-            at += len(part)
 
 
 def decoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import random
 import zlib
 from array import array
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,3 +108,30 @@ def test_table(docs_of):
         assert r.ids_crc32 == zlib.crc32(ids) and r.ids == (None if t is None else array("I", ids).tolist())
     assert sorted((tuple(r) for r in m.decode(out).collect()), key=repr) == sorted(rows, key=repr)
     assert m.encode(docs_of([])).count() == 0
+
+
+@pytest.mark.parametrize("by_word", [True, False])
+def test_a_batch_gets_the_ids_of_its_texts(by_word, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 7)
+    rng = random.Random(3)
+    for p in [small(by_word, seed) for seed in range(4)] + [m.model(None)]:
+        texts = ["".join(rng.choice("abcé  z▁\n日\U0010fffd") for _ in range(rng.randrange(14))) for _ in range(150)] + ["", " ", "x" * 90, "▁" * 50 + " a"]
+        assert p.encode_all(pa.array(texts)) == [p.encode(t) for t in texts] and p.encode_all(pa.array([], pa.string())) == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=30), max_size=4))
+def test_a_batch_of_any_texts_gets_their_ids(texts):
+    p = m.model(None)
+    assert p.encode_all(pa.array(texts, pa.string())) == [p.encode(t) for t in texts]
+
+
+def test_new_words_of_a_batch_take_their_steps_together(monkeypatch):
+    p, rng, alone = m.model(None), random.Random(4), []
+    path = p.path
+    monkeypatch.setattr(p, "path", lambda marked: alone.append(marked) or path(marked))
+    words = ["".join(rng.choice("etaoinshr") for _ in range(9)) + str(k) for k in range(3000)]
+    batch = pa.record_batch([pa.array(range(300)), pa.array([" ".join(words[10 * k : 10 * k + 10]) for k in range(300)])], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(m.encoded(iter([batch]), None))
+    assert not alone and len(rows) == 300 and all(rows["round_trip"].to_pylist())
+    assert rows["ids"].to_pylist() == [array("I", p.encode(t)).tolist() for t in batch["text"].to_pylist()]
