@@ -14,9 +14,11 @@ computed on the driver from those counters alone.
 The plan has at most 2 * capacity ** 2 runs, whatever the number of documents. Pieces get their number within a length by
 bucketed ranking (no task sorts all pieces of a length) and look their run up in the plan.
 
-A token's bytes never span a space that precedes a non-space, so texts are cut there and each chunk's ids come from a
-bounded cache. Misses in Latin script go through tiktoken, whose rank file is the same vocabulary under the same splitting
-pattern; others go through tokenizers. Special-token strings inside a text count as ordinary text.
+A token's bytes never span a space that precedes a non-space, so texts are cut there. The distinct chunks of a batch are
+joined and encoded in one call; as they hold no space but the one before them, each begins at a token that starts with a
+space. (A single text takes its chunks from a bounded cache.) Chunks in Latin script go through tiktoken, whose rank file is
+the same vocabulary under the same splitting pattern; others go through tokenizers. Special-token strings inside a text count
+as ordinary text.
 
 Defined results: a null text counts as empty and is a sequence part of one token (id 0); rows that repeat are packed
 separately; a null doc_id is kept; an empty table gives no rows; columns other than doc_id and text are ignored.
@@ -33,9 +35,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .chunks import Stretches, encode_all, parts, spaced
 from .common import BUCKET_ROWS, cut, numbers_of_copies, read, small_batches, unit31, with_offsets
 
 VOCABULARY = "byte_bpe_50k"
@@ -44,6 +48,9 @@ CACHE_CHUNKS, CACHE_CHARS = 150_000, 40
 SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
 #: Up to here both libraries classify characters alike in every version.
 LATIN_END = "ɐ"
+BEYOND_LATIN = re.compile(f"[{LATIN_END}-\U0010ffff]")
+#: Texts with a space before white space of any kind or at the end, which are not split at each space.
+ODD = r" (?:[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]|\z)"
 
 
 class _Irregular(Exception):
@@ -62,6 +69,8 @@ class Encoder(dict):
         self.stem = vocabulary or public_tokenizers.path(f"{VOCABULARY}.json").removesuffix(".json")
         with open(f"{self.stem}.tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+        self.opens = np.zeros(max(ranks.values()) + 1, bool)
+        self.opens[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
         self.quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @cached_property
@@ -74,10 +83,10 @@ class Encoder(dict):
         return tokenizer
 
     def direct(self, text: str) -> bytes:
-        if text.isascii() or max(text) < LATIN_END:
-            ids = self.quick.encode_ordinary(text)
-        else:
+        if BEYOND_LATIN.search(text):
             ids = self.full.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.quick.encode_ordinary(text)
         return array("I", ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
@@ -98,6 +107,26 @@ class Encoder(dict):
             chunks = SPACE_BEFORE_WORD.split(text)
             return self.direct(chunks[0]) + b"".join([self[x] for x in chunks[1:]])
 
+    def fresh(self, chunks: pa.Array) -> Stretches:
+        """The ids of chunks that start with a non-space, with the space before them."""
+        spaces = pc.match_substring(chunks, " ").to_numpy(zero_copy_only=False)
+        beyond = pc.match_substring_regex(chunks, rf"[{LATIN_END}-\x{{10ffff}}]").to_numpy(zero_copy_only=False)
+        values, starts, sizes, n = [np.empty(0, np.uint32)], np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), 0
+        for rows in (np.flatnonzero(~spaces & ~beyond), np.flatnonzero(~spaces & beyond), *np.flatnonzero(spaces).reshape(-1, 1)):
+            if len(rows):
+                ids = np.frombuffer(self.direct(" " + spaced(chunks.take(pa.array(rows)))), np.uint32)
+                at = np.zeros(1, np.int64) if spaces[rows[0]] else np.flatnonzero(self.opens[ids])
+                if len(at) != len(rows):
+                    raise ValueError("a chunk's ids hold a space that does not begin it")
+                starts[rows], sizes[rows] = n + at, np.diff(at, append=len(ids))
+                values.append(ids)
+                n += len(ids)
+        return np.concatenate(values), starts, sizes
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (none null)."""
+        return encode_all(texts, ODD, SPACE_BEFORE_WORD.split, self.fresh, self.direct)
+
 
 _ENCODERS: dict[str | None, Encoder] = {}
 
@@ -119,13 +148,13 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str | None) -> Iterator[pa.RecordBatch]:
-    encode = encoder(vocabulary).encode
+    own = encoder(vocabulary)
     for batch in batches:
-        rows: list[tuple] = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = encode(text or "") + b"\0\0\0\0"
-            rows += [(i, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_points(len(ids) // 4, capacity))]
-        if rows:
+        for at, texts in parts(batch.column(1)):
+            rows: list[tuple] = []
+            for i, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), own.encode_all(pc.fill_null(texts, ""))):
+                ids += b"\0\0\0\0"
+                rows += [(i, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_points(len(ids) // 4, capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), PIECES)], schema=PIECES)
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,3 +151,37 @@ def test_many_repeated_rows_are_spread(docs_of, monkeypatch, doc_id):
     numbered = common.numbers_of_copies(common.cut(docs.withColumn("_row", F.monotonically_increasing_id())), ["doc_id", "text"], "_row")
     assert numbered.where("_row is not null").count() == 900 == numbered.where("text is null").select("_row").distinct().count()
     assert numbered.count() == 1500
+
+
+ODD_TEXTS = TEXTS + ["a  b", "a \n b c ", "a \u00a0b \x1fc", "日本 テキ  スト x", "é \u3000 ü", "foo.\nBar foo.\nBar", "\n lead \t"]
+
+
+def test_a_batch_gets_the_ids_of_its_texts():
+    e = encoder(None)
+    assert e.encode_all(pa.array(ODD_TEXTS * 2)) == [e.direct(t) for t in ODD_TEXTS * 2] and e.encode_all(pa.array([], pa.string())) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab é日 \n\t'1,. \u3000ɐ\x1f\x85")), max_size=20), max_size=4))
+def test_a_batch_of_any_texts_gets_their_ids(texts):
+    e = encoder(None)
+    assert e.encode_all(pa.array(texts, pa.string())) == [e.encode(t) for t in texts]
+
+
+def test_new_chunks_of_a_batch_are_encoded_in_one_call(monkeypatch):
+    from lodestrata.llm.op7_packing import pieces_of
+
+    e, rng, calls = encoder(None), random.Random(5), []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return quick.encode_ordinary(text)
+
+    quick = e.quick
+    monkeypatch.setattr(e, "quick", Counted())
+    texts = [" ".join(f"{rng.choice('aeiou')}{rng.randrange(10**9)}" for _ in range(100)) for _ in range(20)]
+    out = list(pieces_of(iter([pa.record_batch([pa.array(range(20)), pa.array(texts)], names=["doc_id", "text"])]), 64, None))
+    assert len(calls) == 21  # each text's first chunk, and all others at once
+    want = [zlib.crc32(ids[4 * s : 4 * (s + n)]) for t in texts for ids in [e.encode(t) + b"\0\0\0\0"] for s, n in cut_points(len(ids) // 4, 64)]
+    assert out[0]["ids_crc32"].to_pylist() == want
