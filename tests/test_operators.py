@@ -336,6 +336,20 @@ def test_recovery(spark, tmp_path):
     assert aggregates.outcome_totals(out, ["volume_id"]).first().succeeded == 3
 
 
+def test_empty_texts_are_not_packed(spark, tmp_path, capsys):
+    from lodestrata.plans import evidence as queries
+
+    texts = ["", None, "x", "é" * 2048, "a" * 4096, "b" * 4097, "", "long text " * 9000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.recover_compressed(spark, str(tmp_path))
+    want = [(k, hashlib.md5(t.encode()).hexdigest(), True, len(t.encode())) for k, t in enumerate(texts) if t]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    # resident bytes meet no volume
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
+
+
 def test_partitions(spark):
     disk = bytearray(2048 * 512) + fat16()
     struct.pack_into("<B3xB3xII", disk, 446, 0x80, 6, 2048, 4120)
