@@ -112,6 +112,25 @@ def test_gap_carving():
     assert trifragment_gap(broken[:3000], validators.png, budget=5) is None
 
 
+def test_gaps_in_question_equal_all_gaps():
+    rng, found = random.Random(6), [0, 0]
+    part = lambda kind, x: struct.pack(">I", len(x)) + kind + x + struct.pack(">I", zlib.crc32(kind + x))
+    for _ in range(150):
+        bodies = [rng.choice([rng.randbytes(rng.randrange(60)), bytes(rng.randrange(60))]) for _ in range(rng.randrange(1, 4))]
+        data, step = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", bytes(13)) + b"".join(part(b"IDAT", x) for x in bodies) + part(b"IEND", b""), rng.choice([8, 16])
+        for _ in range(rng.randrange(3)):
+            at, gap = rng.randrange(len(data) // step + 1) * step, step * rng.randrange(1, 4)
+            data = data[:at] + rng.choice([bytes(gap), rng.randbytes(gap)]) + data[at:]
+        if validators.png(data) >= 85:
+            continue
+        one = bifragment_gap(data, validators.png, step, 4 * step)
+        assert bifragment_gap(data, validators.png, step, 4 * step, validators.png_gaps) == one
+        two = trifragment_gap(data, validators.png, step, 4 * step, None)
+        assert trifragment_gap(data, validators.png, step, 4 * step, None, validators.png_settled, validators.png_gaps) == two
+        found = [found[0] + bool(one), found[1] + bool(two and not one)]
+    assert min(found) > 5
+
+
 # Volumes made from the published layouts.
 
 

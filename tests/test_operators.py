@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.functions import validators
 from lodestrata.operators import aggregates, carve, enrich, graph, intervals, lifecycle, listing, raid, recover, search, windows
 from lodestrata.schema import FILES, SCANS, TIMELINE, conform
 from lodestrata.session import ForensicSession
@@ -563,6 +564,31 @@ def test_carving_reads_chunks_once_for_each_need(spark, capsys):
     assert "hex(data" not in capsys.readouterr().out
 
 
+def test_small_carves_are_checked_and_two_gaps_are_searched_whole(spark, tmp_path):
+    from lodestrata.plans import evidence as queries
+
+    html = ["", "a", "b" * 4038, "c" * 4039, "d" * 4040, "e" * 9000]
+    spark.createDataFrame([(k, h) for k, h in enumerate(html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.volume, r.size_bytes, r.confidence) for r in queries.scored_carves(spark, str(tmp_path)).collect()) == [(k, len(h) + 57, 98) for k, h in enumerate(html)]
+
+    rng = random.Random(5)
+    picture = png(rng.randbytes(12_000))
+    # the gaps that explain it lie past the first thousands of pairs, and the larger one is past 256 KiB
+    torn = picture[:4096] + rng.randbytes(1024) + picture[4096:7168] + rng.randbytes(1536) + picture[7168:]
+    large = png(rng.randbytes(300_000))
+    late = large[:299_008] + rng.randbytes(512) + large[299_008:299_520] + rng.randbytes(512) + large[299_520:]
+    wrong = png(b"x" * 900)[:-20] + b"wrong!!!" + b"IEND\xaeB`\x82"
+    known = carve.SIGNATURES[1:2]
+    chunks = volumes.from_bytes(spark, {"torn": torn, "wrong": wrong}, 4096)
+    rows = carve.carves(carve.hits(chunks, known), volumes.sector_count(chunks), known)
+    got = {r.volume_id: r for r in carve.scored(rows, chunks, known, chunk=4096, checked_from=-1).collect()}
+    assert (got["torn"].confidence, got["torn"].source) == (carve.RESCUED, "carver_bgc") and got["wrong"].confidence == 40
+    assert (got["torn"].gap_start, got["torn"].gap_length, got["torn"].gap2_start, got["torn"].gap2_length) == (4096, 1024, 8192, 1536)
+    assert carve.bifragment_gap(late, validators.png, gaps=validators.png_gaps) is None
+    held = late[:299_008] + late[299_008 + 512 :]
+    assert list(validators.png_gaps(held, 299_008 + 512, 512, 65536)) == [(299_520, 512)]
+
+
 def test_names_past_the_last_number(spark, tmp_path):
     rows = spark.createDataFrame([("v", k, "a.txt", bytearray(b"x")) for k in range(4)], "volume_id string, id long, name string, data binary")
     assert [r.dest for r in recover.unique_names(rows, 2).orderBy("id").collect()] == ["a.txt", "a_1.txt", "a_2.txt", None]
